@@ -132,3 +132,34 @@ select seq, array_to_string(met, ',') as criteria_met, array_to_string(failed, '
   floor(len(met) / 6 * 100)::integer as match_score
 from s where floor(len(met) / 6 * 100) >= 50
 """
+
+
+# Keep-first as the plain sequential rule: a recursive walk in seq order that
+# carries the url and key sets of kept rows.
+_KF = f"""with recursive {V1},
+b as (select row_number() over (order by seq) as rn, seq, nullif(url, '') as u,
+        nullif({norm_string('company')} || '|' || {norm_string('title')} || '|' || {norm_string('location')}, '||') as k
+      from v1),
+r(rn, seq, u, k, st, seen_u, seen_k) as (
+  select 0::bigint, null::bigint, null::varchar, null::varchar, null::varchar, []::varchar[], []::varchar[]
+  union all
+  select b.rn, b.seq, b.u, b.k, x.st,
+    case when x.st = 'unique' and b.u is not null then list_append(r.seen_u, b.u) else r.seen_u end,
+    case when x.st = 'unique' and b.k is not null then list_append(r.seen_k, b.k) else r.seen_k end
+  from r join b on b.rn = r.rn + 1,
+  lateral (select case when b.u is not null and list_contains(r.seen_u, b.u) then 'exact_url'
+                       when b.k is not null and list_contains(r.seen_k, b.k) then 'fuzzy_match'
+                       else 'unique' end as st) x
+),
+kf as (select seq, case when st = 'unique' then 'unique' else 'duplicate' end as status,
+          case when st <> 'unique' then st end as duplicate_reason, k as fuzzy_key, v1.session
+       from r join v1 using (seq) where rn > 0)"""
+
+ORACLES["keepfirst_rows"] = _KF + "\nselect seq, status, duplicate_reason, fuzzy_key from kf"
+ORACLES["keepfirst_stats"] = _KF + """
+select count(*)::bigint as total_jobs, count_if(status = 'unique')::bigint as unique_jobs,
+  count_if(status = 'duplicate')::bigint as duplicates,
+  round_even(count_if(status = 'duplicate') / count(*) * 100.0, 2) as duplicate_rate from kf"""
+ORACLES["keepfirst_by_reason"] = _KF + """
+select duplicate_reason, count(*)::bigint as duplicates from kf where status = 'duplicate' group by 1"""
+ORACLES["keepfirst_sessions"] = f"with {V1} select session, count(*)::bigint as jobs_count from v1 group by 1"

@@ -64,3 +64,33 @@ def filter_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = flt.partial_matches(postings_v1(spark, sf_dir), SAMPLE_SEARCH, AS_OF, min_score=50)
     return out.select("seq", F.concat_ws(",", "criteria_met").alias("criteria_met"),
                       F.concat_ws(",", "criteria_failed").alias("criteria_failed"), "match_score")
+
+
+# ------------------------------------------------------------------ keep-first consolidation
+
+def _keepfirst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.keepfirst import keep_first
+    return keep_first(postings_v1(spark, sf_dir))
+
+
+@register("keepfirst_rows")
+def keepfirst_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keepfirst(spark, sf_dir).select("seq", "status", "duplicate_reason", "fuzzy_key")
+
+
+@register("keepfirst_stats")
+def keepfirst_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.keepfirst import consolidation_stats
+    return consolidation_stats(_keepfirst(spark, sf_dir))
+
+
+@register("keepfirst_by_reason")
+def keepfirst_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.keepfirst import duplicates_by_reason
+    return duplicates_by_reason(_keepfirst(spark, sf_dir))
+
+
+@register("keepfirst_sessions")
+def keepfirst_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.keepfirst import session_counts
+    return session_counts(postings_v1(spark, sf_dir))
