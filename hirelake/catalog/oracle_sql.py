@@ -163,3 +163,106 @@ select count(*)::bigint as total_jobs, count_if(status = 'unique')::bigint as un
 ORACLES["keepfirst_by_reason"] = _KF + """
 select duplicate_reason, count(*)::bigint as duplicates from kf where status = 'duplicate' group by 1"""
 ORACLES["keepfirst_sessions"] = f"with {V1} select session, count(*)::bigint as jobs_count from v1 group by 1"
+
+
+# Entity resolution, exact url + composite key, written as plain group-by SQL.
+_WORDS = (f"case when coalesce(length(description), 0) > 0 then list_distinct(list_filter("
+          f"string_split({norm_text('description')}, ' '), lambda w: w <> '')) else []::varchar[] end")
+_COMPL = ("((case when coalesce(length(title), 0) > 0 then 1 else 0 end) + (case when coalesce(length(company), 0) > 0 "
+          "then 1 else 0 end) + (case when location_city is not null then 1 else 0 end) + (case when "
+          "coalesce(length(description), 0) > 0 then 1 else 0 end) + (case when salary_min is not null or salary_max "
+          "is not null then 1 else 0 end) + (case when coalesce(length(contact_email), 0) > 0 then 1 else 0 end)) "
+          "/ 8.0 * 100.0")
+_JAC = ("case when len(cwords) = 0 or len(words) = 0 then 0.0 else len(list_intersect(cwords, words)) / "
+        "(len(cwords) + len(words) - len(list_intersect(cwords, words)))::double end")
+_DEDUP = f"""with {V1},
+p as (select seq, master_id, session, nullif(url, '') as url_key, url, contact_email, salary_min, salary_max,
+        location_city, description, title, company, {_COMPL} as compl,
+        {norm_company('company')} as cn, {norm_text('title')} as tn,
+        {norm_text("coalesce(location_city, '') || ' '")} as ln, {_WORDS} as words from v1),
+u as (select * from p where url_key is not null),
+ug as (select url_key, min(seq) as first_seq, first(seq order by compl desc, seq) as cseq,
+         first(master_id order by compl desc, seq) as cid from u group by url_key having count(*) > 1),
+e1 as (select 'exact_url' as strategy, 1 as srank, ug.first_seq as o1, 0::bigint as o2, 99 as confidence,
+         ug.cseq, ug.cid, u.seq as dseq, u.master_id as did, u.session as dsession, null::double as description_similarity
+       from u join ug using (url_key) where u.seq <> ug.cseq),
+m1 as (select u.seq from u join ug using (url_key)),
+r1 as (select *, case when cn <> '' and tn <> '' then cn || '|' || tn || '|' || ln end as ckey
+       from p where seq not in (select seq from m1)),
+kg as (select ckey, min(seq) as first_seq, first(seq order by compl desc, seq) as cseq,
+         first(master_id order by compl desc, seq) as cid from r1 where ckey is not null group by ckey having count(*) > 1),
+cw as (select r1.ckey, r1.words as cwords from r1 join kg on r1.ckey = kg.ckey and r1.seq = kg.cseq),
+e2 as (select 'normalized_composite' as strategy, 2 as srank, kg.first_seq as o1, r1.seq as o2,
+         floor(85.0 + ({_JAC}) * 10.0)::integer as confidence, kg.cseq, kg.cid, r1.seq as dseq, r1.master_id as did,
+         r1.session as dsession, round_even(({_JAC}) * 100.0, 1) as description_similarity
+       from r1 join kg using (ckey) join cw using (ckey) where r1.seq <> kg.cseq),
+e as (select *, dense_rank() over (order by srank, o1, o2) as gseq from (select * from e1 union all select * from e2)),
+eg as (select *, printf('dup_%03d', gseq) as group_id from e),
+g as (select gseq, group_id, strategy, confidence, cseq, count(*) as dcount from eg group by all),
+fill_email as (select cseq, first(p.contact_email order by eg.gseq, eg.dseq) as v,
+                 first(eg.dsession order by eg.gseq, eg.dseq) as src
+               from eg join p on p.seq = eg.dseq where coalesce(length(p.contact_email), 0) > 0 group by cseq),
+fill_sal as (select cseq, first(p.salary_min order by eg.gseq, eg.dseq) as smin,
+               first(eg.dsession order by eg.gseq, eg.dseq) as src
+             from eg join p on p.seq = eg.dseq where p.salary_min is not null or p.salary_max is not null group by cseq),
+lastg as (select cseq, max(gseq) as gseq from g where confidence >= 85 group by cseq),
+lurl as (select eg.gseq, p.url as durl, min(eg.dseq) as pos from eg join lastg using (cseq, gseq)
+         join p on p.seq = eg.dseq where coalesce(length(p.url), 0) > 0 group by all),
+lses as (select eg.gseq, eg.dsession, min(eg.dseq) as pos from eg join lastg using (cseq, gseq) group by all),
+meta as (select lastg.cseq, g.dcount, g.strategy, g.confidence, g.group_id,
+           [nullif(c.url, '')] || list_filter(coalesce((select list(durl order by pos) from lurl where lurl.gseq = lastg.gseq), []),
+                                              lambda x: x is distinct from nullif(c.url, '')) as urls,
+           [c.session] || list_filter(coalesce((select list(dsession order by pos) from lses where lses.gseq = lastg.gseq), []),
+                                      lambda x: x is distinct from c.session) as sessions
+         from lastg join g on g.gseq = lastg.gseq join p c on c.seq = lastg.cseq),
+removed as (select distinct dseq as seq from eg where confidence >= 85),
+filled as (select p.*,
+             case when coalesce(length(p.contact_email), 0) > 0 then p.contact_email else fe.v end as f_email,
+             case when coalesce(length(p.contact_email), 0) > 0 then null else fe.src end as email_src,
+             (p.salary_min is not null or p.salary_max is not null) or fs.cseq is not null as f_sal_present,
+             case when p.salary_min is not null or p.salary_max is not null then p.salary_min else fs.smin end as f_sal_min,
+             case when p.salary_min is not null or p.salary_max is not null then null else fs.src end as sal_src
+           from p left join fill_email fe on fe.cseq = p.seq left join fill_sal fs on fs.cseq = p.seq),
+uniq as (select * from filled where seq not in (select seq from removed))"""
+
+ORACLES["dedup_groups"] = _DEDUP + """
+select group_id, strategy, cid as canonical_id, did as dup_id, confidence, description_similarity from eg"""
+
+ORACLES["dedup_unique"] = _DEDUP + """
+select u.seq, u.master_id, u.f_email as contact_email, u.email_src as contact_email_source,
+  u.f_sal_present as salary_present, u.f_sal_min as salary_min, u.sal_src as salary_source,
+  m.dcount as duplicate_count, m.strategy as merge_strategy, m.confidence as merge_confidence,
+  m.group_id as merge_group_id,
+  array_to_string(list_transform(m.urls, lambda x: coalesce(x, '<null>')), ',') as duplicate_urls,
+  array_to_string(list_transform(m.sessions, lambda x: coalesce(x, '<null>')), ',') as session_sources
+from uniq u left join meta m on m.cseq = u.seq"""
+
+ORACLES["dedup_summary"] = _DEDUP + """
+select (select count(*) from p) as total_jobs, (select count(*) from uniq) as unique_jobs,
+  (select count(*) from p) - (select count(*) from uniq) as duplicates,
+  round_even(((select count(*) from p) - (select count(*) from uniq)) / (select count(*) from p) * 100.0, 1) as duplicate_rate,
+  (select count(*) from g) as duplicate_groups, 0::bigint as flagged_for_review"""
+
+ORACLES["dedup_strategy"] = _DEDUP + """
+select strategy, sum(dcount)::bigint as matches, round(avg(confidence), 4) as avg_confidence,
+  round(sum(dcount) / ((select count(*) from p) - (select count(*) from uniq)) * 100.0, 4) as pct_of_duplicates
+from g group by strategy"""
+
+_COV = """avg(case when {c} then 100.0 else 0.0 end)"""
+ORACLES["dedup_quality"] = _DEDUP + """,
+cf as (select *, ((case when coalesce(length(title), 0) > 0 then 1 else 0 end) + (case when coalesce(length(company), 0) > 0
+        then 1 else 0 end) + (case when location_city is not null then 1 else 0 end) + (case when
+        coalesce(length(description), 0) > 0 then 1 else 0 end) + (case when f_sal_present then 1 else 0 end)
+        + (case when coalesce(length(f_email), 0) > 0 then 1 else 0 end)) / 8.0 * 100.0 as fcompl from filled),
+b as (select avg(fcompl) as completeness, avg(case when f_sal_present then 100.0 else 0.0 end) as salary,
+        avg(case when coalesce(length(f_email), 0) > 0 then 100.0 else 0.0 end) as "contactEmail",
+        0.0::double as benefits, 0.0::double as requirements from cf),
+a as (select avg(fcompl) as completeness, avg(case when f_sal_present then 100.0 else 0.0 end) as salary,
+        avg(case when coalesce(length(f_email), 0) > 0 then 100.0 else 0.0 end) as "contactEmail",
+        0.0::double as benefits, 0.0::double as requirements from cf where seq not in (select seq from removed)),
+tb as (unpivot b on completeness, salary, "contactEmail", benefits, requirements into name metric value before_raw),
+ta as (unpivot a on completeness, salary, "contactEmail", benefits, requirements into name metric value after_raw)
+select metric, round_even(before_raw, 1) as before, round_even(after_raw, 1) as after,
+  round_even(after_raw - before_raw, 1) as improvement,
+  metric <> 'completeness' and round_even(after_raw, 1) < 60 as improvement_target
+from tb join ta using (metric)"""

@@ -94,3 +94,57 @@ def keepfirst_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keepfirst_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelake.operators.keepfirst import session_counts
     return session_counts(postings_v1(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ entity resolution (J1 + J2 on V1)
+
+def _nulls_marked(c):
+    return F.when(c.isNotNull(), F.concat_ws(",", F.transform(c, lambda x: F.coalesce(x, F.lit("<null>")))))
+
+
+def _dedup_v1(spark: SparkSession, sf_dir: str):
+    from hirelake.operators import dedup
+    postings = postings_v1(spark, sf_dir)
+    edges = dedup.detect_duplicates(postings, fuzzy=False)
+    return postings, edges, dedup.merge_duplicates(postings, edges)
+
+
+@register("dedup_groups")
+def dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges, _ = _dedup_v1(spark, sf_dir)
+    return edges.select("group_id", "strategy", "canonical_id", "dup_id", "confidence", "description_similarity")
+
+
+@register("dedup_unique")
+def dedup_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, merged = _dedup_v1(spark, sf_dir)
+    u = merged["unique"]
+    m = F.col("duplicate_metadata")
+    return u.select("seq", "master_id", "contact_email", "contact_email_source", "salary_present",
+                    "salary_min", "salary_source",
+                    m["duplicate_count"].cast("bigint").alias("duplicate_count"),
+                    m["merge_strategy"].alias("merge_strategy"), m["merge_confidence"].alias("merge_confidence"),
+                    m["merge_group_id"].alias("merge_group_id"),
+                    _nulls_marked(m["duplicate_urls"]).alias("duplicate_urls"),
+                    _nulls_marked(m["session_sources"]).alias("session_sources"))
+
+
+@register("dedup_summary")
+def dedup_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.dedup import dedup_summary
+    postings, _, merged = _dedup_v1(spark, sf_dir)
+    return dedup_summary(postings, merged)
+
+
+@register("dedup_strategy")
+def dedup_strategy_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.dedup import strategy_stats
+    postings, _, merged = _dedup_v1(spark, sf_dir)
+    return strategy_stats(postings, merged)
+
+
+@register("dedup_quality")
+def dedup_quality_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.dedup import quality_improvement
+    _, _, merged = _dedup_v1(spark, sf_dir)
+    return quality_improvement(merged)
