@@ -175,11 +175,12 @@ _COMPL = ("((case when coalesce(length(title), 0) > 0 then 1 else 0 end) + (case
           "/ 8.0 * 100.0")
 _JAC = ("case when len(cwords) = 0 or len(words) = 0 then 0.0 else len(list_intersect(cwords, words)) / "
         "(len(cwords) + len(words) - len(list_intersect(cwords, words)))::double end")
-_DEDUP = f"""with {V1},
+def _dedup_sql(view: str, src: str, compl: str, loc: str) -> str:
+    return f"""with {view},
 p as (select seq, master_id, session, nullif(url, '') as url_key, url, contact_email, salary_min, salary_max,
-        location_city, description, title, company, {_COMPL} as compl,
+        location_city, description, title, company, {compl} as compl,
         {norm_company('company')} as cn, {norm_text('title')} as tn,
-        {norm_text("coalesce(location_city, '') || ' '")} as ln, {_WORDS} as words from v1),
+        {loc} as ln, {_WORDS} as words from {src}),
 u as (select * from p where url_key is not null),
 ug as (select url_key, min(seq) as first_seq, first(seq order by compl desc, seq) as cseq,
          first(master_id order by compl desc, seq) as cid from u group by url_key having count(*) > 1),
@@ -225,6 +226,9 @@ filled as (select p.*,
            from p left join fill_email fe on fe.cseq = p.seq left join fill_sal fs on fs.cseq = p.seq),
 uniq as (select * from filled where seq not in (select seq from removed))"""
 
+
+_DEDUP = _dedup_sql(V1, "v1", _COMPL, norm_text("coalesce(location_city, '') || ' '"))
+
 ORACLES["dedup_groups"] = _DEDUP + """
 select group_id, strategy, cid as canonical_id, did as dup_id, confidence, description_similarity from eg"""
 
@@ -266,3 +270,13 @@ select metric, round_even(before_raw, 1) as before, round_even(after_raw, 1) as
   round_even(after_raw - before_raw, 1) as improvement,
   metric <> 'completeness' and round_even(after_raw, 1) < 60 as improvement_target
 from tb join ta using (metric)"""
+
+# The same two stages over the text postings (Unicode normalisation on real prose).
+_V3P = ("v3p as (select seq, master_id, session, null::varchar as url, contact_email, null::double as salary_min, "
+        "null::double as salary_max, location as location_city, description, title, company from v3)")
+_COMPL3 = ("((case when coalesce(length(title), 0) > 0 then 1 else 0 end) + (case when coalesce(length(company), 0) > 0 "
+           "then 1 else 0 end) + (case when coalesce(length(location_city), 0) > 0 then 1 else 0 end) + (case when "
+           "coalesce(length(description), 0) > 0 then 1 else 0 end) + (case when coalesce(length(contact_email), 0) > 0 "
+           "then 1 else 0 end)) / 8.0 * 100.0")
+ORACLES["dedup_text_composite"] = _dedup_sql(f"{V3}, {_V3P}", "v3p", _COMPL3, norm_text("location_city")) + """
+select group_id, strategy, cid as canonical_id, did as dup_id, confidence, description_similarity from eg"""

@@ -148,3 +148,42 @@ def dedup_quality_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelake.operators.dedup import quality_improvement
     _, _, merged = _dedup_v1(spark, sf_dir)
     return quality_improvement(merged)
+
+
+# ------------------------------------------------------------------ entity resolution on text postings (V3)
+
+def _dedup_v3(spark: SparkSession, sf_dir: str, fuzzy: bool):
+    from hirelake.operators import dedup
+    from hirelake.sources.views import text_postings_v3
+    postings = text_postings_v3(spark, sf_dir)
+    edges = dedup.detect_duplicates(postings, fuzzy=fuzzy)
+    return postings, edges
+
+
+@register("dedup_text_composite")
+def dedup_text_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges = _dedup_v3(spark, sf_dir, fuzzy=False)
+    return edges.select("group_id", "strategy", "canonical_id", "dup_id", "confidence", "description_similarity")
+
+
+@register("dedup_fuzzy_groups")
+def dedup_fuzzy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 + J2 + J3 (blocked similarity join); no SQL form (SequenceMatcher)."""
+    _, edges = _dedup_v3(spark, sf_dir, fuzzy=True)
+    return edges.select("group_id", "strategy", "canonical_id", "dup_id", "confidence", "description_similarity",
+                        "sim_company", "sim_title", "sim_location")
+
+
+@register("dedup_fuzzy_review")
+def dedup_fuzzy_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P20 review queue of the fuzzy run (groups with 60 <= confidence < 85)."""
+    from hirelake.operators import dedup
+    postings, edges = _dedup_v3(spark, sf_dir, fuzzy=True)
+    return dedup.review_queue(dedup.group_table(edges)).drop("group_seq")
+
+
+@register("dedup_fuzzy_summary")
+def dedup_fuzzy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators import dedup
+    postings, edges = _dedup_v3(spark, sf_dir, fuzzy=True)
+    return dedup.dedup_summary(postings, dedup.merge_duplicates(postings, edges))

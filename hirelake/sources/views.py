@@ -110,8 +110,10 @@ left join orders o on o.o_orderkey = p.p_partkey
 
 def text_postings_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: one posting per document: title = first line, company = first two
-    words, location = language (a scalar), description = the text."""
+    words, location = language (a scalar), description = the text, contact
+    email = the first address in the text."""
     d = table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    email = F.regexp_extract(F.col("text"), EMAIL_PATTERN, 0)
     company = F.concat(F.split_part(F.col("text"), F.lit(" "), F.lit(1)), F.lit(" "),
                        F.split_part(F.col("text"), F.lit(" "), F.lit(2)))
     out = d.select(
@@ -129,14 +131,16 @@ def text_postings_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(False).alias("location_is_object"),
         (F.coalesce(F.length("lang"), F.lit(0)) > 0).alias("location_present"),
         F.col("text").alias("description"),
+        F.when(email != "", email).alias("contact_email"),
     )
     return conform(out)
 
 
-TEXT_POSTINGS_V3_SQL = """
+TEXT_POSTINGS_V3_SQL = f"""
 select doc_id::bigint as seq, printf('master_%05d', doc_id + 1) as master_id, source as session,
   split_part(text, chr(10), 1) as title,
-  split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) as company, lang as location, text as description
+  split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) as company, lang as location, text as description,
+  nullif(regexp_extract(text, '{EMAIL_PATTERN}', 0), '') as contact_email
 from documents
 """
 
