@@ -280,3 +280,16 @@ _COMPL3 = ("((case when coalesce(length(title), 0) > 0 then 1 else 0 end) + (cas
            "then 1 else 0 end)) / 8.0 * 100.0")
 ORACLES["dedup_text_composite"] = _dedup_sql(f"{V3}, {_V3P}", "v3p", _COMPL3, norm_text("location_city")) + """
 select group_id, strategy, cid as canonical_id, did as dup_id, confidence, description_similarity from eg"""
+
+
+ORACLES["ingest_postings"] = f"""with {V1}
+select printf('master_%05d', row_number() over (order by session, printf('%06d.json', seq))) as master_id,
+  id, url, title, company, location, session,
+  case seq % 3 when 0 then 'api_response' when 1 then 'nested_job' else 'data_fields' end as shape,
+  case when seq % 3 = 0 then id else printf('%06d', seq) end as original_id
+from v1"""
+
+# Only nested-job records (seq % 3 = 1) carry raw.job; the others miss every field.
+ORACLES["ingest_filter_fields"] = _breakdown().replace(
+    "a as (select", "a as (select").replace(
+    "from flags)", "from (select * exclude (ok_job_type), ok_job_type and seq % 3 = 1 as ok_job_type from flags))")

@@ -187,3 +187,24 @@ def dedup_fuzzy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelake.operators import dedup
     postings, edges = _dedup_v3(spark, sf_dir, fuzzy=True)
     return dedup.dedup_summary(postings, dedup.merge_duplicates(postings, edges))
+
+
+# ------------------------------------------------------------------ ingest of raw JSON records (V2)
+
+def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.sources.ingest import ingest, raw_from_strings
+    from hirelake.sources.views import raw_postings_v2
+    return ingest(raw_from_strings(raw_postings_v2(spark, sf_dir)))
+
+
+@register("ingest_postings")
+def ingest_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 over the three record shapes must give back the V1 columns; P4 numbers in load order."""
+    return _ingested(spark, sf_dir).select("master_id", "id", "url", "title", "company", "location", "session",
+                                           "shape", "original_id")
+
+
+@register("ingest_filter_fields")
+def ingest_filter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter's view of ingested records: only nested-job records carry ``raw.job``."""
+    return flt.cascade_breakdown(_ingested(spark, sf_dir), SAMPLE_SEARCH, AS_OF)

@@ -46,7 +46,8 @@ COMPLETENESS_FIELDS = 8
 def completeness(df: DataFrame) -> Column:
     """Share x100 of the 8 fields that are filled (non-empty string, object or list)."""
     filled = [
-        truthy_str(df["title"]), truthy_str(df["company"]), F.coalesce(df["location_present"], F.lit(False)),
+        truthy_str(df["title"]), truthy_str(df["company"]),
+        F.coalesce(df["location_present"], F.lit(False)) | truthy_str(df["location"]),
         truthy_str(df["description"]), F.coalesce(F.size(df["requirements"]) > 0, F.lit(False)),
         F.coalesce(df["salary_present"], F.lit(False)), truthy_str(df["contact_email"]),
         F.coalesce(F.size(df["benefits"]) > 0, F.lit(False)),
@@ -64,7 +65,9 @@ def _salary_struct(df: DataFrame) -> Column:
 def prepare(postings: DataFrame) -> DataFrame:
     """Per-posting columns used by every stage, computed once (never inside a pair loop)."""
     p = postings
-    loc = normalize_location(p["location_city"], p["location_country"], p["location_is_object"], p["location_text"])
+    loc = normalize_location(p["location_city"], p["location_country"],
+                             F.coalesce(p["location_is_object"], F.lit(False)),
+                             F.coalesce(p["location_text"], p["location"]))
     desc_truthy = truthy_str(p["description"])
     return p.select(
         "seq", "master_id", "original_id", "session",

@@ -15,7 +15,8 @@ session                STRING session name
 url                    STRING first truthy url field (P1 / P7)
 title, company,        STRING consolidated string forms (P1)
 location
-description            STRING
+description            STRING (the flattened record's description)
+job_title, job_description  STRING title / description of ``raw.job`` (filter input)
 job_type, experience_level, remote_policy, posted_date   STRING (P6 unwrapped)
 company_text           STRING company cell value (object -> value, scalar -> string)
 company_name           STRING company object ``name`` (dedup's P10), else the scalar
@@ -39,7 +40,8 @@ from pyspark.sql import functions as F
 POSTING_COLUMNS: list[tuple[str, str]] = [
     ("seq", "bigint"), ("id", "string"), ("master_id", "string"), ("original_id", "string"),
     ("session", "string"), ("url", "string"), ("title", "string"), ("company", "string"),
-    ("location", "string"), ("description", "string"), ("job_type", "string"),
+    ("location", "string"), ("description", "string"), ("job_title", "string"),
+    ("job_description", "string"), ("job_type", "string"),
     ("experience_level", "string"), ("remote_policy", "string"), ("posted_date", "string"),
     ("company_text", "string"), ("company_name", "string"), ("location_is_object", "boolean"),
     ("location_present", "boolean"), ("location_city", "string"), ("location_country", "string"),

@@ -52,6 +52,8 @@ def postings_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
         company.alias("company"),
         F.col("n_name").alias("location"),
         F.col("text").alias("description"),
+        F.col("p_name").alias("job_title"),
+        F.col("text").alias("job_description"),
         F.when(k % 6 == 0, "Full-time").when(k % 6 == 1, "Part-time").when(k % 6 == 2, "Contract")
         .when(k % 6 == 3, "Temporary").when(k % 6 == 4, "Internship").alias("job_type"),
         F.when(k % 7 == 0, "Entry Level").when(k % 7 == 1, "Junior").when(k % 7 == 2, "Mid-Level")
@@ -185,3 +187,31 @@ select 's0' as session, event_id::bigint as seq, ts,
 from events
 where event_type in ('signup', 'view', 'purchase', 'error', 'click')
 """
+
+
+def raw_postings_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: each V1 posting as a JSON document in one of the three record shapes
+    (by ``seq % 3``: api response, nested job, extraction fields), with the
+    session name, a file name and the position -- the raw input of ingest."""
+    v = postings_v1(spark, sf_dir)
+    cell = lambda c: F.struct(F.col(c).alias("value"), F.lit(90).alias("confidence"))
+    salary = F.when(F.col("salary_present"), F.struct(
+        F.col("salary_min").alias("min"), F.col("salary_max").alias("max"),
+        F.col("salary_currency").alias("currency"), F.col("salary_period").alias("period")))
+    api = F.to_json(F.struct(F.col("id").alias("id"), F.col("url").alias("application_url"),
+                             F.col("title").alias("slug"), F.struct(F.col("company").alias("name")).alias("company"),
+                             F.struct(F.col("location").alias("city")).alias("location")))
+    nested = F.to_json(F.struct(F.struct(
+        F.col("id").alias("id"), F.col("url").alias("url"), F.col("title").alias("title"),
+        F.col("company").alias("company"), F.struct(F.col("location_city").alias("city")).alias("location"),
+        F.col("description").alias("description"), salary.alias("salary"), F.col("job_type").alias("jobType"),
+        F.col("experience_level").alias("experienceLevel"), F.col("remote_policy").alias("remotePolicy"),
+        F.col("posted_date").alias("postedDate")).alias("job")))
+    data = F.to_json(F.struct(
+        F.col("id").alias("job_id"), F.col("url").alias("url"),
+        F.struct(cell("title").alias("title"), cell("company").alias("company"), cell("location").alias("location"),
+                 cell("description").alias("description"), cell("contact_email").alias("contactEmail")).alias("data")))
+    k = F.col("seq") % 3
+    return v.select(
+        "session", F.format_string("%06d.json", F.col("seq")).alias("source_file"), F.lit(0).alias("pos"),
+        F.when(k == 0, api).when(k == 1, nested).otherwise(data).alias("value"))
