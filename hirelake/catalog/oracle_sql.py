@@ -293,3 +293,30 @@ from v1"""
 ORACLES["ingest_filter_fields"] = _breakdown().replace(
     "a as (select", "a as (select").replace(
     "from flags)", "from (select * exclude (ok_job_type), ok_job_type and seq % 3 = 1 as ok_job_type from flags))")
+
+
+# Session master indexes over the V2 records: api rows carry root company {name} and
+# location {city}; data rows carry data.company / data.location {value, confidence}
+# (an object without name -> 'unknown'; without city -> no location entry);
+# nested rows carry neither at the root.
+_IDX = f"""with {V1},
+m as (select printf('master_%05d', row_number() over (order by session, printf('%06d.json', seq))) as master_id,
+        seq, session, company, location, id from v1),
+e as (
+  select 'by_session' as index_name, session as key, master_id, seq from m
+  union all
+  select 'by_company', case when seq % 3 = 0 then lower(company) else 'unknown' end, master_id, seq
+  from m where seq % 3 in (0, 2)
+  union all
+  select 'by_location', lower(location), master_id, seq from m where seq % 3 = 0 and coalesce(length(location), 0) > 0)"""
+ORACLES["index_entries"] = _IDX + "\nselect index_name, key, master_id from e"
+ORACLES["index_summary"] = _IDX + """
+select index_name, key, count(*)::bigint as n_ids, arg_min(master_id, seq) as first_id, arg_max(master_id, seq) as last_id
+from e group by all"""
+ORACLES["index_original_to_master"] = f"""with {V1},
+m as (select printf('master_%05d', row_number() over (order by session, printf('%06d.json', seq))) as master_id,
+        case when seq % 3 = 0 then id else printf('%06d', seq) end as original_id, session, seq from v1)
+select original_id, arg_max(master_id, master_id) as master_id from m group by original_id"""
+ORACLES["master_totals"] = f"""with {V1}
+select count(distinct session)::bigint as sessions_consolidated, null::varchar as earliest, null::varchar as latest,
+  count(*)::bigint as total_jobs from v1"""

@@ -208,3 +208,33 @@ def ingest_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_filter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter's view of ingested records: only nested-job records carry ``raw.job``."""
     return flt.cascade_breakdown(_ingested(spark, sf_dir), SAMPLE_SEARCH, AS_OF)
+
+
+# ------------------------------------------------------------------ session master indexes (A3-A5)
+
+@register("index_entries")
+def index_entries_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.index import index_entries
+    return index_entries(_ingested(spark, sf_dir)).select("index_name", "key", "master_id")
+
+
+@register("index_summary")
+def index_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.index import index_entries, index_summary
+    return index_summary(index_entries(_ingested(spark, sf_dir)))
+
+
+@register("index_original_to_master")
+def index_original_to_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.index import original_to_master
+    return original_to_master(_ingested(spark, sf_dir))
+
+
+@register("master_totals")
+def master_totals_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.index import master_totals
+    from hirelake.sources.ingest import raw_from_strings, session_stats
+    from hirelake.sources.views import raw_postings_v2
+    raw = raw_from_strings(raw_postings_v2(spark, sf_dir))
+    sessions = raw.select("session").distinct()
+    return master_totals(session_stats(raw, sessions), _ingested(spark, sf_dir))
