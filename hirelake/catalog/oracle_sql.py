@@ -320,3 +320,27 @@ select original_id, arg_max(master_id, master_id) as master_id from m group by o
 ORACLES["master_totals"] = f"""with {V1}
 select count(distinct session)::bigint as sessions_consolidated, null::varchar as earliest, null::varchar as latest,
   count(*)::bigint as total_jobs from v1"""
+
+
+# Tracker: last add per job, patched by the updates after it.
+_TRK = f"""with {V4},
+a as (select session, job_id, max(seq) as aseq from v4 where kind = 'add' group by all),
+ad as (select v4.* from v4 join a on v4.session = a.session and v4.job_id = a.job_id and v4.seq = a.aseq),
+up as (select v4.* from v4 join a on v4.session = a.session and v4.job_id = a.job_id
+       where v4.kind = 'update' and v4.seq > a.aseq),
+st as (select session, job_id, arg_max(status, seq) as status from up where status is not null group by all),
+ut as (select session, job_id, arg_max(ts, seq) as uts from up group by all),
+xk as (select session, job_id, arg_max(extra_k, seq) as extra_k from up where extra_k is not null group by all),
+state as (
+  select ad.session, ad.job_id, ad.company, ad.title, coalesce(st.status, ad.status) as status, ad.directory,
+    strftime(ad.ts, '%Y-%m-%d %H:%M:%S.%f') as created_at, strftime(ut.uts, '%Y-%m-%d %H:%M:%S.%f') as updated_at,
+    xk.extra_k
+  from ad left join st using (session, job_id) left join ut using (session, job_id) left join xk using (session, job_id))"""
+ORACLES["tracker_state"] = _TRK + "\nselect * from state"
+ORACLES["tracker_failed"] = _TRK + "\nselect * from state where status = 'failed'"
+ORACLES["tracker_stats"] = _TRK + """,
+tot as (select session, count(distinct job_id)::bigint as total_jobs from v4 group by all)
+select tot.session, tot.total_jobs, count_if(status = 'completed')::bigint as successful,
+  count_if(status = 'failed')::bigint as failed, count_if(status = 'in_progress')::bigint as in_progress,
+  round_even(count_if(status = 'completed') / any_value(tot.total_jobs) * 100.0, 2) as completion_rate
+from tot left join state using (session) group by tot.session, tot.total_jobs"""

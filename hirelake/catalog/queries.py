@@ -238,3 +238,41 @@ def master_totals_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_from_strings(raw_postings_v2(spark, sf_dir))
     sessions = raw.select("session").distinct()
     return master_totals(session_stats(raw, sessions), _ingested(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ application tracker (V4)
+
+def _ts(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+def _tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.tracker import tracker_state
+    from hirelake.sources.views import tracker_events_v4
+    return tracker_state(tracker_events_v4(spark, sf_dir))
+
+
+def _tracker_out(state: DataFrame) -> DataFrame:
+    return state.select("session", "job_id", "company", "title", "status", "directory",
+                        _ts(F.col("created_at")).alias("created_at"), _ts(F.col("updated_at")).alias("updated_at"),
+                        F.col("extra")["k"].alias("extra_k"))
+
+
+@register("tracker_state")
+def tracker_state_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tracker_out(_tracker(spark, sf_dir))
+
+
+@register("tracker_stats")
+def tracker_stats_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.tracker import session_statistics
+    from hirelake.sources.views import tracker_events_v4
+    sessions = tracker_events_v4(spark, sf_dir).groupBy("session").agg(
+        F.count_distinct("job_id").alias("total_jobs"))
+    return session_statistics(_tracker(spark, sf_dir), sessions)
+
+
+@register("tracker_failed")
+def tracker_failed_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.tracker import failed_applications
+    return _tracker_out(failed_applications(_tracker(spark, sf_dir)))
