@@ -276,3 +276,21 @@ def tracker_stats_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tracker_failed_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelake.operators.tracker import failed_applications
     return _tracker_out(failed_applications(_tracker(spark, sf_dir)))
+
+
+@register("tracker_stream_state")
+def tracker_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 through Structured Streaming (availableNow over the events file, foreachBatch
+    fold into a state table in the checkpoint folder); must equal the batch state."""
+    import uuid
+
+    from hirelake.session import checkpoint_root
+    from hirelake.sources.views import events_to_tracker
+    from hirelake.streaming.tracker import read_state, run_tracker_stream
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = events_to_tracker(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+                               .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    base = f"{checkpoint_root(spark).rstrip('/')}/tracker-{uuid.uuid4().hex}"
+    run_tracker_stream(stream, f"{base}/state", f"{base}/checkpoint")
+    return _tracker_out(read_state(spark, f"{base}/state"))

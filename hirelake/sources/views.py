@@ -154,7 +154,11 @@ def tracker_events_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
     completed; error -> update failed; click -> update carrying only
     ``extra = {k: props.k}`` (status unchanged).
     """
-    e = table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "props"])
+    return events_to_tracker(table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "props"]))
+
+
+def events_to_tracker(e: DataFrame) -> DataFrame:
+    """The V4 mapping on any (batch or streaming) ``events`` DataFrame."""
     et = F.col("event_type")
     kind = F.when(et == "signup", "add").when(et.isin("view", "purchase", "error", "click"), "update")
     status = (F.when(et.isin("signup", "view"), "in_progress").when(et == "purchase", "completed")
