@@ -345,3 +345,4 @@ select tot.session, tot.total_jobs, count_if(status = 'completed')::bigint as su
   round_even(count_if(status = 'completed') / any_value(tot.total_jobs) * 100.0, 2) as completion_rate
 from tot left join state using (session) group by tot.session, tot.total_jobs"""
 ORACLES["tracker_stream_state"] = ORACLES["tracker_state"]
+ORACLES["keepfirst_stream"] = ORACLES["keepfirst_rows"]

@@ -294,3 +294,31 @@ def tracker_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{checkpoint_root(spark).rstrip('/')}/tracker-{uuid.uuid4().hex}"
     run_tracker_stream(stream, f"{base}/state", f"{base}/checkpoint")
     return _tracker_out(read_state(spark, f"{base}/state"))
+
+
+# ------------------------------------------------------------------ streaming consolidation and alerts
+
+def _postings_stream(spark: SparkSession, sf_dir: str, parts: int = 4):
+    """V1 postings written by Spark as ``parts`` seq-ordered parquet files in the checkpoint
+    folder, then read back as a file stream one file per trigger (arrival order = seq)."""
+    import uuid
+
+    from hirelake.session import checkpoint_root
+    base = f"{checkpoint_root(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
+    v1 = postings_v1(spark, sf_dir)
+    ranged = v1.repartitionByRange(parts, "seq").withColumn("_part", F.spark_partition_id())
+    ranged.write.partitionBy("_part").parquet(f"{base}/staged")
+    for i in range(parts):   # one file per arrival, written in seq order
+        spark.read.parquet(f"{base}/staged/_part={i}").coalesce(1).write.parquet(f"{base}/arrivals/{i:05d}")
+    stream = (spark.readStream.schema(v1.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(f"{base}/arrivals"))
+    return stream, base
+
+
+@register("keepfirst_stream")
+def keepfirst_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: keep-first over micro-batches equals the one-shot run."""
+    from hirelake.streaming.consolidate import run_consolidation_stream
+    stream, base = _postings_stream(spark, sf_dir)
+    decided = run_consolidation_stream(stream, f"{base}/run")
+    return decided.select("seq", "status", "duplicate_reason", "fuzzy_key")
