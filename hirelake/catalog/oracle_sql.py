@@ -346,3 +346,10 @@ select tot.session, tot.total_jobs, count_if(status = 'completed')::bigint as su
 from tot left join state using (session) group by tot.session, tot.total_jobs"""
 ORACLES["tracker_stream_state"] = ORACLES["tracker_state"]
 ORACLES["keepfirst_stream"] = ORACLES["keepfirst_rows"]
+ORACLES["saved_search_alerts"] = f"""with {V1}, {FLAGS[1:]}
+select 'sample' as search_id, seq, id, title, company, 100 as match_score from flags where {_ALL}
+union all
+select 'city', seq, id, title, company, 100 from v1
+where lower({strip("coalesce(experience_level, '')")}) in ('junior', 'senior')
+  and location_city is not null and lower(location_city) = 'nation_3'
+  and contains(lower(coalesce(company, '')), 'brand#1')"""

@@ -322,3 +322,15 @@ def keepfirst_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, base = _postings_stream(spark, sf_dir)
     decided = run_consolidation_stream(stream, f"{base}/run")
     return decided.select("seq", "status", "duplicate_reason", "fuzzy_key")
+
+
+# A second saved search of the fixtures (city, company text and experience).
+CITY_SEARCH = flt.Criteria(cities=["NATION_3"], company_contains="Brand#1", experience_levels=["junior", "senior"])
+
+
+@register("saved_search_alerts")
+def saved_search_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings arriving as a stream matched against two saved searches."""
+    from hirelake.streaming.alerts import run_alert_stream
+    stream, base = _postings_stream(spark, sf_dir)
+    return run_alert_stream(stream, {"sample": SAMPLE_SEARCH, "city": CITY_SEARCH}, AS_OF, f"{base}/alerts")
