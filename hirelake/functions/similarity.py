@@ -38,7 +38,10 @@ def min_overlap_share(t: float) -> float:
 
 
 def char_tokens(strings: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Tall ``(id, token)`` rows: each character tagged with its occurrence number."""
+    """Tall ``(id, token)`` rows: each character tagged with its occurrence number.
+
+    ``id_col`` should be a small key (a dense integer id), since the occurrence
+    numbering shuffles by (id, character)."""
     exploded = strings.select(id_col, F.posexplode(F.split(F.col(text_col), "")).alias("pos", "ch"))
     exploded = exploded.where(F.col("ch") != "")
     w = Window.partitionBy(id_col, "ch").orderBy("pos")  # bounded by one string's length
@@ -67,3 +70,32 @@ def bag_bound_ok(tokens_a: Column, tokens_b: Column, len_a: Column, len_b: Colum
     length_ok = F.least(len_a, len_b) >= F.greatest(len_a, len_b) * F.lit(share) - F.lit(SLACK)
     overlap = F.size(F.array_intersect(tokens_a, tokens_b))
     return length_ok & (F.lit(2.0) * overlap / (len_a + len_b) >= F.lit(t - SLACK))
+
+
+def candidate_pairs(strings: DataFrame, t: float, allowed: DataFrame | None = None) -> DataFrame:
+    """Unordered candidate pairs ``(a, b)`` (ids, ``a < b``) of ``strings(id, s)`` that pass
+    the prefix filter and the length / multiset bounds for threshold ``t``.
+
+    ``allowed`` optionally restricts the token join to id pairs of a blocking
+    relation given as ``(id, block)`` rows: only strings sharing a block meet.
+    """
+    s = strings.where(F.col("s") != "")
+    toks = char_tokens(s, "id", "s")
+    lens = s.select("id", F.length("s").alias("len"))
+    pre = prefix_tokens(toks, lens, "id", t)
+    if allowed is not None:
+        pre = pre.join(allowed, "id")
+        keys = ["token", "block"]
+    else:
+        keys = ["token"]
+    cand = (pre.alias("x").join(pre.alias("y"), keys)
+            .where(F.col("x.id") < F.col("y.id"))
+            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    bags = toks.groupBy("id").agg(F.collect_list("token").alias("toks"))  # one string's characters
+    la, lb = lens.select(F.col("id").alias("a"), F.col("len").alias("la")), lens.select(
+        F.col("id").alias("b"), F.col("len").alias("lb"))
+    return (cand.join(la, "a").join(lb, "b")
+            .join(bags.select(F.col("id").alias("a"), F.col("toks").alias("ta")), "a")
+            .join(bags.select(F.col("id").alias("b"), F.col("toks").alias("tb")), "b")
+            .where(bag_bound_ok(F.col("ta"), F.col("tb"), F.col("la"), F.col("lb"), t))
+            .select("a", "b"))
