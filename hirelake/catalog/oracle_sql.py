@@ -353,3 +353,102 @@ select 'city', seq, id, title, company, 100 from v1
 where lower({strip("coalesce(experience_level, '')")}) in ('junior', 'senior')
   and location_city is not null and lower(location_city) = 'nation_3'
   and contains(lower(coalesce(company, '')), 'brand#1')"""
+
+
+# ------------------------------------------------------------------ data quality
+# Fields each V2 record carries (api: root company/location objects; nested: job.*;
+# extraction: data.* cells with confidence 90 -- a cell whose value was null is an
+# object without value).
+_CELLS = f"""with {V1},
+cells as (
+  select seq, 'company' as field, null::varchar as value, null::double as confidence, 'object' as value_type from v1 where seq % 3 = 0
+  union all select seq, 'location', null, null, 'object' from v1 where seq % 3 = 0
+  union all select seq, 'title', title, null, 'string' from v1 where seq % 3 = 1 and title is not null
+  union all select seq, 'company', company, null, 'string' from v1 where seq % 3 = 1 and company is not null
+  union all select seq, 'location', null, null, 'object' from v1 where seq % 3 = 1
+  union all select seq, 'description', description, null, 'string' from v1 where seq % 3 = 1 and description is not null
+  union all select seq, 'salary', null, null, 'object' from v1 where seq % 3 = 1 and (salary_min is not null or salary_max is not null)
+  union all select seq, 'jobType', job_type, null, 'string' from v1 where seq % 3 = 1 and job_type is not null
+  union all select seq, 'experienceLevel', experience_level, null, 'string' from v1 where seq % 3 = 1 and experience_level is not null
+  union all select seq, 'remotePolicy', remote_policy, null, 'string' from v1 where seq % 3 = 1 and remote_policy is not null
+  union all select seq, 'postedDate', posted_date, null, 'string' from v1 where seq % 3 = 1 and posted_date is not null
+  union all select seq, 'title', title, 90.0, case when title is null then 'object' else 'string' end from v1 where seq % 3 = 2
+  union all select seq, 'company', company, 90.0, case when company is null then 'object' else 'string' end from v1 where seq % 3 = 2
+  union all select seq, 'location', location, 90.0, case when location is null then 'object' else 'string' end from v1 where seq % 3 = 2
+  union all select seq, 'description', description, case when description is null then null else 90.0 end,
+    case when description is null then 'object' else 'string' end from v1 where seq % 3 = 2
+  union all select seq, 'contactEmail', contact_email, case when contact_email is null then null else 90.0 end,
+    case when contact_email is null then 'object' else 'string' end from v1 where seq % 3 = 2
+),
+rules(field, tier, type, min_confidence, pattern, allowed, weight) as (values
+  ('title', 'required', 'string', 80, null, null, 3.0), ('company', 'required', 'string', 70, null, null, 3.0),
+  ('location', 'required', 'string', 70, null, null, 3.0), ('salary', 'high_priority', 'object', 60, null, null, 2.0),
+  ('description', 'high_priority', 'string', 70, null, null, 2.0),
+  ('contactEmail', 'high_priority', 'email', 70, '{EMAIL_PATTERN}', null, 2.0),
+  ('requirements', 'medium_priority', 'array', 60, null, null, 1.0),
+  ('responsibilities', 'medium_priority', 'array', 60, null, null, 1.0),
+  ('jobType', 'medium_priority', 'string', 60, null, ['Full-time', 'Part-time', 'Contract', 'Temporary', 'Internship'], 1.0),
+  ('experienceLevel', 'medium_priority', 'string', 50, null,
+   ['Entry Level', 'Junior', 'Mid-Level', 'Senior', 'Lead', 'Executive'], 1.0),
+  ('benefits', 'optional', 'array', 50, null, null, 0.5),
+  ('remotePolicy', 'optional', 'string', 60, null, ['remote', 'hybrid', 'on-site'], 0.5),
+  ('companyDescription', 'optional', 'string', 50, null, null, 0.5),
+  ('contactPhone', 'optional', 'phone', 60, '{PHONE_PATTERN}', null, 0.5),
+  ('contactPerson', 'optional', 'object', 50, null, null, 0.5),
+  ('postedDate', 'optional', 'date', 60, '\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}', null, 0.5)),
+checked as (
+  select c.*, r.weight,
+    case when not (case when r.type in ('string', 'email', 'phone', 'date') then value_type = 'string'
+                        when r.type = 'array' then value_type = 'array' when r.type = 'object' then value_type = 'object'
+                        else true end) then 'type'
+         when r.pattern is not null and not coalesce(regexp_matches(value, r.pattern), false) then 'pattern'
+         when r.allowed is not null and not coalesce(list_contains(r.allowed, value), false) then 'enum'
+         when confidence is not null and confidence < r.min_confidence then 'low_confidence'
+         else 'ok' end as reason
+  from cells c join rules r using (field)),
+graded as (
+  select v1.seq, count_if(reason = 'ok')::bigint as fields_found,
+    round(coalesce(sum(case when reason = 'ok' then weight else 0 end), 0) / 22.0 * 100.0, 4) as data_completeness,
+    avg(confidence) as avg_confidence
+  from v1 left join checked using (seq) group by v1.seq)"""
+
+ORACLES["quality_conformance"] = _CELLS + "\nselect field, reason, count(*)::bigint as postings from checked group by all"
+ORACLES["quality_grades"] = _CELLS + """
+select case when data_completeness >= 85 then 'A' when data_completeness >= 70 then 'B'
+            when data_completeness >= 55 then 'C' when data_completeness >= 40 then 'D' else 'F' end as quality_grade,
+  count(*)::bigint as postings from graded group by all"""
+ORACLES["quality_extraction"] = _CELLS + """
+select round(avg(data_completeness), 4) as avg_completeness, round(avg(avg_confidence), 4) as avg_confidence from graded"""
+ORACLES["quality_field_stats"] = _CELLS + """
+select field, round(count(*) / (select count(*) from v1) * 100.0, 4) as presence_pct,
+  round(count_if(reason = 'ok') / (select count(*) from v1) * 100.0, 4) as valid_pct,
+  round(avg(confidence), 4) as mean_confidence
+from checked group by field"""
+
+ORACLES["pages_classified"] = r"""
+select page_id, len(regexp_extract_all(html, '<a\s'))::integer as n_links,
+  len(regexp_extract_all(html, '<article[\s>]'))::integer as n_articles,
+  len(regexp_extract_all(html, '<h1[\s>]'))::integer as n_headings,
+  case when len(regexp_extract_all(html, '<article[\s>]')) = 1 and len(regexp_extract_all(html, '<h1[\s>]')) >= 1 then 'detail'
+       when len(regexp_extract_all(html, '<article[\s>]')) >= 2 or len(regexp_extract_all(html, '<a\s')) >= 20 then 'list'
+       else 'other' end as page_type
+from pages"""
+
+ORACLES["pages_links"] = r"""
+with h as (select page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as href from pages),
+r as (select page_id,
+  case when regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*://') then href
+       when starts_with(href, '//') then regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1) || ':' || href
+       when starts_with(href, '/') then regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || href
+       when starts_with(href, '#') or href = '' then url
+       else coalesce(nullif(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/)', 1), ''),
+                     regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || '/') || href end as resolved
+  from h)
+select distinct page_id, regexp_replace(resolved, '#.*$', '') as link from r"""
+
+_AUDIT = [("placeholder", r"\[[A-Za-z][^\]\n]{0,40}\]"), ("html_comment", "<!--"),
+          ("email", EMAIL_PATTERN), ("phone", PHONE_PATTERN)]
+ORACLES["documents_audit"] = "\nunion all\n".join(
+    f"select '{name}' as issue, count_if(len(regexp_extract_all(text, '{pat}')) > 0)::bigint as documents, "
+    f"sum(len(regexp_extract_all(text, '{pat}')))::bigint as occurrences from documents"
+    for name, pat in _AUDIT)

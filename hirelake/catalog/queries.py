@@ -334,3 +334,68 @@ def saved_search_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelake.streaming.alerts import run_alert_stream
     stream, base = _postings_stream(spark, sf_dir)
     return run_alert_stream(stream, {"sample": SAMPLE_SEARCH, "city": CITY_SEARCH}, AS_OF, f"{base}/alerts")
+
+
+# ------------------------------------------------------------------ data quality (V2 records, pages, documents)
+
+def _checked(spark: SparkSession, sf_dir: str):
+    from hirelake.operators.quality import conformance, rules_table
+    records = _ingested(spark, sf_dir).select("seq", "id", "raw")
+    return records, conformance(records, rules_table(spark))
+
+
+@register("quality_conformance")
+def quality_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.quality import conformance_summary
+    _, checked = _checked(spark, sf_dir)
+    return conformance_summary(checked)
+
+
+@register("quality_grades")
+def quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.quality import grade_distribution, grades, rules_table
+    records, checked = _checked(spark, sf_dir)
+    return grade_distribution(grades(checked, records, rules_table(spark)))
+
+
+@register("quality_extraction")
+def quality_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.quality import extraction_quality, grades, rules_table
+    records, checked = _checked(spark, sf_dir)
+    return extraction_quality(grades(checked, records, rules_table(spark)))
+
+
+@register("quality_field_stats")
+def quality_field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.quality import field_statistics
+    records, checked = _checked(spark, sf_dir)
+    return field_statistics(checked, records)
+
+
+@register("pages_classified")
+def pages_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.quality import classify_pages
+    from hirelake.sources.tables import table
+    return classify_pages(table(spark, sf_dir, "pages", ["page_id", "url", "html"])).drop("url")
+
+
+@register("pages_links")
+def pages_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.quality import extract_links
+    from hirelake.sources.tables import table
+    return extract_links(table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+
+
+@register("pages_alias_fields")
+def pages_alias_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.quality import alias_fields, strip_tags
+    from hirelake.sources.tables import table
+    pages = table(spark, sf_dir, "pages", ["page_id", "html"]).select("page_id", strip_tags(F.col("html")).alias("text"))
+    return alias_fields(pages, "page_id", "text")
+
+
+@register("documents_audit")
+def documents_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.quality import audit
+    from hirelake.sources.tables import table
+    return audit(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
