@@ -62,16 +62,28 @@ def normalize_string(c: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    """Lower, punctuation to space, collapse whitespace, strip."""
-    s = F.lower(F.coalesce(c, F.lit("")))
-    s = F.regexp_replace(s, NON_WORD, " ")
-    return trim_ws(collapse_ws(s))
+    """Lower, punctuation to space, collapse whitespace, strip.
+
+    Punctuation and whitespace together are exactly the non-word characters, so
+    "punctuation -> space, then whitespace runs -> one space" is one pass that turns
+    every run of non-word characters into a single space; only plain spaces can
+    then remain at the ends.
+    """
+    s = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"[^{WORD_CHARS}]+", " ")
+    return F.trim(s)
 
 
 def normalize_company(c: Column) -> Column:
     """P10: P9, then whole-word suffix removal; inner double spaces stay."""
     s = F.regexp_replace(normalize_text(c), _whole_word(DEDUP_COMPANY_SUFFIXES), "")
-    return trim_ws(s)
+    return F.trim(s)   # P9 output holds no whitespace but plain spaces
+
+
+def first_email(c: Column) -> Column:
+    """First address matching the schema's email pattern, NULL when none
+    (the regex only runs on texts containing an '@')."""
+    m = F.regexp_extract(c, EMAIL_PATTERN, 0)
+    return F.when(c.contains("@") & (m != ""), m)
 
 
 def normalize_location(city: Column, country: Column | None = None, is_struct: Column | None = None,

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.functions.text import EMAIL_PATTERN
+from hirelake.functions.text import EMAIL_PATTERN, first_email
 from hirelake.sources.schema import conform
 from hirelake.sources.tables import table
 
@@ -40,7 +40,7 @@ def postings_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     sal_min = F.when(k % 7 != 0, F.col("p_retailprice") * 40)
     sal_max = F.when(k % 11 != 0, F.col("p_retailprice") * 60)
     company = F.concat(F.col("p_brand"), suffix)
-    email = F.regexp_extract(F.col("text"), EMAIL_PATTERN, 0)
+    email = first_email(F.col("text"))
     out = j.select(
         k.cast("bigint").alias("seq"),
         k.cast("string").alias("id"),
@@ -74,7 +74,7 @@ def postings_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 == 0, "USD").when(k % 4 == 1, "EUR").when(k % 4 == 2, "GBP").otherwise("")
         .alias("salary_currency"),
         F.when(k % 3 == 0, "annual").when(k % 3 == 1, "monthly").otherwise("hourly").alias("salary_period"),
-        F.when(email != "", email).alias("contact_email"),
+        email.alias("contact_email"),
     )
     return conform(out)
 
@@ -115,7 +115,7 @@ def text_postings_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, location = language (a scalar), description = the text, contact
     email = the first address in the text."""
     d = table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
-    email = F.regexp_extract(F.col("text"), EMAIL_PATTERN, 0)
+    email = first_email(F.col("text"))
     company = F.concat(F.split_part(F.col("text"), F.lit(" "), F.lit(1)), F.lit(" "),
                        F.split_part(F.col("text"), F.lit(" "), F.lit(2)))
     out = d.select(
@@ -133,7 +133,7 @@ def text_postings_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(False).alias("location_is_object"),
         (F.coalesce(F.length("lang"), F.lit(0)) > 0).alias("location_present"),
         F.col("text").alias("description"),
-        F.when(email != "", email).alias("contact_email"),
+        email.alias("contact_email"),
     )
     return conform(out)
 
