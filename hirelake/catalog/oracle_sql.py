@@ -452,3 +452,52 @@ ORACLES["documents_audit"] = "\nunion all\n".join(
     f"select '{name}' as issue, count_if(len(regexp_extract_all(text, '{pat}')) > 0)::bigint as documents, "
     f"sum(len(regexp_extract_all(text, '{pat}')))::bigint as occurrences from documents"
     for name, pat in _AUDIT)
+
+
+# ------------------------------------------------------------------ documented options (ours), queue, J10
+_PADDED = f"(' ' || {norm_text('description')} || ' ')"
+ORACLES["filter_skills"] = f"""with {V1},
+s as (select seq, list_filter(['the', 'and', 'of the'], lambda k: contains({_PADDED}, ' ' || k || ' ')) as m from v1)
+select seq, array_to_string(m, ',') as skills_matched, floor(len(m) / 3.0 * 100.0)::integer as skills_confidence,
+  floor(len(m) / 3.0 * 100.0) >= 70 as skills_ok from s"""
+
+_AMOUNT = "coalesce(case when salary_max <> 0 then salary_max end, case when salary_min <> 0 then salary_min end)"
+_ANNUAL = (f"case when salary_min is not null or salary_max is not null then {_AMOUNT} * (case lower(coalesce("
+           f"salary_period, 'annual')) when 'monthly' then 12 when 'hourly' then 2080 else 1 end) end")
+_TITLE = f"(' ' || {norm_text('title')} || ' ')"
+ORACLES["filter_experience_inferred"] = f"""with {V1},
+x as (select seq,
+  case when length(trim(coalesce(experience_level, ''))) > 0 then experience_level end as given,
+  case when contains({_TITLE}, ' intern ') then 'Entry Level' when contains({_TITLE}, ' trainee ') then 'Entry Level'
+       when contains({_TITLE}, ' junior ') then 'Junior' when contains({_TITLE}, ' senior ') then 'Senior'
+       when contains({_TITLE}, ' lead ') then 'Lead' when contains({_TITLE}, ' principal ') then 'Lead'
+       when contains({_TITLE}, ' head ') then 'Executive' when contains({_TITLE}, ' director ') then 'Executive' end as by_title,
+  try_cast(nullif(regexp_extract(lower(coalesce(description, '')), '(\\d{{1,2}})\\+?\\s*(?:years|jahre|ans|años)', 1), '') as integer) as yrs,
+  {_ANNUAL} as annual from v1),
+y as (select *, case when yrs >= 8 then 'Lead' when yrs >= 5 then 'Senior' when yrs >= 2 then 'Mid-Level'
+                     when yrs >= 1 then 'Junior' when yrs >= 0 then 'Entry Level' end as by_years,
+        case when annual >= 120000 then 'Lead' when annual >= 80000 then 'Senior' when annual >= 50000 then 'Mid-Level'
+             when annual >= 30000 then 'Junior' end as by_salary from x)
+select seq, coalesce(given, by_title, by_years, by_salary) as experience_inferred,
+  case when given is not null then 'given' when by_title is not null then 'title' when by_years is not null then 'years'
+       when by_salary is not null then 'salary' end as experience_source
+from y"""
+
+ORACLES["filter_relevance"] = f"""with {V1},
+w as (select seq, string_split({norm_text("concat_ws(' ', coalesce(title, ''), coalesce(description, ''))")}, ' ') as words from v1),
+t as (select seq, len(list_filter(words, lambda x: x = 'widget')) as t0, len(list_filter(words, lambda x: x = 'red')) as t1,
+        len(list_filter(words, lambda x: x = 'gear')) as t2 from w),
+d as (select count(*) as n, count_if(t0 > 0) as d0, count_if(t1 > 0) as d1, count_if(t2 > 0) as d2 from t),
+s as (select seq, (case when d0 > 0 then t0 * ln(n / d0) else 0 end) + (case when d1 > 0 then t1 * ln(n / d1) else 0 end)
+        + (case when d2 > 0 then t2 * ln(n / d2) else 0 end) as relevance from t, d)
+select seq, round(relevance, 6) as relevance from s where relevance >= 1e-12"""
+
+ORACLES["url_queue_first_n"] = r"""
+select page_id::integer as position, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title,
+  regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1) as company
+from pages order by page_id limit 20"""
+
+ORACLES["filtered_with_tracker"] = _TRK.replace(f"with {V4},", f"with {V4}, {V1}, {FLAGS[1:]},") + f""",
+s as (select seq, id, list_filter([{_MET}], lambda x: x is not null) as met from flags)
+select s.seq, s.id, floor(len(s.met) / 6 * 100)::integer as match_score, state.status as application_status
+from s left join state on state.job_id = s.id where floor(len(s.met) / 6 * 100) >= 50"""

@@ -399,3 +399,56 @@ def documents_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelake.operators.quality import audit
     from hirelake.sources.tables import table
     return audit(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
+
+
+# ------------------------------------------------------------------ documented options (ours), queue, J10
+
+SKILLS = ["the", "and", "of the"]
+RELEVANCE_QUERY = "widget red gear"
+
+
+@register("filter_skills")
+def filter_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """required-skill phrases found in the posting text (>= 70 % kept)."""
+    from hirelake.operators.relevance import required_skills
+    out = required_skills(postings_v1(spark, sf_dir), SKILLS)
+    return out.select("seq", F.concat_ws(",", "skills_matched").alias("skills_matched"), "skills_confidence",
+                      "skills_ok")
+
+
+@register("filter_experience_inferred")
+def filter_experience_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """experience level, inferred from title, years phrase or salary band when missing."""
+    from hirelake.operators.relevance import infer_experience
+    return infer_experience(postings_v1(spark, sf_dir)).select("seq", "experience_inferred", "experience_source")
+
+
+@register("filter_relevance")
+def filter_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF-IDF relevance of the query terms, postings with a positive score."""
+    from hirelake.operators.relevance import keyword_relevance
+    out = keyword_relevance(postings_v1(spark, sf_dir), RELEVANCE_QUERY, min_score=1e-12)
+    return out.select("seq", F.round("relevance", 6).alias("relevance"))
+
+
+@register("filter_keyword_similarity")
+def filter_keyword_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword test with the title-similarity option (SequenceMatcher; no SQL form)."""
+    c = flt.Criteria(keywords=["red widget", "gear"], keyword_similarity=True)
+    return flt.apply_filters(postings_v1(spark, sf_dir), c, AS_OF).select("seq", "title")
+
+
+@register("url_queue_first_n")
+def url_queue_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8/V5 + O6: the first 20 entries of the page-derived url queue."""
+    from hirelake.sources.queue import first_n, queue_from_pages
+    from hirelake.sources.tables import table
+    return first_n(queue_from_pages(table(spark, sf_dir, "pages", ["page_id", "url", "html"])), 20)
+
+
+@register("filtered_with_tracker")
+def filtered_with_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial matches (score >= 50) joined to the tracker state of V4."""
+    from hirelake.operators.tracker import with_tracker
+    matched = flt.partial_matches(postings_v1(spark, sf_dir), SAMPLE_SEARCH, AS_OF, min_score=50)
+    return with_tracker(matched, _tracker(spark, sf_dir)).select("seq", "id", "match_score", "application_status")

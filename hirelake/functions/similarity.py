@@ -61,7 +61,21 @@ def prefix_tokens(tokens: DataFrame, lengths: DataFrame, id_col: str, t: float)
     need = F.ceil(F.col("len") * F.lit(min_overlap_share(t)) - F.lit(SLACK))
     return (ranked.withColumn("rk", F.row_number().over(w))
             .where(F.col("rk") <= F.col("len") - need + 1)
-            .select(id_col, "token"))
+            .select(id_col, "token", "rk", "len"))
+
+
+def prefix_join_ok(rk_x: Column, len_x: Column, rk_y: Column, len_y: Column, t: float) -> Column:
+    """Length and positional filters on one shared prefix token (PPJoin).
+
+    With the token at rank ``rk`` in both global orders, at most ``min(rk_x, rk_y) - 1``
+    common tokens precede it and at most ``min(len_x - rk_x, len_y - rk_y)`` follow,
+    so the overlap is bounded by their sum plus one; a ratio >= t needs an overlap of
+    ``t (len_x + len_y) / 2``.
+    """
+    share = min_overlap_share(t)
+    length_ok = F.least(len_x, len_y) >= F.greatest(len_x, len_y) * F.lit(share) - F.lit(SLACK)
+    bound = F.least(rk_x, rk_y) + F.least(len_x - rk_x, len_y - rk_y)
+    return length_ok & (bound >= (len_x + len_y) * F.lit(t / 2.0) - F.lit(SLACK))
 
 
 def bag_bound_ok(tokens_a: Column, tokens_b: Column, len_a: Column, len_b: Column, t: float) -> Column:
@@ -89,7 +103,8 @@ def candidate_pairs(strings: DataFrame, t: float, allowed: DataFrame | None = No
     else:
         keys = ["token"]
     cand = (pre.alias("x").join(pre.alias("y"), keys)
-            .where(F.col("x.id") < F.col("y.id"))
+            .where((F.col("x.id") < F.col("y.id"))
+                   & prefix_join_ok(F.col("x.rk"), F.col("x.len"), F.col("y.rk"), F.col("y.len"), t))
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     bags = toks.groupBy("id").agg(F.collect_list("token").alias("toks"))  # one string's characters
     la, lb = lens.select(F.col("id").alias("a"), F.col("len").alias("la")), lens.select(

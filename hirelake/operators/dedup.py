@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from hirelake.functions.text import (composite_key, jaccard, normalize_company, normalize_location,
                                      normalize_text, nullif_empty, truthy_str, word_set)
 from hirelake.plans.sequence import assign_sequence
-from hirelake.session import cut_lineage
+from hirelake.session import cut_lineage, reuse
 
 # ---------------------------------------------------------------------------
 # Fixed values of the reference
@@ -145,7 +145,7 @@ def composite_edges(residual: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def detect_duplicates(postings: DataFrame, fuzzy: bool = False, **fuzzy_opts) -> DataFrame:
     """Duplicate edges of all stages, numbered: ``group_seq``, ``group_id`` plus EDGE_COLS."""
-    prep = cut_lineage(prepare(postings))
+    prep = reuse(prepare(postings))
     e1, marked1 = exact_url_edges(prep)
     r1 = prep.join(marked1, "seq", "left_anti")
     e2, marked2 = composite_edges(r1)
@@ -154,7 +154,7 @@ def detect_duplicates(postings: DataFrame, fuzzy: bool = False, **fuzzy_opts) ->
         from hirelake.operators.simjoin import fuzzy_edges
         r2 = r1.join(marked2, "seq", "left_anti")
         edges = edges.unionByName(fuzzy_edges(r2, **fuzzy_opts))
-    edges = cut_lineage(edges)
+    edges = reuse(edges)
     rank = F.when(F.col("strategy") == EXACT_URL, 1).when(F.col("strategy") == COMPOSITE, 2).otherwise(3)
     groups = edges.select("strategy", "order1", "order2").distinct().withColumn("srank", rank)
     groups = assign_sequence(groups, ["srank", "order1", "order2"], name="group_seq").drop("srank")
@@ -183,7 +183,7 @@ def _fold_fills(edges: DataFrame, own: DataFrame, max_rounds: int = 64) -> DataF
     e = e.join(own.withColumnRenamed("seq", "d"), "d", "left")
     for f in FILL_FIELDS:
         e = e.withColumn(f"v_{f}", F.col(f"own_{f}"))
-    e = cut_lineage(e)
+    e = reuse(e)
 
     def firsts(edges_now: DataFrame) -> DataFrame:
         aggs = [F.min(F.when(F.col(f"v_{f}").isNotNull(),

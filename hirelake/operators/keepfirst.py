@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.functions.text import fuzzy_key, nullif_empty
-from hirelake.session import cut_lineage
+from hirelake.session import cut_lineage, reuse
 
 log = logging.getLogger(__name__)
 
@@ -61,7 +61,7 @@ def _decide_round(u: DataFrame) -> DataFrame:
 def keep_first_status(keys: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, int]:
     """Decides every row of ``(seq, url_key, fuzzy_key)``; returns the decided rows
     ``(seq, url_key, fuzzy_key, state)`` and the number of rounds used."""
-    undecided = cut_lineage(keys.select("seq", "url_key", "fuzzy_key"))
+    undecided = reuse(keys.select("seq", "url_key", "fuzzy_key"))
     decided: list[DataFrame] = []
     rounds = 0
     while rounds < max_rounds:

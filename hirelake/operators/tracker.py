@@ -128,3 +128,11 @@ def failed_applications(state: DataFrame) -> DataFrame:
 def retry_list(state: DataFrame) -> DataFrame:
     """T5 (documented, ours): failed entries whose extra ``retry_possible`` is true."""
     return failed_applications(state).where(F.lower(F.col("extra")["retry_possible"]) == "true")
+
+
+def with_tracker(filtered: DataFrame, state: DataFrame) -> DataFrame:
+    """Filtered postings left-joined to their tracker entry (on ``id = job_id``)."""
+    st = state.select(F.col("job_id").alias("id"), F.col("status").alias("application_status"),
+                      F.col("directory").alias("application_directory"),
+                      F.col("created_at").alias("application_created_at"))
+    return filtered.join(st, "id", "left")

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -56,6 +57,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Keeps an intermediate result that several later steps read (memory, spilling
+    to disk). Not a lineage cut: a lost block is recomputed from its plan."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable, eager checkpoint into the shared checkpoint folder."""
     checkpoint_root(df.sparkSession)
