@@ -86,31 +86,32 @@ def bag_bound_ok(tokens_a: Column, tokens_b: Column, len_a: Column, len_b: Colum
     return length_ok & (F.lit(2.0) * overlap / (len_a + len_b) >= F.lit(t - SLACK))
 
 
-def candidate_pairs(strings: DataFrame, t: float, allowed: DataFrame | None = None) -> DataFrame:
+def token_bags(tokens: DataFrame, id_col: str) -> DataFrame:
+    """Per string, its token multiset as an array of 64-bit token hashes. A hash
+    collision can only make two tokens look equal, which loosens (never breaks) the
+    multiset bound."""
+    return tokens.groupBy(id_col).agg(F.collect_list(F.xxhash64("token")).alias("bag"))  # one string's characters
+
+
+def candidate_pairs(strings: DataFrame, t: float) -> DataFrame:
     """Unordered candidate pairs ``(a, b)`` (ids, ``a < b``) of ``strings(id, s)`` that pass
-    the prefix filter and the length / multiset bounds for threshold ``t``.
+    the prefix filter and the positional, length and multiset bounds for threshold ``t``.
 
-    ``allowed`` optionally restricts the token join to id pairs of a blocking
-    relation given as ``(id, block)`` rows: only strings sharing a block meet.
+    Only small rows (ids, token, ranks, lengths) go through the token self-join; the
+    token bags are joined to the distinct surviving pairs afterwards.
     """
     s = strings.where(F.col("s") != "")
     toks = char_tokens(s, "id", "s")
     lens = s.select("id", F.length("s").alias("len"))
     pre = prefix_tokens(toks, lens, "id", t)
-    if allowed is not None:
-        pre = pre.join(allowed, "id")
-        keys = ["token", "block"]
-    else:
-        keys = ["token"]
-    cand = (pre.alias("x").join(pre.alias("y"), keys)
-            .where((F.col("x.id") < F.col("y.id"))
-                   & prefix_join_ok(F.col("x.rk"), F.col("x.len"), F.col("y.rk"), F.col("y.len"), t))
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    bags = toks.groupBy("id").agg(F.collect_list("token").alias("toks"))  # one string's characters
-    la, lb = lens.select(F.col("id").alias("a"), F.col("len").alias("la")), lens.select(
-        F.col("id").alias("b"), F.col("len").alias("lb"))
-    return (cand.join(la, "a").join(lb, "b")
-            .join(bags.select(F.col("id").alias("a"), F.col("toks").alias("ta")), "a")
-            .join(bags.select(F.col("id").alias("b"), F.col("toks").alias("tb")), "b")
+    x, y = pre.alias("x"), pre.alias("y")
+    ok = ((F.col("x.id") < F.col("y.id"))
+          & prefix_join_ok(F.col("x.rk"), F.col("x.len"), F.col("y.rk"), F.col("y.len"), t))
+    cand = (x.join(y, "token").where(ok)
+            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"),
+                    F.col("x.len").alias("la"), F.col("y.len").alias("lb")).distinct())
+    bags = token_bags(toks, "id")
+    return (cand.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("ta")), "a")
+            .join(bags.select(F.col("id").alias("b"), F.col("bag").alias("tb")), "b")
             .where(bag_bound_ok(F.col("ta"), F.col("tb"), F.col("la"), F.col("lb"), t))
             .select("a", "b"))

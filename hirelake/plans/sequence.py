@@ -24,6 +24,8 @@ def assign_sequence(df: DataFrame, order_by: list[Column | str], name: str = "se
     cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols)
+    # checkpointed: both passes read the same stored partitions, and the returned plan
+    # starts from a short leaf instead of the whole input plan
     ranged = cut_lineage(ranged.withColumn("_pid", F.spark_partition_id())
                          .withColumn("_mid", F.monotonically_increasing_id()))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")).collect()
