@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions.text import nullif_empty
 from hirelake.plans.sequence import assign_sequence
+from hirelake.session import cut_lineage
 from hirelake.sources.schema import conform
 
 NESTED, DATA_FIELDS, API = "nested_job", "data_fields", "api_response"
@@ -261,12 +262,15 @@ def session_metadata(sessions: DataFrame, date_prefix: str = "20") -> DataFrame:
 
 def ingest(raw_rows: DataFrame, parity_company_name: bool = True) -> DataFrame:
     """Raw rows -> typed postings with ``seq`` (two-phase rank over session, file,
-    position) and ``master_id``; the raw VARIANT stays available as ``raw``."""
-    typed = project(raw_rows, parity_company_name)
+    position) and ``master_id``; the raw VARIANT stays available as ``raw``.
+
+    The projection is materialised once (checkpoint), so the range sampling and the
+    ranking read stored rows instead of re-parsing the records."""
+    typed = cut_lineage(project(raw_rows, parity_company_name))
     typed = assign_sequence(typed, ["session", "source_file", "pos"], name="seq")
-    typed = typed.withColumn("master_id", F.format_string("master_%05d", F.col("seq")))
-    typed = typed.withColumn("description", F.coalesce(F.col("flat_description"), F.col("job_description")))
-    return conform(typed).join(typed.select("seq", "shape", "source_file", "any_url", "raw"), "seq")
+    typed = (typed.withColumn("master_id", F.format_string("master_%05d", F.col("seq")))
+             .withColumn("description", F.coalesce(F.col("flat_description"), F.col("job_description"))))
+    return conform(typed, extra=["shape", "source_file", "any_url", "raw"])
 
 
 def session_stats(raw_rows: DataFrame, sessions: DataFrame) -> DataFrame:

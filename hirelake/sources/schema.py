@@ -52,8 +52,9 @@ POSTING_COLUMNS: list[tuple[str, str]] = [
 ]
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """Selects the posting columns in order, adding missing ones as typed NULLs."""
+def conform(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Selects the posting columns in order, adding missing ones as typed NULLs
+    (plus the ``extra`` columns as they are)."""
     have = set(df.columns)
     cols = [(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in POSTING_COLUMNS]
-    return df.select(*cols)
+    return df.select(*cols, *(extra or []))
