@@ -86,6 +86,14 @@ def first_email(c: Column) -> Column:
     return F.when(c.contains("@") & (m != ""), m)
 
 
+def parse_schema_date(c: Column) -> Column:
+    """A value matching the schema's date pattern, as a DATE (ISO first, then day/month/year)."""
+    iso = F.regexp_extract(c, r"\d{4}-\d{2}-\d{2}", 0)
+    dmy = F.regexp_extract(c, r"\d{1,2}/\d{1,2}/\d{4}", 0)
+    return F.coalesce(F.try_to_date(F.when(iso != "", iso), "yyyy-MM-dd"),
+                      F.try_to_date(F.when(dmy != "", dmy), "d/M/yyyy"))
+
+
 def normalize_location(city: Column, country: Column | None = None, is_struct: Column | None = None,
                        scalar: Column | None = None) -> Column:
     """A location object gives P9(city + ' ' + country); a scalar gives P9(scalar)."""

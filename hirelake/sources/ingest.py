@@ -222,6 +222,7 @@ def project(raw_rows: DataFrame, parity_company_name: bool = True) -> DataFrame:
         flat_or_root("requirements", lambda p: _str_array(raw, p)).alias("requirements"),
         flat_or_root("benefits", lambda p: _str_array(raw, p)).alias("benefits"),
         flat_or_root("responsibilities", lambda p: _str_array(raw, p)).alias("responsibilities"),
+        F.when(_is_obj(raw, "$.data"), _v(raw, "$.metadata")).alias("extraction_metadata"),
     )
     return out
 
@@ -270,7 +271,7 @@ def ingest(raw_rows: DataFrame, parity_company_name: bool = True) -> DataFrame:
     typed = assign_sequence(typed, ["session", "source_file", "pos"], name="seq")
     typed = (typed.withColumn("master_id", F.format_string("master_%05d", F.col("seq")))
              .withColumn("description", F.coalesce(F.col("flat_description"), F.col("job_description"))))
-    return conform(typed, extra=["shape", "source_file", "any_url", "raw"])
+    return conform(typed, extra=["shape", "source_file", "any_url", "extraction_metadata", "raw"])
 
 
 def session_stats(raw_rows: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -64,3 +64,41 @@ def test_progress_summary(spark):
     got = {r["metric"]: (r["value"], r["share_pct"]) for r in progress_summary(state).collect()}
     assert got == {"successful": (2, 50.0), "failed": (1, 25.0)}
     assert flt.Criteria().total == 0 and isinstance(datetime.now(), datetime)
+
+
+def test_parse_schema_date(spark):
+    from pyspark.sql import functions as F
+
+    from hirelake.functions.text import parse_schema_date
+    df = spark.createDataFrame([("2025-11-20",), ("posted 20/11/2025",), ("1/2/2025",), ("soon",), (None,)], "s string")
+    got = [r[0] for r in df.select(parse_schema_date(F.col("s")).cast("string")).collect()]
+    assert got == ["2025-11-20", "2025-11-20", "2025-02-01", None, None]
+
+
+def test_session_lifecycle(spark):
+    from datetime import datetime as dt
+
+    from hirelake.operators.tracker import session_lifecycle, tracker_state
+    ev = spark.createDataFrame([
+        ("p", 1, dt(2025, 11, 22, 9), "session_open", None, None, None, None, None,
+         {"source_filter": "filter_1", "total_jobs": "2"}),
+        ("p", 2, dt(2025, 11, 22, 10), "add", "j1", "C", "T", "in_progress", "d", None),
+        ("p", 3, dt(2025, 11, 22, 11), "session_close", None, None, None, None, None, None),
+        ("p", 4, dt(2025, 11, 23, 9), "session_open", None, None, None, None, None, {"total_jobs": "1"}),
+        ("p", 5, dt(2025, 11, 23, 10), "add", "j2", "C", "T", "in_progress", "d", None)],
+        "session string, seq bigint, ts timestamp, kind string, job_id string, company string, title string, "
+        "status string, directory string, extra map<string,string>")
+    life = session_lifecycle(ev).first()
+    assert (life["started_at"], life["completed_at"], life["total_jobs"]) == (dt(2025, 11, 23, 9), None, 1)
+    assert [r["job_id"] for r in tracker_state(ev).collect()] == ["j2"]   # reopening resets the session
+
+
+def test_sequence_plan_has_no_single_partition_window(spark):
+    from hirelake.plans.sequence import assign_sequence
+    df = spark.range(0, 1000).selectExpr("id * 7 % 1000 as k")
+    out = assign_sequence(df, ["k"], name="seq")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+    rows = out.collect()
+    assert sorted(r["seq"] for r in rows) == list(range(1, 1001))
+    assert all(r["seq"] == r["k"] + 1 for r in rows)
