@@ -49,21 +49,30 @@ def char_tokens(strings: DataFrame, id_col: str, text_col: str) -> DataFrame:
                                             F.row_number().over(w).cast("string")).alias("token"))
 
 
-def prefix_tokens(tokens: DataFrame, lengths: DataFrame, id_col: str, t: float) -> DataFrame:
-    """Prefix filter: per string, its ``L - ceil(t/(2-t) L) + 1`` globally rarest tokens.
+def prefix_tokens(tokens: DataFrame, lengths: DataFrame, id_col: str, t: float, share: float | None = None) -> DataFrame:
+    """Prefix filter: per string, its ``L - ceil(share * L) + 1`` globally rarest tokens
+    (``share`` defaults to ``t/(2-t)``), with rank ``rk`` and length ``len``.
 
     Two strings with ratio >= t share at least one token of their prefixes
     (prefix filtering with a global order; the order is (document frequency, token)).
+    With the pair oriented shorter -> longer, the shorter string's prefix may use
+    ``share = t`` (its overlap must reach t * len), the longer one keeps ``t/(2-t)``.
     """
     freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = tokens.join(freq, "token").join(lengths, id_col)
     w = Window.partitionBy(id_col).orderBy("df", "token")  # bounded by one string's length
-    need = F.ceil(F.col("len") * F.lit(min_overlap_share(t)) - F.lit(SLACK))
+    need = F.ceil(F.col("len") * F.lit(min_overlap_share(t) if share is None else share) - F.lit(SLACK))
     return (ranked.withColumn("rk", F.row_number().over(w))
             .where(F.col("rk") <= F.col("len") - need + 1)
             .select(id_col, "token", "rk", "len"))
 
 
+def shorter_first(len_x: Column, key_x: Column, len_y: Column, key_y: Column) -> Column:
+    """Orientation of a pair for the two-prefix join: x is the shorter string
+    (equal lengths: the smaller key)."""
+    return (len_x < len_y) | ((len_x == len_y) & (key_x < key_y))
+
+
 def prefix_join_ok(rk_x: Column, len_x: Column, rk_y: Column, len_y: Column, t: float) -> Column:
     """Length and positional filters on one shared prefix token (PPJoin).
 
@@ -97,21 +106,22 @@ def candidate_pairs(strings: DataFrame, t: float) -> DataFrame:
     """Unordered candidate pairs ``(a, b)`` (ids, ``a < b``) of ``strings(id, s)`` that pass
     the prefix filter and the positional, length and multiset bounds for threshold ``t``.
 
-    Only small rows (ids, token, ranks, lengths) go through the token self-join; the
-    token bags are joined to the distinct surviving pairs afterwards.
+    Only small rows (ids, token, ranks, lengths) go through the token join -- the
+    shorter string's short prefix against the longer string's prefix; the token bags
+    are joined to the distinct surviving pairs afterwards.
     """
     s = strings.where(F.col("s") != "")
     toks = char_tokens(s, "id", "s")
     lens = s.select("id", F.length("s").alias("len"))
-    pre = prefix_tokens(toks, lens, "id", t)
-    x, y = pre.alias("x"), pre.alias("y")
-    ok = ((F.col("x.id") < F.col("y.id"))
+    short = prefix_tokens(toks, lens, "id", t, share=t)
+    long_ = prefix_tokens(toks, lens, "id", t)
+    x, y = short.alias("x"), long_.alias("y")
+    ok = (shorter_first(F.col("x.len"), F.col("x.id"), F.col("y.len"), F.col("y.id"))
           & prefix_join_ok(F.col("x.rk"), F.col("x.len"), F.col("y.rk"), F.col("y.len"), t))
     cand = (x.join(y, "token").where(ok)
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"),
-                    F.col("x.len").alias("la"), F.col("y.len").alias("lb")).distinct())
-    bags = token_bags(toks, "id")
-    return (cand.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("ta")), "a")
-            .join(bags.select(F.col("id").alias("b"), F.col("bag").alias("tb")), "b")
+            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    bags = token_bags(toks, "id").join(lens, "id")
+    return (cand.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("ta"), F.col("len").alias("la")), "a")
+            .join(bags.select(F.col("id").alias("b"), F.col("bag").alias("tb"), F.col("len").alias("lb")), "b")
             .where(bag_bound_ok(F.col("ta"), F.col("tb"), F.col("la"), F.col("lb"), t))
             .select("a", "b"))

@@ -82,3 +82,18 @@ def test_plan_has_no_cartesian(spark):
     postings = text_postings_v3(spark, SF0001)
     plan = fuzzy_matches(dedup.prepare(postings))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_similar_pairs_lossless_random(spark):
+    """Random short strings over a small alphabet (the hard case for prefix filters)."""
+    import random
+    from difflib import SequenceMatcher
+    rnd = random.Random(7)
+    words = sorted({"".join(rnd.choice("aabcde ") for _ in range(rnd.randint(1, 14))).strip() or "a"
+                    for _ in range(220)})
+    df = spark.createDataFrame([(w,) for w in words], "s string")
+    for t in (0.8, 0.75):
+        got = {(r["a"], r["b"]) for r in similar_string_pairs(df, t).collect() if max(r["r_ab"], r["r_ba"]) >= t}
+        want = {(a, b) for i, a in enumerate(words) for b in words[i + 1:]
+                if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= t}
+        assert got == want, (t, len(got), len(want))
