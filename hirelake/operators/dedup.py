@@ -327,17 +327,13 @@ def dedup_summary(postings: DataFrame, merged: dict[str, DataFrame]) -> DataFram
 
 def strategy_stats(postings: DataFrame, merged: dict[str, DataFrame]) -> DataFrame:
     """Duplicates matched, mean group confidence and share of removed postings per strategy."""
-    removed = _counts(t=postings, u=merged["unique"]).select((F.col("t") - F.col("u")).alias("removed"),
-                                                           F.lit(1).alias("_k"))
-    per = (merged["groups"].groupBy("strategy").agg(F.sum("duplicate_count").alias("matches"),
-                                                    F.avg("confidence").alias("avg_conf"))
-           .withColumn("_k", F.lit(1)))
-    # the right side is one row: a broadcast hash join on a constant key
-    return per.join(F.broadcast(removed), "_k").select(
-        "strategy", F.col("matches").cast("bigint").alias("matches"),
-        F.round(F.col("avg_conf"), 4).alias("avg_confidence"),
-        F.when(F.col("removed") > 0, F.round(F.col("matches") / F.col("removed") * 100.0, 4))
-        .otherwise(F.lit(0.0)).alias("pct_of_duplicates"))
+    c = _counts(t=postings, u=merged["unique"]).first()     # two numbers
+    removed = c["t"] - c["u"]
+    per = merged["groups"].groupBy("strategy").agg(F.sum("duplicate_count").alias("matches"),
+                                                   F.avg("confidence").alias("avg_conf"))
+    pct = F.round(F.col("matches") / F.lit(float(removed)) * 100.0, 4) if removed > 0 else F.lit(0.0)
+    return per.select("strategy", F.col("matches").cast("bigint").alias("matches"),
+                      F.round(F.col("avg_conf"), 4).alias("avg_confidence"), pct.alias("pct_of_duplicates"))
 
 
 def _coverage_cols(df: DataFrame) -> list[Column]:

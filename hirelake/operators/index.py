@@ -77,9 +77,12 @@ def original_to_master(master: DataFrame) -> DataFrame:
 
 
 def master_totals(session_stats: DataFrame, master: DataFrame) -> DataFrame:
-    """A3: successful sessions, total postings, earliest / latest session date (non-null)."""
-    s = session_stats.agg(F.count_if(F.col("status") == "success").alias("sessions_consolidated"),
-                          F.min("session_date").alias("earliest"), F.max("session_date").alias("latest"),
-                          F.lit(1).alias("_k"))
-    m = master.agg(F.count(F.lit(1)).alias("total_jobs"), F.lit(1).alias("_k"))
-    return s.join(m, "_k").drop("_k")   # two one-row aggregates
+    """A3: successful sessions, total postings, earliest / latest session date (non-null);
+    one aggregate over the union of both inputs (no join)."""
+    s = session_stats.select(F.lit("s").alias("_src"), "status", "session_date")
+    m = master.select(F.lit("m").alias("_src"), F.lit(None).cast("string").alias("status"),
+                      F.lit(None).cast("string").alias("session_date"))
+    return s.unionByName(m).agg(
+        F.count_if((F.col("_src") == "s") & (F.col("status") == "success")).alias("sessions_consolidated"),
+        F.min("session_date").alias("earliest"), F.max("session_date").alias("latest"),
+        F.count_if(F.col("_src") == "m").alias("total_jobs"))

@@ -159,13 +159,12 @@ def extraction_quality(graded: DataFrame) -> DataFrame:
 
 def field_statistics(checked: DataFrame, records: DataFrame) -> DataFrame:
     """Per field, presence share, valid share and mean confidence (percent of postings)."""
-    n = records.agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("_k"))
+    n = float(records.count())   # one number
     per = checked.groupBy("field").agg(F.count(F.lit(1)).alias("present"), F.count_if("valid").alias("valid"),
-                                       F.avg("confidence").alias("mean_confidence")).withColumn("_k", F.lit(1))
-    return per.join(F.broadcast(n), "_k").select(
-        "field", F.round(F.col("present") / F.col("n") * 100.0, 4).alias("presence_pct"),
-        F.round(F.col("valid") / F.col("n") * 100.0, 4).alias("valid_pct"),
-        F.round("mean_confidence", 4).alias("mean_confidence"))
+                                       F.avg("confidence").alias("mean_confidence"))
+    share = (lambda c: F.round(F.col(c) / F.lit(n) * 100.0, 4)) if n > 0 else (lambda c: F.lit(None).cast("double"))
+    return per.select("field", share("present").alias("presence_pct"), share("valid").alias("valid_pct"),
+                      F.round("mean_confidence", 4).alias("mean_confidence"))
 
 
 # ------------------------------------------------------------------ pages and documents

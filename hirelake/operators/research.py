@@ -56,10 +56,9 @@ def progress_summary(state: DataFrame, research: DataFrame | None = None) -> Dat
     out = out.select("m.*")
     if research is not None:
         q = research_quality(research).groupBy("research_quality").agg(F.count(F.lit(1)).alias("value"))
-        tot = q.agg(F.sum("value").alias("t")).withColumn("_k", F.lit(1))
-        q = q.withColumn("_k", F.lit(1)).join(F.broadcast(tot), "_k").select(
-            F.concat(F.lit("research_"), F.col("research_quality")).alias("metric"), "value",
-            F.round(F.col("value") / F.col("t") * 100, 2).alias("share_pct"))
+        t = research.count()   # one number
+        q = q.select(F.concat(F.lit("research_"), F.col("research_quality")).alias("metric"), "value",
+                     F.round(F.col("value") / F.lit(float(max(t, 1))) * 100, 2).alias("share_pct"))
         out = out.unionByName(q)
     return out
 

@@ -95,15 +95,20 @@ def tracker_state(events: DataFrame) -> DataFrame:
 
 def session_statistics(state: DataFrame, sessions: DataFrame) -> DataFrame:
     """A14 + A15: counters per session and completion rate = round(successful / total_jobs x 100, 2),
-    0.0 when total_jobs is 0. ``sessions`` gives ``(session, total_jobs)``."""
-    c = state.groupBy("session").agg(F.count_if(F.col("status") == COMPLETED).alias("successful"),
-                                     F.count_if(F.col("status") == FAILED).alias("failed"),
-                                     F.count_if(F.col("status") == IN_PROGRESS).alias("in_progress"))
-    out = sessions.join(c, "session", "left").fillna(0, ["successful", "failed", "in_progress"])
+    0.0 when total_jobs is 0. ``sessions`` gives ``(session, total_jobs)``; one group-by over
+    the union of both inputs, sessions without entries included."""
+    a = sessions.select("session", F.col("total_jobs").cast("bigint").alias("total_jobs"),
+                        F.lit(None).cast("string").alias("status"), F.lit(True).alias("_listed"))
+    b = state.select("session", F.lit(None).cast("bigint").alias("total_jobs"), "status",
+                     F.lit(False).alias("_listed"))
+    out = a.unionByName(b).groupBy("session").agg(
+        F.max("total_jobs").alias("total_jobs"), F.max("_listed").alias("_listed"),
+        F.count_if(F.col("status") == COMPLETED).alias("successful"),
+        F.count_if(F.col("status") == FAILED).alias("failed"),
+        F.count_if(F.col("status") == IN_PROGRESS).alias("in_progress")).where(F.col("_listed"))
     rate = F.when(F.col("total_jobs") > 0, F.bround(F.col("successful") / F.col("total_jobs") * 100.0, 2)) \
         .otherwise(F.lit(0.0))
-    return out.select("session", F.col("total_jobs").cast("bigint").alias("total_jobs"), "successful", "failed",
-                      "in_progress", rate.alias("completion_rate"))
+    return out.select("session", "total_jobs", "successful", "failed", "in_progress", rate.alias("completion_rate"))
 
 
 def session_lifecycle(events: DataFrame) -> DataFrame:
