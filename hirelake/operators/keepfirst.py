@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.functions.text import fuzzy_key, nullif_empty
+from hirelake.plans import left_join_nonnull
 from hirelake.session import cut_lineage, reuse
 
 log = logging.getLogger(__name__)
@@ -52,7 +53,7 @@ def _decide_round(u: DataFrame) -> DataFrame:
     kept = flagged.where("_kept")
     kept_u = kept.where(F.col("url_key").isNotNull()).select("url_key", F.lit(True).alias("_hit_u"))
     kept_k = kept.where(F.col("fuzzy_key").isNotNull()).select("fuzzy_key", F.lit(True).alias("_hit_k"))
-    out = flagged.join(kept_u, "url_key", "left").join(kept_k, "fuzzy_key", "left")
+    out = left_join_nonnull(left_join_nonnull(flagged, kept_u, "url_key"), kept_k, "fuzzy_key")
     state = (F.when(F.col("_kept"), F.lit(UNIQUE))
              .when(F.col("_hit_u").isNotNull() | F.col("_hit_k").isNotNull(), F.lit(DUPLICATE)))
     return out.select("seq", "url_key", "fuzzy_key", state.alias("state"))
@@ -93,7 +94,7 @@ def keep_first(postings: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     status, _ = keep_first_status(keyed.select("seq", "url_key", "fuzzy_key"), max_rounds)
     kept_url = (status.where((F.col("state") == UNIQUE) & F.col("url_key").isNotNull())
                 .select("url_key", F.col("seq").alias("_kept_seq")))
-    reasoned = (status.join(kept_url, "url_key", "left")
+    reasoned = (left_join_nonnull(status, kept_url, "url_key")
                 .select("seq", "state",
                         F.when(F.col("state") == UNIQUE, F.lit(None).cast("string"))
                         .when(F.col("_kept_seq") < F.col("seq"), F.lit(EXACT_URL))

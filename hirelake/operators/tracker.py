@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hirelake.plans import broadcast_if_small, left_join_nonnull
+
 COMPLETED, FAILED, IN_PROGRESS = "completed", "failed", "in_progress"
 
 PARTIAL_COLS = ["session", "job_id", "last_add", "last_status", "last_update"]
@@ -32,7 +34,9 @@ def _since_open(events: DataFrame) -> DataFrame:
     """Drops events of a session that precede its last ``session_open`` (a reset)."""
     opens = (events.where(F.col("kind") == "session_open").groupBy("session")
              .agg(F.max("seq").alias("_open_seq")))
-    return (events.join(opens, "session", "left")
+    # one row per session: few distinct keys would put whole sessions into single
+    # tasks of a shuffle join, so the (size-checked) table is broadcast
+    return (events.join(broadcast_if_small(opens), "session", "left")
             .where(F.col("_open_seq").isNull() | (F.col("seq") > F.col("_open_seq"))).drop("_open_seq"))
 
 
@@ -140,4 +144,4 @@ def with_tracker(filtered: DataFrame, state: DataFrame) -> DataFrame:
     st = state.select(F.col("job_id").alias("id"), F.col("status").alias("application_status"),
                       F.col("directory").alias("application_directory"),
                       F.col("created_at").alias("application_created_at"))
-    return filtered.join(st, "id", "left")
+    return left_join_nonnull(filtered, st, "id")

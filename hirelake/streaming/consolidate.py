@@ -15,6 +15,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hirelake.plans import left_join_nonnull
 from hirelake.operators.keepfirst import DUPLICATE, EXACT_URL, FUZZY_MATCH, UNIQUE, keep_first_status, with_keys
 
 
@@ -37,7 +38,7 @@ def decide_batch(batch: DataFrame, kept_state: DataFrame | None) -> DataFrame:
     if kept_state is not None:
         ku = kept_state.where(F.col("kind") == "url").select(F.col("key").alias("url_key"), F.lit(True).alias("_su"))
         kk = kept_state.where(F.col("kind") == "key").select(F.col("key").alias("fuzzy_key"), F.lit(True).alias("_sk"))
-        rows = rows.join(ku, "url_key", "left").join(kk, "fuzzy_key", "left")
+        rows = left_join_nonnull(left_join_nonnull(rows, ku, "url_key"), kk, "fuzzy_key")
     else:
         rows = rows.withColumn("_su", F.lit(None).cast("boolean")).withColumn("_sk", F.lit(None).cast("boolean"))
     pre = rows.where(F.col("_su").isNotNull() | F.col("_sk").isNotNull())
@@ -45,14 +46,14 @@ def decide_batch(batch: DataFrame, kept_state: DataFrame | None) -> DataFrame:
     status, _ = keep_first_status(rest)
     kept_url = (status.where((F.col("state") == UNIQUE) & F.col("url_key").isNotNull())
                 .select("url_key", F.col("seq").alias("_kseq")))
-    decided = (status.join(kept_url, "url_key", "left")
+    decided = (left_join_nonnull(status, kept_url, "url_key")
                .select("seq", "url_key", "fuzzy_key", F.col("state").alias("status"),
                        F.when(F.col("state") == UNIQUE, F.lit(None).cast("string"))
                        .when(F.col("_kseq") < F.col("seq"), F.lit(EXACT_URL)).otherwise(F.lit(FUZZY_MATCH))
                        .alias("duplicate_reason")))
     # a pre-decided row is an exact-url duplicate if its url was kept earlier, in an
     # earlier batch or by a lower seq of this one
-    pre_d = pre.join(kept_url, "url_key", "left").select(
+    pre_d = left_join_nonnull(pre, kept_url, "url_key").select(
         "seq", "url_key", "fuzzy_key", F.lit(DUPLICATE).alias("status"),
         F.when(F.col("_su").isNotNull() | (F.col("_kseq") < F.col("seq")), F.lit(EXACT_URL))
         .otherwise(F.lit(FUZZY_MATCH)).alias("duplicate_reason"))
