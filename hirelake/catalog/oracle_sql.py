@@ -501,3 +501,13 @@ ORACLES["filtered_with_tracker"] = _TRK.replace(f"with {V4},", f"with {V4}, {V1}
 s as (select seq, id, list_filter([{_MET}], lambda x: x is not null) as met from flags)
 select s.seq, s.id, floor(len(s.met) / 6 * 100)::integer as match_score, state.status as application_status
 from s left join state on state.job_id = s.id where floor(len(s.met) / 6 * 100) >= 50"""
+
+ORACLES["filter_missing_fields"] = f"""with {V1}
+select seq, array_to_string(list_filter([
+  case when job_type is null then 'job_type' end,
+  case when experience_level is null then 'experience_level' end,
+  case when remote_policy is null then 'remote_policy' end,
+  case when posted_date is null then 'posted_date' end,
+  case when title is null then 'title' end,
+  case when salary_min is null and salary_max is null then 'salary' end], lambda x: x is not null), ',') as missing_fields
+from v1"""

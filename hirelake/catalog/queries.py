@@ -452,3 +452,10 @@ def filtered_with_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelake.operators.tracker import with_tracker
     matched = flt.partial_matches(postings_v1(spark, sf_dir), SAMPLE_SEARCH, AS_OF, min_score=50)
     return with_tracker(matched, _tracker(spark, sf_dir)).select("seq", "id", "match_score", "application_status")
+
+
+@register("filter_missing_fields")
+def filter_missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """per posting, the fields an active criterion of the sample search needed but it lacks."""
+    out = flt.missing_fields(postings_v1(spark, sf_dir), SAMPLE_SEARCH)
+    return out.select("seq", F.concat_ws(",", "missing_fields").alias("missing_fields"))
