@@ -281,3 +281,14 @@ def session_stats(raw_rows: DataFrame, sessions: DataFrame) -> DataFrame:
     out = session_metadata(sessions).join(counts, "session", "left")
     return out.select("*", F.when(F.col("jobs_contributed").isNull(), F.lit("no_jobs_directory"))
                       .otherwise(F.lit("success")).alias("status")).fillna(0, ["jobs_contributed"])
+
+
+def session_structure(raw_rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """A1 structure type per listed session: ``api_response`` (array file), ``jobs_directory``
+    (one file per posting) or ``unknown`` (no readable files), with the postings count."""
+    per = raw_rows.groupBy("session").agg(F.count(F.lit(1)).alias("jobs_count"),
+                                          F.max(F.col("from_api").cast("int")).alias("_api"))
+    out = sessions.join(per, "session", "left")
+    return out.select("session", F.coalesce("jobs_count", F.lit(0)).alias("jobs_count"),
+                      F.when(F.col("_api") == 1, "api_response").when(F.col("_api") == 0, "jobs_directory")
+                      .otherwise("unknown").alias("structure_type"))

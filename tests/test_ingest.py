@@ -85,3 +85,31 @@ def test_ingest_plan_is_one_scan_stage(spark):
     plan = project(raw).select("id", "title")._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
     assert F is not None
+
+
+def test_session_stats_and_structure(spark):
+    from hirelake.sources.ingest import session_stats, session_structure
+    root = _fixture()
+    raw, _ = read_sessions(spark, root)
+    listed = spark.createDataFrame([(n,) for n in sorted(os.listdir(root))], "session string")
+    st = {r["session"]: (r["jobs_count"], r["structure_type"]) for r in session_structure(raw, listed).collect()}
+    assert st == {"data_analyst_session_scrape_20251121_123159": (2, "api_response"),
+                  "session_empty_20251122_000000": (0, "unknown"),
+                  "session_scrape_20251120_184825": (2, "jobs_directory")}
+    stats = {r["session"]: (r["jobs_contributed"], r["status"], r["session_type"])
+             for r in session_stats(raw, listed).collect()}
+    assert stats["session_empty_20251122_000000"] == (0, "no_jobs_directory", "general_search")
+    assert stats["data_analyst_session_scrape_20251121_123159"] == (2, "success", "filtered_search_data_analyst")
+
+
+def test_writers_csv_skip_and_compact_index(spark):
+    import tempfile as tf
+
+    from hirelake.operators.index import compact_index
+    from hirelake.sinks.writers import write_csv
+    empty = spark.createDataFrame([], "id string, url string, title string, company string, location string, "
+                                      "session string, extra string")
+    assert write_csv(empty, tf.mkdtemp(prefix="hirelake-csv-") + "/out") is False
+    entries = spark.createDataFrame([("by_company", "acme", 2, "m2"), ("by_company", "acme", 1, "m1")],
+                                    "index_name string, key string, seq bigint, master_id string")
+    assert compact_index(entries).first()["master_ids"] == ["m1", "m2"]
