@@ -32,7 +32,6 @@ from hirelake.session import cut_lineage, reuse
 # Fixed values of the reference
 # ---------------------------------------------------------------------------
 EXACT_URL, COMPOSITE, FUZZY = "exact_url", "normalized_composite", "fuzzy_match"
-STRATEGY_RANK = {EXACT_URL: 1, COMPOSITE: 2, FUZZY: 3}
 EXACT_URL_CONFIDENCE = 99
 COMPOSITE_BASE, COMPOSITE_SPAN = 85, 10
 MERGE_THRESHOLD = 85
@@ -92,11 +91,6 @@ def _canon(df: DataFrame) -> Column:
                           F.col("master_id").alias("master_id"))).alias("canon")
 
 
-EDGE_COLS = ["strategy", "order1", "order2", "confidence", "canonical_seq", "canonical_id",
-             "dup_seq", "dup_id", "dup_session", "description_similarity",
-             "sim_company", "sim_title", "sim_location"]
-
-
 def _edge(df: DataFrame, strategy: str, order1: Column, order2: Column, confidence: Column,
           canonical_seq: Column, canonical_id: Column, desc_sim: Column | None = None,
           sims: tuple[Column, Column, Column] | None = None) -> DataFrame:
@@ -144,7 +138,8 @@ def composite_edges(residual: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def detect_duplicates(postings: DataFrame, fuzzy: bool = False, **fuzzy_opts) -> DataFrame:
-    """Duplicate edges of all stages, numbered: ``group_seq``, ``group_id`` plus EDGE_COLS."""
+    """Duplicate edges of all stages (one row per group and duplicate), numbered with
+    ``group_seq`` / ``group_id`` in the order the sequential algorithm emits groups."""
     prep = reuse(prepare(postings))
     e1, marked1 = exact_url_edges(prep)
     r1 = prep.join(marked1, "seq", "left_anti")

@@ -27,9 +27,6 @@ from hirelake.plans import broadcast_if_small, left_join_nonnull
 
 COMPLETED, FAILED, IN_PROGRESS = "completed", "failed", "in_progress"
 
-PARTIAL_COLS = ["session", "job_id", "last_add", "last_status", "last_update"]
-
-
 def _since_open(events: DataFrame) -> DataFrame:
     """Drops events of a session that precede its last ``session_open`` (a reset)."""
     opens = (events.where(F.col("kind") == "session_open").groupBy("session")

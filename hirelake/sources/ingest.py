@@ -18,6 +18,7 @@ one object per file or per line parallelise fully.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,14 +38,22 @@ URL_FIELDS = ["url", "source_url", "applicationUrl", "job_url", "link"]
 
 # ------------------------------------------------------------------ reading
 
+def _read_whole(spark: SparkSession, pattern: str) -> DataFrame | None:
+    """Whole files matching ``pattern`` with their path; None when nothing matches."""
+    try:
+        df = spark.read.text(pattern, wholetext=True)
+        df.schema  # resolves the glob
+    except AnalysisException:
+        return None
+    return df.select(F.col("_metadata.file_path").alias("path"), "value")
+
+
 def read_sessions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Raw rows ``(session, source_file, pos, from_api, value STRING, raw VARIANT)``
-    and rejects ``(session, source_file, error)``."""
+    """Raw rows ``(session, source_file, pos, from_api, raw VARIANT)`` and rejects
+    ``(session, source_file, error)``."""
     root = root.rstrip("/")
-    api = (spark.read.text(f"{root}/*session*/api_response_all.json", wholetext=True)
-           .select(F.col("_metadata.file_path").alias("path"), "value")) if _exists(spark, f"{root}/*session*/api_response_all.json") else None
-    jobs = (spark.read.text(f"{root}/*session*/jobs/*.json", wholetext=True)
-            .select(F.col("_metadata.file_path").alias("path"), "value")) if _exists(spark, f"{root}/*session*/jobs/*.json") else None
+    api = _read_whole(spark, f"{root}/*session*/api_response_all.json")
+    jobs = _read_whole(spark, f"{root}/*session*/jobs/*.json")
     session_of = F.regexp_extract(F.col("path"), r"/([^/]*session[^/]*)/(?:jobs/[^/]*|api_response_all\.json)$", 1)
     file_of = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
     parts, rejects = [], []
@@ -77,15 +86,6 @@ def read_sessions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
     return out, rej
 
 
-def _exists(spark: SparkSession, pattern: str) -> bool:
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = path.getFileSystem(conf)
-    found = fs.globStatus(path)
-    return found is not None and len(found) > 0
-
-
 def raw_from_strings(df: DataFrame, value_col: str = "value") -> DataFrame:
     """Raw rows from a DataFrame of JSON strings (``session``, ``source_file``, ``pos`` given)."""
     return df.select("session", "source_file", F.col("pos").cast("int").alias("pos"),
