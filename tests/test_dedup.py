@@ -97,3 +97,56 @@ def test_similar_pairs_lossless_random(spark):
         want = {(a, b) for i, a in enumerate(words) for b in words[i + 1:]
                 if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= t}
         assert got == want, (t, len(got), len(want))
+
+
+def _sequential_merge(jobs, groups, threshold=85):
+    """Direct form of the documented merge: groups in order, fields filled on mutated rows."""
+    import copy
+    job = {j["seq"]: copy.deepcopy(j) for j in jobs}
+    removed = set()
+    for g in groups:
+        if g["confidence"] < threshold:
+            continue
+        canon = job[g["canonical"]]
+        for d in g["dups"]:
+            dj = job[d]
+            for f in ("salary", "contactEmail"):
+                if dj.get(f) and not canon.get(f):
+                    canon[f] = dj[f]
+                    canon[f + "_source"] = dj["session"]
+            removed.add(d)
+    return {s: j for s, j in job.items() if s not in removed}
+
+
+def test_merge_chain_fold_equals_sequential(spark):
+    import random
+
+    from hirelake.sources.schema import conform
+    rnd = random.Random(3)
+    for trial in range(3):
+        n = 14
+        jobs = [{"seq": i, "session": f"s{i % 3}", "master_id": f"m{i}",
+                 "contactEmail": (f"e{i}@x.at" if rnd.random() < 0.3 else None),
+                 "salary": (float(1000 + i) if rnd.random() < 0.3 else None)} for i in range(n)]
+        groups = []
+        for g in range(10):   # random edges, chains allowed (a canonical may be a later duplicate)
+            c, d = rnd.sample(range(n), 2)
+            groups.append({"canonical": c, "dups": [d], "confidence": rnd.choice([80, 90, 99])})
+        want = _sequential_merge(jobs, groups)
+        postings = conform(spark.createDataFrame(
+            [(j["seq"], j["master_id"], j["session"], j["contactEmail"], j["salary"] is not None, j["salary"])
+             for j in jobs], "seq bigint, master_id string, session string, contact_email string, "
+                             "salary_present boolean, salary_min double"))
+        edges = spark.createDataFrame(
+            [(k + 1, f"dup_{k + 1:03d}", "fuzzy_match", g["confidence"], g["canonical"], f"m{g['canonical']}", d,
+              f"m{d}", f"s{d % 3}") for k, g in enumerate(groups) for d in g["dups"]],
+            "group_seq bigint, group_id string, strategy string, confidence int, canonical_seq bigint, "
+            "canonical_id string, dup_seq bigint, dup_id string, dup_session string")
+        got = {r["seq"]: r for r in dedup.merge_duplicates(postings, edges)["unique"].collect()}
+        assert set(got) == set(want), trial
+        for s, j in want.items():
+            r = got[s]
+            assert r["contact_email"] == j.get("contactEmail"), (trial, s)
+            assert r["contact_email_source"] == j.get("contactEmail_source"), (trial, s)
+            assert r["salary_min"] == j.get("salary"), (trial, s)
+            assert r["salary_source"] == j.get("salary_source"), (trial, s)
