@@ -15,7 +15,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 SLACK = 1e-9
 
@@ -32,6 +32,20 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+@F.pandas_udf(StructType([StructField("ab", DoubleType()), StructField("ba", DoubleType())]))
+def seq_ratio_both(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """U1 in both orientations in one Arrow round trip (the ratio is not symmetric)."""
+    ab, ba = [], []
+    for x, y in zip(a, b):
+        if x is None or y is None:
+            ab.append(None)
+            ba.append(None)
+        else:
+            ab.append(SequenceMatcher(None, x, y).ratio())
+            ba.append(SequenceMatcher(None, y, x).ratio())
+    return pd.DataFrame({"ab": pd.Series(ab, dtype="float64"), "ba": pd.Series(ba, dtype="float64")})
+
+
 def min_overlap_share(t: float) -> float:
     """For ratio >= t: both lengths and the token overlap must be >= t/(2-t) of a length."""
     return t / (2.0 - t)
