@@ -154,7 +154,7 @@ def detect_duplicates(postings: DataFrame, fuzzy: bool = False, **fuzzy_opts) ->
     groups = edges.select("strategy", "order1", "order2").distinct().withColumn("srank", rank)
     groups = assign_sequence(groups, ["srank", "order1", "order2"], name="group_seq").drop("srank")
     groups = groups.withColumn("group_id", F.format_string("dup_%03d", F.col("group_seq")))
-    return edges.join(groups, ["strategy", "order1", "order2"])
+    return reuse(edges.join(groups, ["strategy", "order1", "order2"]))   # read by several reports
 
 
 def group_table(edges: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def merge_duplicates(postings: DataFrame, edges: DataFrame, threshold: int = MER
     fills = first.select(F.col("c").alias("seq"), *filled_cols)
 
     # Metadata of the last merge group per canonical
-    groups = group_table(edges)
+    groups = reuse(group_table(edges))
     last = (groups.where(F.col("confidence") >= threshold)
             .groupBy("canonical_seq").agg(F.max("group_seq").alias("group_seq")))
     last_edges = merge_edges.join(last, ["canonical_seq", "group_seq"])

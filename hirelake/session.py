@@ -64,6 +64,14 @@ def reuse(df: DataFrame) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint into the shared checkpoint folder."""
+    """Reliable, eager checkpoint into the shared checkpoint folder.
+
+    The input is persisted for the duration of the checkpoint: writing the
+    checkpoint files is a second pass over the data, which then reads the kept
+    blocks instead of recomputing the whole lineage."""
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return kept.checkpoint(eager=True)
+    finally:
+        kept.unpersist(blocking=False)
