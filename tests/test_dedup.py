@@ -1,7 +1,6 @@
 """Entity resolution against the sequential semantics on small fixtures."""
 
 from conftest import SF0001
-from pyspark.sql import functions as F
 
 import bruteforce as bf
 from hirelake.operators import dedup
