@@ -511,3 +511,21 @@ select seq, array_to_string(list_filter([
   case when title is null then 'title' end,
   case when salary_min is null and salary_max is null then 'salary' end], lambda x: x is not null), ',') as missing_fields
 from v1"""
+
+
+def _alias_sql() -> str:
+    from hirelake.operators.quality import RULES
+    text = ("trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace("
+            "regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), "
+            "'<[^>]*>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), "
+            "'\\s+', ' ', 'g'))")
+    parts = []
+    for _, field, *_rest, aliases in RULES:
+        alt = "|".join(a.replace("'", "''").replace("(", "\\(").replace(")", "\\)") for a in aliases)
+        pat = f"(?i)(?:^|[^\\p{{L}}])(?:{alt})\\s*:\\s*([^\\n:]{{1,80}})"
+        parts.append(f"select page_id, '{field}' as field, trim(regexp_extract(t, '{pat}', 1)) as value, 90 as confidence "
+                     f"from tx where regexp_extract(t, '{pat}', 1) <> ''")
+    return f"with tx as (select page_id, {text} as t from pages)\n" + "\nunion all\n".join(parts)
+
+
+ORACLES["pages_alias_fields"] = _alias_sql()
