@@ -149,3 +149,21 @@ def test_merge_chain_fold_equals_sequential(spark):
             assert r["contact_email_source"] == j.get("contactEmail_source"), (trial, s)
             assert r["salary_min"] == j.get("salary"), (trial, s)
             assert r["salary_source"] == j.get("salary_source"), (trial, s)
+
+
+def test_review_queue_and_summary_equal_sequential(spark):
+    postings = text_postings_v3(spark, SF0001)
+    edges = dedup.detect_duplicates(postings, fuzzy=True)
+    groups = bf.detect_duplicates(_jobs(postings), _completeness)
+    numbered = [(f"dup_{i + 1:03d}", g) for i, g in enumerate(groups)]
+    review = [(gid, g) for gid, g in numbered if 60 <= g[2] < 85]
+    want = [(f"review_{k + 1:03d}", gid, g[2], g[1], "medium" if g[2] >= 70 else "high")
+            for k, (gid, g) in enumerate(review)]
+    got = [(r["review_id"], r["group_id"], r["confidence"], r["canonical_job_id"], r["priority"])
+           for r in dedup.review_queue(dedup.group_table(edges)).orderBy("review_id").collect()]
+    assert got == want
+    merged = dedup.merge_duplicates(postings, edges)
+    removed = {d for g in groups if g[2] >= 85 for d in g[3]}
+    s = dedup.dedup_summary(postings, merged).first()
+    assert (s["total_jobs"], s["unique_jobs"], s["duplicate_groups"], s["flagged_for_review"]) == (
+        len(_jobs(postings)), len(_jobs(postings)) - len(removed), len(groups), len(review))
