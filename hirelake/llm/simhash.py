@@ -104,7 +104,8 @@ def fingerprint_links(fingerprints: DataFrame, max_distance: int = 2, segments:
               .where(F.col("u").bitwiseAND(F.col("e.low")) == 0)
               .select("u", F.col("e.j").alias("j"), (F.col("e.flip") == 0).alias("exact"),
                       F.col("u").bitwiseXOR(F.col("e.flip")).bitwiseAND(F.col("e.keep")).alias("key")))
-    met = probes.join(table, ["j", "key"]).where("u <> v and (not exact or u < v)")
+    # sorted and merged: the optimizer takes an exploded side for as small as its input and would broadcast it
+    met = probes.join(table.hint("merge"), ["j", "key"]).where("u <> v and (not exact or u < v)")
     return met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_distance).select("u", "v")
 
 
