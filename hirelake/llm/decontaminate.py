@@ -2,7 +2,8 @@
 
 Words are runs of ``[a-z0-9]`` and non-ASCII characters after lower-casing A-Z. The benchmark's
 windows (``n`` consecutive words of an item; a shorter item is one window) become a set of 64-bit
-hashes. The documents' windows are hashed in place, one row per window; the set is broadcast
+hashes, and the hashes of their first, middle and last words a bit table. The documents' windows are tested against the
+bit table in place; those that pass become rows and meet the hash set, which is broadcast
 while it is below ``broadcast_windows`` rows (counted first; it does not grow with the documents) and joined by
 shuffle beyond that. Every hash hit is verified on the words themselves.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import documents, free_name, let, stored
+from hirelake.llm.common import documents, free_name, let, once, stored
 
 #: Everything but the word characters of lower-cased text (fixed by the contract); word characters of original text.
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -30,31 +31,44 @@ def words(text: Column) -> Column:
 
 def benchmark_windows(benchmark: DataFrame, n: int = 10, id_col: str = "item_id",
                       text_col: str = "text") -> DataFrame:
-    """(len, hash, words, items): each different window with the ids of its items. Items without
+    """(len, hash, anchor, words, items): each different window with the ids of its items. Items without
     words have none; rows without an id count under the id NULL, which names no item."""
     w = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     at = w.select("item", F.explode(F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))),
         lambda i: F.slice(F.col("w"), i + 1, F.lit(n)))).alias("words"))
     return at.groupBy("words").agg(F.collect_set("item").alias("items")).select(
-        F.size("words").alias("len"), F.xxhash64("words").alias("hash"), "words", "items")
-
-
-def window_hits(docs: DataFrame, windows: DataFrame, lengths: list[int], key_cols: list[str],
-                broadcast: bool) -> DataFrame:
-    """(key columns, start, len, items): every occurrence of a window in a document. ``docs`` has the key columns and ``w``."""
-    hits = None
-    for n in lengths:
-        of_n = windows.where(F.col("len") == n).select("hash", F.col("words").alias("gram"), "items")
-        at = (docs.where(F.size("w") >= n)
-              .select(*key_cols, "w", F.posexplode(F.transform(
-                  F.sequence(F.lit(1), F.size("w") - n + 1),
-                  lambda i: F.xxhash64(F.slice(F.col("w"), i, F.lit(n))))).alias("start", "hash")))
-        met = at.join(F.broadcast(of_n) if broadcast else of_n, "hash")
-        found = (met.where(F.slice("w", F.col("start") + 1, F.lit(n)) == F.col("gram"))
-                 .select(*key_cols, "start", F.lit(n).alias("len"), "items"))
-        hits = found if hits is None else hits.unionByName(found)
-    return hits
+        F.size("words").alias("len"), F.xxhash64("words").alias("hash"),
+        _anchor(F.col("words"), F.lit(0), F.size("words")).alias("anchor"), "words", "items")
+
+
+def _anchor(w: Column, start: Column, n: Column) -> Column:
+    """Hash of the first, middle and last word of a window."""
+    middle = F.floor(n / 2).cast("int") if not isinstance(n, int) else n // 2
+    return F.xxhash64(F.get(w, start), F.get(w, start + middle), F.get(w, start + n - 1))
+
+
+def _filter_bits(windows: DataFrame, count: int, most: int = 14) -> tuple[Column, int]:
+    """The anchors as a bit table (array of 64-bit words) and its number of words, at most 2^``most``. A
+    larger benchmark fills it more densely, which lets more positions through to the join and loses none."""
+    size = 1 << min(most, max(4, (max(1, count) // 4).bit_length()))
+    bits = (windows.groupBy(F.pmod(F.shiftright("anchor", 6), F.lit(size)).alias("at"))
+            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("anchor", F.lit(64)).cast("int"))).alias("bits")).collect())
+    table = dict((r["at"], r["bits"]) for r in bits)
+    text = ",".join(str(table.get(i, 0)) for i in range(size))
+    return F.split(F.lit(text), ",").cast("array<bigint>"), size
+
+
+def candidate_positions(w: Column, lengths: list[int], bits: Column, size: int) -> Column:
+    """``array<struct<start, words>>`` of the windows whose anchor is in the bit table."""
+    def of_length(s: Column, n: int) -> Column:
+        def may(i: Column) -> Column:
+            return let(_anchor(s["w"], i, n), lambda h: F.call_function(
+                "getbit", F.get(s["bits"], F.pmod(F.shiftright(h, 6), F.lit(size)).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1)
+        starts = F.when(F.size(s["w"]) >= n, F.filter(F.sequence(F.lit(0), F.size(s["w"]) - n), may))
+        return F.coalesce(F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice(s["w"], i + 1, F.lit(n)).alias("words"))), F.array())
+
+    return let(F.struct(w.alias("w"), bits.alias("bits")), lambda s: F.concat(*[of_length(s, n) for n in lengths]))
 
 
 def _merged(spans: Column) -> Column:
@@ -77,13 +91,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     windows = stored(benchmark_windows(benchmark, n, item_col, item_text_col), "windows")
     sizes = windows.groupBy("len").count().collect()  # at most n rows
     lengths = sorted(r["len"] for r in sizes) or [n]
-    small = sum(r["count"] for r in sizes) <= broadcast_windows
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), words(F.col(text_col)).alias("w"))
-    hits = window_hits(keyed, windows, lengths, ["id", "text_hash"], small)
-    per_doc = hits.groupBy("id", "text_hash").agg(
-        F.sort_array(F.collect_set(F.struct("start", "len"))).alias("spans"),
+    count = sum(r["count"] for r in sizes)
+    bits, size = _filter_bits(windows, count)
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    # one pass over the texts: what the filter lets through is stored without them
+    scanned = once(once(keyed, w=words(F.col("text"))).drop("text"), at=candidate_positions(F.col("w"), lengths, bits, size))
+    scanned = stored(scanned.select("id", "text_hash", F.size("w").cast("bigint").alias("n_words"), "at"), "scanned")
+    at = scanned.where(F.size("at") > 0).select("id", "text_hash", F.inline("at")).withColumn("hash", F.xxhash64("words"))
+    grams = windows.select("hash", F.col("words").alias("gram"), "items")
+    met = at.join(F.broadcast(grams) if count <= broadcast_windows else grams, "hash").where(F.col("words") == F.col("gram"))
+    per_doc = met.groupBy("id", "text_hash").agg(
+        F.sort_array(F.collect_set(F.struct("start", F.size("words").alias("len")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return per_doc, keyed.select("id", "text_hash", F.size("w").cast("bigint").alias("n_words"))
+    return per_doc, scanned.select("id", "text_hash", "n_words")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
