@@ -26,7 +26,7 @@ from hirelake.llm.common import documents, free_name, stored
 
 GOLDEN = 0.6180339887498949
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_TASK = 50_000
+ROWS_PER_TASK = 5_000
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
