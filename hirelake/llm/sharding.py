@@ -180,13 +180,13 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("bigint").alias("bytes"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"),
         F.xxhash64(text).alias("key"), F.xxhash64(F.col(id_col), text).alias("order"))
-    rows = stored(base, "rows")
-    where = text_shards(rows.select("key", "bytes"), shards, grain)
-    placed = stored(rows.join(where, "key"), "placed")
-    buckets = max(1, ceil(placed.count() / (shards * ROWS_PER_TASK)))
+    # the packing works on hashes and sizes; the kept columns are read again and shuffled by the last two steps alone
+    narrow = stored(base.drop("kept", "crc"), "rows")
+    where = stored(text_shards(narrow.select("key", "bytes"), shards, grain), "shards")
+    buckets = max(1, ceil(narrow.count() / (shards * ROWS_PER_TASK)))
     bucket = F.pmod(F.xxhash64(F.lit("slot"), "order"), F.lit(buckets)).cast("int")
-    placed = placed.withColumn("bucket", bucket)
-    sizes = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    placed = base.join(where, "key").withColumn("bucket", bucket)
+    sizes = narrow.join(where, "key").withColumn("bucket", bucket).groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     nth = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("order", "key"))
