@@ -446,7 +446,7 @@ r as (select page_id,
   from h)
 select distinct page_id, regexp_replace(resolved, '#.*$', '') as link from r"""
 
-_AUDIT = [("placeholder", r"\[[A-Za-z][^\]\n]{0,40}\]"), ("html_comment", "<!--"),
+_AUDIT = [("placeholder", r"\[[A-Za-z][^\]\n]*\]"), ("html_comment", "<!--"),
           ("email", EMAIL_PATTERN), ("phone", PHONE_PATTERN)]
 ORACLES["documents_audit"] = "\nunion all\n".join(
     f"select '{name}' as issue, count_if(len(regexp_extract_all(text, '{pat}')) > 0)::bigint as documents, "

@@ -14,22 +14,22 @@ from pyspark.sql import functions as F
 from hirelake.operators import dedup, filters, keepfirst, tracker
 from hirelake.operators.index import index_entries
 from hirelake.sinks import writers
-from hirelake.sources.ingest import ingest, read_sessions, session_stats
+from hirelake.sources.ingest import ingest, read_sessions, session_files, session_stats
 
 
 def consolidate(spark: SparkSession, sessions_root: str, out: str) -> DataFrame:
     """Entry 1: session folders -> keep-first master, duplicates, CSV, stats, index, rejects."""
     raw, rejects = read_sessions(spark, sessions_root)
     postings = ingest(raw).persist()
-    decided = keepfirst.keep_first(postings.drop("raw")).persist()
+    decided = keepfirst.keep_first(postings).persist()
     unique = decided.where(F.col("status") == keepfirst.UNIQUE)
     dups = decided.where(F.col("status") == keepfirst.DUPLICATE)
     writers.write_master(unique, f"{out}/master")
     writers.write_duplicates(dups.select("seq", "id", "url", "title", "company", "location", "session",
-                                         "duplicate_reason", "fuzzy_key"), f"{out}/duplicates")
+                                         "duplicate_reason", "fuzzy_key", F.to_json("raw").alias("raw")), f"{out}/duplicates")
     writers.write_csv(unique, f"{out}/master_csv")
-    sessions = raw.select("session").distinct()
-    writers.write_stats(keepfirst.consolidation_stats(decided), session_stats(raw, sessions), f"{out}/stats")
+    files = session_files(spark, sessions_root)
+    writers.write_stats(keepfirst.consolidation_stats(decided), session_stats(raw, files.select("session"), files), f"{out}/stats")
     writers.write_index(index_entries(postings), f"{out}/index")
     writers.write_rejects(rejects, f"{out}/rejects")
     return postings

@@ -70,7 +70,9 @@ def prepare(postings: DataFrame) -> DataFrame:
     desc_truthy = truthy_str(p["description"])
     return p.select(
         "seq", "master_id", "original_id", "session",
-        nullif_empty(p["url"]).alias("url_key"),
+        # The first of the url fields, where the record was ingested
+        (F.coalesce(nullif_empty(p["any_url"]), nullif_empty(p["url"])) if "any_url" in p.columns
+         else nullif_empty(p["url"])).alias("url_key"),
         completeness(p).alias("completeness"),
         normalize_company(p["company_name"]).alias("company_norm"),
         normalize_text(p["title"]).alias("title_norm"),
@@ -165,7 +167,7 @@ def group_table(edges: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ merge
 
-def _fold_fills(edges: DataFrame, own: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _fold_fills(edges: DataFrame, own: DataFrame) -> DataFrame:
     """Value of each fill field at the time of each merge edge (section 4.5).
 
     ``val(e=(c, d, g))`` = d's own value, else the value of d's earliest out-edge
@@ -188,21 +190,19 @@ def _fold_fills(edges: DataFrame, own: DataFrame, max_rounds: int = 64) -> DataF
         return edges_now.groupBy("c").agg(*aggs)
 
     chained = e.join(e.select(F.col("c").alias("d")).distinct(), "d", "left_semi")
-    if chained.limit(1).count() > 0:
-        for _ in range(max_rounds):
-            fst = firsts(e).withColumnRenamed("c", "d")
-            nxt = e.join(fst, "d", "left")
-            changed = F.lit(False)
-            for f in FILL_FIELDS:
-                inherited = F.when(F.col(f"first_{f}.g") < F.col("g"), F.col(f"first_{f}.v"))
-                new = F.coalesce(F.col(f"own_{f}"), inherited)
-                changed = changed | (new.isNotNull() & F.col(f"v_{f}").isNull())
-                nxt = nxt.withColumn(f"v_{f}", new)
-            nxt = cut_lineage(nxt.withColumn("_changed", changed))
-            n_changed = nxt.where("_changed").count()
-            e = nxt.select(e.columns)
-            if n_changed == 0:
-                break
+    changing = chained.limit(1).count() > 0
+    while changing:   # each round settles at least one more link of every chain
+        at = e.join(firsts(e).withColumnRenamed("c", "d"), "d", "left")
+        new = {f: F.coalesce(F.col(f"own_{f}"), F.when(F.col(f"first_{f}.g") < F.col("g"), F.col(f"first_{f}.v")))
+               for f in FILL_FIELDS}
+        # compared with the old values, which are still in place in the same projection
+        changed = F.lit(False)
+        for f, value in new.items():
+            changed = changed | ~value.eqNullSafe(F.col(f"v_{f}"))
+        kept = [c for c in e.columns if not c.startswith("v_")]
+        step = cut_lineage(at.select(*kept, *[v.alias(f"v_{f}") for f, v in new.items()], changed.alias("_changed")))
+        changing = step.where("_changed").limit(1).count() > 0
+        e = step.drop("_changed")
     return firsts(e)
 
 
@@ -281,21 +281,26 @@ def merge_duplicates(postings: DataFrame, edges: DataFrame, threshold: int = MER
         *[F.when(~own_filled[f], F.col(f"fill_{f}_src")).alias(f"{f}_source") for f in FILL_FIELDS],
     )
     unique = filled.join(removed, "seq", "left_anti").join(meta, "seq", "left")
-    review = review_queue(groups, threshold)
+    review = review_queue(groups, threshold, edges)
     return {"unique": unique, "review": review, "groups": groups, "removed": removed,
             "filled": filled if parity_before else postings}
 
 
-def review_queue(groups: DataFrame, threshold: int = MERGE_THRESHOLD) -> DataFrame:
+def review_queue(groups: DataFrame, threshold: int = MERGE_THRESHOLD, edges: DataFrame | None = None) -> DataFrame:
     """P20 + W5: ``review_%03d`` in group order for 60 <= confidence < threshold.
-    Review groups come from J3 only and hold one duplicate each."""
+    Review groups come from J3 only and hold one duplicate each; with ``edges`` given its
+    id is in ``duplicate_ids``."""
     rv = groups.where((F.col("confidence") >= REVIEW_FLOOR) & (F.col("confidence") < threshold))
     rv = assign_sequence(rv, ["group_seq"], name="review_seq")
+    ids = []
+    if edges is not None:
+        per = edges.select("group_seq", F.array("dup_id").alias("duplicate_ids"))
+        rv, ids = rv.join(per, "group_seq", "left"), ["duplicate_ids"]
     return rv.select(
         F.format_string("review_%03d", F.col("review_seq")).alias("review_id"),
         F.when(F.col("confidence") >= 70, "medium").otherwise("high").alias("priority"),
         "group_id", F.lit("low_confidence_match").alias("reason"), "confidence",
-        F.col("canonical_id").alias("canonical_job_id"), "strategy", "group_seq")
+        F.col("canonical_id").alias("canonical_job_id"), "strategy", "group_seq", *ids)
 
 
 # ------------------------------------------------------------------ reports

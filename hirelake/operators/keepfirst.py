@@ -59,30 +59,31 @@ def _decide_round(u: DataFrame) -> DataFrame:
     return out.select("seq", "url_key", "fuzzy_key", state.alias("state"))
 
 
-def keep_first_status(keys: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, int]:
+def keep_first_status(keys: DataFrame) -> tuple[DataFrame, int]:
     """Decides every row of ``(seq, url_key, fuzzy_key)``; returns the decided rows
-    ``(seq, url_key, fuzzy_key, state)`` and the number of rounds used."""
-    undecided = reuse(keys.select("seq", "url_key", "fuzzy_key"))
-    decided: list[DataFrame] = []
-    rounds = 0
-    while rounds < max_rounds:
+    ``(seq, url_key, fuzzy_key, state)`` and the number of rounds used.
+
+    Rows with equal (url, key) collapse first: only the earliest can be kept, the others are
+    duplicates whatever becomes of it. The rounds end as each decides at least its lowest row."""
+    keys = reuse(keys.select("seq", "url_key", "fuzzy_key"))
+    keyless = F.col("url_key").isNull() & F.col("fuzzy_key").isNull()
+    firsts = keys.where(~keyless).groupBy("url_key", "fuzzy_key").agg(F.min("seq").alias("seq"))
+    undecided = reuse(firsts.select("seq", "url_key", "fuzzy_key"))
+    repeated = (keys.where(~keyless).join(undecided.select("seq"), "seq", "left_anti")
+                .withColumn("state", F.lit(DUPLICATE)))
+    out = keys.where(keyless).withColumn("state", F.lit(UNIQUE)).unionByName(repeated)
+    rounds, left = 0, undecided.limit(1).count()
+    while left:
         rounds += 1
         step = cut_lineage(_decide_round(undecided))
-        decided.append(step.where(F.col("state").isNotNull()))
+        out = out.unionByName(step.where(F.col("state").isNotNull()))
         undecided = step.where(F.col("state").isNull()).select("seq", "url_key", "fuzzy_key")
         left = undecided.count()
         log.info("keep-first round %d: %d undecided", rounds, left)
-        if left == 0:
-            break
-    else:
-        raise RuntimeError("keep-first did not converge")
-    out = decided[0]
-    for d in decided[1:]:
-        out = out.unionByName(d)
     return out, rounds
 
 
-def keep_first(postings: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def keep_first(postings: DataFrame) -> DataFrame:
     """Every posting with ``status`` (unique / duplicate), ``duplicate_reason``
     and ``fuzzy_key``.
 
@@ -91,7 +92,7 @@ def keep_first(postings: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     equi-join against one row per url.
     """
     keyed = with_keys(postings)
-    status, _ = keep_first_status(keyed.select("seq", "url_key", "fuzzy_key"), max_rounds)
+    status, _ = keep_first_status(keyed.select("seq", "url_key", "fuzzy_key"))
     kept_url = (status.where((F.col("state") == UNIQUE) & F.col("url_key").isNotNull())
                 .select("url_key", F.col("seq").alias("_kept_seq")))
     reasoned = (left_join_nonnull(status, kept_url, "url_key")

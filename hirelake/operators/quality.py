@@ -203,43 +203,48 @@ def extract_links(pages: DataFrame) -> DataFrame:
     return hrefs.select("page_id", cleaned.alias("link")).distinct()
 
 
+_BLOCK_TAG = r"(?i)<(?:/?(?:p|div|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|dt|dd|title)\b[^>]*|br\s*/?)>"
+
+
 def strip_tags(html: Column) -> Column:
-    """Visible text: scripts and styles dropped, tags to spaces, common entities decoded."""
+    """Visible text: scripts and styles dropped, block tags to line ends, other tags to spaces, common entities decoded."""
     s = F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " ")
     s = F.regexp_replace(s, r"(?s)<!--.*?-->", " ")
+    s = F.regexp_replace(s, _BLOCK_TAG, "\n")
     s = F.regexp_replace(s, r"<[^>]*>", " ")
     for ent, ch in [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")]:
         s = F.replace(s, F.lit(ent), F.lit(ch))
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    s = F.regexp_replace(F.regexp_replace(s, r"[^\S\n]+", " "), r" ?\n[ \n]*", "\n")
+    return F.regexp_replace(s, r"^\s+|\s+$", "")
 
 
 def alias_fields(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Q6 (ours): for each schema field, the first ``<alias>: value`` in the text
+    """Q6 (ours): for each schema field, the first ``<alias>: value`` in the text; the value ends
+    with its line or before the next known label, however long it is
     (aliases in en/de/fr/es, case-insensitive), with confidence 90 for a label
     followed by a colon. Tall output: ``(id, field, value, confidence)``."""
+    def either(aliases) -> str:
+        return "|".join(a.replace("(", r"\(").replace(")", r"\)") for a in aliases)
+    next_label = rf"(?iu)(?:^|[^\p{{L}}])(?:{'|'.join(either(r[-1]) for r in RULES)})\s*:.*$"
     cells = []
     for _, field, *_rest, aliases in RULES:
-        alt = "|".join(a.replace("'", "\\'").replace("(", r"\(").replace(")", r"\)") for a in aliases)
-        pat = rf"(?iu)(?:^|[^\p{{L}}])(?:{alt})\s*:\s*([^\n:]{{1,80}})"
-        v = F.regexp_extract(F.col(text_col), pat, 1)
+        pat = rf"(?iu)(?:^|[^\p{{L}}])(?:{either(aliases)})[^\S\n]*:[^\S\n]*([^\n]+)"
+        v = F.trim(F.regexp_replace(F.regexp_extract(F.col(text_col), pat, 1), next_label, ""))
         cells.append(F.when(v != "", F.struct(F.lit(field).alias("field"), F.trim(v).alias("value"),
                                              F.lit(90).alias("confidence"))))
     return (texts.select(id_col, F.explode(F.array_compact(F.array(*cells))).alias("c"))
             .select(id_col, "c.field", "c.value", "c.confidence"))
 
 
-AUDIT_RULES = [("placeholder", r"\[[A-Za-z][^\]\n]{0,40}\]"), ("html_comment", r"<!--"),
+AUDIT_RULES = [("placeholder", r"\[[A-Za-z][^\]\n]*\]"), ("html_comment", r"<!--"),
                ("email", EMAIL_PATTERN), ("phone", PHONE_PATTERN)]
 
 
 def audit(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Q9 + M13/M14: per issue, documents affected and total occurrences."""
-    parts = []
-    for issue, pat in AUDIT_RULES:
-        n = _count(F.col(text_col), pat)
-        parts.append(texts.select(F.lit(issue).alias("issue"), n.alias("n")))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    return allp.groupBy("issue").agg(F.count_if(F.col("n") > 0).alias("documents"),
-                                     F.sum("n").cast("bigint").alias("occurrences"))
+    counts = texts.select(*[_count(F.col(text_col), pat).alias(issue) for issue, pat in AUDIT_RULES])
+    one = counts.agg(*[F.count_if(F.col(i) > 0).alias(f"{i}_docs") for i, _ in AUDIT_RULES],
+                     *[F.sum(i).cast("bigint").alias(f"{i}_n") for i, _ in AUDIT_RULES])
+    rows = F.array(*[F.struct(F.lit(i).alias("issue"), F.col(f"{i}_docs").alias("documents"),
+                              F.col(f"{i}_n").alias("occurrences")) for i, _ in AUDIT_RULES])
+    return one.select(F.inline(rows))

@@ -23,18 +23,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.plans import broadcast_if_small, left_join_nonnull
+from hirelake.plans import left_join_nonnull
 
 COMPLETED, FAILED, IN_PROGRESS = "completed", "failed", "in_progress"
 
-def _since_open(events: DataFrame) -> DataFrame:
-    """Drops events of a session that precede its last ``session_open`` (a reset)."""
-    opens = (events.where(F.col("kind") == "session_open").groupBy("session")
-             .agg(F.max("seq").alias("_open_seq")))
-    # one row per session: few distinct keys would put whole sessions into single
-    # tasks of a shuffle join, so the (size-checked) table is broadcast
-    return (events.join(broadcast_if_small(opens), "session", "left")
-            .where(F.col("_open_seq").isNull() | (F.col("seq") > F.col("_open_seq"))).drop("_open_seq"))
+
+def open_partials(events: DataFrame) -> DataFrame:
+    """Per session the seq of its last ``session_open`` (a reset); merge = max."""
+    return (events.where(F.col("kind") == "session_open").groupBy("session")
+            .agg(F.max("seq").alias("open_seq")))
+
+
+def merge_open_partials(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b).groupBy("session").agg(F.max("open_seq").alias("open_seq"))
 
 
 def job_partials(events: DataFrame) -> DataFrame:
@@ -65,9 +66,13 @@ def merge_extra_partials(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("session", "job_id", "key").agg(F.max("last_value").alias("last_value"))
 
 
-def resolve(partials: DataFrame, extras: DataFrame | None = None) -> DataFrame:
-    """Final entries: jobs that have an add; fields of the last add patched by later updates."""
+def resolve(partials: DataFrame, extras: DataFrame | None = None, opens: DataFrame | None = None) -> DataFrame:
+    """Final entries: jobs that have an add; fields of the last add patched by later updates.
+    With ``opens``, an entry lives only if its last add is later than its session's last open."""
     p = partials.where(F.col("last_add").isNotNull())
+    if opens is not None:
+        p = (p.join(opens, "session", "left")
+             .where(F.col("open_seq").isNull() | (F.col("last_add.seq") > F.col("open_seq"))).drop("open_seq"))
     add_seq = F.col("last_add.seq")
     out = p.select(
         "session", "job_id",
@@ -90,8 +95,7 @@ def resolve(partials: DataFrame, extras: DataFrame | None = None) -> DataFrame:
 
 def tracker_state(events: DataFrame) -> DataFrame:
     """T1 batch form: the latest entry per job of each session."""
-    e = _since_open(events)
-    return resolve(job_partials(e), extra_partials(e))
+    return resolve(job_partials(events), extra_partials(events), open_partials(events))
 
 
 def session_statistics(state: DataFrame, sessions: DataFrame) -> DataFrame:

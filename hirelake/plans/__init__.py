@@ -16,12 +16,3 @@ def left_join_nonnull(left: _DF, right: _DF, key: str) -> _DF:
             rest = rest.withColumn(field.name, F.lit(None).cast(field.dataType))
     return matched.unionByName(rest)
 
-
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: _DF, max_rows: int = BROADCAST_MAX_ROWS) -> _DF:
-    """Broadcast hint for an (already aggregated) side only after checking its row
-    count; beyond the bound the join stays a shuffle join (AQE may still convert it)."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -19,21 +19,25 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "hirelake") -> SparkSession:
     """Session with AQE (coalesce + skew join) on and the UI off."""
-    master = master or os.environ.get("HIRELAKE_MASTER", "local[8]")
-    parts = shuffle_partitions or int(os.environ.get("HIRELAKE_SHUFFLE_PARTITIONS", "8"))
+    master = master or os.environ.get("HIRELAKE_MASTER")
+    parts = shuffle_partitions or os.environ.get("HIRELAKE_SHUFFLE_PARTITIONS")
+    builder = SparkSession.builder.appName(app_name)
+    if master:   # else what spark-submit says
+        builder = builder.master(master)
+    if parts:
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
+        builder
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("HIRELAKE_DRIVER_MEMORY", "16g"))
     )
+    if memory := os.environ.get("HIRELAKE_DRIVER_MEMORY", "16g" if (master or "").startswith("local") else None):
+        builder = builder.config("spark.driver.memory", memory)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -43,14 +47,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session.
 
     Uses ``spark.checkpoint.dir`` (or a directory already set on the context).
-    Only if neither is set -- a local run or a test -- a scratch folder is
-    created and registered, so that ``checkpoint()`` works at all.
+    Only if neither is set on a local master (a local run or a test) a scratch folder is
+    created and registered; on a cluster, where executors would not see it, this raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="hirelake-ckpt-")
     sc.setCheckpointDir(conf_dir)

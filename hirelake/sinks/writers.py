@@ -78,29 +78,18 @@ def render_dedup_report(summary: DataFrame, strategies: DataFrame, quality: Data
                         reasons: DataFrame) -> str:
     """The markdown report, formatted from the few rows of the metric frames."""
     s = summary.first()
-    lines = ["# Job Deduplication Report", "", "## Summary", "",
-             f"- **Total Jobs Analyzed**: {s['total_jobs']:,}",
-             f"- **Unique Jobs**: {s['unique_jobs']:,} ({100 - s['duplicate_rate']:.1f}%)",
-             f"- **Duplicates Found**: {s['duplicates']:,} ({s['duplicate_rate']:.1f}%)",
-             f"- **Duplicate Groups**: {s['duplicate_groups']}",
-             f"- **Jobs Flagged for Review**: {s['flagged_for_review']}", "",
-             "## Duplicate Detection by Strategy", "",
-             "| Strategy | Matches | Avg Confidence | % of Duplicates |",
-             "|----------|---------|----------------|-----------------|"]
-    for r in strategies.collect():   # one row per strategy (at most three)
-        lines.append(f"| {r['strategy']} | {r['matches']} | {r['avg_confidence']:.0f}% | {r['pct_of_duplicates']:.1f}% |")
-    lines += ["", "## Data Quality Improvement", "", "| Field | Before | After | Improvement |",
-              "|-------|--------|-------|-------------|"]
-    for r in quality.collect():      # five metric rows
-        lines.append(f"| {r['metric']} | {r['before']:.1f}% | {r['after']:.1f}% | +{r['improvement']:.1f}% |")
-    lines += ["", "## Manual Review Queue", ""]
-    for r in reasons.collect():      # at most two reasons
-        lines.append(f"- {r['reason']}: {r['items']} jobs")
-    targets = [r for r in quality.collect() if r["improvement_target"]]
-    if targets:
-        lines += ["", "## Recommendations", ""]
-        lines += [f"- Improve {r['metric']} extraction (current: {r['after']:.1f}%)" for r in targets]
-    return "\n".join(lines) + "\n"
+    out = ["# Entity resolution", "", "One line per figure; shares in percent.", "", "| figure | value |", "| --- | ---: |"]
+    out += [f"| {name} | {s[name]} |" for name in summary.columns]
+    out += ["", "## Strategies", "", "| strategy | matches | avg_confidence | pct_of_duplicates |", "| --- | ---: | ---: | ---: |"]
+    out += [f"| {r['strategy']} | {r['matches']} | {r['avg_confidence']:.1f} | {r['pct_of_duplicates']:.1f} |"
+            for r in strategies.collect()]   # one row per strategy (at most three)
+    rows = quality.collect()                 # five metric rows
+    out += ["", "## Filled fields", "", "| metric | before | after | change | below 60 |", "| --- | ---: | ---: | ---: | --- |"]
+    out += [f"| {r['metric']} | {r['before']:.1f} | {r['after']:.1f} | {r['improvement']:+.1f} | "
+            f"{'yes' if r['improvement_target'] else ''} |" for r in rows]
+    out += ["", "## Left for review", "", "| reason | items |", "| --- | ---: |"]
+    out += [f"| {r['reason']} | {r['items']} |" for r in reasons.collect()]   # at most two reasons
+    return "\n".join(out) + "\n"
 
 
 def write_rejects(rejects: DataFrame, path: str) -> None:

@@ -58,12 +58,14 @@ def read_sessions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
     file_of = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
     parts, rejects = [], []
     if api is not None:
-        a = api.select(session_of.alias("session"), file_of.alias("source_file"),
-                       F.try_parse_json("value").alias("doc"), "value")
-        rejects.append(a.where(F.col("doc").isNull()).select("session", "source_file",
-                                                            F.lit("invalid JSON").alias("error")))
-        a = a.where(F.col("doc").isNotNull()).select(
-            "session", "source_file", F.posexplode(F.try_variant_get("doc", "$", "array<variant>")).alias("pos", "raw"))
+        # element by element: one VARIANT of the whole array would be limited to 128 MiB
+        is_array = F.col("value").rlike(r"^\s*\[")
+        a = api.select(session_of.alias("session"), file_of.alias("source_file"), is_array.alias("is_array"),
+                       F.when(is_array, F.from_json("value", "array<variant>")).alias("items"))
+        rejects.append(a.where(F.col("items").isNull()).select(
+            "session", "source_file",
+            F.when(F.col("is_array"), F.lit("invalid JSON")).otherwise(F.lit("not a JSON array")).alias("error")))
+        a = a.where(F.col("items").isNotNull()).select("session", "source_file", F.posexplode("items").alias("pos", "raw"))
         parts.append(a.select("session", "source_file", "pos", F.lit(True).alias("from_api"), "raw"))
     if jobs is not None:
         j = jobs.select(session_of.alias("session"), file_of.alias("source_file"),
@@ -72,8 +74,8 @@ def read_sessions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
                                                             F.lit("invalid JSON").alias("error")))
         j = j.where(F.col("raw").isNotNull()).select("session", "source_file", F.lit(0).alias("pos"),
                                                      F.lit(False).alias("from_api"), "raw")
-        if api is not None:   # an api array replaces the session's jobs folder
-            j = j.join(parts[0].select("session").distinct(), "session", "left_anti")
+        if api is not None:   # an api file replaces the session's jobs folder, even an empty one
+            j = j.join(api.select(session_of.alias("session")).distinct(), "session", "left_anti")
         parts.append(j)
     if not parts:
         raise FileNotFoundError(f"no session files under {root}")
@@ -86,6 +88,22 @@ def read_sessions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
     return out, rej
 
 
+def session_files(spark: SparkSession, root: str) -> DataFrame:
+    """A1 + S4: (session, structure_type) of every session folder that holds an api file (``api_response``)
+    or, without one, job files (``jobs_directory``), readable or not. Folders without either are not listed."""
+    root = root.rstrip("/")
+    found = None
+    for rank, (pattern, kind) in enumerate([("api_response_all.json", "api_response"), ("jobs/*.json", "jobs_directory")]):
+        files = _read_whole(spark, f"{root}/*session*/{pattern}")
+        if files is not None:
+            part = files.select(F.regexp_extract("path", r"/([^/]*session[^/]*)/(?:jobs/[^/]*|api_response_all\.json)$", 1).alias("session"),
+                                F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        raise FileNotFoundError(f"no session files under {root}")
+    return found.groupBy("session").agg(F.min(F.struct("rank", "kind"))["kind"].alias("structure_type"))
+
+
 def raw_from_strings(df: DataFrame, value_col: str = "value") -> DataFrame:
     """Raw rows from a DataFrame of JSON strings (``session``, ``source_file``, ``pos`` given)."""
     return df.select("session", "source_file", F.col("pos").cast("int").alias("pos"),
@@ -274,12 +292,18 @@ def ingest(raw_rows: DataFrame, parity_company_name: bool = True) -> DataFrame:
     return conform(typed, extra=["shape", "source_file", "any_url", "extraction_metadata", "raw"])
 
 
-def session_stats(raw_rows: DataFrame, sessions: DataFrame) -> DataFrame:
-    """S4 + A1: per listed session, postings contributed and a status
-    (``no_jobs_directory`` when it has no files, else ``success``)."""
+def session_stats(raw_rows: DataFrame, sessions: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """S4 + A1: per listed session, postings contributed and a status (``no_jobs_directory`` when it has no files,
+    else ``success``). ``files`` (:func:`session_files`) tells sessions whose files hold nothing readable from
+    those without files, and adds ``structure_type`` (``unknown`` without files)."""
     counts = raw_rows.groupBy("session").agg(F.count(F.lit(1)).alias("jobs_contributed"))
     out = session_metadata(sessions).join(counts, "session", "left")
-    return out.select("*", F.when(F.col("jobs_contributed").isNull(), F.lit("no_jobs_directory"))
+    missing = F.col("jobs_contributed").isNull()
+    if files is not None:
+        out = out.join(files, "session", "left")
+        missing = missing & F.col("structure_type").isNull()
+        out = out.withColumn("structure_type", F.coalesce("structure_type", F.lit("unknown")))
+    return out.select("*", F.when(missing, F.lit("no_jobs_directory"))
                       .otherwise(F.lit("success")).alias("status")).fillna(0, ["jobs_contributed"])
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,9 @@ def _kept_state(spark, out_path: str, before_batch: int) -> DataFrame | None:
     """Urls and keys of postings kept by earlier batches (read from the decided output)."""
     try:
         prior = spark.read.parquet(out_path)
-    except Exception:  # nothing decided yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":   # only the first batch finds nothing decided yet
+            raise
         return None
     kept = prior.where((F.col("batch") < before_batch) & (F.col("status") == UNIQUE))
     return (kept.select(F.lit("url").alias("kind"), F.col("url_key").alias("key")).where(F.col("key").isNotNull())

@@ -11,39 +11,43 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hirelake.operators import tracker as trk
 
 
-def _latest(spark: SparkSession, path: str, name: str) -> DataFrame | None:
-    marker = os.path.join(path, f"{name}.latest")
-    try:
-        version = spark.read.text(marker).first()[0]
-    except Exception:  # no state yet
-        return None
-    return spark.read.parquet(os.path.join(path, name, version))
+_PARTIALS = {"jobs": (trk.job_partials, trk.merge_partials), "extras": (trk.extra_partials, trk.merge_extra_partials),
+             "opens": (trk.open_partials, trk.merge_open_partials)}
 
 
-def _publish(spark: SparkSession, df: DataFrame, path: str, name: str, batch_id: int) -> None:
-    version = f"v{batch_id:09d}"
-    df.write.mode("overwrite").parquet(os.path.join(path, name, version))
-    spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(
-        os.path.join(path, f"{name}.latest"))
+def _latest(spark: SparkSession, path: str, before: str = "w") -> dict[str, DataFrame] | None:
+    """The tables of the last version published under ``before``; None before the first. Any other failure to read is raised, so
+    that a passing fault cannot pass for an empty state."""
+    try:
+        versions = spark.read.text(os.path.join(path, "published"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    version = versions.where(F.col("value") < before).agg(F.max("value")).first()[0]
+    return None if version is None else {name: spark.read.parquet(os.path.join(path, name, version)) for name in _PARTIALS}
 
 
 def fold_batch(state_path: str):
-    """foreachBatch function merging one micro-batch of tracker events into the state."""
+    """foreachBatch function merging one micro-batch of tracker events into the state. All tables of a version are
+    written before its one marker, which is appended and never rewritten; a replayed batch writes the same version again."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        jobs, extras = trk.job_partials(batch), trk.extra_partials(batch)
-        old_j, old_x = _latest(spark, state_path, "jobs"), _latest(spark, state_path, "extras")
-        if old_j is not None:
-            jobs = trk.merge_partials(old_j, jobs)
-        if old_x is not None:
-            extras = trk.merge_extra_partials(old_x, extras)
-        _publish(spark, jobs, state_path, "jobs", batch_id)
-        _publish(spark, extras, state_path, "extras", batch_id)
+        spark, version = batch.sparkSession, f"v{batch_id:09d}"
+        old = _latest(spark, state_path, before=version)
+        for name, (partials, merge) in _PARTIALS.items():
+            now = partials(batch)
+            if old is not None:
+                now = merge(old[name], now)
+            now.write.mode("overwrite").parquet(os.path.join(state_path, name, version))
+        spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("append").text(
+            os.path.join(state_path, "published"))
     return run
 
 
@@ -60,7 +64,7 @@ def run_tracker_stream(events_stream: DataFrame, state_path: str, checkpoint: st
 
 def read_state(spark: SparkSession, state_path: str) -> DataFrame:
     """Resolved tracker entries from the current state."""
-    jobs, extras = _latest(spark, state_path, "jobs"), _latest(spark, state_path, "extras")
-    if jobs is None:
+    state = _latest(spark, state_path)
+    if state is None:
         raise FileNotFoundError(f"no tracker state under {state_path}")
-    return trk.resolve(jobs, extras)
+    return trk.resolve(state["jobs"], state["extras"], state["opens"])

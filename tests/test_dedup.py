@@ -2,63 +2,59 @@
 
 from conftest import SF0001
 
-import bruteforce as bf
 from hirelake.operators import dedup
 from hirelake.operators.simjoin import similar_string_pairs
 from hirelake.sources.views import postings_v1, text_postings_v3
 
 
-def _jobs(df):
-    rows = df.orderBy("seq").collect()
-    jobs = []
-    for r in rows:
-        loc = {"city": r["location_city"]} if r["location_is_object"] else r["location_text"]
-        if r["location_is_object"] and r["location_city"] is None:
-            loc = {}
-        jobs.append({"seq": r["seq"], "master_id": r["master_id"], "url": r["url"], "company": r["company_name"],
-                     "title": r["title"], "location": loc, "description": r["description"],
-                     "contactEmail": r["contact_email"], "session": r["session"],
-                     "salary": ({"min": r["salary_min"]} if r["salary_present"] else None)})
-    return jobs
-
-
-def _completeness(j):
-    fields = ["title", "company", "location", "description", "requirements", "salary", "contactEmail", "benefits"]
-    n = sum(1 for f in fields if j.get(f) and isinstance(j[f], (str, dict, list)))
-    return n / 8 * 100
-
-
-def _spark_groups(edges):
-    rows = edges.orderBy("group_seq", "dup_seq").collect()
-    out, by_group = [], {}
-    for r in rows:
-        by_group.setdefault(r["group_seq"], []).append(r)
-    for g in sorted(by_group):
-        rs = by_group[g]
-        r0 = rs[0]
-        extra = r0["description_similarity"] if r0["strategy"] == "normalized_composite" else None
-        if r0["strategy"] == "fuzzy_match":
-            extra = (r0["sim_company"], r0["sim_title"], r0["sim_location"])
-        out.append((r0["strategy"], r0["canonical_id"], r0["confidence"], [r["dup_id"] for r in rs], extra))
-    return out
-
-
-def test_dedup_v3_with_fuzzy_equals_sequential(spark):
-    postings = text_postings_v3(spark, SF0001)
-    edges = dedup.detect_duplicates(postings, fuzzy=True)
-    got = _spark_groups(edges)
-    want = bf.detect_duplicates(_jobs(postings), _completeness)
-    assert [g[0] for g in got].count("fuzzy_match") > 0
-    assert got == want
+def _posting_rows(spark, rows):
+    """(seq, url, company, title, city, description, email) -> postings."""
+    from hirelake.sources.schema import conform
+    return conform(spark.createDataFrame(
+        [(s, f"m{s}", f"s{s % 2}", u, co, ti, ci is not None, ci is not None, ci, de, em) for s, u, co, ti, ci, de, em in rows],
+        "seq bigint, master_id string, session string, url string, company_name string, title string, location_is_object boolean, "
+        "location_present boolean, location_city string, description string, contact_email string"))
 
 
-def test_dedup_v1_exact_and_composite_equal_sequential(spark):
-    postings = postings_v1(spark, SF0001)
-    edges = dedup.detect_duplicates(postings, fuzzy=False)
-    got = _spark_groups(edges)
-    want = bf.detect_duplicates(_jobs(postings), _completeness)
-    want = [g for g in want if g[0] != "fuzzy_match"]
-    assert got == want
+def _edges(spark, rows, fuzzy=False):
+    out = dedup.detect_duplicates(_posting_rows(spark, rows), fuzzy=fuzzy).orderBy("group_seq", "dup_seq").collect()
+    return [(e["group_id"], e["strategy"], e["canonical_id"], e["dup_id"], e["confidence"]) for e in out]
+
+
+def test_url_groups_take_the_most_complete_then_the_lowest(spark):
+    rows = [(1, "u1", "A", "t", None, None, None), (2, "u1", "A", "t", None, "text", "a@x.at"),
+            (3, "u1", "A", "t", None, "text", "b@x.at"), (4, None, "B", "v", None, None, None)]
+    assert _edges(spark, rows) == [("dup_001", "exact_url", "m2", "m1", 99), ("dup_001", "exact_url", "m2", "m3", 99)]
+
+
+def test_composite_confidence_follows_the_descriptions(spark):
+    rows = [(1, None, "Acme GmbH", "Dev!", "Wien", "one two three four", None), (2, "x", "acme", "dev", "wien", "one two three four", None),
+            (3, None, "ACME", "Dev", "Wien", "one two", None), (4, None, "Acme", "Dev", "Wien", None, None)]
+    # words in common: 4 of 4, 2 of 4, none (85 + 10 x share); m1 and m2 are equally complete
+    assert _edges(spark, rows) == [("dup_001", "normalized_composite", "m1", "m2", 95), ("dup_002", "normalized_composite", "m1", "m3", 90),
+                                   ("dup_003", "normalized_composite", "m1", "m4", 85)]
+
+
+def test_resolution_invariants(spark):
+    """On the text fixture: what must hold of any result, whatever its order of work."""
+    postings = text_postings_v3(spark, SF0001)
+    edges = dedup.detect_duplicates(postings, fuzzy=True)
+    rows = edges.collect()
+    by_strategy = {}
+    for e in rows:
+        by_strategy.setdefault(e["strategy"], []).append(e)
+    assert by_strategy.get("fuzzy_match")
+    for strategy in ("exact_url", "normalized_composite"):   # no posting is a duplicate twice in a stage
+        dups = [e["dup_seq"] for e in by_strategy.get(strategy, [])]
+        assert len(dups) == len(set(dups))
+    assert all(e["confidence"] >= 60 and e["canonical_seq"] != e["dup_seq"] for e in rows)
+    merged = dedup.merge_duplicates(postings, edges)
+    removed = {e["dup_seq"] for e in rows if e["confidence"] >= 85}
+    assert {r["seq"] for r in merged["unique"].select("seq").collect()} == {r["seq"] for r in postings.select("seq").collect()} - removed
+    review = merged["review"].orderBy("review_id").collect()
+    want = sorted((e["group_seq"], e["confidence"], e["canonical_id"], e["dup_id"]) for e in rows if e["confidence"] < 85)
+    assert [(r["group_seq"], r["confidence"], r["canonical_job_id"], r["duplicate_ids"][0]) for r in review] == want
+    assert [r["review_id"] for r in review] == [f"review_{i + 1:03d}" for i in range(len(review))]
 
 
 def test_similar_pairs_lossless(spark):
@@ -98,72 +94,30 @@ def test_similar_pairs_lossless_random(spark):
         assert got == want, (t, len(got), len(want))
 
 
-def _sequential_merge(jobs, groups, threshold=85):
-    """Direct form of the documented merge: groups in order, fields filled on mutated rows."""
-    import copy
-    job = {j["seq"]: copy.deepcopy(j) for j in jobs}
-    removed = set()
-    for g in groups:
-        if g["confidence"] < threshold:
-            continue
-        canon = job[g["canonical"]]
-        for d in g["dups"]:
-            dj = job[d]
-            for f in ("salary", "contactEmail"):
-                if dj.get(f) and not canon.get(f):
-                    canon[f] = dj[f]
-                    canon[f + "_source"] = dj["session"]
-            removed.add(d)
-    return {s: j for s, j in job.items() if s not in removed}
-
-
-def test_merge_chain_fold_equals_sequential(spark):
-    import random
-
+def _filled(spark, n, edges, own):
+    """E-mail of each kept posting after merging ``edges`` = [(group, canonical, duplicate)]."""
     from hirelake.sources.schema import conform
-    rnd = random.Random(3)
-    for trial in range(3):
-        n = 14
-        jobs = [{"seq": i, "session": f"s{i % 3}", "master_id": f"m{i}",
-                 "contactEmail": (f"e{i}@x.at" if rnd.random() < 0.3 else None),
-                 "salary": (float(1000 + i) if rnd.random() < 0.3 else None)} for i in range(n)]
-        groups = []
-        for g in range(10):   # random edges, chains allowed (a canonical may be a later duplicate)
-            c, d = rnd.sample(range(n), 2)
-            groups.append({"canonical": c, "dups": [d], "confidence": rnd.choice([80, 90, 99])})
-        want = _sequential_merge(jobs, groups)
-        postings = conform(spark.createDataFrame(
-            [(j["seq"], j["master_id"], j["session"], j["contactEmail"], j["salary"] is not None, j["salary"])
-             for j in jobs], "seq bigint, master_id string, session string, contact_email string, "
-                             "salary_present boolean, salary_min double"))
-        edges = spark.createDataFrame(
-            [(k + 1, f"dup_{k + 1:03d}", "fuzzy_match", g["confidence"], g["canonical"], f"m{g['canonical']}", d,
-              f"m{d}", f"s{d % 3}") for k, g in enumerate(groups) for d in g["dups"]],
-            "group_seq bigint, group_id string, strategy string, confidence int, canonical_seq bigint, "
-            "canonical_id string, dup_seq bigint, dup_id string, dup_session string")
-        got = {r["seq"]: r for r in dedup.merge_duplicates(postings, edges)["unique"].collect()}
-        assert set(got) == set(want), trial
-        for s, j in want.items():
-            r = got[s]
-            assert r["contact_email"] == j.get("contactEmail"), (trial, s)
-            assert r["contact_email_source"] == j.get("contactEmail_source"), (trial, s)
-            assert r["salary_min"] == j.get("salary"), (trial, s)
-            assert r["salary_source"] == j.get("salary_source"), (trial, s)
-
-
-def test_review_queue_and_summary_equal_sequential(spark):
-    postings = text_postings_v3(spark, SF0001)
-    edges = dedup.detect_duplicates(postings, fuzzy=True)
-    groups = bf.detect_duplicates(_jobs(postings), _completeness)
-    numbered = [(f"dup_{i + 1:03d}", g) for i, g in enumerate(groups)]
-    review = [(gid, g) for gid, g in numbered if 60 <= g[2] < 85]
-    want = [(f"review_{k + 1:03d}", gid, g[2], g[1], "medium" if g[2] >= 70 else "high")
-            for k, (gid, g) in enumerate(review)]
-    got = [(r["review_id"], r["group_id"], r["confidence"], r["canonical_job_id"], r["priority"])
-           for r in dedup.review_queue(dedup.group_table(edges)).orderBy("review_id").collect()]
-    assert got == want
-    merged = dedup.merge_duplicates(postings, edges)
-    removed = {d for g in groups if g[2] >= 85 for d in g[3]}
-    s = dedup.dedup_summary(postings, merged).first()
-    assert (s["total_jobs"], s["unique_jobs"], s["duplicate_groups"], s["flagged_for_review"]) == (
-        len(_jobs(postings)), len(_jobs(postings)) - len(removed), len(groups), len(review))
+    postings = conform(spark.createDataFrame([(i, f"m{i}", f"s{i}", own.get(i)) for i in range(n)],
+                                             "seq bigint, master_id string, session string, contact_email string"))
+    frame = spark.createDataFrame(
+        [(g, f"dup_{g:03d}", "fuzzy_match", 90, c, f"m{c}", d, f"m{d}", f"s{d}") for g, c, d in edges],
+        "group_seq bigint, group_id string, strategy string, confidence int, canonical_seq bigint, canonical_id string, "
+        "dup_seq bigint, dup_id string, dup_session string")
+    return {r["seq"]: (r["contact_email"], r["contact_email_source"])
+            for r in dedup.merge_duplicates(postings, frame)["unique"].collect()}
+
+
+def test_a_field_reaches_the_head_of_chains(spark):
+    for length in (1, 2, 3, 5, 10):
+        edges = [(i + 1, i + 1, i) for i in range(length)]   # i merges into i + 1, in order
+        assert _filled(spark, length + 1, edges, {0: "a@x.at"}) == {length: ("a@x.at", f"s{length - 1}")}
+
+
+def test_a_later_merge_does_not_fill_an_earlier_one(spark):
+    assert _filled(spark, 3, [(1, 2, 1), (2, 1, 0)], {0: "a@x.at"}) == {2: (None, None)}
+
+
+def test_the_earliest_filled_group_wins_along_a_chain(spark):
+    z, w, y, c, x, p, q = range(7)
+    edges = [(1, z, w), (2, y, z), (3, c, y), (5, c, x), (9, p, c), (10, q, p)]
+    assert _filled(spark, 7, edges, {w: "w@x.at", x: "x@x.at"})[q][0] == "w@x.at"

@@ -20,13 +20,14 @@ def test_end_to_end(spark):
     master = spark.read.parquet(f"{out}/consolidated/master")
     dups = spark.read.json(f"{out}/consolidated/duplicates")
     assert master.count() == 4 and dups.count() == 1
+    assert "raw" in master.columns and "techcorp" in dups.first()["raw"].lower()
     assert dups.first()["duplicate_reason"] == "exact_url"
     csv = spark.read.option("header", True).csv(f"{out}/consolidated/master_csv")
     assert csv.columns == ["id", "url", "title", "company", "location", "session"]
     assert spark.read.json(f"{out}/consolidated/rejects").count() == 1
 
     report = jobs.deduplicate(postings, f"{out}/dedup", fuzzy=True)
-    assert "# Job Deduplication Report" in report and "exact_url" in report
+    assert "# Entity resolution" in report and "| exact_url |" in report
     assert spark.read.parquet(f"{out}/dedup/unique").count() == 4
 
     matched = jobs.filter_postings(postings, {"job_types": ["Full-time"], "salary_min": 40000},

@@ -113,3 +113,36 @@ def test_writers_csv_skip_and_compact_index(spark):
     entries = spark.createDataFrame([("by_company", "acme", 2, "m2"), ("by_company", "acme", 1, "m1")],
                                     "index_name string, key string, seq bigint, master_id string")
     assert compact_index(entries).first()["master_ids"] == ["m1", "m2"]
+
+
+def test_api_files_empty_broken_or_no_array(spark, tmp_path):
+    from hirelake.sources.ingest import read_sessions, session_files, session_stats
+    for session, api, job in (("session_a", "[]", "{}"), ("session_b", '{"id": 1}', "{}"), ("session_c", '[{"id": 1}, {"id": "x"}]', None),
+                              ("session_d", None, "{broken"), ("session_e", '[{"id": 1}, {"id"', "{}")):
+        folder = tmp_path / session
+        (folder / "jobs").mkdir(parents=True)
+        if api is not None:
+            (folder / "api_response_all.json").write_text(api)
+        if job is not None:
+            (folder / "jobs" / "1.json").write_text(job)
+    raw, rejects = read_sessions(spark, str(tmp_path))
+    assert sorted((r["session"], r["pos"]) for r in raw.select("session", "pos").collect()) == [("session_c", 0), ("session_c", 1)]
+    assert sorted((r["session"], r["error"]) for r in rejects.collect()) == [
+        ("session_b", "not a JSON array"), ("session_d", "invalid JSON"), ("session_e", "invalid JSON")]
+    files = session_files(spark, str(tmp_path))
+    stats = {r["session"]: (r["status"], r["jobs_contributed"], r["structure_type"])
+             for r in session_stats(raw, files.select("session"), files).collect()}
+    assert stats["session_a"] == ("success", 0, "api_response") and stats["session_d"] == ("success", 0, "jobs_directory")
+    assert stats["session_c"][1] == 2
+
+
+def test_label_values_end_at_the_line_or_the_next_label(spark):
+    from pyspark.sql import functions as F
+
+    from hirelake.operators.quality import alias_fields, audit, strip_tags
+    long = "x" * 200
+    html = f"<div><p>Position: Data Analyst Unternehmen: ACME GmbH</p>Beschreibung: {long}<br>[{'a' * 58}]</div>"
+    pages = spark.createDataFrame([(1, html)], "page_id int, html string").select("page_id", strip_tags(F.col("html")).alias("text"))
+    got = {r["field"]: r["value"] for r in alias_fields(pages, "page_id", "text").collect()}
+    assert got["title"] == "Data Analyst" and got["company"] == "ACME GmbH" and got["description"] == long
+    assert {r["issue"]: r["occurrences"] for r in audit(pages, "page_id", "text").collect()}["placeholder"] == 1

@@ -5,7 +5,6 @@ from datetime import datetime, timedelta
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-import bruteforce as bf
 from hirelake.operators import tracker as trk
 from hirelake.operators.keepfirst import keep_first
 from hirelake.sources.schema import conform
@@ -36,10 +35,18 @@ row = st.tuples(st.sampled_from([None, "", "u1", "u2", "u3"]), st.sampled_from([
 
 @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(row, min_size=1, max_size=12))
-def test_keep_first_equals_sequential(spark, rows):
+def test_keep_first_invariants(spark, rows):
+    """What defines the result: kept rows share no url and no key, and a row is a duplicate exactly if an earlier kept
+    row has its url (reason exact_url) or else its key (fuzzy_match)."""
     data = [(i + 1, u, c, t, lo) for i, (u, c, t, lo) in enumerate(rows)]
-    want = bf.keep_first([{"seq": s, "url": u, "company": c, "title": t, "location": lo} for s, u, c, t, lo in data])
-    assert _run(spark, data) == want
+    got = _run(spark, data)
+    key = {s: (c.replace(" gmbh", "").lower(), t, lo) for s, u, c, t, lo in data}
+    url = {s: u or None for s, u, *_ in data}
+    kept = [s for s in got if got[s] == "unique"]
+    for s, what in got.items():
+        by_url = any(k < s and url[k] and url[k] == url[s] for k in kept)
+        by_key = any(k < s and key[k] == key[s] for k in kept)
+        assert what == ("exact_url" if by_url else "fuzzy_match" if by_key else "unique")
 
 
 T0 = datetime(2025, 11, 22, 10, 0, 0)
@@ -74,3 +81,10 @@ def test_completion_rate_zero_total(spark):
     stats = {r["session"]: r for r in trk.session_statistics(trk.tracker_state(ev), sessions).collect()}
     assert stats["s"]["completion_rate"] == 0.0 and stats["s"]["successful"] == 1
     assert stats["s2"]["completion_rate"] == 0.0 and stats["s2"]["successful"] == 0
+
+
+def test_open_resets_the_session(spark):
+    ev = _events(spark, [("p", 1, "add", "j1", "A", "t", "in_progress", "d", None), ("p", 2, "session_open", None, None, None, None, None, None),
+                         ("p", 3, "update", "j1", None, None, "completed", None, None), ("p", 4, "add", "j2", "B", "t", "failed", "d", None),
+                         ("q", 5, "add", "j1", "A", "t", "failed", "d", None)])
+    assert sorted((r["session"], r["job_id"]) for r in trk.tracker_state(ev).collect()) == [("p", "j2"), ("q", "j1")]
