@@ -8,7 +8,7 @@ the same way as the Spark side (see ``hirelake.functions.text``) because DuckDB'
 from __future__ import annotations
 
 from hirelake.functions.text import EMAIL_PATTERN, PHONE_PATTERN
-from hirelake.sources.views import POSTINGS_V1_SQL, TEXT_POSTINGS_V3_SQL, TRACKER_EVENTS_V4_SQL
+from hirelake.sources.views import LABELLED_PAGES_SQL, POSTINGS_V1_SQL, TEXT_POSTINGS_V3_SQL, TRACKER_EVENTS_V4_SQL
 
 WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
 NONWORD = r"[^\p{L}\p{N}_\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
@@ -515,17 +515,49 @@ from v1"""
 
 def _alias_sql() -> str:
     from hirelake.operators.quality import RULES
-    text = ("trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace("
-            "regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), "
-            "'<[^>]*>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), "
-            "'\\s+', ' ', 'g'))")
+
+    def alternatives(aliases) -> str:
+        return "|".join(a.replace("'", "''") for a in aliases)
+    entities = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " ")]
+    text = "s0"
+    for entity, char in entities:
+        text = f"replace({text}, '{entity}', '{char}')"
+    label = "|".join(alternatives(r[-1]) for r in RULES)
     parts = []
     for _, field, *_rest, aliases in RULES:
-        alt = "|".join(a.replace("'", "''").replace("(", "\\(").replace(")", "\\)") for a in aliases)
-        pat = f"(?i)(?:^|[^\\p{{L}}])(?:{alt})\\s*:\\s*([^\\n:]{{1,80}})"
-        parts.append(f"select page_id, '{field}' as field, trim(regexp_extract(t, '{pat}', 1)) as value, 90 as confidence "
-                     f"from tx where regexp_extract(t, '{pat}', 1) <> ''")
-    return f"with tx as (select page_id, {text} as t from pages)\n" + "\nunion all\n".join(parts)
+        value = (f"trim(regexp_replace(regexp_extract(t, '(?i)(?:^|[^\\p{{L}}])(?:{alternatives(aliases)})[ ]*:[ ]*([^\\n]+)', 1), "
+                 f"'(?i)(?:^|[^\\p{{L}}])(?:{label})\\s*:.*$', ''))")
+        parts.append(f"select page, '{field}' as field, {value} as value, 90 as confidence from tx where {value} <> ''")
+    return rf"""with h as (select 'pages:' || page_id as page, html from pages
+  union all select 'labelled:' || page_id, html from ({LABELLED_PAGES_SQL})),
+a as (select page, regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g') as s0 from h),
+b as (select page, regexp_replace(s0, '(?s)<!--.*?-->', ' ', 'g') as s0 from a),
+c as (select page, regexp_replace(s0, '(?i)</?(p|div|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|dt|dd|title)\b[^>]*>|<br\s*/?>', chr(10), 'g') as s0 from b),
+d as (select page, regexp_replace(s0, '<[^>]*>', ' ', 'g') as s0 from c),
+e as (select page, {text} as s0 from d),
+f as (select page, regexp_replace(s0, '[ \t\r\f]+', ' ', 'g') as s0 from e),
+tx as (select page, regexp_replace(regexp_replace(s0, ' ?\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g') as t from f)
+""" + "\nunion all\n".join(parts)
 
 
 ORACLES["pages_alias_fields"] = _alias_sql()
+
+# V6 chains: edge n of a customer carries the order's own value, else what edge n - 1 carried if it was merged earlier.
+_OWN = [("contact_email", "case when o_orderkey % 3 = 0 then 'o' || o_orderkey || '@example.org' end"),
+        ("salary", "case when o_orderkey % 7 = 0 then o_totalprice end"),
+        ("benefits", "case when o_orderkey % 4 = 1 then o_orderpriority end")]
+ORACLES["dedup_fill_chain"] = f"""with recursive o as (
+  select o_custkey as ck, o_orderkey as k, o_orderpriority as ses, {', '.join(f'{sql} as {f}' for f, sql in _OWN)},
+    row_number() over (partition by o_custkey order by o_orderkey) as n from orders),
+e as (select c.ck, c.n, c.k, c.k + case when c.k % 5 = 0 then 1000000000000 else 0 end as g, d.ses,
+    {', '.join(f'd.{f}' for f, _ in _OWN)} from o c join o d on c.ck = d.ck and d.n = c.n - 1),
+r as (select * from e where n = 2
+  union all
+  select e.ck, e.n, e.k, e.g, e.ses, {', '.join(f'coalesce(e.{f}, case when r.g < e.g then r.{f} end)' for f, _ in _OWN)}
+  from r join e on e.ck = r.ck and e.n = r.n + 1)
+select k as canonical_seq, contact_email, case when contact_email is not null then ses end as contact_email_source, salary,
+  coalesce(benefits, '') as benefits from r"""
+
+ORACLES["filter_city_aliases"] = f"""with {V1},
+m as (select seq, case when seq % 7 = 0 then 'München' else location_city end as location_city, location_city is not null as present from v1)
+select seq, location_city from m where present and lower(location_city) in ('nation_3', 'munich', 'münchen')"""

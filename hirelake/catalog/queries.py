@@ -388,10 +388,14 @@ def pages_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("pages_alias_fields")
 def pages_alias_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q6 over the raw pages and the labelled pages of V5b."""
     from hirelake.operators.quality import alias_fields, strip_tags
     from hirelake.sources.tables import table
-    pages = table(spark, sf_dir, "pages", ["page_id", "html"]).select("page_id", strip_tags(F.col("html")).alias("text"))
-    return alias_fields(pages, "page_id", "text")
+    from hirelake.sources.views import labelled_pages
+    pages = table(spark, sf_dir, "pages", ["page_id", "html"]).withColumn("origin", F.lit("pages"))
+    both = pages.unionByName(labelled_pages(spark, sf_dir).withColumn("origin", F.lit("labelled")))
+    texts = both.select(F.concat_ws(":", "origin", "page_id").alias("page"), strip_tags(F.col("html")).alias("text"))
+    return alias_fields(texts, "page", "text")
 
 
 @register("documents_audit")
@@ -459,3 +463,27 @@ def filter_missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """per posting, the fields an active criterion of the sample search needed but it lacks."""
     out = flt.missing_fields(postings_v1(spark, sf_dir), SAMPLE_SEARCH)
     return out.select("seq", F.concat_ws(",", "missing_fields").alias("missing_fields"))
+
+
+@register("dedup_fill_chain")
+def dedup_fill_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W7 over chains of merges (V6): what each canonical is filled with, and from which session."""
+    from hirelake.operators.dedup import fold_fills
+    from hirelake.sources.views import merge_chains
+    edges, own = merge_chains(spark, sf_dir)
+    out = fold_fills(edges, own)
+    return out.select(F.col("c").alias("canonical_seq"), F.col("first_contact_email.v").alias("contact_email"),
+                      F.col("first_contact_email.src").alias("contact_email_source"),
+                      F.col("first_salary.v").alias("salary"), F.concat_ws(",", "first_benefits.v").alias("benefits"))
+
+
+# A third saved search: a city by its other name.
+ALIAS_SEARCH = flt.Criteria(cities=["NATION_3", "Munich"], expand_city_aliases=True)
+
+
+@register("filter_city_aliases")
+def filter_city_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The city filter with the alias table, over V1 with every seventh posting moved to an aliased city."""
+    v1 = postings_v1(spark, sf_dir)
+    moved = F.when(F.col("seq") % 7 == 0, F.lit("M\u00fcnchen")).otherwise(F.col("location_city"))
+    return flt.apply_filters(v1.withColumn("location_city", moved), ALIAS_SEARCH, AS_OF).select("seq", "location_city")

@@ -167,7 +167,7 @@ def group_table(edges: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ merge
 
-def _fold_fills(edges: DataFrame, own: DataFrame) -> DataFrame:
+def fold_fills(edges: DataFrame, own: DataFrame) -> DataFrame:
     """Value of each fill field at the time of each merge edge (section 4.5).
 
     ``val(e=(c, d, g))`` = d's own value, else the value of d's earliest out-edge
@@ -218,7 +218,7 @@ def merge_duplicates(postings: DataFrame, edges: DataFrame, threshold: int = MER
     """
     merge_edges = edges.where(F.col("confidence") >= threshold)
     own = prepare(postings).select("seq", *[F.col(f"own_{f}") for f in FILL_FIELDS])
-    first = _fold_fills(merge_edges, own)
+    first = fold_fills(merge_edges, own)
     filled_cols = []
     for f in FILL_FIELDS:
         filled_cols += [F.col(f"first_{f}.v").alias(f"fill_{f}"), F.col(f"first_{f}.src").alias(f"fill_{f}_src")]

@@ -48,12 +48,17 @@ def index_entries(master: DataFrame) -> DataFrame:
     """A4, tall: ``(index_name, key, seq, master_id)`` for by_session, by_company, by_location.
     ``master`` is ingested postings (with ``raw``)."""
     raw = F.col("raw")
-    by_session = master.select(F.lit("by_session").alias("index_name"), F.col("session").alias("key"), "seq", "master_id")
-    by_company = master.select(F.lit("by_company").alias("index_name"), _company_key(raw).alias("key"), "seq", "master_id")
-    by_location = master.select(F.lit("by_location").alias("index_name"), _location_key(raw).alias("key"), "seq",
-                                "master_id")
-    return (by_session.unionByName(by_company.where(F.col("key").isNotNull()))
-            .unionByName(by_location.where(F.col("key").isNotNull())))
+
+    def entry(name: str, key: Column) -> Column:
+        return F.struct(F.lit(name).alias("index_name"), key.alias("key"))
+
+    def where_known(name: str, key: Column) -> Column:
+        return F.when(key.isNotNull(), entry(name, key))
+    entries = F.array_compact(F.array(entry("by_session", F.col("session")),
+                                      where_known("by_company", _company_key(raw)),
+                                      where_known("by_location", _location_key(raw))))
+    return (master.select("seq", "master_id", F.explode(entries).alias("e"))   # one read of the master
+            .select("e.index_name", "e.key", "seq", "master_id"))
 
 
 def index_summary(entries: DataFrame) -> DataFrame:

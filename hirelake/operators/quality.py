@@ -13,6 +13,9 @@ tiers, types, minimum confidences, patterns, enumerations and aliases).
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,9 +68,22 @@ TIER_WEIGHT = {"required": 3.0, "high_priority": 2.0, "medium_priority": 1.0, "o
 GRADE_CUTS = [(85.0, "A"), (70.0, "B"), (55.0, "C"), (40.0, "D")]
 
 
-def rules_table(spark: SparkSession) -> DataFrame:
+def load_rules(spark: SparkSession, path: str) -> list[tuple]:
+    """Rules of a user's schema file (JSON with the tiers under ``extraction_schema``), in the form of ``RULES``.
+
+    Fields of an unknown tier, such as ``custom_fields``, count as optional in the score. A configuration file: one
+    object, read whole.
+    """
+    lines = spark.read.text(path, wholetext=True).collect()
+    schema = json.loads(lines[0]["value"])["extraction_schema"]
+    return [(tier if tier in TIER_WEIGHT else "optional", name, f.get("type", "string"), int(f.get("min_confidence", 0)),
+             f.get("pattern"), f.get("values"), list(f.get("aliases", [])))
+            for tier, fields in schema.items() for name, f in fields.items()]
+
+
+def rules_table(spark: SparkSession, rules: list[tuple] = RULES) -> DataFrame:
     """The extraction schema as a rules DataFrame."""
-    rows = [(t, f, ty, mc, p, v, a, TIER_WEIGHT[t]) for t, f, ty, mc, p, v, a in RULES]
+    rows = [(t, f, ty, mc, p, v, a, TIER_WEIGHT[t]) for t, f, ty, mc, p, v, a in rules]
     return spark.createDataFrame(rows, "tier string, field string, type string, min_confidence int, pattern string, "
                                        "allowed array<string>, aliases array<string>, weight double")
 
@@ -89,12 +105,12 @@ def _cell(raw: Column, path: str, field: str) -> Column:
                                           kind.alias("value_type")))
 
 
-def field_cells(records: DataFrame) -> DataFrame:
+def field_cells(records: DataFrame, fields: list[str]) -> DataFrame:
     """Tall ``(seq, field, value, confidence, value_type)``: every schema field a record
     carries, from ``data.*`` (extraction records), ``job.*`` (nested jobs) or the root."""
     raw = F.col("raw")
     cells = []
-    for _, field, *_ in RULES:
+    for field in fields:
         from_data = _cell(raw, f"$.data.{field}", field)
         from_job = _cell(raw, f"$.job.{field}", field)
         from_root = _cell(raw, f"$.{field}", field)
@@ -106,7 +122,8 @@ def field_cells(records: DataFrame) -> DataFrame:
 def conformance(records: DataFrame, rules: DataFrame) -> DataFrame:
     """Q1: one row per present field with ``valid`` and ``reason``
     (``type``, ``pattern``, ``enum``, ``low_confidence`` or ``ok``)."""
-    c = field_cells(records).join(F.broadcast(rules), "field")   # rules: 16 fixed rows
+    fields = [r["field"] for r in rules.select("field").collect()]   # a schema's fields, some dozens
+    c = field_cells(records, fields).join(F.broadcast(rules), "field")
     type_ok = (F.when(F.col("type").isin("string", "email", "phone", "date"), F.col("value_type") == "string")
                .when(F.col("type") == "number", F.col("value_type") == "number")
                .when(F.col("type") == "array", F.col("value_type") == "array")
@@ -132,7 +149,7 @@ def conformance_summary(checked: DataFrame) -> DataFrame:
 
 def grades(checked: DataFrame, records: DataFrame, rules: DataFrame) -> DataFrame:
     """Q2: per posting, fields found, tier-weighted completeness (kept fields) and grade A-F."""
-    total_weight = sum(TIER_WEIGHT[t] for t, *_ in RULES)
+    total_weight = rules.agg(F.sum("weight")).first()[0] or 1.0
     per = checked.groupBy("seq").agg(
         F.count_if("kept").alias("fields_found"),
         F.sum(F.when(F.col("kept"), F.col("weight")).otherwise(0.0)).alias("w"),
@@ -218,16 +235,18 @@ def strip_tags(html: Column) -> Column:
     return F.regexp_replace(s, r"^\s+|\s+$", "")
 
 
-def alias_fields(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def alias_fields(texts: DataFrame, id_col: str, text_col: str, rules: list[tuple] = RULES) -> DataFrame:
     """Q6 (ours): for each schema field, the first ``<alias>: value`` in the text; the value ends
     with its line or before the next known label, however long it is
     (aliases in en/de/fr/es, case-insensitive), with confidence 90 for a label
     followed by a colon. Tall output: ``(id, field, value, confidence)``."""
     def either(aliases) -> str:
-        return "|".join(a.replace("(", r"\(").replace(")", r"\)") for a in aliases)
-    next_label = rf"(?iu)(?:^|[^\p{{L}}])(?:{'|'.join(either(r[-1]) for r in RULES)})\s*:.*$"
+        return "|".join(re.sub(r"([^\w\s'-])", r"\\\1", a) for a in aliases)
+    next_label = rf"(?iu)(?:^|[^\p{{L}}])(?:{'|'.join(either(r[-1]) for r in rules if r[-1])})\s*:.*$"
     cells = []
-    for _, field, *_rest, aliases in RULES:
+    for _, field, *_rest, aliases in rules:
+        if not aliases:
+            continue
         pat = rf"(?iu)(?:^|[^\p{{L}}])(?:{either(aliases)})[^\S\n]*:[^\S\n]*([^\n]+)"
         v = F.trim(F.regexp_replace(F.regexp_extract(F.col(text_col), pat, 1), next_label, ""))
         cells.append(F.when(v != "", F.struct(F.lit(field).alias("field"), F.trim(v).alias("value"),

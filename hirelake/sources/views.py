@@ -8,7 +8,7 @@ posting record is ours and documented per view.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hirelake.functions.text import EMAIL_PATTERN, first_email
@@ -219,3 +219,39 @@ def raw_postings_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(
         "session", F.format_string("%06d.json", F.col("seq")).alias("source_file"), F.lit(0).alias("pos"),
         F.when(k == 0, api).when(k == 1, nested).otherwise(data).alias("value"))
+
+
+def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, html)`` of a posting page per part, with labelled fields: two labels in one line, a long
+    value, an entity, a label without a following space, and one inside a comment (not visible)."""
+    p = table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
+    text = F.concat(F.lit("<html><style>role: none</style><body><h1>Position: "), F.col("p_name"),
+                    F.lit("</h1><p>Unternehmen: "), F.col("p_brand"), F.lit(" Gehalt: "), F.col("p_size").cast("string"),
+                    F.lit("000 EUR<br>Beschreibung: "), F.repeat(F.concat(F.col("p_name"), F.lit(" &amp; more. ")), F.lit(20)),
+                    F.lit("</p><!-- Niveau: hidden --><div>HOMEOFFICE:"), F.col("p_type"), F.lit("</div></body></html>"))
+    return p.select(F.col("p_partkey").alias("page_id"), text.alias("html"))
+
+
+LABELLED_PAGES_SQL = """
+select p_partkey as page_id, '<html><style>role: none</style><body><h1>Position: ' || p_name || '</h1><p>Unternehmen: ' || p_brand
+  || ' Gehalt: ' || p_size || '000 EUR<br>Beschreibung: ' || repeat(p_name || ' &amp; more. ', 20)
+  || '</p><!-- Niveau: hidden --><div>HOMEOFFICE:' || p_type || '</div></body></html>' as html
+from part"""
+
+
+def merge_chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """V6: merge edges in chains, and the postings' own fill values. Each order is merged into its customer's next
+    one, so a customer with 25 orders is a chain of 24 edges; every fifth edge is merged after all the others. A value
+    is own to some orders only, and must travel down the chain as far as the merge order lets it."""
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"])
+    key = F.col("o_orderkey")
+    later = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    edges = (o.select(later.alias("canonical_seq"), key.alias("dup_seq"), F.col("o_orderpriority").alias("dup_session"))
+             .where(F.col("canonical_seq").isNotNull())
+             .withColumn("group_seq", F.col("canonical_seq") + F.when(F.col("canonical_seq") % 5 == 0, 10**12).otherwise(0)))
+    own = o.select(key.alias("seq"),
+                   F.when(key % 3 == 0, F.concat(F.lit("o"), key.cast("string"), F.lit("@example.org"))).alias("own_contact_email"),
+                   F.when(key % 7 == 0, F.col("o_totalprice")).alias("own_salary"),
+                   F.when(key % 4 == 1, F.array("o_orderpriority")).alias("own_benefits"),
+                   F.lit(None).cast("array<string>").alias("own_requirements"))
+    return edges, own

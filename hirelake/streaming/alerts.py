@@ -1,10 +1,9 @@
 """Saved-search alerts (T3): each micro-batch of new postings is matched against a
 set of saved searches.
 
-Saved searches are configuration (one ``Criteria`` each, like the reference's
-criteria files), so each becomes its own narrow filter plan over the persisted
-batch -- inactive criteria never enter a plan and no posting x search product
-is formed. Matches are appended per batch (overwrite of the batch's own
+Saved searches are configuration (one ``Criteria`` each), so a batch is read once:
+one projection tests every search and explodes the ids of those that match --
+inactive criteria never enter the plan and no posting x search product is formed. Matches are appended per batch (overwrite of the batch's own
 folder, so a replayed batch does not duplicate alerts).
 """
 
@@ -12,22 +11,25 @@ from __future__ import annotations
 
 import os
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.operators.filters import Criteria, apply_filters
+from hirelake.operators.filters import Criteria, predicates
 
 
 def match_searches(postings: DataFrame, searches: dict[str, Criteria], as_of: datetime) -> DataFrame:
-    """Union over saved searches of the F9 matches, tagged with ``search_id``."""
-    out = None
+    """``(search_id, seq, id, title, company, match_score)``: a row per posting and saved search that it matches."""
+    hits = []
     for search_id, criteria in searches.items():
-        m = apply_filters(postings, criteria, as_of).select(
-            F.lit(search_id).alias("search_id"), "seq", "id", "title", "company",
-            F.col("filter_match.match_score").alias("match_score"))
-        out = m if out is None else out.unionByName(m)
-    return out
+        keep = reduce(lambda a, b: a & b, [p for _, _, p in predicates(postings, criteria, as_of)], F.lit(True))
+        # F9 is all or nothing: what is kept meets every active criterion
+        hits.append(F.when(keep, F.struct(F.lit(search_id).alias("search_id"), F.lit(100).alias("match_score"))))
+    found = (F.array_compact(F.array(*hits)) if hits
+             else F.array().cast("array<struct<search_id:string,match_score:int>>"))
+    return (postings.select("seq", "id", "title", "company", F.explode(found).alias("hit"))
+            .select("hit.search_id", "seq", "id", "title", "company", "hit.match_score"))
 
 
 def fold_batch(out_path: str, searches: dict[str, Criteria], as_of: datetime):

@@ -102,3 +102,37 @@ def test_sequence_plan_has_no_single_partition_window(spark):
     rows = out.collect()
     assert sorted(r["seq"] for r in rows) == list(range(1, 1001))
     assert all(r["seq"] == r["k"] + 1 for r in rows)
+
+
+def test_user_schema_file_gives_rules_and_labels(spark, tmp_path):
+    import json
+
+    from hirelake.operators.quality import alias_fields, conformance, load_rules, rules_table
+    schema = {"extraction_schema": {
+        "required": {"title": {"type": "string", "aliases": ["posición (título)"], "min_confidence": 80}},
+        "custom_fields": {"visa": {"type": "string", "aliases": ["visa"], "values": ["yes", "no"], "min_confidence": 50},
+                          "plain": {"type": "number"}}}}
+    path = tmp_path / "schema.json"
+    path.write_text(json.dumps(schema, indent=1, ensure_ascii=False), encoding="utf-8")
+    rules = load_rules(spark, str(path))
+    assert [(r[0], r[1], r[3]) for r in rules] == [("required", "title", 80), ("optional", "visa", 50), ("optional", "plain", 0)]
+    raw = spark.createDataFrame([(1, '{"title": "Cook", "visa": "maybe", "salary": 3}'), (2, '{"visa": "no", "plain": 7}')],
+                                "seq bigint, j string").selectExpr("seq", "parse_json(j) as raw")
+    got = {(r["seq"], r["field"], r["reason"]) for r in conformance(raw, rules_table(spark, rules)).collect()}
+    assert got == {(1, "title", "ok"), (1, "visa", "enum"), (2, "visa", "ok"), (2, "plain", "ok")}
+    texts = spark.createDataFrame([(1, "Posición (título): Cook Visa: yes")], "id int, t string")
+    found = {(r["field"], r["value"]) for r in alias_fields(texts, "id", "t", rules).collect()}
+    assert found == {("title", "Cook"), ("visa", "yes")}
+
+
+def test_a_posting_alerts_every_search_it_matches(spark):
+    from hirelake.catalog.queries import AS_OF
+    from hirelake.operators.filters import Criteria
+    from hirelake.sources.views import postings_v1
+    from hirelake.streaming.alerts import match_searches
+    v1 = postings_v1(spark, "/root/testdata/sf0.001")
+    n = v1.count()
+    none = match_searches(v1, {}, AS_OF)
+    assert none.count() == 0 and none.columns == ["search_id", "seq", "id", "title", "company", "match_score"]
+    got = match_searches(v1, {"all": Criteria(), "no": Criteria(company_contains="nowhere"), "again": Criteria()}, AS_OF)
+    assert {r["search_id"]: r["count"] for r in got.groupBy("search_id").count().collect()} == {"all": n, "again": n}
