@@ -561,3 +561,23 @@ select k as canonical_seq, contact_email, case when contact_email is not null th
 ORACLES["filter_city_aliases"] = f"""with {V1},
 m as (select seq, case when seq % 7 = 0 then 'München' else location_city end as location_city, location_city is not null as present from v1)
 select seq, location_city from m where present and lower(location_city) in ('nation_3', 'munich', 'münchen')"""
+
+_SESSIONS = """with w as (
+  select 's' || (user_id % 5) as session, event_id as seq, ts, user_id, event_type as et,
+    event_type = 'error' and event_id % 400 = 0 as opened, event_type = 'purchase' and event_id % 100 = 0 as closed
+  from events where event_type in ('signup', 'view', 'purchase', 'error', 'click')),
+op as (select session, max(seq) as oseq, arg_max(ts, seq) as ots, arg_max(user_id, seq) as total from w where opened group by 1),
+cl as (select session, max(seq) as cseq, arg_max(ts, seq) as cts from w where closed group by 1),
+a as (select session, user_id, max(seq) as aseq from w where et = 'signup' group by 1, 2),
+live as (select a.* from a left join op using (session) where oseq is null or aseq > oseq)"""
+ORACLES["tracker_lifecycle"] = _SESSIONS + """
+select op.session, strftime(ots, '%Y-%m-%d %H:%M:%S.%f') as started_at,
+  case when cseq > oseq then strftime(cts, '%Y-%m-%d %H:%M:%S.%f') end as completed_at, 'all' as source_filter, total::bigint as total_jobs,
+  (select count(*) from live where live.session = op.session) as live
+from op left join cl on cl.session = op.session"""
+ORACLES["tracker_retry"] = _SESSIONS + """,
+u as (select l.session, l.user_id,
+    arg_max(w.et, w.seq) filter (w.et in ('view', 'purchase', 'error')) as last_et,
+    arg_max(w.seq % 2, w.seq) filter (w.et = 'click') as flag
+  from live l join w on w.session = l.session and w.user_id = l.user_id and w.seq > l.aseq and not w.opened and not w.closed group by 1, 2)
+select session, user_id::varchar as job_id, 'title_' || user_id as title, 'failed' as status from u where last_et = 'error' and flag = 0"""

@@ -487,3 +487,23 @@ def filter_city_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     v1 = postings_v1(spark, sf_dir)
     moved = F.when(F.col("seq") % 7 == 0, F.lit("M\u00fcnchen")).otherwise(F.col("location_city"))
     return flt.apply_filters(v1.withColumn("location_city", moved), ALIAS_SEARCH, AS_OF).select("seq", "location_city")
+
+
+@register("tracker_lifecycle")
+def tracker_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 over V4b: each opened session with its live entries, those added after its last open."""
+    from hirelake.operators.tracker import session_lifecycle, tracker_state
+    from hirelake.sources.views import tracker_sessions_v4
+    events = tracker_sessions_v4(spark, sf_dir)
+    live = tracker_state(events).groupBy("session").agg(F.count(F.lit(1)).alias("live"))
+    out = session_lifecycle(events).join(live, "session", "left")
+    return out.select("session", _ts(F.col("started_at")).alias("started_at"), _ts(F.col("completed_at")).alias("completed_at"),
+                      "source_filter", "total_jobs", F.coalesce("live", F.lit(0)).cast("bigint").alias("live"))
+
+
+@register("tracker_retry")
+def tracker_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5 over V4b: live failed entries that may be tried again."""
+    from hirelake.operators.tracker import retry_list, tracker_state
+    from hirelake.sources.views import tracker_sessions_v4
+    return retry_list(tracker_state(tracker_sessions_v4(spark, sf_dir))).select("session", "job_id", "title", "status")

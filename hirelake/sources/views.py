@@ -8,7 +8,7 @@ posting record is ours and documented per view.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hirelake.functions.text import EMAIL_PATTERN, first_email
@@ -159,12 +159,17 @@ def tracker_events_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_to_tracker(e: DataFrame) -> DataFrame:
     """The V4 mapping on any (batch or streaming) ``events`` DataFrame."""
+    return e.select(events_to_tracker_columns()).select("v.*").filter(F.col("kind").isNotNull())
+
+
+def events_to_tracker_columns() -> Column:
+    """The V4 mapping as one struct ``v``; its ``kind`` is NULL for events that are no tracker events."""
     et = F.col("event_type")
     kind = F.when(et == "signup", "add").when(et.isin("view", "purchase", "error", "click"), "update")
     status = (F.when(et.isin("signup", "view"), "in_progress").when(et == "purchase", "completed")
               .when(et == "error", "failed"))
     k = F.get_json_object(F.col("props"), "$.k")
-    return e.select(
+    return F.struct(
         F.lit("s0").alias("session"),
         F.col("event_id").cast("bigint").alias("seq"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -174,8 +179,7 @@ def events_to_tracker(e: DataFrame) -> DataFrame:
         F.when(et == "signup", F.concat(F.lit("title_"), F.col("user_id").cast("string"))).alias("title"),
         status.alias("status"),
         F.when(et == "signup", F.concat(F.lit("applications/"), F.col("user_id").cast("string"))).alias("directory"),
-        F.when((et == "click") & k.isNotNull(), F.create_map(F.lit("k"), k)).alias("extra"),
-    ).filter(F.col("kind").isNotNull())
+        F.when((et == "click") & k.isNotNull(), F.create_map(F.lit("k"), k)).alias("extra")).alias("v")
 
 
 TRACKER_EVENTS_V4_SQL = """
@@ -255,3 +259,21 @@ def merge_chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
                    F.when(key % 4 == 1, F.array("o_orderpriority")).alias("own_benefits"),
                    F.lit(None).cast("array<string>").alias("own_requirements"))
     return edges, own
+
+
+def tracker_sessions_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracker events dealt over five sessions, with opens (errors whose id 400 divides), closes (purchases
+    whose id 100 divides) and a ``retry_possible`` flag on clicks."""
+    e = table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "props"])
+    opened = (F.col("event_type") == "error") & (F.col("event_id") % 400 == 0)
+    closed = (F.col("event_type") == "purchase") & (F.col("event_id") % 100 == 0)
+    flag = F.when(F.col("event_id") % 2 == 0, "true").otherwise("false")
+    t = e.withColumns({"opened": opened, "closed": closed, "flag": flag})
+    t = t.select(events_to_tracker_columns(), "opened", "closed", "flag", F.col("user_id").alias("user"),
+                 F.col("event_type").alias("et")).select("v.*", "opened", "closed", "flag", "user", "et").where(F.col("kind").isNotNull())
+    extra = (F.when(F.col("opened"), F.create_map(F.lit("source_filter"), F.lit("all"), F.lit("total_jobs"), F.col("user").cast("string")))
+             .when(F.col("et") == "click", F.create_map(F.lit("retry_possible"), F.col("flag"))))
+    return t.select(F.concat(F.lit("s"), (F.col("user") % 5).cast("string")).alias("session"), "seq", "ts",
+                    F.when(F.col("opened"), "session_open").when(F.col("closed"), "session_close").otherwise(F.col("kind")).alias("kind"),
+                    F.when(~F.col("opened") & ~F.col("closed"), F.col("job_id")).alias("job_id"),
+                    "company", "title", "status", "directory", extra.alias("extra"))
