@@ -8,7 +8,7 @@ the same way as the Spark side (see ``hirelake.functions.text``) because DuckDB'
 from __future__ import annotations
 
 from hirelake.functions.text import EMAIL_PATTERN, PHONE_PATTERN
-from hirelake.sources.views import LABELLED_PAGES_SQL, POSTINGS_V1_SQL, TEXT_POSTINGS_V3_SQL, TRACKER_EVENTS_V4_SQL
+from hirelake.sources.views import LABELLED_PAGES_SQL, POSTINGS_V1_SQL, RECORDS_V2B_SQL, TEXT_POSTINGS_V3_SQL, TRACKER_EVENTS_V4_SQL
 
 WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
 NONWORD = r"[^\p{L}\p{N}_\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
@@ -232,7 +232,7 @@ _DEDUP = _dedup_sql(V1, "v1", _COMPL, norm_text("coalesce(location_city, '') ||
 ORACLES["dedup_groups"] = _DEDUP + """
 select group_id, strategy, cid as canonical_id, did as dup_id, confidence, description_similarity from eg"""
 
-ORACLES["dedup_unique"] = _DEDUP + """
+_UNIQUE = """
 select u.seq, u.master_id, u.f_email as contact_email, u.email_src as contact_email_source,
   u.f_sal_present as salary_present, u.f_sal_min as salary_min, u.sal_src as salary_source,
   m.dcount as duplicate_count, m.strategy as merge_strategy, m.confidence as merge_confidence,
@@ -240,6 +240,14 @@ select u.seq, u.master_id, u.f_email as contact_email, u.email_src as contact_em
   array_to_string(list_transform(m.urls, lambda x: coalesce(x, '<null>')), ',') as duplicate_urls,
   array_to_string(list_transform(m.sessions, lambda x: coalesce(x, '<null>')), ',') as session_sources
 from uniq u left join meta m on m.cseq = u.seq"""
+ORACLES["dedup_unique"] = _DEDUP + _UNIQUE
+
+# The flattened record of ingested JSON: the country is part of the key, lists count for the completeness.
+_COMPL2 = _COMPL.replace("/ 8.0", "+ has_requirements::int + has_benefits::int) / 8.0").replace("((case", "(((case", 1)
+_DEDUP2 = _dedup_sql(f"v2b as ({RECORDS_V2B_SQL})", "v2b", _COMPL2, norm_text("location_city || ' ' || country"))
+ORACLES["dedup_ingested_groups"] = _DEDUP2 + """
+select group_id, strategy, cid as canonical_id, did as dup_id, confidence, description_similarity from eg"""
+ORACLES["dedup_ingested_unique"] = _DEDUP2 + _UNIQUE
 
 ORACLES["dedup_summary"] = _DEDUP + """
 select (select count(*) from p) as total_jobs, (select count(*) from uniq) as unique_jobs,

@@ -117,8 +117,10 @@ def dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("dedup_unique")
 def dedup_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, merged = _dedup_v1(spark, sf_dir)
-    u = merged["unique"]
+    return _unique_out(_dedup_v1(spark, sf_dir)[2]["unique"])
+
+
+def _unique_out(u: DataFrame) -> DataFrame:
     m = F.col("duplicate_metadata")
     return u.select("seq", "master_id", "contact_email", "contact_email_source", "salary_present",
                     "salary_min", "salary_source",
@@ -210,6 +212,29 @@ def ingest_filter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flt.cascade_breakdown(_ingested(spark, sf_dir), SAMPLE_SEARCH, AS_OF)
 
 
+def _dedup_ingested(spark: SparkSession, sf_dir: str):
+    from hirelake.operators import dedup
+    from hirelake.session import reuse
+    from hirelake.sources.ingest import flattened, ingest, raw_from_strings
+    from hirelake.sources.views import raw_records_v2b
+    records = ingest(raw_from_strings(raw_records_v2b(spark, sf_dir)))
+    postings = reuse(flattened(records).drop("raw", "extraction_metadata"))
+    edges = dedup.detect_duplicates(postings, fuzzy=False)
+    return edges, dedup.merge_duplicates(postings, edges)
+
+
+@register("dedup_ingested_groups")
+def dedup_ingested_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 + J2 over the flattened record of ingested JSON."""
+    edges, _ = _dedup_ingested(spark, sf_dir)
+    return edges.select("group_id", "strategy", "canonical_id", "dup_id", "confidence", "description_similarity")
+
+
+@register("dedup_ingested_unique")
+def dedup_ingested_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unique_out(_dedup_ingested(spark, sf_dir)[1]["unique"])
+
+
 # ------------------------------------------------------------------ session master indexes (A3-A5)
 
 @register("index_entries")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hirelake.operators import dedup, filters, keepfirst, tracker
 from hirelake.operators.index import index_entries
 from hirelake.sinks import writers
-from hirelake.sources.ingest import ingest, read_sessions, session_files, session_stats
+from hirelake.sources.ingest import flattened, ingest, read_sessions, session_files, session_stats
 
 
 def consolidate(spark: SparkSession, sessions_root: str, out: str) -> DataFrame:
@@ -36,7 +36,10 @@ def consolidate(spark: SparkSession, sessions_root: str, out: str) -> DataFrame:
 
 
 def deduplicate(postings: DataFrame, out: str, fuzzy: bool = True, threshold: int = dedup.MERGE_THRESHOLD) -> str:
-    """Entry 2: three-stage entity resolution, merge, review queue, report."""
+    """Entry 2: three-stage entity resolution, merge, review queue, report. Postings that still carry their
+    ``raw`` record are resolved on the flattened record."""
+    if "raw" in postings.columns:
+        postings = flattened(postings).drop("raw", "extraction_metadata").persist()
     edges = dedup.detect_duplicates(postings, fuzzy=fuzzy).persist()
     merged = dedup.merge_duplicates(postings, edges, threshold)
     writers.write_dedup_outputs(merged["unique"].drop("raw"), edges, merged["review"], out)

@@ -43,11 +43,14 @@ COMPLETENESS_FIELDS = 8
 
 
 def completeness(df: DataFrame) -> Column:
-    """Share x100 of the 8 fields that are filled (non-empty string, object or list)."""
+    """Share x100 of the 8 fields that are filled (non-empty string, object or list), as the flattened
+    record says (``*_filled``), else as the typed columns show."""
+    def known(field: str, otherwise: Column) -> Column:
+        return df[f"{field}_filled"] if f"{field}_filled" in df.columns else otherwise
     filled = [
-        truthy_str(df["title"]), truthy_str(df["company"]),
-        F.coalesce(df["location_present"], F.lit(False)) | truthy_str(df["location"]),
-        truthy_str(df["description"]), F.coalesce(F.size(df["requirements"]) > 0, F.lit(False)),
+        known("title", truthy_str(df["title"])), known("company", truthy_str(df["company"])),
+        known("location", F.coalesce(df["location_present"], F.lit(False)) | truthy_str(df["location"])),
+        known("description", truthy_str(df["description"])), F.coalesce(F.size(df["requirements"]) > 0, F.lit(False)),
         F.coalesce(df["salary_present"], F.lit(False)), truthy_str(df["contact_email"]),
         F.coalesce(F.size(df["benefits"]) > 0, F.lit(False)),
     ]

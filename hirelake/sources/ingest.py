@@ -104,6 +104,22 @@ def session_files(spark: SparkSession, root: str) -> DataFrame:
     return found.groupBy("session").agg(F.min(F.struct("rank", "kind"))["kind"].alias("structure_type"))
 
 
+def read_master(spark: SparkSession, path: str, key: str = "jobs") -> tuple[DataFrame, DataFrame]:
+    """S6 + S7: raw rows and rejects, as of :func:`read_sessions`, of JSON master files: an array of records, or an
+    object whose ``key`` is one. A record's session is its ``session_source``, else the file's name."""
+    files = _read_whole(spark, path)
+    if files is None:
+        raise FileNotFoundError(path)
+    value = F.col("value")
+    items = F.from_json(F.when(value.rlike(r"^\s*\["), value).otherwise(F.get_json_object(value, f"$.{key}")), "array<variant>")
+    read = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file"), items.alias("items"))
+    rejects = read.where(F.col("items").isNull()).select(F.col("source_file").alias("session"), "source_file",
+                                                         F.lit("no record array").alias("error"))
+    rows = read.where(F.col("items").isNotNull()).select("source_file", F.posexplode("items").alias("pos", "raw"))
+    session = F.coalesce(nullif_empty(F.try_variant_get("raw", "$.session_source", "string")), F.col("source_file"))
+    return rows.select(session.alias("session"), "source_file", "pos", F.lit(False).alias("from_api"), "raw"), rejects
+
+
 def raw_from_strings(df: DataFrame, value_col: str = "value") -> DataFrame:
     """Raw rows from a DataFrame of JSON strings (``session``, ``source_file``, ``pos`` given)."""
     return df.select("session", "source_file", F.col("pos").cast("int").alias("pos"),
@@ -245,6 +261,61 @@ def project(raw_rows: DataFrame, parity_company_name: bool = True) -> DataFrame:
     return out
 
 
+def _filled(rec: Column, path: str) -> Column:
+    """A non-empty string, object or list; numbers and booleans do not count. An extraction cell
+    (``{value, confidence}``) is filled when its value is."""
+    def of(path: str) -> Column:
+        t = F.schema_of_variant(_v(rec, path))
+        return F.coalesce(F.when(t == "STRING", F.length(F.try_variant_get(rec, path, "string")) > 0)
+                          .when(t.startswith("OBJECT"), t != "OBJECT<>")
+                          .when(t.startswith("ARRAY"), F.size(F.try_variant_get(rec, path, "array<variant>")) > 0), F.lit(False))
+    is_cell = _is_obj(rec, path) & (_v(rec, f"{path}.value").isNotNull() | _v(rec, f"{path}.confidence").isNotNull())
+    return F.when(is_cell, of(f"{path}.value")).otherwise(of(path))
+
+
+def _list(rec: Column, path: str) -> Column:
+    """A list, or a cell's list, as strings; a lone filled string is a list of one."""
+    one = nullif_empty(F.coalesce(F.try_variant_get(rec, f"{path}.value", "string"), _s(rec, path)))
+    return F.coalesce(_str_array(rec, path), _str_array(rec, f"{path}.value"), F.when(one.isNotNull(), F.array(one)))
+
+
+def flattened(postings: DataFrame, parity_company_name: bool = True, carry_root_url: bool = True) -> DataFrame:
+    """P2 + P7 + P11 + P14: ingested postings with the columns that entity resolution reads taken from the flattened
+    record: ``data`` where it is an object, else ``job``, else the root. The filter columns keep ``raw.job``, so
+    the two readings are two tables. Location cells are unwrapped like titles. ``carry_root_url``: a
+    record without a url of its own takes that of the root. ``*_filled`` say what P14 counts.
+    """
+    raw, r = F.col("raw"), F.col("_rec")
+    rec = (F.when(_is_obj(raw, "$.data"), _v(raw, "$.data")).when(_is_obj(raw, "$.job"), _v(raw, "$.job")).otherwise(raw))
+    urls = [_truthy_s(r, f"$.{u}") for u in URL_FIELDS]
+    if carry_root_url:
+        urls += [_truthy_s(raw, f"$.{u}") for u in URL_FIELDS]
+
+    def part(field: str, key: str, kind: str) -> Column:   # of an object or of a cell's object
+        return F.coalesce(F.try_variant_get(r, f"$.{field}.{key}", kind), F.try_variant_get(r, f"$.{field}.value.{key}", kind))
+    city, country = part("location", "city", "string"), part("location", "country", "string")
+    place = _unwrap(r, "$.location")
+    new = {
+        "url": F.coalesce(*urls),
+        "title": _unwrap(r, "$.title"),
+        "company": F.coalesce(F.try_variant_get(r, "$.company.name", "string"), _unwrap(r, "$.company")),
+        "company_name": _company_for_dedup(r, "$.company", parity_company_name),
+        "location": F.coalesce(place, city),
+        "location_is_object": _is_obj(r, "$.location") & (place.isNull() | city.isNotNull() | country.isNotNull()),
+        "location_present": _filled(r, "$.location"),
+        "location_city": city, "location_country": country, "location_text": place,
+        "description": _unwrap(r, "$.description"),
+        "salary_present": _filled(r, "$.salary"),
+        "salary_min": part("salary", "min", "double"), "salary_max": part("salary", "max", "double"),
+        "salary_currency": part("salary", "currency", "string"), "salary_period": part("salary", "period", "string"),
+        "contact_email": F.when(_filled(r, "$.contactEmail"), _unwrap(r, "$.contactEmail")),
+        **{f: _list(r, f"$.{f}") for f in ("requirements", "benefits", "responsibilities")},
+        **{f"{f}_filled": _filled(r, f"$.{f}") for f in ("title", "company", "location", "description")},
+    }
+    kept = [c for c in postings.columns if c not in new and c != "any_url"]
+    return postings.withColumn("_rec", rec).select(*kept, *[c.alias(n) for n, c in new.items()])
+
+
 def _company_for_dedup(raw: Column, path: str, parity: bool) -> Column:
     name = F.try_variant_get(raw, f"{path}.name", "string")
     value = F.try_variant_get(raw, f"{path}.value", "string")
@@ -283,10 +354,12 @@ def ingest(raw_rows: DataFrame, parity_company_name: bool = True) -> DataFrame:
     """Raw rows -> typed postings with ``seq`` (two-phase rank over session, file,
     position) and ``master_id``; the raw VARIANT stays available as ``raw``.
 
-    The projection is materialised once (checkpoint), so the range sampling and the
-    ranking read stored rows instead of re-parsing the records."""
-    typed = cut_lineage(project(raw_rows, parity_company_name))
-    typed = assign_sequence(typed, ["session", "source_file", "pos"], name="seq")
+    The projection is materialised once (checkpoint). Only the keys are ranked; the numbers are joined
+    back by a row number, and later steps shuffle in that join only the columns they read."""
+    typed = cut_lineage(project(raw_rows, parity_company_name).withColumn("_row", F.monotonically_increasing_id()))
+    order = ["session", "source_file", "pos"]
+    numbers = assign_sequence(typed.select("_row", *order), order, name="seq").select("_row", "seq")
+    typed = typed.join(numbers, "_row").drop("_row")
     typed = (typed.withColumn("master_id", F.format_string("master_%05d", F.col("seq")))
              .withColumn("description", F.coalesce(F.col("flat_description"), F.col("job_description"))))
     return conform(typed, extra=["shape", "source_file", "any_url", "extraction_metadata", "raw"])

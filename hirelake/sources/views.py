@@ -225,6 +225,50 @@ def raw_postings_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, api).when(k == 1, nested).otherwise(data).alias("value"))
 
 
+def raw_records_v2b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The V1 postings as records that differ in what the flattened record must bridge, by ``seq % 4``: root keys
+    with objects; ``data`` cells with a cell list and a cell salary; a nested job; root keys with a scalar location and
+    a numeric salary, which counts for nothing. The url stands under one of five names, or at the root beside ``data``."""
+    v = postings_v1(spark, sf_dir).withColumn("country", F.concat(F.lit("Country "), (F.col("seq") % 2).cast("string")))
+    k, nth = F.col("seq"), F.floor(F.col("seq") / 5) % 5
+    cell = lambda c: F.struct(c.alias("value"), F.lit(90).alias("confidence"))
+    col = lambda c, name: F.col(c).alias(name)
+    urls = [F.when(nth == i, F.col("url")).alias(name) for i, name in enumerate(["url", "source_url", "applicationUrl", "job_url", "link"])]
+    place = F.struct(col("location_city", "city"), "country").alias("location")
+    named = F.struct(col("company", "name")).alias("company")
+    salary = F.when(F.col("salary_present"), F.struct(col("salary_min", "min"), col("salary_max", "max"),
+                                                      col("salary_currency", "currency"), col("salary_period", "period")))
+    wants = F.array_compact(F.array("job_type", "experience_level"))
+    gives = F.array("remote_policy")
+    shapes = [
+        F.struct("id", *urls, "title", named, place, "description", salary.alias("salary"), wants.alias("requirements"),
+                 F.when(k % 3 == 0, gives).alias("benefits")),
+        F.struct(col("id", "job_id"), F.when(nth % 2 == 0, F.col("url")).alias("url"), F.struct(
+            F.when(nth % 2 == 1, F.col("url")).alias("link"), cell(F.col("title")).alias("title"), named, place,
+            cell(F.col("description")).alias("description"), cell(salary).alias("salary"), cell(wants).alias("requirements"),
+            cell(F.col("contact_email")).alias("contactEmail")).alias("data")),
+        F.struct(F.struct("id", "url", "title", "company", place, "description", salary.alias("salary"), gives.alias("benefits"),
+                          col("contact_email", "contactEmail")).alias("job")),
+        F.struct(col("id", "uid"), *urls, "title", "company", F.concat_ws(", ", "location_city", "country").alias("location"),
+                 "description", F.lit(5000).alias("salary")),
+    ]
+    text = F.when(k % 4 == 0, F.to_json(shapes[0])).when(k % 4 == 1, F.to_json(shapes[1])).when(k % 4 == 2, F.to_json(shapes[2]))
+    return v.select("session", F.format_string("%06d.json", k).alias("source_file"), F.lit(0).alias("pos"),
+                    text.otherwise(F.to_json(shapes[3])).alias("value"))
+
+
+# DuckDB twin: the columns that the flattened records must give.
+RECORDS_V2B_SQL = f"""
+select row_number() over (order by session, printf('%06d.json', seq)) as seq,
+  printf('master_%05d', row_number() over (order by session, printf('%06d.json', seq))) as master_id, session, url, title, company,
+  description, location_city, 'Country ' || seq % 2 as country,
+  case when seq % 4 in (1, 2) then contact_email end as contact_email,
+  case when seq % 4 <> 3 then salary_min end as salary_min, case when seq % 4 <> 3 then salary_max end as salary_max,
+  seq % 4 in (0, 1) and (job_type is not null or experience_level is not null) as has_requirements,
+  seq % 12 = 0 or seq % 4 = 2 as has_benefits
+from ({POSTINGS_V1_SQL})"""
+
+
 def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(page_id, html)`` of a posting page per part, with labelled fields: two labels in one line, a long
     value, an entity, a label without a following space, and one inside a comment (not visible)."""

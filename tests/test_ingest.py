@@ -6,7 +6,9 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from hirelake.sources.ingest import PARITY_DATE_PREFIX, ingest, read_sessions, session_metadata
+from hirelake.operators.dedup import completeness
+from hirelake.sources.ingest import (PARITY_DATE_PREFIX, flattened, ingest, raw_from_strings, read_master, read_sessions,
+                                     session_metadata)
 
 
 def _write(path, obj):
@@ -146,3 +148,47 @@ def test_label_values_end_at_the_line_or_the_next_label(spark):
     got = {r["field"]: r["value"] for r in alias_fields(pages, "page_id", "text").collect()}
     assert got["title"] == "Data Analyst" and got["company"] == "ACME GmbH" and got["description"] == long
     assert {r["issue"]: r["occurrences"] for r in audit(pages, "page_id", "text").collect()}["placeholder"] == 1
+
+
+def _flat(spark, *records):
+    rows = spark.createDataFrame([("s", f"{i:03d}.json", 0, r) for i, r in enumerate(records)],
+                                 "session string, source_file string, pos int, value string")
+    return flattened(ingest(raw_from_strings(rows)))
+
+
+def test_flattened_record_of_each_shape(spark):
+    out = _flat(
+        spark,
+        '{"title": "Root", "source_url": "u0", "url": "", "company": {"name": "Acme"}, "location": {"city": "Paris", "country": "FR"}, "salary": 5}',
+        '{"url": "root", "data": {"title": {"value": "Cell", "confidence": 9}, "requirements": {"value": ["a", "b"]}, "location": {"city": "Paris", "country": "FR"},'
+        ' "salary": {"min": 10, "max": 20}, "description": {"confidence": 9}}}',
+        '{"job": {"title": "Job", "link": "u2", "location": "Graz", "benefits": [], "requirements": "one", "contactEmail": "a@b.co", "salary": {"value": {"min": 1}}}}',
+        '{"data": 7, "title": 3, "location": {"value": "Linz", "confidence": 9}, "benefits": ["x"]}')
+    rows = {r["source_file"]: r for r in out.withColumn("share", completeness(out)).collect()}
+    root, data, job, odd = (rows[f"{i:03d}.json"] for i in range(4))
+    assert [r["url"] for r in (root, data, job, odd)] == ["u0", "root", "u2", None]
+    assert [r["title"] for r in (root, data, job, odd)] == ["Root", "Cell", "Job", "3"]
+    assert (root["location_city"], root["location_country"], root["location_is_object"]) == ("Paris", "FR", True)
+    assert (data["location_city"], data["location_country"], data["location_is_object"]) == ("Paris", "FR", True)
+    assert (job["location_text"], odd["location_text"], odd["location_is_object"]) == ("Graz", "Linz", False)
+    assert (data["requirements"], job["requirements"], odd["benefits"]) == (["a", "b"], ["one"], ["x"])
+    assert (data["salary_min"], data["salary_max"], job["salary_min"]) == (10, 20, 1)
+    # a number is not a filled salary or title, an empty list or cell not a filled field
+    assert [r["share"] for r in (root, data, job, odd)] == [37.5, 50.0, 62.5, 25.0]
+
+
+def test_flattened_root_url_is_a_switch(spark):
+    rows = spark.createDataFrame([("s", "a.json", 0, '{"url": "root", "data": {"title": "t"}}')],
+                                 "session string, source_file string, pos int, value string")
+    assert flattened(ingest(raw_from_strings(rows)), carry_root_url=False).first()["url"] is None
+
+
+def test_master_lists_with_and_without_envelope(spark, tmp_path):
+    (tmp_path / "flat.json").write_text('[{"id": "1"}, {"id": "2", "session_source": "s9"}]')
+    (tmp_path / "wrapped.json").write_text('{"total": 1, "jobs": [{"id": "3"}]}')
+    (tmp_path / "other.json").write_text('{"total": 1}')
+    (tmp_path / "empty.json").write_text('{"jobs": []}')
+    rows, rejects = read_master(spark, str(tmp_path / "*.json"))
+    got = {(r["id"], r["session"], r["seq"]) for r in ingest(rows).collect()}
+    assert got == {("1", "flat.json", 1), ("2", "s9", 2), ("3", "wrapped.json", 3)}
+    assert [r["source_file"] for r in rejects.collect()] == ["other.json"]
