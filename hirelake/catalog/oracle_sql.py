@@ -8,7 +8,8 @@ the same way as the Spark side (see ``hirelake.functions.text``) because DuckDB'
 from __future__ import annotations
 
 from hirelake.functions.text import EMAIL_PATTERN, PHONE_PATTERN
-from hirelake.sources.views import LABELLED_PAGES_SQL, POSTINGS_V1_SQL, RECORDS_V2B_SQL, TEXT_POSTINGS_V3_SQL, TRACKER_EVENTS_V4_SQL
+from hirelake.sources.views import (BRAND_RESEARCH_SQL, LABELLED_PAGES_SQL, POSTINGS_V1_SQL, RECORDS_V2B_SQL, TEXT_POSTINGS_V3_SQL,
+                                    TRACKER_EVENTS_V4_SQL)
 
 WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
 NONWORD = r"[^\p{L}\p{N}_\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
@@ -589,3 +590,37 @@ u as (select l.session, l.user_id,
     arg_max(w.seq % 2, w.seq) filter (w.et = 'click') as flag
   from live l join w on w.session = l.session and w.user_id = l.user_id and w.seq > l.aseq and not w.opened and not w.closed group by 1, 2)
 select session, user_id::varchar as job_id, 'title_' || user_id as title, 'failed' as status from u where last_et = 'error' and flag = 0"""
+
+
+# ------------------------------------------------------------------ research rows, progress, dates
+_V7 = f"v7 as ({BRAND_RESEARCH_SQL})"
+_LEVEL = "case when signals >= 6 then 'high' when signals >= 3 then 'medium' when signals >= 1 then 'low' else 'none' end"
+ORACLES["research_quality"] = f"with {_V7} select company, {_LEVEL} as research_quality from v7"
+
+ORACLES["research_stack_overlap"] = f"""with {V1}, {_V7},
+p as (select seq, {norm_company('company')} as cn, ' ' || {norm_text('description')} || ' ' as padded from v1),
+r as (select {norm_company('company')} as cn, tech_stack from v7),
+item as (select cn, unnest(tech_stack) as word, generate_subscripts(tech_stack, 1) as i from r),
+hit as (select p.seq, word, i from p join item using (cn) where contains(padded, ' ' || {norm_text('word')} || ' '))
+select p.seq, coalesce(string_agg(word, ',' order by i), '') as stack_overlap, count(word)::integer as overlap_count
+from p join r using (cn) left join hit on hit.seq = p.seq group by p.seq"""
+
+ORACLES["research_progress"] = _TRK + f""", {_V7},
+lv as (select {_LEVEL} as level from v7)
+select 'successful' as metric, count_if(status = 'completed')::bigint as value,
+  round(count_if(status = 'completed') / count(*) * 100, 2) as share_pct from state
+union all select 'failed', count_if(status = 'failed')::bigint, round(count_if(status = 'failed') / count(*) * 100, 2) from state
+union all select 'research_' || level, count(*)::bigint, round(count(*) / (select count(*) from lv) * 100, 2) from lv group by level"""
+
+ORACLES["session_metadata"] = """
+with s as (select o_orderkey, o_orderkey % 4 as kind, strftime(o_orderdate, '%Y%m%d') as day,
+             case when o_orderkey % 3 <> 0 then lpad(cast(o_orderkey % 240000 as varchar), 6, '0') end as t from orders),
+n as (select *, concat_ws('_', case kind when 0 then 'data_analyst' when 1 then 'data_analysis' else 'session' end, 'scrape', day, t) as session from s)
+select o_orderkey, session,
+  case when starts_with(day, '20') and t is not null then day[1:4] || '-' || day[5:6] || '-' || day[7:8] || 'T' || t[1:2] || ':' || t[3:4]
+    || ':' || t[5:6] || 'Z' end as session_date,
+  case kind when 0 then 'filtered_search_data_analyst' when 1 then 'filtered_search_data_analysis' else 'general_search' end as session_type
+from n"""
+
+ORACLES["posting_dates"] = f"""with {V1}
+select seq, cast(cast(coalesce(try_strptime(posted_date, '%Y-%m-%d'), try_strptime(posted_date, '%d/%m/%Y')) as date) as varchar) as posted_on from v1"""

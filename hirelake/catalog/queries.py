@@ -532,3 +532,44 @@ def tracker_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelake.operators.tracker import retry_list, tracker_state
     from hirelake.sources.views import tracker_sessions_v4
     return retry_list(tracker_state(tracker_sessions_v4(spark, sf_dir))).select("session", "job_id", "title", "status")
+
+
+# ------------------------------------------------------------------ research rows, progress, dates
+
+@register("research_quality")
+def research_quality_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.operators.research import research_quality
+    from hirelake.sources.views import brand_research
+    return research_quality(brand_research(spark, sf_dir)).select("company", "research_quality")
+
+
+@register("research_stack_overlap")
+def research_stack_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q7: the researched stack named in each posting's text."""
+    from hirelake.operators.research import tech_stack_overlap
+    from hirelake.sources.views import brand_research
+    out = tech_stack_overlap(postings_v1(spark, sf_dir), brand_research(spark, sf_dir))
+    return out.select("seq", F.concat_ws(",", "stack_overlap").alias("stack_overlap"), "overlap_count")
+
+
+@register("research_progress")
+def research_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A18 over the tracker state and the research rows."""
+    from hirelake.operators.research import progress_summary
+    from hirelake.sources.views import brand_research
+    return progress_summary(_tracker(spark, sf_dir), brand_research(spark, sf_dir))
+
+
+@register("session_metadata")
+def session_metadata_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: date and type from session names."""
+    from hirelake.sources.ingest import session_metadata
+    from hirelake.sources.views import dated_sessions
+    return session_metadata(dated_sessions(spark, sf_dir)).select("o_orderkey", "session", "session_date", "session_type")
+
+
+@register("posting_dates")
+def posting_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posting date in either of the schema's two forms."""
+    from hirelake.functions.text import parse_schema_date
+    return postings_v1(spark, sf_dir).select("seq", parse_schema_date(F.col("posted_date")).cast("string").alias("posted_on"))

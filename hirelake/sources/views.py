@@ -287,6 +287,34 @@ select p_partkey as page_id, '<html><style>role: none</style><body><h1>Position:
 from part"""
 
 
+def brand_research(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7: company research, a row per brand of ``part``: the stack names words from its documents, up to two types are its
+    news, and its number of parts gives the hooks."""
+    p = table(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_type", "p_size"])
+    d = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    word = lambda i: F.split_part(F.col("text"), F.lit(" "), F.lit(i))
+    return p.join(d, p["p_partkey"] == d["doc_id"], "left").groupBy(F.col("p_brand").alias("company")).agg(
+        F.array_compact(F.array(F.min(word(1)), F.max(word(2)), F.min(word(3)))).alias("tech_stack"),
+        F.slice(F.array(F.min("p_type"), F.max("p_type")), F.lit(1), F.min("p_size") % 3).alias("recent_news"),
+        (F.count(F.lit(1)) % 6).cast("int").alias("hooks"))
+
+
+BRAND_RESEARCH_SQL = """
+select p_brand as company, list_filter([min(split_part(text, ' ', 1)), max(split_part(text, ' ', 2)), min(split_part(text, ' ', 3))],
+    lambda x: x is not null) as tech_stack,
+  min(p_size) % 3 + count(*) % 6 as signals
+from part left join documents on doc_id = p_partkey group by p_brand"""
+
+
+def dated_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8: session names made of orders: three types, the order date, and for two in three a time part."""
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
+    k = F.col("o_orderkey")
+    kind = F.when(k % 4 == 0, "data_analyst").when(k % 4 == 1, "data_analysis").otherwise("session")
+    time = F.when(k % 3 != 0, F.lpad((k % 240000).cast("string"), 6, "0"))
+    return o.select("o_orderkey", F.concat_ws("_", kind, F.lit("scrape"), F.date_format("o_orderdate", "yyyyMMdd"), time).alias("session"))
+
+
 def merge_chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """V6: merge edges in chains, and the postings' own fill values. Each order is merged into its customer's next
     one, so a customer with 25 orders is a chain of 24 edges; every fifth edge is merged after all the others. A value
