@@ -267,9 +267,9 @@ cf as (select *, ((case when coalesce(length(title), 0) > 0 then 1 else 0 end) +
         then 1 else 0 end) + (case when location_city is not null then 1 else 0 end) + (case when
         coalesce(length(description), 0) > 0 then 1 else 0 end) + (case when f_sal_present then 1 else 0 end)
         + (case when coalesce(length(f_email), 0) > 0 then 1 else 0 end)) / 8.0 * 100.0 as fcompl from filled),
-b as (select avg(fcompl) as completeness, avg(case when f_sal_present then 100.0 else 0.0 end) as salary,
-        avg(case when coalesce(length(f_email), 0) > 0 then 100.0 else 0.0 end) as "contactEmail",
-        0.0::double as benefits, 0.0::double as requirements from cf),
+b as (select avg(compl) as completeness, avg(case when salary_min is not null or salary_max is not null then 100.0 else 0.0 end) as salary,
+        avg(case when coalesce(length(contact_email), 0) > 0 then 100.0 else 0.0 end) as "contactEmail",
+        0.0::double as benefits, 0.0::double as requirements from p),
 a as (select avg(fcompl) as completeness, avg(case when f_sal_present then 100.0 else 0.0 end) as salary,
         avg(case when coalesce(length(f_email), 0) > 0 then 100.0 else 0.0 end) as "contactEmail",
         0.0::double as benefits, 0.0::double as requirements from cf where seq not in (select seq from removed)),

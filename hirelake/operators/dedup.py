@@ -124,18 +124,20 @@ def exact_url_edges(prep: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, members.select("seq")
 
 
-def composite_edges(residual: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One edge per non-canonical member of a composite-key group; marks the duplicates."""
-    r = residual.withColumn("ckey", composite_key(F.col("company_norm"), F.col("title_norm"),
-                                                  F.col("location_norm"))).where(F.col("ckey").isNotNull())
+def composite_edges(residual: DataFrame, words: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """One edge per non-canonical member of a composite-key group; marks the duplicates. Groups are found on
+    narrow rows; ``words`` (``seq, desc_words``; default: the residual's own) is read for their members only."""
+    words = residual.select("seq", "desc_words") if words is None else words
+    ckey = composite_key(F.col("company_norm"), F.col("title_norm"), F.col("location_norm"))
+    r = residual.select("seq", "master_id", "session", "completeness", ckey.alias("ckey")).where(F.col("ckey").isNotNull())
     groups = (r.groupBy("ckey").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), _canon(r))
               .where(F.col("n") > 1).drop("n"))
-    canon_words = (r.join(groups.select("ckey", F.col("canon.seq").alias("seq")), ["ckey", "seq"])
-                   .select("ckey", F.col("desc_words").alias("canon_words")))
-    members = r.join(groups, "ckey").join(canon_words, "ckey")
+    members = r.join(groups, "ckey").withColumn("canon_seq", F.col("canon.seq"))
+    others = members.where(F.col("seq") != F.col("canon_seq"))
+    own = words.join(members.select("seq"), "seq", "left_semi")
+    canon_words = own.select(F.col("seq").alias("canon_seq"), F.col("desc_words").alias("canon_words"))
     sim = jaccard(F.col("canon_words"), F.col("desc_words"))
-    others = members.where(F.col("seq") != F.col("canon.seq"))
-    edges = _edge(others, COMPOSITE, F.col("first_seq"), F.col("seq"),
+    edges = _edge(others.join(own, "seq").join(canon_words, "canon_seq"), COMPOSITE, F.col("first_seq"), F.col("seq"),
                   F.floor(F.lit(float(COMPOSITE_BASE)) + sim * F.lit(float(COMPOSITE_SPAN))),
                   F.col("canon.seq"), F.col("canon.master_id"),
                   desc_sim=F.bround(sim * F.lit(100.0), 1))
@@ -145,10 +147,12 @@ def composite_edges(residual: DataFrame) -> tuple[DataFrame, DataFrame]:
 def detect_duplicates(postings: DataFrame, fuzzy: bool = False, **fuzzy_opts) -> DataFrame:
     """Duplicate edges of all stages (one row per group and duplicate), numbered with
     ``group_seq`` / ``group_id`` in the order the sequential algorithm emits groups."""
-    prep = reuse(prepare(postings))
-    e1, marked1 = exact_url_edges(prep)
-    r1 = prep.join(marked1, "seq", "left_anti")
-    e2, marked2 = composite_edges(r1)
+    prep = prepare(postings)
+    prep = reuse(prep.select(*[c for c in prep.columns if not c.startswith("own_")]))
+    words, narrow = prep.select("seq", "desc_words"), prep.drop("desc_words")
+    e1, marked1 = exact_url_edges(narrow)
+    r1 = narrow.join(marked1, "seq", "left_anti")
+    e2, marked2 = composite_edges(r1, words)
     edges = e1.unionByName(e2)
     if fuzzy:
         from hirelake.operators.simjoin import fuzzy_edges
@@ -210,14 +214,14 @@ def fold_fills(edges: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def merge_duplicates(postings: DataFrame, edges: DataFrame, threshold: int = MERGE_THRESHOLD,
-                     parity_before: bool = True) -> dict[str, DataFrame]:
+                     parity_before: bool = False) -> dict[str, DataFrame]:
     """F15 + W6 + W7 + J7.
 
     Returns ``unique`` (kept postings, canonicals with filled fields and
     ``duplicate_metadata`` of their last merge group), ``review`` (P20 queue),
-    ``groups`` (one row per group), ``removed`` (seqs) and ``filled`` (every posting
-    with fills applied: the reference measures its "before" on these, as its merge
-    mutates the original rows).
+    ``groups`` (one row per group), ``removed`` (seqs) and ``before``, the postings that the quality
+    report compares with: the originals, or with ``parity_before`` every posting with fills applied (the
+    reference measures these, as its merge mutates the original rows).
     """
     merge_edges = edges.where(F.col("confidence") >= threshold)
     own = prepare(postings).select("seq", *[F.col(f"own_{f}") for f in FILL_FIELDS])
@@ -286,7 +290,7 @@ def merge_duplicates(postings: DataFrame, edges: DataFrame, threshold: int = MER
     unique = filled.join(removed, "seq", "left_anti").join(meta, "seq", "left")
     review = review_queue(groups, threshold, edges)
     return {"unique": unique, "review": review, "groups": groups, "removed": removed,
-            "filled": filled if parity_before else postings}
+            "before": filled if parity_before else postings}
 
 
 def review_queue(groups: DataFrame, threshold: int = MERGE_THRESHOLD, edges: DataFrame | None = None) -> DataFrame:
@@ -352,7 +356,7 @@ def _coverage_cols(df: DataFrame) -> list[Column]:
 def quality_improvement(merged: dict[str, DataFrame]) -> DataFrame:
     """A10 + A11 + A13: completeness and field coverage before / after, round 1.
     ``improvement_target`` marks fields whose coverage after the merge is below 60."""
-    before_df, after_df = merged["filled"], merged["unique"]
+    before_df, after_df = merged["before"], merged["unique"]
     b = before_df.agg(F.avg(completeness(before_df)).alias("completeness"), *_coverage_cols(before_df))
     a = after_df.agg(F.avg(completeness(after_df)).alias("completeness"), *_coverage_cols(after_df))
     names = ["completeness"] + COVERAGE_FIELDS
