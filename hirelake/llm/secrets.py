@@ -5,9 +5,11 @@ first-order character Markov models, one of random strings and one of ordinary i
 log-likelihood ratio per character, and tokens above a threshold become spans of kind ``markov``.
 
 Labelled samples (bounded by ``max_docs`` and ``max_random``): random strings are the values that the base formats
-find in the sampled documents, and base64 and hex text of SHA-256 sums; ordinary ones are the documents' other words.
-Half of the samples train, the other half sets the threshold: the highest ratio of an ordinary token
-and a margin. The tables come to the driver: at most 66 x 66 numbers.
+find in the sampled documents, and base64, base64url, hex and UUID text of SHA-256 sums; ordinary ones are the documents' other
+words, as far as they do not look random themselves (bare keys and UUIDs stand among them): a first model, fitted to words of identifier shape
+only, says which of the others to drop, and the second one is fitted to the rest.
+Half of the samples train, the other half sets the threshold: the ratio that a share of ``false_positives`` of the ordinary tokens
+exceeds, and a margin. The tables come to the driver: at most 66 x 66 numbers.
 """
 
 from __future__ import annotations
@@ -28,8 +30,14 @@ KINDS = ("assign", "access", "hex", "markov")
 LEAST_VALUE = 12
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
-TOKEN = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}+"
 _SIZE = len(ALPHABET)
+#: Identifier shape: parts of letters (camel case, one case) or of a few digits, between separators.
+PLAIN = r"^[+/=_-]*+(?:(?:(?:[A-Z]?[a-z]{2,}+)++|[A-Z]++|[a-z]|[0-9]{1,4}+)(?:[+/=_-]++|$))++$"
+
+
+def token(least: int) -> str:
+    """The format of the tokens that are scored: runs of the alphabet of at least ``least`` characters."""
+    return rf"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{{{least},}}+"
 
 
 def _pairs(token: Column) -> Column:
@@ -42,10 +50,11 @@ def _pairs(token: Column) -> Column:
 
 
 class Markov:
-    """Log-likelihood ratios of character pairs (random over ordinary) and the threshold per character."""
+    """Log-likelihood ratios of character pairs (random over ordinary), the threshold per character and the least length
+    of a token that it holds for."""
 
-    def __init__(self, table: list[float], threshold: float):
-        self.table, self.threshold = table, threshold
+    def __init__(self, table: list[float], threshold: float, least: int = LEAST_VALUE):
+        self.table, self.threshold, self.least = table, threshold, least
 
     def ratio(self, token: Column) -> Column:
         """Mean log-likelihood ratio per character pair; null for a token without one."""
@@ -77,8 +86,10 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
              .where(F.col("token").rlike("[A-Za-z]")).distinct().select("token", F.lit(0).alias("random")))
     digest = F.sha2(F.col("id").cast("string"), 256)
     made = docs.sparkSession.range(max_random).select(
-        F.when(F.col("id") % 4 == 0, digest)
+        F.when(F.col("id") % 8 == 0, digest)
+        .when(F.col("id") % 8 == 4, F.regexp_replace(F.substring(digest, 1, 32), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"))
         .when(F.col("id") % 4 == 1, F.upper(F.substring(digest, 1, 32)))
+        .when(F.col("id") % 4 == 2, F.translate(F.substring(F.base64(F.unhex(digest)), 1, 40), "+/", "-_"))
         .otherwise(F.substring(F.base64(F.unhex(digest)), 1, 40)).alias("token"), F.lit(1).alias("random"))
     # identifiers as programs write them: two ordinary words joined, in camel and snake case
     pair = words.groupBy(F.pmod(F.xxhash64("token"), F.lit(max_random)).alias("at")).agg(
@@ -89,18 +100,37 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return both.withColumn("half", F.pmod(F.xxhash64("token"), F.lit(2)).cast("int"))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margin: float = 0.1, **bounds) -> Markov:
-    """Trains both models on one half of the samples and sets the threshold on the other."""
-    samples = stored(labelled_samples(docs, id_col, text_col, **bounds), "markov")
+def _fit(samples: DataFrame, least: int) -> Markov:
+    """Both models, from the half that trains."""
     counts = (samples.where("half = 0").select("random", F.explode(_pairs(F.col("token"))).alias("pair"))
               .groupBy("random", "pair").count().collect())  # at most 2 * 66 * 66 rows
     tables = [_pair_table({r["pair"]: r["count"] for r in counts if r["random"] == label}) for label in (0, 1)]
-    model = Markov([a - b for a, b in zip(tables[1], tables[0])], 0.0)
-    scored = samples.where("half = 1").select("random", F.char_length("token").alias("n"), model.ratio(F.col("token")).alias("r"))
+    return Markov([a - b for a, b in zip(tables[1], tables[0])], 0.0, least)
+
+
+def _low(samples: DataFrame, model: Markov) -> float:
+    """The ratio that 95 of 100 random strings of the held half exceed."""
+    held = samples.where("half = 1 and random = 1").select(model.ratio(F.col("token")).alias("r"))
+    return held.agg(F.percentile_approx("r", 0.05)).first()[0] or 0.0
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margin: float = 0.1, least: int = LEAST_VALUE,
+          false_positives: float = 0.001, **bounds) -> Markov:
+    """Trains both models on one half of the samples and sets the threshold on the other.
+
+    ``least``: characters of the shortest token that is scored, as in the base formats. ``false_positives``: the share of ordinary
+    tokens of that length that may pass (before the margin). Words that read like random strings are not ordinary.
+    """
+    samples = stored(labelled_samples(docs, id_col, text_col, **bounds), "markov")
+    plain = F.col("token").rlike(PLAIN)
+    first = _fit(samples.where((F.col("random") == 1) | plain), least)
+    odd = first.ratio(F.col("token")) > max(0.0, 0.5 * _low(samples, first))
+    samples = stored(samples.where((F.col("random") == 1) | plain | ~F.coalesce(odd, F.lit(False))), "markov-ordinary")
+    model = _fit(samples, least)
     # tokens as long as those that are scanned; short words vary more
-    top = scored.where("random = 0 and n >= 12").agg(F.max("r")).first()[0]
-    low = scored.where("random = 1").agg(F.percentile_approx("r", 0.05)).first()[0]
-    model.threshold = max(0.0, (top if top is not None else 0.0) + margin, 0.5 * (low or 0.0))
+    top = (samples.where((F.col("half") == 1) & (F.col("random") == 0) & (F.char_length("token") >= least))
+           .agg(F.percentile_approx(model.ratio(F.col("token")), 1 - false_positives, 1_000_000)).first()[0])
+    model.threshold = max(0.0, (top if top is not None else 0.0) + margin, 0.5 * _low(samples, model))
     return model
 
 
@@ -124,7 +154,7 @@ def scan(docs: DataFrame, model: Markov, text_col: str = "text") -> DataFrame:
     spans = {k: F.coalesce(F.transform(v, _span_of(k)), F.array())
              for k, v in (("assign", assign), ("access", access), ("hex", matches(of, HEX)))}
     kept = docs.columns
-    found = once(docs.select(F.struct(*kept).alias("_in"), text.alias("_text")), **spans, tokens=matches(F.col("_text"), TOKEN))
+    found = once(docs.select(F.struct(*kept).alias("_in"), text.alias("_text")), **spans, tokens=matches(F.col("_text"), token(model.least)))
     found = once(found.drop("_text"), base=F.concat(*KINDS[:3]), random=F.filter(
         "tokens", lambda m: model.ratio(m["hit"]) > model.threshold))
     more = let(F.struct("base", "random"), lambda s: F.transform(F.filter(

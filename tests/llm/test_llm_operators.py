@@ -101,6 +101,26 @@ def test_markov_tells_random_from_words(spark):
     assert sum(r["said"] for r in got if r["random"]) >= 45
 
 
+def test_markov_finds_bare_keys_that_stand_in_the_training_documents(spark):
+    import base64
+    import uuid
+    plain = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    keys = []
+    for i in range(300):
+        raw = hashlib.sha256(b"key%d" % i).digest()
+        text = base64.b64encode(raw).decode()
+        keys.append((uuid.UUID(bytes=raw[:16]).hex if i % 4 == 3 else str(uuid.UUID(bytes=raw[:16])), "ghp_" + re.sub("[+/=]", "x", text)[:36],
+                     base64.urlsafe_b64encode(raw).decode().rstrip("="), re.sub("[+/=]", "Q", text)[:16])[i % 4])
+    some = [(10_000 + i, f"the value {k} was written down") for i, k in enumerate(keys)]
+    docs = plain.unionByName(spark.createDataFrame(some, "doc_id long, text string"))
+    out = secrets.scan(docs, secrets.train(docs)).where("doc_id >= 10000").select("doc_id", F.transform("spans", lambda s: F.concat_ws(
+        ":", s["start"], s["end"])).alias("at")).collect()
+    found = sum(f"10:{10 + len(keys[r['doc_id'] - 10_000])}" in r["at"] for r in out)
+    assert found >= 0.95 * len(keys), found
+    words = secrets.scan(plain, secrets.train(docs)).select(F.sum(F.size(F.filter("spans", lambda s: s["kind"] == "markov")))).first()[0]
+    assert words <= 5, words
+
+
 def test_simhash(docs, none):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == len(TEXTS)
