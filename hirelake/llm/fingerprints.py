@@ -4,10 +4,14 @@ A text is a multiset of paragraphs: its lines, and as lines can be long, the sen
 runs of words of a long sentence (cut after words chosen by their hash, so that a cut
 moves with the text). Each piece is hashed to a wide vector, and the vectors are summed lane by lane:
 
-* 256 lanes of +1 or -1, modulo 2^16: the squared length of the difference of two sums estimates in how many pieces
-  two texts differ;
+* 256 lanes of Cauchy values (fixed point, modulo 2^32): a sum of k such values is k times as wide whether they are of one piece
+  or of k, so the median of the difference of two sums estimates in how many pieces two texts differ, each copy counted once;
+* one lane that counts the pieces, modulo 2^64;
 * 4 lanes of 64 random bits, modulo 2^64: equality of the multisets.
 
+Blank pieces are in the last lanes only: they take part in equality, not in the likeness. With 4 fractional bits, the lanes tell
+differences of up to about 10^7 pieces.
+
 The sum does not depend on order, and adding or subtracting a piece's vector inserts or deletes the piece.
 """
 
@@ -16,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from math import ceil
 
@@ -26,8 +31,10 @@ from pyspark.sql import functions as F
 
 from hirelake.llm.common import documents, small_batches
 
-SIGNS, WIDE = 256, 4
-_DIGEST = SIGNS // 8 + 8 * WIDE
+LANES, WIDE = 256, 4
+_DIGEST = 2 * LANES + 8 * WIDE
+#: One unit of a Cauchy lane, and pieces per numpy table.
+_UNIT, _CHUNK = 16, 1024
 _SENTENCE = re.compile(rb"[^.!?]*[.!?]+|[^.!?]+")
 LONG = 64
 _CUT = 256
@@ -64,49 +71,69 @@ def _runs(sentence: bytes) -> Iterator[bytes]:
         yield sentence[start:]
 
 
+def _quantile(share: np.ndarray) -> np.ndarray:
+    """Fixed-point Cauchy values, modulo 2^32."""
+    return np.rint(np.tan(np.pi * (share - 0.5)) * _UNIT).astype(np.int64).astype(np.uint32)
+
+
+_CAUCHY = _quantile((np.arange(1 << 16) + 0.5) / (1 << 16))
+
+
 class MultisetHash:
-    """The sum; ``add`` and ``remove`` change it piece by piece, ``+`` joins two."""
+    """The sum; ``add`` and ``remove`` change it piece by piece."""
 
-    __slots__ = ("signs", "wide")
+    __slots__ = ("lanes", "count", "wide")
 
     def __init__(self, some: Iterable[bytes] = ()):
-        self.signs, self.wide = np.zeros(SIGNS, np.uint16), np.zeros(WIDE, np.uint64)
+        self.lanes, self.count, self.wide = np.zeros(LANES, np.uint32), np.zeros(1, np.uint64), np.zeros(WIDE, np.uint64)
         self.add(some)
 
     def add(self, some: Iterable[bytes]) -> None:
-        signs, wide = _sums(some)
-        self.signs, self.wide = self.signs + signs, self.wide + wide
+        lanes, count, wide = _sums(some)
+        self.lanes, self.count, self.wide = self.lanes + lanes, self.count + count, self.wide + wide
 
     def remove(self, some: Iterable[bytes]) -> None:
-        signs, wide = _sums(some)
-        self.signs, self.wide = self.signs - signs, self.wide - wide
+        lanes, count, wide = _sums(some)
+        self.lanes, self.count, self.wide = self.lanes - lanes, self.count - count, self.wide - wide
 
     def hex(self) -> str:
-        return self.signs.astype(">u2").tobytes().hex() + self.wide.astype(">u8").tobytes().hex()
+        return self.lanes.astype(">u4").tobytes().hex() + np.concatenate([self.count, self.wide]).astype(">u8").tobytes().hex()
 
     @classmethod
     def from_hex(cls, text: str) -> MultisetHash:
         out, raw = cls(), bytes.fromhex(text)
-        out.signs = np.frombuffer(raw[:2 * SIGNS], ">u2").astype(np.uint16)
-        out.wide = np.frombuffer(raw[2 * SIGNS:], ">u8").astype(np.uint64)
+        out.lanes = np.frombuffer(raw[:4 * LANES], ">u4").astype(np.uint32)
+        rest = np.frombuffer(raw[4 * LANES:], ">u8").astype(np.uint64)
+        out.count, out.wide = rest[:1], rest[1:]
         return out
 
     def likeness(self, other: MultisetHash) -> float:
-        """Estimated share of common pieces, 0 to 1; 1 exactly for equal sums."""
-        if np.array_equal(self.signs, other.signs) and np.array_equal(self.wide, other.wide):
+        """Estimated share of common pieces (twice the common ones over all of both), 0 to 1; 1 exactly for equal sums."""
+        if np.array_equal(self.lanes, other.lanes) and np.array_equal(self.count, other.count) and np.array_equal(self.wide, other.wide):
             return 1.0
-        square = lambda x: float(np.square(x.astype(np.int16).astype(np.float64)).sum())
-        whole = square(self.signs) + square(other.signs)
-        return min(1.0, max(0.0, 1.0 - square(self.signs - other.signs) / whole)) if whole else 0.0
-
-
-def _sums(some: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    digest = hashlib.blake2b
-    raw = b"".join([digest(p, digest_size=_DIGEST).digest() for p in some])
-    table = np.frombuffer(raw, np.uint8).reshape(-1, _DIGEST)
-    ones = np.unpackbits(table[:, :SIGNS // 8], axis=1).sum(axis=0, dtype=np.int64)
-    wide = np.ascontiguousarray(table[:, SIGNS // 8:]).view("<u8").sum(axis=0, dtype=np.uint64)
-    return (2 * ones - len(table)).astype(np.uint16), wide.astype(np.uint64)
+        whole = int(self.count[0]) + int(other.count[0])
+        apart = float(np.median(np.abs((self.lanes - other.lanes).astype(np.int32).astype(np.float64)))) / _UNIT
+        return min(1.0, max(0.0, 1.0 - apart / whole)) if whole else 0.0
+
+
+def _sums(some: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    copies = Counter(some)
+    lanes, count, wide = np.zeros(LANES, np.uint32), np.zeros(1, np.uint64), np.zeros(WIDE, np.uint64)
+    different, numbers = list(copies), np.fromiter(copies.values(), np.uint64, len(copies))
+    for at in range(0, len(different), _CHUNK):
+        part, n = different[at:at + _CHUNK], numbers[at:at + _CHUNK]
+        table = np.frombuffer(b"".join([hashlib.shake_128(p).digest(_DIGEST) for p in part]), np.uint8).reshape(-1, _DIGEST)
+        wide += (np.ascontiguousarray(table[:, 2 * LANES:]).view("<u8") * n[:, None]).sum(axis=0, dtype=np.uint64)
+        n = np.where([bool(p.strip()) for p in part], n, np.uint64(0))
+        count += n.sum(dtype=np.uint64)
+        drawn = np.ascontiguousarray(table[:, :2 * LANES]).view("<u2")
+        values = _CAUCHY[drawn]
+        # the outermost steps of the table are drawn finer, as sums of many pieces need the far tails
+        for i, k in zip(*np.nonzero((drawn == 0) | (drawn == 65535))):
+            fine = int.from_bytes(hashlib.blake2b(part[i], digest_size=4, salt=b"%d" % k).digest(), "little")
+            values[i, k] = _quantile(np.float64((float(drawn[i, k]) + (fine + 0.5) / (1 << 32)) / (1 << 16)))
+        lanes += (values * n.astype(np.uint32)[:, None]).sum(axis=0, dtype=np.uint32)
+    return lanes, count, wide
 
 
 def fingerprint(text: str | None) -> MultisetHash:
@@ -131,7 +158,7 @@ def _result(doc, text: str, own: MultisetHash, following: str, after: MultisetHa
     while same < min(len(old), len(new)) and old[same] == new[same]:
         same += 1
     of_change = MultisetHash()
-    of_change.signs, of_change.wide = own.signs, own.wide
+    of_change.lanes, of_change.count, of_change.wide = own.lanes, own.count, own.wide
     of_change.remove(old[same:])
     of_change.add(new[same:])
     return (doc, len(text), hashlib.sha256(change.encode("utf-8", "surrogatepass")).hexdigest(), own.hex(),

@@ -271,6 +271,22 @@ def test_fingerprints_are_homomorphic_and_ignore_order():
     assert 0.3 < half < 0.7
 
 
+def test_likeness_counts_each_copy_once():
+    like = lambda a, b: fingerprints.fingerprint(a).likeness(fingerprints.fingerprint(b))
+    # 100 paragraphs parted by blank lines, none in common
+    for line in ("", "  ", "\r"):
+        a, b = (f"\n{line}\n".join(f"{name} {i}" for i in range(100)) for name in ("one", "other"))
+        assert like(a, b) < 0.3
+    # 99 copies of one line in common beside 100 lines each
+    a, b = ("\n---\n".join(f"{name} {i}" for i in range(100)) for name in ("one", "other"))
+    assert 0.3 < like(a, b) < 0.7
+    # two thirds of 70,000 equal lines stay
+    text, following = "\n".join(["equal"] * 70_000), "\n".join(f"{i:05}" for i in range(70_000))
+    assert 0.5 < like(text, fingerprints.edited(text, following)) < 0.83
+    assert like(following, text) < 0.3
+    assert like("\n".join(["equal"] * 65_536), "\n".join(["equal"] * 65_535 + ["x"])) > 0.99
+
+
 def test_line_dedup(docs, none):
     got = {r["doc_id"]: r for r in linededup.remove_boilerplate(docs, min_sites=3).collect()}
     assert got[14]["text"] == "own line\n\nlast" and (got[14]["n_lines"], got[14]["n_removed"]) == (5, 2)
