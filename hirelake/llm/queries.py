@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from hirelake.llm import (chat, decontaminate, fingerprints, linededup, merkle, mixing, pii, quality, secrets,
-                          sharding, simhash, tokencount)
+from hirelake.llm import (alignment, chat, decontaminate, fingerprints, linededup, merkle, mixing, pii, quality,
+                          secrets, sharding, simhash, tokencount)
 
 QUERIES = {
     "op1_pii": pii.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_chat_preferences": chat.op8,
     "op9_sharding": sharding.op9,
     "op10_mixing": mixing.op10,
+    "op11_alignment": alignment.op11,
     "op12_merkle": merkle.op12,
     "op13_token_counts": tokencount.op13,
 }
