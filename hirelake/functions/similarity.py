@@ -116,24 +116,75 @@ def token_bags(tokens: DataFrame, id_col: str) -> DataFrame:
     return tokens.groupBy(id_col).agg(F.collect_list(F.xxhash64("token")).alias("bag"))  # one string's characters
 
 
+#: Pairs whose longer string has at most so many characters share that many tokens of their prefixes at once (see ``signatures``).
+BANDS = ((16, 3), (40, 2))
+
+
+def _combinations(tokens: Column, n: int) -> Column:
+    """All ``n``-element combinations (``n`` up to 3) of an array, in order, as arrays."""
+    at = lambda i: F.element_at(tokens, i.cast("int"))
+    last = F.size(tokens)
+
+    def later(i: Column, left: int, chosen: list[Column]) -> Column:
+        if not left:
+            return F.array(F.array(*chosen))
+        return F.flatten(F.transform(F.sequence(i + 1, last - (left - 1)), lambda j: later(j, left - 1, [*chosen, at(j)])))
+    return later(F.lit(0), n, [])
+
+
+def signatures(tokens: DataFrame, lengths: DataFrame, t: float) -> DataFrame:
+    """``(sig, id, len, other)``: join keys of strings for partners of ``other`` characters, a pair being similar only if
+    its strings share a key (lengths up to the widest band).
+
+    With ``M = ceil(t (la + lb) / 2)`` tokens in common at least, two strings of ``la`` and ``lb`` characters have at least ``n`` of them
+    within their first ``la - M + n`` and ``lb - M + n`` tokens (globally rarest first): behind those, fewer than ``M - n + 1`` are left of either
+    string. So they agree in some combination of ``n`` prefix tokens. ``n`` is 3 for short, 2 for longer pairs: several rare tokens
+    together are far more selective than one. A key holds both lengths, so each pair of lengths has its own exact ``M``.
+    """
+    share, widest = min_overlap_share(t), BANDS[-1][0]
+    some = lengths.where(F.col("len") <= widest)
+    freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = (tokens.join(some, "id").join(freq, "token").groupBy("id", "len")   # at most `widest` tokens of a string
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("ranked")))
+    ln = F.col("len")
+    other = F.sequence(F.ceil(ln * share - SLACK).cast("int"), F.least(F.floor(ln / share + SLACK).cast("int"), F.lit(widest)))
+    each = ranked.select("id", "len", "ranked", F.explode(other).alias("other"))
+    need = F.ceil((F.col("len") + F.col("other")) * F.lit(t / 2.0) - SLACK).cast("int")
+    each = each.withColumn("need", need).where(F.col("need") <= F.least("len", "other"))
+    longer = F.greatest("len", "other")
+    n = F.lit(1)
+    for most, size in reversed(BANDS):
+        n = F.when(longer <= most, size).otherwise(n)
+    each = each.withColumn("n", F.least(n, "need"))
+    prefix = F.slice("ranked", F.lit(1), F.col("len") - F.col("need") + F.col("n"))
+    keys = F.when(F.col("n") == 3, _combinations(prefix, 3)).when(F.col("n") == 2, _combinations(prefix, 2)).otherwise(_combinations(prefix, 1))
+    sig = F.transform(keys, lambda c: F.xxhash64(F.least("len", "other"), longer, c))   # an equal hash only adds a candidate
+    return each.select(F.explode(sig).alias("sig"), "id", "len", "other")
+
+
 def candidate_pairs(strings: DataFrame, t: float) -> DataFrame:
-    """Unordered candidate pairs ``(a, b)`` (ids, ``a < b``) of ``strings(id, s)`` that pass
-    the prefix filter and the positional, length and multiset bounds for threshold ``t``.
+    """Unordered candidate pairs ``(a, b)`` (ids, ``a < b``) of ``strings(id, s)`` that share a signature or, where one is
+    longer than the bands, pass the prefix filter and positional bound, and that pass the length and multiset bounds for threshold ``t``.
 
-    Only small rows (ids, token, ranks, lengths) go through the token join -- the
-    shorter string's short prefix against the longer string's prefix; the token bags
-    are joined to the distinct surviving pairs afterwards.
+    Only small rows (ids, keys, lengths) go through the joins; the token bags are joined to the distinct surviving pairs afterwards.
     """
     s = strings.where(F.col("s") != "")
     toks = char_tokens(s, "id", "s")
     lens = s.select("id", F.length("s").alias("len"))
-    short = prefix_tokens(toks, lens, "id", t, share=t)
-    long_ = prefix_tokens(toks, lens, "id", t)
-    x, y = short.alias("x"), long_.alias("y")
+    sigs, widest = signatures(toks, lens, t), BANDS[-1][0]
+    p, q = sigs.where("len <= other").alias("p"), sigs.where("len >= other").alias("q")
+    met = (p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.other") == F.col("q.len")) & (F.col("p.len") == F.col("q.other"))
+                  & ((F.col("p.len") < F.col("q.len")) | (F.col("p.id") < F.col("q.id"))))
+           .select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")))
+    # a pair with a string longer than the bands: its shorter one has at least this share of that length
+    long_lens = lens.where(F.col("len") >= F.lit(widest * min_overlap_share(t) - SLACK))
+    long_toks = toks.join(long_lens.select("id"), "id")
+    x = prefix_tokens(long_toks, long_lens, "id", t, share=t).alias("x")
+    y = prefix_tokens(long_toks, long_lens, "id", t).where(F.col("len") > widest).alias("y")
     ok = (shorter_first(F.col("x.len"), F.col("x.id"), F.col("y.len"), F.col("y.id"))
           & prefix_join_ok(F.col("x.rk"), F.col("x.len"), F.col("y.rk"), F.col("y.len"), t))
-    cand = (x.join(y, "token").where(ok)
-            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    far = x.join(y, F.col("x.token") == F.col("y.token")).where(ok).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    cand = met.unionByName(far).distinct()
     bags = token_bags(toks, "id").join(lens, "id")
     return (cand.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("ta"), F.col("len").alias("la")), "a")
             .join(bags.select(F.col("id").alias("b"), F.col("bag").alias("tb"), F.col("len").alias("lb")), "b")

@@ -79,6 +79,63 @@ def test_plan_has_no_cartesian(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+RESIDUAL = ("seq bigint, master_id string, session string, completeness double, title_truthy boolean, company_norm string, title_norm string, "
+            "location_norm string")
+
+
+def _residual(spark, rows):
+    """(seq, completeness, company, title, location), all normalised."""
+    return spark.createDataFrame([(s, f"m{s}", f"s{s % 3}", c, True, co, ti, lo) for s, c, co, ti, lo in rows], RESIDUAL)
+
+
+def test_fuzzy_pairs_stop_at_the_first_more_complete(spark):
+    import random
+    from difflib import SequenceMatcher
+    from itertools import combinations
+    from hirelake.operators.simjoin import fuzzy_matches
+    rnd = random.Random(11)
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    companies = ["techcorp", "techcorps", "tech corp", "acme labs", "acme lab", "globex", ""]
+    titles = ["senior data analyst", "data analyst", "senior data analyst m", "sales", "sale", ""]
+    places = ["wien", "wien ost", "graz", "", "salzburg", "linz"]
+    for _ in range(3):
+        rows = [(s, rnd.choice([25.0, 37.5, 50.0, 62.5]), rnd.choice(companies), rnd.choice(titles), rnd.choice(places)) for s in range(1, 90)]
+        want = {}
+        for later in rows:
+            for first in rows[:later[0] - 1]:
+                if not first[2] or not later[2]:
+                    continue
+                c, t = ratio(first[2], later[2]), ratio(first[3], later[3])
+                place = ratio(first[4], later[4]) if first[4] and later[4] else 0.0
+                conf = (c * 0.4 + t * 0.4 + place * 0.2) * 100
+                if c >= 0.8 and t >= 0.75 and conf >= 75:
+                    want[(first[0], later[0])] = round(conf, 9)
+                    if first[1] > later[1]:
+                        break
+        got = {(r["i"], r["j"]): round(r["conf"], 9) for r in fuzzy_matches(_residual(spark, rows)).collect()}
+        assert got == want and len(want) > 100
+
+
+def test_a_family_of_equal_keys_forms_only_what_it_emits(spark):
+    """50,000 postings of one key at four locations, the first the most complete: each stops at the first."""
+    from hirelake.operators.simjoin import fuzzy_matches
+    rows = spark.range(1, 50_001).selectExpr(
+        "id as seq", "concat('m', id) as master_id", "'s' as session", "if(id = 1, 75.0D, 50.0D) as completeness", "true as title_truthy",
+        "'acme' as company_norm", "'data analyst' as title_norm", "element_at(array('wien', 'graz', 'linz', ''), cast(id % 4 as int) + 1) as location_norm")
+    out = fuzzy_matches(rows).selectExpr("count(*) as n", "max(i) as i", "count(distinct j) as js").first()
+    assert (out["n"], out["i"], out["js"]) == (49_999, 1, 49_999)
+
+
+def test_few_candidates_for_short_strings(spark):
+    """The names of the text fixture: candidates before the ratio are a small share of all pairs."""
+    from hirelake.functions.similarity import candidate_pairs
+    from hirelake.operators.simjoin import string_ids
+    from pyspark.sql import functions as F
+    names = string_ids(dedup.prepare(text_postings_v3(spark, "/root/testdata/sf0.01")).where("company_norm != ''").select(F.col("company_norm").alias("s")))
+    n = names.count()
+    assert candidate_pairs(names, 0.8).count() < 0.03 * n * (n - 1) / 2
+
+
 def test_similar_pairs_lossless_random(spark):
     """Random short strings over a small alphabet (the hard case for prefix filters)."""
     import random
