@@ -7,6 +7,7 @@ the same way as the Spark side (see ``hirelake.functions.text``) because DuckDB'
 
 from __future__ import annotations
 
+from hirelake.catalog.seqmatch_sql import ratio_ctes
 from hirelake.functions.text import EMAIL_PATTERN, PHONE_PATTERN
 from hirelake.sources.views import (BRAND_RESEARCH_SQL, LABELLED_PAGES_SQL, POSTINGS_V1_SQL, RECORDS_V2B_SQL, TEXT_POSTINGS_V3_SQL,
                                     TRACKER_EVENTS_V4_SQL)
@@ -176,8 +177,40 @@ _COMPL = ("((case when coalesce(length(title), 0) > 0 then 1 else 0 end) + (case
           "/ 8.0 * 100.0")
 _JAC = ("case when len(cwords) = 0 or len(words) = 0 then 0.0 else len(list_intersect(cwords, words)) / "
         "(len(cwords) + len(words) - len(list_intersect(cwords, words)))::double end")
-def _dedup_sql(view: str, src: str, compl: str, loc: str) -> str:
-    return f"""with {view},
+#: J3 + W3 in SQL: similar companies, titles inside them, locations; each later posting's pairs end at its first more complete one.
+_FUZZY = f"""
+fz as (select seq, master_id, session, compl, {norm_text('cn')} as fc, tn, {norm_text('ln')} as fl from r1
+       where cn <> '' and coalesce(length(title), 0) > 0 and seq not in (select dseq from e2)),
+chars as (select s, ch, count(*) as n from (select s, unnest(string_split(s, '')) as ch from
+          (select fc as s from fz union select tn from fz where tn <> '')) group by all),
+cpair as (select a, b from (select x.s as a, y.s as b, sum(least(x.n, y.n)) as m from chars x join chars y using (ch)
+          where x.s in (select fc from fz) and y.s in (select fc from fz) group by all) where 2.0 * m >= 0.8 * (length(a) + length(b)) - 1e-6),
+{ratio_ctes('cpair', 'cr')},
+keys as (select distinct fc, tn from fz),
+tkeys as (select distinct x.tn as a, y.tn as b from cr join keys x on x.fc = cr.a join keys y on y.fc = cr.b where cr.r >= 0.8),
+tpair as (select a, b from (select a, b, sum(least(x.n, y.n)) as m from tkeys join chars x on x.s = a join chars y on y.s = b and y.ch = x.ch group by all)
+          where 2.0 * m >= 0.75 * (length(a) + length(b)) - 1e-6 union select a, b from tkeys where a = b),
+{ratio_ctes('tpair', 'tr')},
+lpair as (select distinct x.fl as a, y.fl as b from fz x, fz y where x.fl <> '' and y.fl <> ''),
+{ratio_ctes('lpair', 'lr')},
+fm as (select x.seq as i, y.seq as j, x.compl as ci, y.compl as cj, x.master_id as idi, y.master_id as idj, x.session as si, y.session as sj,
+         cr.r as c, tr.r as t, coalesce(lr.r, 0.0) as l
+       from fz x join cr on cr.a = x.fc and cr.r >= 0.8 join fz y on y.fc = cr.b and y.seq > x.seq
+       join tr on tr.a = x.tn and tr.b = y.tn and tr.r >= 0.75 left join lr on lr.a = x.fl and lr.b = y.fl),
+fc75 as (select *, (c * 0.4 + t * 0.4 + l * 0.2) * 100.0 as conf from fm where (c * 0.4 + t * 0.4 + l * 0.2) * 100.0 >= 75.0),
+fstop as (select j, min(i) filter (ci > cj) as stop from fc75 group by j),
+e3 as (select 'fuzzy_match' as strategy, 3 as srank, i as o1, j as o2, floor(conf)::integer as confidence,
+         case when ci > cj then i else j end as cseq, case when ci > cj then idi else idj end as cid,
+         case when ci > cj then j else i end as dseq, case when ci > cj then idj else idi end as did,
+         case when ci > cj then sj else si end as dsession, null::double as description_similarity,
+         round_even(c * 100.0, 1) as sim_company, round_even(t * 100.0, 1) as sim_title, round_even(l * 100.0, 1) as sim_location
+       from fc75 join fstop using (j) where stop is null or i <= stop),"""
+
+
+def _dedup_sql(view: str, src: str, compl: str, loc: str, fuzzy: bool = False) -> str:
+    no_sims = ", null::double as sim_company, null::double as sim_title, null::double as sim_location" if fuzzy else ""
+    e3 = " union all select * from e3" if fuzzy else ""
+    return f"""with {"recursive " if fuzzy else ""}{view},
 p as (select seq, master_id, session, nullif(url, '') as url_key, url, contact_email, salary_min, salary_max,
         location_city, description, title, company, {compl} as compl,
         {norm_company('company')} as cn, {norm_text('title')} as tn,
@@ -197,8 +230,8 @@ cw as (select r1.ckey, r1.words as cwords from r1 join kg on r1.ckey = kg.ckey a
 e2 as (select 'normalized_composite' as strategy, 2 as srank, kg.first_seq as o1, r1.seq as o2,
          floor(85.0 + ({_JAC}) * 10.0)::integer as confidence, kg.cseq, kg.cid, r1.seq as dseq, r1.master_id as did,
          r1.session as dsession, round_even(({_JAC}) * 100.0, 1) as description_similarity
-       from r1 join kg using (ckey) join cw using (ckey) where r1.seq <> kg.cseq),
-e as (select *, dense_rank() over (order by srank, o1, o2) as gseq from (select * from e1 union all select * from e2)),
+       from r1 join kg using (ckey) join cw using (ckey) where r1.seq <> kg.cseq),{_FUZZY if fuzzy else ""}
+e as (select *, dense_rank() over (order by srank, o1, o2) as gseq from (select *{no_sims} from e1 union all select *{no_sims} from e2{e3})),
 eg as (select *, printf('dup_%03d', gseq) as group_id from e),
 g as (select gseq, group_id, strategy, confidence, cseq, count(*) as dcount from eg group by all),
 fill_email as (select cseq, first(p.contact_email order by eg.gseq, eg.dseq) as v,
@@ -290,6 +323,26 @@ _COMPL3 = ("((case when coalesce(length(title), 0) > 0 then 1 else 0 end) + (cas
 ORACLES["dedup_text_composite"] = _dedup_sql(f"{V3}, {_V3P}", "v3p", _COMPL3, norm_text("location_city")) + """
 select group_id, strategy, cid as canonical_id, did as dup_id, confidence, description_similarity from eg"""
 
+# All three stages; the review queue over postings of which some name a site as their location.
+_FUZZY3 = _dedup_sql(f"{V3}, {_V3P}", "v3p", _COMPL3, norm_text("location_city"), fuzzy=True)
+ORACLES["dedup_fuzzy_groups"] = _FUZZY3 + """
+select group_id, strategy, cid as canonical_id, did as dup_id, confidence, description_similarity, sim_company, sim_title, sim_location from eg"""
+ORACLES["dedup_fuzzy_summary"] = _FUZZY3 + """,
+n as (select (select count(*) from p) as total, (select count(*) from p where seq not in (select seq from removed)) as kept)
+select total as total_jobs, kept as unique_jobs, total - kept as duplicates, round_even((total - kept) / total * 100.0, 1) as duplicate_rate,
+  (select count(*) from g) as duplicate_groups, (select count(*) from g where confidence >= 60 and confidence < 85) as flagged_for_review from n"""
+
+_REVIEW = _dedup_sql(f"{V3}, {_V3P.replace('location as', 'case when length(session) = 4 then location else session end as')}", "v3p", _COMPL3,
+                     norm_text("location_city"), fuzzy=True) + """,
+rv as (select g.*, row_number() over (order by gseq) as n from g where confidence >= 60 and confidence < 85)"""
+ORACLES["dedup_fuzzy_review"] = _REVIEW + """
+select printf('review_%03d', n) as review_id, case when confidence >= 70 then 'medium' else 'high' end as priority, group_id,
+  'low_confidence_match' as reason, confidence, rv.cid as canonical_job_id, strategy,
+  (select string_agg(did, ',') from eg where eg.gseq = rv.gseq) as duplicate_ids
+from (select rv.*, (select any_value(cid) from eg where eg.gseq = rv.gseq) as cid from rv) rv"""
+ORACLES["dedup_review_reasons"] = _REVIEW + """
+select case when confidence < 75 then 'Low confidence match (60-75%)' else 'Other' end as reason, count(*) as items from rv group by 1"""
+
 
 ORACLES["ingest_postings"] = f"""with {V1}
 select printf('master_%05d', row_number() over (order by session, printf('%06d.json', seq))) as master_id,

@@ -170,18 +170,33 @@ def dedup_text_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("dedup_fuzzy_groups")
 def dedup_fuzzy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J1 + J2 + J3 (blocked similarity join); no SQL form (SequenceMatcher)."""
+    """J1 + J2 + J3 (blocked similarity join)."""
     _, edges = _dedup_v3(spark, sf_dir, fuzzy=True)
     return edges.select("group_id", "strategy", "canonical_id", "dup_id", "confidence", "description_similarity",
                         "sim_company", "sim_title", "sim_location")
 
 
+def _dedup_sites(spark: SparkSession, sf_dir: str):
+    """The fuzzy run over text postings of which those of two-digit sources name their site as the location."""
+    from hirelake.operators import dedup
+    from hirelake.sources.views import text_postings_v3
+    site = F.when(F.length("session") == 4, F.col("location")).otherwise(F.col("session"))
+    postings = text_postings_v3(spark, sf_dir).withColumns({"location": site, "location_text": site})
+    edges = dedup.detect_duplicates(postings, fuzzy=True)
+    return dedup.review_queue(dedup.group_table(edges), edges=edges)
+
+
 @register("dedup_fuzzy_review")
 def dedup_fuzzy_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P20 review queue of the fuzzy run (groups with 60 <= confidence < 85)."""
-    from hirelake.operators import dedup
-    postings, edges = _dedup_v3(spark, sf_dir, fuzzy=True)
-    return dedup.review_queue(dedup.group_table(edges)).drop("group_seq")
+    """P20 + W5: review queue of a fuzzy run (groups with 60 <= confidence < 85), with the ids of the duplicates."""
+    return _dedup_sites(spark, sf_dir).drop("group_seq").withColumn("duplicate_ids", F.concat_ws(",", "duplicate_ids"))
+
+
+@register("dedup_review_reasons")
+def dedup_review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review items by reason."""
+    from hirelake.operators.dedup import review_reasons
+    return review_reasons(_dedup_sites(spark, sf_dir))
 
 
 @register("dedup_fuzzy_summary")
