@@ -20,6 +20,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +31,22 @@ from hirelake.llm.common import documents, small_batches, stored
 from hirelake.llm.vocab import SPACE, byte_bpe, cuts_at_spaces, model_bytes, public_path, sentencepieces
 
 #: Pieces of text whose alignment a task keeps, and the longest of them.
-_KEPT, _LONGEST = 300_000, 64
+_KEPT, _LONGEST = 420_000, 64
 #: Pieces encoded as one string.
-_AT_ONCE = 2_000
+_AT_ONCE = 1_000
 _FALLBACK = re.compile(r"<0x([0-9A-F]{2})>")
 # a place before one space, or on either side of one line break, between characters that are neither white space nor a piece's space
 _CUT = re.compile(f"(?<=[^\\s{SPACE}])(?=[ \\n][^\\s{SPACE}])|(?<=[^\\s{SPACE}]\\n)(?=[^\\s{SPACE}])")
 # a piece as text_pieces cuts them from ordinary text
 _PLAIN = re.compile(f" ?[^\\s{SPACE}]+")
-# texts in which every white space is such a space or line break
-_RARE = re.compile(f"\\s\\s|[^\\S \\n]|{SPACE}|^\\s|\\s$")
 
 
 def text_pieces(text: str) -> list[str]:
     """Parts of space+``text`` that both tokenizers encode alone as they do in the whole."""
-    if _RARE.search(text):
+    words = text.split()
+    gaps = max(len(words) - 1, 0)
+    # ordinary: every white space is one space or line break between two words
+    if text.count(" ") + text.count("\n") != gaps or sum(map(len, words)) + gaps != len(text) or SPACE in text:
         return _CUT.split(" " + text)
     out = []
     for k, line in enumerate(text.split("\n")):
@@ -73,6 +75,19 @@ def _ends(spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(inside, np.cumsum(sizes), spans[:, 1])
 
 
+class _Numbers(dict):
+    """Numbers pieces of text in the order they come; ``new`` holds those that came since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        n = self[piece] = len(self)
+        return n
+
+
 class Aligner:
     """Aligns texts; a worker process keeps one. Each distinct piece of text gets a number and is aligned once: ordinary pieces many
     at a time in one string (they are cut apart where both tokenizers cut, so the string's tokens are theirs), others one by one."""
@@ -88,45 +103,69 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) and _FALLBACK.fullmatch(p) else p.replace(SPACE, " ").encode()
                         for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        most = max(len(tokens), len(pieces))
+        self.comma, self.bar, self.semicolon = ([f"{i}{mark}" for i in range(most)] for mark in ",|;")
         self.whole = not cuts_at_spaces(b_model)
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.names: list[str] = []           # per piece: its groups as text
-        self.pairs: list[np.ndarray] = []    # its linked id pairs
-        self.times: list[np.ndarray | None] = []   # their numbers, None: each pair stands once per link
-        self.counts = np.zeros((_KEPT, 5), np.int64)   # tokens of A, of B, groups, links, whether its bytes differ
-
-    def _add(self, piece: str, counts: tuple, names: str, pairs: np.ndarray, times: np.ndarray | None) -> None:
-        k = self.number[piece] = len(self.names)
-        if k == len(self.counts):
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        self.counts[k] = counts
-        self.names.append(names)
-        self.pairs.append(pairs)
-        self.times.append(times)
+        self.number = _Numbers()
+        self.names: list[str] = []                     # per piece: its groups as text
+        self.counts = np.zeros((0, 5), np.int64)       # per piece: tokens of A, of B, groups, links, whether its bytes differ
+        self.first = np.zeros((0, 2), np.int64)        # per piece: where its linked pairs begin, and how many there are
+        self.pairs = np.zeros(1 << 16, np.int64)       # linked id pairs of all pieces
+        self.times = np.zeros(1 << 16, np.int32)       # how often each is linked
+        self.filled = 0
+        self.used = np.zeros(0, np.int64)              # per piece: how often it came
+
+    def _forget_rare(self) -> None:
+        """Keeps at most half as many pieces, those that came most often (counts are halved, so old ones fade)."""
+        least = 2
+        while (self.used >= least).sum() > _KEPT // 2:
+            least *= 2
+        kept = np.flatnonzero(self.used >= least)
+        pieces, names, counts, (first, size), times, pairs = list(self.number), self.names, self.counts[kept], self.first[kept].T, self.times, self.pairs
+        used = self.used[kept] // 2
+        self.forget()
+        for k in kept.tolist():
+            self.number[pieces[k]]
+        self.number.new = []
+        self.names, self.counts, self.used = [names[k] for k in kept.tolist()], counts, used
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        self._store(pairs[at], times[at])
+        self.first = np.stack([np.cumsum(size) - size, size], axis=1)
+
+    def _store(self, pairs: np.ndarray, times: np.ndarray | int) -> int:
+        at, self.filled = self.filled, self.filled + len(pairs)
+        if self.filled > len(self.pairs):
+            more = max(self.filled, 2 * len(self.pairs))
+            self.pairs, self.times = (np.concatenate([x, np.zeros(more - len(x), x.dtype)]) for x in (self.pairs, self.times))
+        self.pairs[at:self.filled], self.times[at:self.filled] = pairs, times
+        return at
 
     def _spans(self, text: str):
         """Ids and byte ends of both tokenizers' tokens of ``text``; None if either's bytes are not the text's."""
         raw = text.encode("utf-8", "surrogatepass")
         enc = self.a.encode(text, add_special_tokens=False)
-        proto = [(p.id, p.begin, p.end) for p in self.b.encode(text, num_threads=1, return_type="proto").pieces]
-        ids_a, ids_b = enc.ids, [p[0] for p in proto]
+        proto = self.b.encode(text, num_threads=1, return_type="proto").pieces
+        ids_a, ids_b = enc.ids, [p.id for p in proto]
         if b"".join([self.a_bytes[i] for i in ids_a]) != raw or b"".join([self.b_bytes[i] for i in ids_b]) != raw:
             return None
-        spans = np.array(enc.offsets, np.int64).reshape(-1, 2)
+        spans = np.fromiter(chain.from_iterable(enc.offsets), np.int64, 2 * len(ids_a)).reshape(-1, 2)
         if len(raw) != len(text):   # characters to bytes
             points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
             spans = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])[spans]
         a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-        return a, _ends(spans, self.a_size[a]), b, _ends(np.array(proto, np.int64).reshape(-1, 3)[:, 1:], self.b_size[b])
+        in_b = np.stack([np.fromiter([p.begin for p in proto], np.int64, len(b)), np.fromiter([p.end for p in proto], np.int64, len(b))], axis=1)
+        return a, _ends(spans, self.a_size[a]), b, _ends(in_b, self.b_size[b])
 
     def _single(self, piece: str) -> None:
         """A piece of its own: any white space, any length (a group without inner cuts may be long, but has few distinct ids)."""
+        number = self.number[piece]
         spans = self._spans(piece)
         if spans is None:
-            return self._add(piece, (0, 0, 0, 0, 1), "", np.zeros(0, np.int64), None)
+            self.counts[number] = (0, 0, 0, 0, 1)
+            return
         a, ends_a, b, ends_b = spans
         cuts = np.intersect1d(ends_a, ends_b)
         names, pairs, links, i, j = [], defaultdict(int), 0, 0, 0
@@ -139,78 +178,100 @@ class Aligner:
             for x, n in Counter(ga).items():
                 for y, c in many_b.items():
                     pairs[x << 32 | y] += n * c
-        self._add(piece, (len(a), len(b), len(cuts), links, 0), ";".join(names),
-                  np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs)))
+        self.counts[number] = (len(a), len(b), len(cuts), links, 0)
+        self.names[number] = ";".join(names)
+        at = self._store(np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs)))
+        self.first[number] = at, len(pairs)
 
     def _block(self, pieces: list[str]) -> None:
         """Ordinary pieces (one space or none before, no other white space) as one string; those without a space stand behind a line break."""
-        parts = []
+        parts, own = [], []
         for p in pieces:
             if p[0] != " ":
                 parts.append("\n")
+                own.append(False)
             parts.append(p)
+            own.append(True)
         spans = self._spans("".join(parts))
         ends = np.cumsum([len(p.encode()) for p in parts])
         if spans is None:
-            return [self._single(p) for p in pieces] and None
-        a, ends_a, b, ends_b = spans
-        cuts = np.intersect1d(ends_a, ends_b)   # ends of the groups
-        if not np.isin(ends, cuts).all():
-            return [self._single(p) for p in pieces] and None
-        of_a, of_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)   # group of each token
+            ok = False
+        else:
+            a, ends_a, b, ends_b = spans
+            in_a, in_b = np.zeros(ends_a[-1] + 1, bool), np.zeros(ends_b[-1] + 1, bool)
+            in_a[ends_a], in_b[ends_b] = True, True
+            stop_a, stop_b = in_b[ends_a], in_a[ends_b]   # tokens with which a group ends
+            ok = in_a[ends].all() and in_b[ends].all()
+        if not ok:
+            for p in pieces:
+                self._single(p)
+            return
+        cuts = ends_a[stop_a]   # ends of the groups
+        of_a, of_b = np.cumsum(stop_a) - stop_a, np.cumsum(stop_b) - stop_b   # group of each token
         n_a, n_b = np.bincount(of_a, minlength=len(cuts)), np.bincount(of_b, minlength=len(cuts))
         last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
         # all pairs of tokens within a group: each A token with its group's B tokens
         per_a = n_b[of_a]
         first = np.repeat(np.cumsum(per_a) - per_a, per_a)
         at_b = np.repeat((last_b - n_b)[of_a], per_a) + np.arange(len(first)) - first
-        pairs = (np.repeat(a, per_a) << 32) | b[at_b]
+        start = self._store((np.repeat(a, per_a) << 32) | b[at_b], 1)
         # the groups as text: every token with what follows it, A tokens of a group before its B tokens
         text = np.empty(len(a) + len(b), object)
-        text[np.arange(len(a)) + (last_b - n_b)[of_a]] = [f"{i}," if more else f"{i}|" for i, more in zip(a.tolist(), (np.arange(1, len(a) + 1) < last_a[of_a]).tolist())]
-        text[np.arange(len(b)) + last_a[of_b]] = [f"{i}," if more else f"{i};" for i, more in zip(b.tolist(), (np.arange(1, len(b) + 1) < last_b[of_b]).tolist())]
-        group = np.searchsorted(cuts, ends) + 1   # groups up to the end of each part
-        upto = np.stack([last_a[group - 1], last_b[group - 1], group, np.cumsum(n_a * n_b)[group - 1], np.zeros_like(group)], axis=1)
-        before = np.concatenate([np.zeros((1, 5), np.int64), upto[:-1]])
-        links, words = upto[:, 3].tolist(), (upto[:, 0] + upto[:, 1]).tolist()
-        for k, (p, counts) in enumerate(zip(parts, upto - before)):
-            if p not in self.number:
-                w, s = (words[k - 1], links[k - 1]) if k else (0, 0)
-                self._add(p, counts, "".join(text[w:words[k]])[:-1], pairs[s:links[k]].copy(), None)
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Aligns the pieces not known yet."""
-        if len(self.number) > _KEPT:
-            self.forget()
-        new = {p for parts in texts for p in parts if p not in self.number}
-        plain = [p for p in new if len(p) <= _LONGEST and _PLAIN.fullmatch(p)]
+        comma, bar, semicolon = self.comma, self.bar, self.semicolon
+        text[np.arange(len(a)) + (last_b - n_b)[of_a]] = [
+            comma[i] if more else bar[i] for i, more in zip(a.tolist(), (np.arange(1, len(a) + 1) < last_a[of_a]).tolist())]
+        text[np.arange(len(b)) + last_a[of_b]] = [
+            comma[i] if more else semicolon[i] for i, more in zip(b.tolist(), (np.arange(1, len(b) + 1) < last_b[of_b]).tolist())]
+        text = text.tolist()
+        group = np.searchsorted(cuts, ends)   # the last group of each part
+        upto = np.stack([last_a[group], last_b[group], group + 1, np.cumsum(n_a * n_b)[group], np.zeros_like(group)], axis=1)
+        counts = np.diff(upto, axis=0, prepend=0)
+        keep = np.array(own)
+        numbers = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        self.counts[numbers] = counts[keep]
+        self.first[numbers] = np.stack([start + upto[:, 3] - counts[:, 3], counts[:, 3]], axis=1)[keep]
+        stop = (upto[:, 0] + upto[:, 1])[keep].tolist()
+        begin = (upto[:, 0] + upto[:, 1] - counts[:, 0] - counts[:, 1])[keep].tolist()
+        for n, x, y in zip(numbers.tolist(), begin, stop):
+            self.names[n] = "".join(text[x:y])[:-1]
+
+    def _learn(self) -> None:
+        """Aligns the pieces that are new."""
+        new, self.number.new = self.number.new, []
+        self.names += [""] * len(new)
+        self.counts = np.concatenate([self.counts, np.zeros((len(new), 5), np.int64)])
+        self.first = np.concatenate([self.first, np.zeros((len(new), 2), np.int64)])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        plain, others = [], []
+        for p in new:
+            (plain if len(p) <= _LONGEST and _PLAIN.fullmatch(p) else others).append(p)
         for at in range(0, len(plain), _AT_ONCE):
             self._block(plain[at:at + _AT_ONCE])
-        for p in new:
-            if p not in self.number:
-                self._single(p)
+        for p in others:
+            self._single(p)
 
     def documents(self, texts: list[str | None]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, pair ids, numbers) of each text."""
-        parts = [([" " + t] if self.whole else text_pieces(t)) if t else [] for t in texts]
-        self.learn(parts)
-        return [self._document(p) for p in parts]
-
-    def _document(self, parts: list[str]) -> tuple:
-        ids = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+        if len(self.number) > _KEPT:
+            self._forget_rare()
+        ids, number = [], self.number.__getitem__
+        for t in texts:
+            parts = ([" " + t] if self.whole else text_pieces(t)) if t else []
+            ids.append(np.fromiter(map(number, parts), np.int64, len(parts)))
+        self._learn()
+        return [self._document(x) for x in ids]
+
+    def _document(self, ids: np.ndarray) -> tuple:
         n_a, n_b, n_groups, n_links, differ = self.counts[ids].sum(axis=0).tolist()
         if differ or not n_links:
             return 0, 0, 0, 0, "", [], []
-        names = hashlib.sha256(";".join([self.names[i] for i in ids.tolist()]).encode()).hexdigest()
+        names = hashlib.sha256(";".join(map(self.names.__getitem__, ids.tolist())).encode()).hexdigest()
         kinds, often = np.unique(ids, return_counts=True)
-        kinds = kinds.tolist()
-        pairs = [self.pairs[i] for i in kinds]
-        weight = np.repeat(often, [len(p) for p in pairs])
-        if any(self.times[i] is not None for i in kinds):
-            weight *= np.concatenate([np.ones(len(p), np.int64) if (t := self.times[i]) is None else t for i, p in zip(kinds, pairs)])
-        distinct, place = np.unique(np.concatenate(pairs), return_inverse=True)
-        total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, place, weight)
+        self.used[kinds] += often
+        start, size = self.first[kinds].T
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        distinct, place = np.unique(self.pairs[at], return_inverse=True)
+        total = np.bincount(place, self.times[at] * np.repeat(often, size)).astype(np.int64)
         return n_a, n_b, n_groups, n_links, names, distinct, total
 
 
