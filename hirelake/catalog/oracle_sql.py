@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from hirelake.catalog.seqmatch_sql import ratio_ctes
 from hirelake.functions.text import EMAIL_PATTERN, PHONE_PATTERN
-from hirelake.sources.views import (BRAND_RESEARCH_SQL, LABELLED_PAGES_SQL, POSTINGS_V1_SQL, RECORDS_V2B_SQL, TEXT_POSTINGS_V3_SQL,
+from hirelake.sources.views import (BRAND_RESEARCH_SQL, LABELLED_PAGES_SQL, LINKED_PAGES_SQL, POSTINGS_V1_SQL, RECORDS_V2B_SQL, SAVED_SEARCHES_SQL, STRUCTURED_SQL, TEXT_POSTINGS_V3_SQL,
                                     TRACKER_EVENTS_V4_SQL)
 
 WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
@@ -211,7 +211,7 @@ def _dedup_sql(view: str, src: str, compl: str, loc: str, fuzzy: bool = False) -
     no_sims = ", null::double as sim_company, null::double as sim_title, null::double as sim_location" if fuzzy else ""
     e3 = " union all select * from e3" if fuzzy else ""
     return f"""with {"recursive " if fuzzy else ""}{view},
-p as (select seq, master_id, session, nullif(url, '') as url_key, url, contact_email, salary_min, salary_max,
+p as (select seq, master_id, session, original_id, nullif(url, '') as url_key, url, contact_email, salary_min, salary_max,
         location_city, description, title, company, {compl} as compl,
         {norm_company('company')} as cn, {norm_text('title')} as tn,
         {loc} as ln, {_WORDS} as words from {src}),
@@ -241,15 +241,19 @@ fill_sal as (select cseq, first(p.salary_min order by eg.gseq, eg.dseq) as smin,
                first(eg.dsession order by eg.gseq, eg.dseq) as src
              from eg join p on p.seq = eg.dseq where p.salary_min is not null or p.salary_max is not null group by cseq),
 lastg as (select cseq, max(gseq) as gseq from g where confidence >= 85 group by cseq),
-lurl as (select eg.gseq, p.url as durl, min(eg.dseq) as pos from eg join lastg using (cseq, gseq)
-         join p on p.seq = eg.dseq where coalesce(length(p.url), 0) > 0 group by all),
-lses as (select eg.gseq, eg.dsession, min(eg.dseq) as pos from eg join lastg using (cseq, gseq) group by all),
+lastd as (select eg.cseq, eg.dseq from eg join lastg using (cseq, gseq)),
+vals as (select cseq, kind, value, min(pos) as pos from (
+    select l.cseq, l.dseq as pos, 'url' as kind, nullif(p.url, '') as value from lastd l join p on p.seq = l.dseq where coalesce(p.url, '') <> ''
+    union all select l.cseq, l.dseq, 'session', p.session from lastd l join p on p.seq = l.dseq
+    union all select l.cseq, l.dseq, 'original_id', p.original_id from lastd l join p on p.seq = l.dseq
+    union all select p.seq, -1, 'url', nullif(p.url, '') from p where p.seq in (select cseq from lastd)
+    union all select p.seq, -1, 'session', p.session from p where p.seq in (select cseq from lastd)
+    union all select p.seq, -1, 'original_id', p.original_id from p where p.seq in (select cseq from lastd)) group by all),
 meta as (select lastg.cseq, g.dcount, g.strategy, g.confidence, g.group_id,
-           [nullif(c.url, '')] || list_filter(coalesce((select list(durl order by pos) from lurl where lurl.gseq = lastg.gseq), []),
-                                              lambda x: x is distinct from nullif(c.url, '')) as urls,
-           [c.session] || list_filter(coalesce((select list(dsession order by pos) from lses where lses.gseq = lastg.gseq), []),
-                                      lambda x: x is distinct from c.session) as sessions
-         from lastg join g on g.gseq = lastg.gseq join p c on c.seq = lastg.cseq),
+           (select count(*) from vals v where v.cseq = lastg.cseq and kind = 'url') as n_urls,
+           (select count(*) from vals v where v.cseq = lastg.cseq and kind = 'session') as n_sessions,
+           (select count(*) from vals v where v.cseq = lastg.cseq and kind = 'original_id') as n_original_ids
+         from lastg join g on g.gseq = lastg.gseq),
 removed as (select distinct dseq as seq from eg where confidence >= 85),
 filled as (select p.*,
              case when coalesce(length(p.contact_email), 0) > 0 then p.contact_email else fe.v end as f_email,
@@ -266,13 +270,18 @@ _DEDUP = _dedup_sql(V1, "v1", _COMPL, norm_text("coalesce(location_city, '') ||
 ORACLES["dedup_groups"] = _DEDUP + """
 select group_id, strategy, cid as canonical_id, did as dup_id, confidence, description_similarity from eg"""
 
+ORACLES["dedup_matched_fields"] = _DEDUP + """
+select group_id, did as dup_id, dsession as dup_session, case strategy when 'exact_url' then 'url' else 'company,title,location' end as matched_fields from eg"""
+
+_VALUES = """
+select cseq as seq, kind, row_number() over (partition by cseq, kind order by pos, value) - 1 as position, value from vals"""
+ORACLES["dedup_merge_values"] = _DEDUP + _VALUES
+
 _UNIQUE = """
 select u.seq, u.master_id, u.f_email as contact_email, u.email_src as contact_email_source,
   u.f_sal_present as salary_present, u.f_sal_min as salary_min, u.sal_src as salary_source,
   m.dcount as duplicate_count, m.strategy as merge_strategy, m.confidence as merge_confidence,
-  m.group_id as merge_group_id,
-  array_to_string(list_transform(m.urls, lambda x: coalesce(x, '<null>')), ',') as duplicate_urls,
-  array_to_string(list_transform(m.sessions, lambda x: coalesce(x, '<null>')), ',') as session_sources
+  m.group_id as merge_group_id, case when m.cseq is not null then '2001-08-01 00:00:00' end as merge_date, m.n_urls, m.n_sessions, m.n_original_ids
 from uniq u left join meta m on m.cseq = u.seq"""
 ORACLES["dedup_unique"] = _DEDUP + _UNIQUE
 
@@ -282,6 +291,7 @@ _DEDUP2 = _dedup_sql(f"v2b as ({RECORDS_V2B_SQL})", "v2b", _COMPL2, norm_text("l
 ORACLES["dedup_ingested_groups"] = _DEDUP2 + """
 select group_id, strategy, cid as canonical_id, did as dup_id, confidence, description_similarity from eg"""
 ORACLES["dedup_ingested_unique"] = _DEDUP2 + _UNIQUE
+ORACLES["dedup_ingested_merge_values"] = _DEDUP2 + _VALUES
 
 ORACLES["dedup_summary"] = _DEDUP + """
 select (select count(*) from p) as total_jobs, (select count(*) from uniq) as unique_jobs,
@@ -314,7 +324,7 @@ select metric, round_even(before_raw, 1) as before, round_even(after_raw, 1) as
 from tb join ta using (metric)"""
 
 # The same two stages over the text postings (Unicode normalisation on real prose).
-_V3P = ("v3p as (select seq, master_id, session, null::varchar as url, contact_email, null::double as salary_min, "
+_V3P = ("v3p as (select seq, master_id, session, original_id, null::varchar as url, contact_email, null::double as salary_min, "
         "null::double as salary_max, location as location_city, description, title, company from v3)")
 _COMPL3 = ("((case when coalesce(length(title), 0) > 0 then 1 else 0 end) + (case when coalesce(length(company), 0) > 0 "
            "then 1 else 0 end) + (case when coalesce(length(location_city), 0) > 0 then 1 else 0 end) + (case when "
@@ -496,17 +506,53 @@ select page_id, len(regexp_extract_all(html, '<a\s'))::integer as n_links,
        else 'other' end as page_type
 from pages"""
 
-ORACLES["pages_links"] = r"""
-with h as (select page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as href from pages),
-r as (select page_id,
-  case when regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*://') then href
-       when starts_with(href, '//') then regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1) || ':' || href
-       when starts_with(href, '/') then regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || href
-       when starts_with(href, '#') or href = '' then url
-       else coalesce(nullif(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/)', 1), ''),
-                     regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || '/') || href end as resolved
-  from h)
-select distinct page_id, regexp_replace(resolved, '#.*$', '') as link from r"""
+_TAG, _BASE_TAG = "<[a-zA-Z][^>]*>", r"(?i)<base[\s/][^>]*>"
+_HREF = r"""(?i)[\s"''/]href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)"""
+_SCHEME = "^([a-zA-Z][a-zA-Z0-9+.-]*):"
+
+
+def _href(tag: str) -> str:
+    return f"""replace(trim(regexp_replace(regexp_extract({tag}, '{_HREF}', 1), '^["'']|["'']$', '', 'g')), '&amp;', '&')"""
+
+
+def _undot(path: str) -> str:
+    """Path without dot segments: a fold over its segments."""
+    segs = f"string_split(substr({path}, 2), '/')"
+    kept = (f"list_reduce(list_transform({segs}, lambda s: [s]), lambda acc, x: case when x[1] = '..' then acc[1:len(acc) - 1] when x[1] = '.' then acc "
+            f"else acc || x end, []::varchar[])")
+    return (f"case when starts_with({path}, '/') then '/' || array_to_string({kept}, '/') || case when {segs}[-1] in ('.', '..') "
+            f"and len({kept}) > 0 then '/' else '' end else {path} end")
+
+
+def _resolve_ctes(pairs: str, name: str) -> str:
+    """``name(id, base, ref, url)`` for ``pairs(id, base, ref)``: references resolved part by part."""
+    def parts(u: str, x: str) -> str:
+        rest = f"regexp_replace(regexp_replace({u}, '#.*$', ''), '{_SCHEME}', '')"
+        return (f"regexp_extract({u}, '{_SCHEME}', 1) as s{x}, regexp_extract({rest}, '^(//[^/?]*)', 1) as a{x}, "
+                f"regexp_extract({rest}, '^(?://[^/?]*)?([^?]*)', 1) as p{x}, regexp_extract({rest}, '^[^?]*(\\?.*)$', 1) as q{x}")
+    return f"""
+{name}_parts as (select *, coalesce(nullif(regexp_extract(pb, '^(.*/)', 1), ''), '/') || pr as merged
+  from (select *, {parts('base', 'b')}, {parts('ref', 'r')} from {pairs})),
+{name} as (select id, base, ref, case when sr <> '' then sr || ':' || ar || {_undot('pr')} || qr
+    when ar <> '' then sb || ':' || ar || {_undot('pr')} || qr
+    when pr = '' then sb || ':' || ab || pb || case when qr <> '' then qr else qb end
+    when starts_with(pr, '/') then sb || ':' || ab || {_undot('pr')} || qr
+    else sb || ':' || ab || {_undot('merged')} || qr end as url from {name}_parts)"""
+
+
+def _links_sql(pages: str) -> str:
+    return f"""with pg as ({pages}),
+bt as (select page_id as id, url as base, {_href(f"regexp_extract(html, '{_BASE_TAG}', 0)")} as ref from pg),
+{_resolve_ctes('bt', 'rb')},
+tags as (select page_id, url, unnest(regexp_extract_all(html, '{_TAG}', 0)) as tag from pg),
+pairs as (select t.page_id as id, case when rb.ref <> '' then rb.url else regexp_replace(t.url, '#.*$', '') end as base, {_href('tag')} as ref
+  from tags t join rb on rb.id = t.page_id where regexp_matches(tag, '{_HREF}') and not regexp_matches(tag, '{_BASE_TAG}')),
+{_resolve_ctes('pairs', 'rl')}
+select distinct id as page_id, url as link from rl"""
+
+
+ORACLES["pages_links"] = _links_sql("select page_id, url, html from pages")
+ORACLES["pages_link_forms"] = _links_sql(LINKED_PAGES_SQL)
 
 _AUDIT = [("placeholder", r"\[[A-Za-z][^\]\n]*\]"), ("html_comment", "<!--"),
           ("email", EMAIL_PATTERN), ("phone", PHONE_PATTERN)]
@@ -677,3 +723,32 @@ from n"""
 
 ORACLES["posting_dates"] = f"""with {V1}
 select seq, cast(cast(coalesce(try_strptime(posted_date, '%Y-%m-%d'), try_strptime(posted_date, '%d/%m/%Y')) as date) as varchar) as posted_on from v1"""
+
+
+# Every posting against every saved search, criterion by criterion.
+ORACLES["searches_matches"] = f"""with {V1}, s as ({SAVED_SEARCHES_SQL}),
+p as (select seq, {strip("coalesce(job_type, '')")} as jt, lower({strip("coalesce(experience_level, '')")}) as ex,
+        lower({strip("coalesce(remote_policy, '')")}) as lt, lower(coalesce(title, '')) as title, lower(coalesce(description, '')) as text,
+        posted_date, lower(coalesce(location_city, '')) as city, location_city is not null as placed, lower(coalesce(company, '')) as company,
+        salary_min is not null or salary_max is not null as paid, {_SAL_MIN} as low, {_SAL_MAX} as high, upper(coalesce(salary_currency, '')) as cur from v1)
+select search_id, seq, 100 as match_score from p, s
+where (job_types is null or list_contains(job_types, jt)) and (experience_levels is null or list_contains(experience_levels, ex))
+  and (location_type is null or list_contains(location_type, lt))
+  and (posted_days is null or coalesce(posted_date, '') = '' or coalesce(try_strptime(split_part(posted_date, 'T', 1), '%Y-%m-%d')
+       >= timestamp '2001-08-01 00:00:00' - to_days(posted_days::integer), true))
+  and (keywords is null or len(list_filter(keywords, lambda k: contains(title, k) or contains(text, k)
+       or len(list_filter(string_split(k, ' '), lambda w: not contains(title, w))) = 0)) > 0)
+  and ((lo is null and hi is null) or not paid or (cur <> '' and cur <> asked)
+       or coalesce((lo is null or coalesce(high, low) >= lo) and (hi is null or coalesce(low, high) <= hi), true))
+  and (cities is null or (placed and len(list_filter(cities, lambda c: city = lower(c) or c = '')) > 0))
+  and (company_contains is null or contains(company, company_contains))"""
+
+# Members of object fields: what the records were given.
+ORACLES["quality_structure"] = f"""with r as ({STRUCTURED_SQL}),
+m as (select seq, 'salary' as field, 'min' as path, 'number' as expected, case when salary_min is null then 'null' else 'number' end as value_type from r
+  union all select seq, 'salary', 'max', 'number', case when salary_max is null then 'null' when k % 4 = 0 then 'string' else 'number' end from r
+  union all select seq, 'salary', 'currency', 'string', case when coalesce(salary_currency, '') = '' then 'null' else 'string' end from r
+  union all select seq, 'salary', 'period', 'string', case when salary_period is null then 'null' when k % 5 = 0 then 'array' else 'string' end from r
+  union all select seq, 'contactPerson', 'name', 'string', 'string' from r
+  union all select seq, 'contactPerson', 'title', 'string', case when k % 6 = 0 then 'number' when k % 6 < 3 then 'string' else 'null' end from r)
+select *, case when value_type = 'null' then 'missing' when value_type <> expected then 'type' else 'ok' end as reason from m"""

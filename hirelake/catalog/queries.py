@@ -98,23 +98,44 @@ def keepfirst_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ entity resolution (J1 + J2 on V1)
 
-def _nulls_marked(c):
-    return F.when(c.isNotNull(), F.concat_ws(",", F.transform(c, lambda x: F.coalesce(x, F.lit("<null>")))))
+def _stored(postings: DataFrame) -> DataFrame:
+    """A fixture view as the stored posting table that a job reads."""
+    from hirelake.session import cut_lineage
+    return cut_lineage(postings)
+
+
+def _edges_v1(spark: SparkSession, sf_dir: str):
+    from hirelake.operators import dedup
+    postings = _stored(postings_v1(spark, sf_dir))
+    return postings, dedup.detect_duplicates(postings, fuzzy=False)
 
 
 def _dedup_v1(spark: SparkSession, sf_dir: str):
     from hirelake.operators import dedup
-    postings = postings_v1(spark, sf_dir)
-    edges = dedup.detect_duplicates(postings, fuzzy=False)
-    return postings, edges, dedup.merge_duplicates(postings, edges)
+    postings, edges = _edges_v1(spark, sf_dir)
+    return postings, edges, dedup.merge_duplicates(postings, edges, as_of=AS_OF)
 
 
 @register("dedup_groups")
 def dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, edges, _ = _dedup_v1(spark, sf_dir)
+    _, edges = _edges_v1(spark, sf_dir)
     return edges.select("group_id", "strategy", "canonical_id", "dup_id", "confidence", "description_similarity")
 
 
+@register("dedup_matched_fields")
+def dedup_matched_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The duplicates list: each duplicate with its session and the fields that matched."""
+    from hirelake.operators.dedup import matched_fields
+    _, edges = _edges_v1(spark, sf_dir)
+    return edges.select("group_id", "dup_id", "dup_session", F.concat_ws(",", matched_fields(F.col("strategy"))).alias("matched_fields"))
+
+
+@register("dedup_merge_values")
+def dedup_merge_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urls, sessions and original ids of merged postings, in the order they are first seen."""
+    return _dedup_v1(spark, sf_dir)[2]["values"]
+
+
 @register("dedup_unique")
 def dedup_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unique_out(_dedup_v1(spark, sf_dir)[2]["unique"])
@@ -126,9 +147,8 @@ def _unique_out(u: DataFrame) -> DataFrame:
                     "salary_min", "salary_source",
                     m["duplicate_count"].cast("bigint").alias("duplicate_count"),
                     m["merge_strategy"].alias("merge_strategy"), m["merge_confidence"].alias("merge_confidence"),
-                    m["merge_group_id"].alias("merge_group_id"),
-                    _nulls_marked(m["duplicate_urls"]).alias("duplicate_urls"),
-                    _nulls_marked(m["session_sources"]).alias("session_sources"))
+                    m["merge_group_id"].alias("merge_group_id"), m["merge_date"].cast("string").alias("merge_date"),
+                    *[m[c].cast("bigint").alias(c) for c in ("n_urls", "n_sessions", "n_original_ids")])
 
 
 @register("dedup_summary")
@@ -157,7 +177,7 @@ def dedup_quality_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dedup_v3(spark: SparkSession, sf_dir: str, fuzzy: bool):
     from hirelake.operators import dedup
     from hirelake.sources.views import text_postings_v3
-    postings = text_postings_v3(spark, sf_dir)
+    postings = _stored(text_postings_v3(spark, sf_dir))
     edges = dedup.detect_duplicates(postings, fuzzy=fuzzy)
     return postings, edges
 
@@ -181,7 +201,7 @@ def _dedup_sites(spark: SparkSession, sf_dir: str):
     from hirelake.operators import dedup
     from hirelake.sources.views import text_postings_v3
     site = F.when(F.length("session") == 4, F.col("location")).otherwise(F.col("session"))
-    postings = text_postings_v3(spark, sf_dir).withColumns({"location": site, "location_text": site})
+    postings = _stored(text_postings_v3(spark, sf_dir).withColumns({"location": site, "location_text": site}))
     edges = dedup.detect_duplicates(postings, fuzzy=True)
     return dedup.review_queue(dedup.group_table(edges), edges=edges)
 
@@ -229,25 +249,35 @@ def ingest_filter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dedup_ingested(spark: SparkSession, sf_dir: str):
     from hirelake.operators import dedup
-    from hirelake.session import reuse
     from hirelake.sources.ingest import flattened, ingest, raw_from_strings
     from hirelake.sources.views import raw_records_v2b
     records = ingest(raw_from_strings(raw_records_v2b(spark, sf_dir)))
-    postings = reuse(flattened(records).drop("raw", "extraction_metadata"))
+    postings = _stored(flattened(records).drop("raw", "extraction_metadata"))
     edges = dedup.detect_duplicates(postings, fuzzy=False)
-    return edges, dedup.merge_duplicates(postings, edges)
+    return postings, edges
+
+
+def _merged_ingested(spark: SparkSession, sf_dir: str):
+    from hirelake.operators import dedup
+    return dedup.merge_duplicates(*_dedup_ingested(spark, sf_dir), as_of=AS_OF)
 
 
 @register("dedup_ingested_groups")
 def dedup_ingested_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1 + J2 over the flattened record of ingested JSON."""
-    edges, _ = _dedup_ingested(spark, sf_dir)
+    _, edges = _dedup_ingested(spark, sf_dir)
     return edges.select("group_id", "strategy", "canonical_id", "dup_id", "confidence", "description_similarity")
 
 
 @register("dedup_ingested_unique")
 def dedup_ingested_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unique_out(_dedup_ingested(spark, sf_dir)[1]["unique"])
+    return _unique_out(_merged_ingested(spark, sf_dir)["unique"])
+
+
+@register("dedup_ingested_merge_values")
+def dedup_ingested_merge_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M11 on ingested records: the url under any of its names (P7), original ids from the record or its file."""
+    return _merged_ingested(spark, sf_dir)["values"]
 
 
 # ------------------------------------------------------------------ session master indexes (A3-A5)
@@ -376,6 +406,14 @@ def saved_search_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_alert_stream(stream, {"sample": SAMPLE_SEARCH, "city": CITY_SEARCH}, AS_OF, f"{base}/alerts")
 
 
+@register("searches_matches")
+def searches_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9 + T3: a table of saved searches (one per customer) matched against all postings."""
+    from hirelake.operators.searches import match_searches
+    from hirelake.sources.views import saved_searches
+    return match_searches(postings_v1(spark, sf_dir), saved_searches(spark, sf_dir), AS_OF).select("search_id", "seq", "match_score")
+
+
 # ------------------------------------------------------------------ data quality (V2 records, pages, documents)
 
 def _checked(spark: SparkSession, sf_dir: str):
@@ -426,6 +464,23 @@ def pages_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_links(table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
 
 
+@register("pages_link_forms")
+def pages_link_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5 over pages with links of every form (quotes, case, dots, query only, other schemes, a base)."""
+    from hirelake.operators.quality import extract_links
+    from hirelake.sources.views import linked_pages
+    return extract_links(linked_pages(spark, sf_dir))
+
+
+@register("quality_structure")
+def quality_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1 for the members of object fields (salary, contact person)."""
+    from hirelake.operators.quality import structure_conformance
+    from hirelake.sources.ingest import ingest, raw_from_strings
+    from hirelake.sources.views import raw_structured
+    return structure_conformance(ingest(raw_from_strings(raw_structured(spark, sf_dir))))
+
+
 @register("pages_alias_fields")
 def pages_alias_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q6 over the raw pages and the labelled pages of V5b."""

@@ -14,17 +14,20 @@ sequential algorithm emits them (W4), with the two-phase rank.
 
 Duplicate groups are kept *tall*: one row per (group, duplicate) edge. A hot url
 holding a third of all rows is then a long run of edge rows, aggregated map-side,
-never an array in one task. Nested arrays appear only where their size is bounded
-(urls and sessions of one group, one duplicate per J2/J3 group).
+never an array in one task. The urls, sessions and original ids of a merged group are
+tall as well (``merge_values``), with their counts in the merged posting.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.functions.text import (composite_key, jaccard, normalize_company, normalize_location,
+from hirelake.functions.text import (composite_key, normalize_company, normalize_location,
                                      normalize_text, nullif_empty, truthy_str, word_set)
+from hirelake.plans.ranks import rank_within
 from hirelake.plans.sequence import assign_sequence
 from hirelake.session import cut_lineage, reuse
 
@@ -39,6 +42,9 @@ REVIEW_FLOOR = 60
 FILL_FIELDS = ["salary", "contact_email", "benefits", "requirements"]
 COVERAGE_FIELDS = ["salary", "contactEmail", "benefits", "requirements"]
 COMPLETENESS_FIELDS = 8
+MATCHED_FIELDS = {EXACT_URL: ["url"], COMPOSITE: ["company", "title", "location"], FUZZY: ["company", "title"]}
+REVIEW_REASON, MEDIUM_FROM = "low_confidence_match", 70
+LOW_CONFIDENCE, LOW_REASON, OTHER_REASON = 75, "Low confidence match (60-75%)", "Other"
 # ---------------------------------------------------------------------------
 
 
@@ -64,25 +70,25 @@ def _salary_struct(df: DataFrame) -> Column:
                            df["salary_currency"].alias("currency"), df["salary_period"].alias("period")))
 
 
+def url_key(p: DataFrame) -> Column:
+    """The first of the url fields, where the record was ingested."""
+    own = nullif_empty(p["url"])
+    return F.coalesce(nullif_empty(p["any_url"]), own) if "any_url" in p.columns else own
+
+
 def prepare(postings: DataFrame) -> DataFrame:
     """Per-posting columns used by every stage, computed once (never inside a pair loop)."""
     p = postings
     loc = normalize_location(p["location_city"], p["location_country"],
                              F.coalesce(p["location_is_object"], F.lit(False)),
                              F.coalesce(p["location_text"], p["location"]))
-    desc_truthy = truthy_str(p["description"])
     return p.select(
-        "seq", "master_id", "original_id", "session",
-        # The first of the url fields, where the record was ingested
-        (F.coalesce(nullif_empty(p["any_url"]), nullif_empty(p["url"])) if "any_url" in p.columns
-         else nullif_empty(p["url"])).alias("url_key"),
+        "seq", "master_id", "original_id", "session", url_key(p).alias("url_key"),
         completeness(p).alias("completeness"),
         normalize_company(p["company_name"]).alias("company_norm"),
         normalize_text(p["title"]).alias("title_norm"),
         truthy_str(p["title"]).alias("title_truthy"),
         loc.alias("location_norm"),
-        F.when(desc_truthy, word_set(normalize_text(p["description"])))
-        .otherwise(F.array().cast("array<string>")).alias("desc_words"),
         _salary_struct(p).alias("own_salary"),
         F.when(truthy_str(p["contact_email"]), p["contact_email"]).alias("own_contact_email"),
         F.when(F.size(p["benefits"]) > 0, p["benefits"]).alias("own_benefits"),
@@ -124,20 +130,36 @@ def exact_url_edges(prep: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, members.select("seq")
 
 
-def composite_edges(residual: DataFrame, words: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def word_overlap(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(seq, canon_seq, similarity)``: Jaccard similarity of the word sets of two descriptions, 0 where either has no words.
+
+    Words are rows: equal ones are counted by a join on (canonical, word), in which a canonical's word meets those of its
+    duplicates. No word set is an array of a joined row, and only the texts of ``pairs`` are cut into words."""
+    members = pairs.select("seq").unionByName(pairs.select(F.col("canon_seq").alias("seq"))).distinct()
+    words = (texts.join(members, "seq").where(truthy_str(F.col("description")))
+             .select("seq", F.explode(word_set(normalize_text(F.col("description")))).alias("word")))
+    sizes = words.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    own = pairs.select("seq", "canon_seq").join(words, "seq")
+    canon = (words.join(pairs.select(F.col("canon_seq").alias("seq")).distinct(), "seq", "left_semi")
+             .select(F.col("seq").alias("canon_seq"), "word"))
+    common = own.join(canon, ["canon_seq", "word"]).groupBy("seq").agg(F.count(F.lit(1)).alias("common"))
+    counted = (pairs.select("seq", "canon_seq").join(common, "seq", "left").join(sizes, "seq", "left")
+               .join(sizes.select(F.col("seq").alias("canon_seq"), F.col("n").alias("canon_n")), "canon_seq", "left"))
+    both = F.coalesce("common", F.lit(0))
+    return counted.select("seq", "canon_seq", F.when(both > 0, both / (F.col("n") + F.col("canon_n") - both)).otherwise(F.lit(0.0)).alias("similarity"))
+
+
+def composite_edges(residual: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One edge per non-canonical member of a composite-key group; marks the duplicates. Groups are found on
-    narrow rows; ``words`` (``seq, desc_words``; default: the residual's own) is read for their members only."""
-    words = residual.select("seq", "desc_words") if words is None else words
+    narrow rows; ``texts`` (``seq, description``) is read for their members only."""
     ckey = composite_key(F.col("company_norm"), F.col("title_norm"), F.col("location_norm"))
     r = residual.select("seq", "master_id", "session", "completeness", ckey.alias("ckey")).where(F.col("ckey").isNotNull())
     groups = (r.groupBy("ckey").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), _canon(r))
               .where(F.col("n") > 1).drop("n"))
-    members = r.join(groups, "ckey").withColumn("canon_seq", F.col("canon.seq"))
-    others = members.where(F.col("seq") != F.col("canon_seq"))
-    own = words.join(members.select("seq"), "seq", "left_semi")
-    canon_words = own.select(F.col("seq").alias("canon_seq"), F.col("desc_words").alias("canon_words"))
-    sim = jaccard(F.col("canon_words"), F.col("desc_words"))
-    edges = _edge(others.join(own, "seq").join(canon_words, "canon_seq"), COMPOSITE, F.col("first_seq"), F.col("seq"),
+    others = reuse(r.join(groups, "ckey").withColumn("canon_seq", F.col("canon.seq")).where(F.col("seq") != F.col("canon_seq")))
+    similar = word_overlap(texts, others.select("seq", "canon_seq")).drop("canon_seq")
+    sim = F.col("similarity")
+    edges = _edge(others.join(similar, "seq"), COMPOSITE, F.col("first_seq"), F.col("seq"),
                   F.floor(F.lit(float(COMPOSITE_BASE)) + sim * F.lit(float(COMPOSITE_SPAN))),
                   F.col("canon.seq"), F.col("canon.master_id"),
                   desc_sim=F.bround(sim * F.lit(100.0), 1))
@@ -148,22 +170,30 @@ def detect_duplicates(postings: DataFrame, fuzzy: bool = False, **fuzzy_opts) ->
     """Duplicate edges of all stages (one row per group and duplicate), numbered with
     ``group_seq`` / ``group_id`` in the order the sequential algorithm emits groups."""
     prep = prepare(postings)
-    prep = reuse(prep.select(*[c for c in prep.columns if not c.startswith("own_")]))
-    words, narrow = prep.select("seq", "desc_words"), prep.drop("desc_words")
+    narrow = reuse(prep.select(*[c for c in prep.columns if not c.startswith("own_")]))
     e1, marked1 = exact_url_edges(narrow)
     r1 = narrow.join(marked1, "seq", "left_anti")
-    e2, marked2 = composite_edges(r1, words)
+    e2, marked2 = composite_edges(r1, postings.select("seq", "description"))
     edges = e1.unionByName(e2)
     if fuzzy:
         from hirelake.operators.simjoin import fuzzy_edges
         r2 = r1.join(marked2, "seq", "left_anti")
         edges = edges.unionByName(fuzzy_edges(r2, **fuzzy_opts))
-    edges = reuse(edges)
+    edges = cut_lineage(edges)
+    narrow.unpersist(blocking=False)
     rank = F.when(F.col("strategy") == EXACT_URL, 1).when(F.col("strategy") == COMPOSITE, 2).otherwise(3)
     groups = edges.select("strategy", "order1", "order2").distinct().withColumn("srank", rank)
     groups = assign_sequence(groups, ["srank", "order1", "order2"], name="group_seq").drop("srank")
     groups = groups.withColumn("group_id", F.format_string("dup_%03d", F.col("group_seq")))
-    return reuse(edges.join(groups, ["strategy", "order1", "order2"]))   # read by several reports
+    return cut_lineage(edges.join(groups, ["strategy", "order1", "order2"]))   # read by several reports
+
+
+def matched_fields(strategy: Column) -> Column:
+    """The fields that a strategy compares."""
+    out = F.array().cast("array<string>")
+    for name, fields in MATCHED_FIELDS.items():
+        out = F.when(strategy == name, F.array(*[F.lit(f) for f in fields])).otherwise(out)
+    return out
 
 
 def group_table(edges: DataFrame) -> DataFrame:
@@ -187,7 +217,7 @@ def fold_fills(edges: DataFrame, own: DataFrame) -> DataFrame:
     e = e.join(own.withColumnRenamed("seq", "d"), "d", "left")
     for f in FILL_FIELDS:
         e = e.withColumn(f"v_{f}", F.col(f"own_{f}"))
-    e = reuse(e)
+    e = cut_lineage(e)
 
     def firsts(edges_now: DataFrame) -> DataFrame:
         aggs = [F.min(F.when(F.col(f"v_{f}").isNotNull(),
@@ -213,12 +243,27 @@ def fold_fills(edges: DataFrame, own: DataFrame) -> DataFrame:
     return firsts(e)
 
 
+def merge_values(postings: DataFrame, last_edges: DataFrame) -> DataFrame:
+    """What a merged posting collects, tall: ``(seq, kind, position, value)`` with the distinct urls, sessions and original ids of its
+    group in the order they are first seen, the canonical's own first (also if NULL; a duplicate's missing url is not collected)."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("string").alias("value")) for k, v in (
+        ("url", url_key(postings)), ("session", postings["session"]), ("original_id", postings["original_id"]))])).alias("v")
+    own = postings.select(F.col("seq").alias("member"), kinds).select("member", "v.kind", "v.value")
+    dups = (last_edges.select(F.col("canonical_seq").alias("seq"), F.col("dup_seq").alias("member")).join(own, "member")
+            .where((F.col("kind") != "url") | F.col("value").isNotNull()))
+    canon = (own.join(last_edges.select(F.col("canonical_seq").alias("member")).distinct(), "member")
+             .select(F.col("member").alias("seq"), F.lit(-1).cast("bigint").alias("member"), "kind", "value"))
+    first = (dups.unionByName(canon).groupBy("seq", "kind", "value").agg(F.min("member").alias("at")))
+    return rank_within(cut_lineage(first), ["seq", "kind"], "at", "position", tie=["value"]).select("seq", "kind", "position", "value")
+
+
 def merge_duplicates(postings: DataFrame, edges: DataFrame, threshold: int = MERGE_THRESHOLD,
-                     parity_before: bool = False) -> dict[str, DataFrame]:
+                     parity_before: bool = False, as_of: datetime | None = None) -> dict[str, DataFrame]:
     """F15 + W6 + W7 + J7.
 
     Returns ``unique`` (kept postings, canonicals with filled fields and
-    ``duplicate_metadata`` of their last merge group), ``review`` (P20 queue),
+    ``duplicate_metadata`` of their last merge group, ``merge_date`` being ``as_of``), ``values`` (the urls, sessions and original
+    ids that those collect, tall: see :func:`merge_values`), ``review`` (P20 queue),
     ``groups`` (one row per group), ``removed`` (seqs) and ``before``, the postings that the quality
     report compares with: the originals, or with ``parity_before`` every posting with fills applied (the
     reference measures these, as its merge mutates the original rows).
@@ -232,35 +277,19 @@ def merge_duplicates(postings: DataFrame, edges: DataFrame, threshold: int = MER
     fills = first.select(F.col("c").alias("seq"), *filled_cols)
 
     # Metadata of the last merge group per canonical
-    groups = reuse(group_table(edges))
+    groups = cut_lineage(group_table(edges))
     last = (groups.where(F.col("confidence") >= threshold)
             .groupBy("canonical_seq").agg(F.max("group_seq").alias("group_seq")))
     last_edges = merge_edges.join(last, ["canonical_seq", "group_seq"])
-    pj = postings.select(F.col("seq").alias("dup_seq"), nullif_empty(F.col("url")).alias("dup_url"),
-                         F.col("original_id").alias("dup_original_id"))
-    le = last_edges.join(pj, "dup_seq")
-    url_first = le.where(F.col("dup_url").isNotNull()).groupBy("group_seq", "dup_url").agg(F.min("dup_seq").alias("pos"))
-    ses_first = le.groupBy("group_seq", "dup_session").agg(F.min("dup_seq").alias("pos"))
-    urls = url_first.groupBy("group_seq").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "dup_url"))), lambda x: x["dup_url"]).alias("dup_urls"))
-    sess = ses_first.groupBy("group_seq").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "dup_session"))), lambda x: x["dup_session"])
-        .alias("dup_sessions"))
-    meta = (groups.join(last, ["canonical_seq", "group_seq"]).join(urls, "group_seq", "left")
-            .join(sess, "group_seq", "left"))
-    base = postings.select(F.col("seq").alias("canonical_seq"), nullif_empty(F.col("url")).alias("c_url"),
-                           F.col("session").alias("c_session"))
-    meta = meta.join(base, "canonical_seq")
+    values = cut_lineage(merge_values(postings, last_edges))
+    numbers = values.groupBy("seq").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}s") for k in ("url", "session", "original_id")])
+    meta = (groups.join(last, ["canonical_seq", "group_seq"]).join(numbers.withColumnRenamed("seq", "canonical_seq"), "canonical_seq"))
     meta = meta.select(
         F.col("canonical_seq").alias("seq"),
         F.struct(
             F.lit(True).alias("is_canonical"),
-            F.col("duplicate_count"),
-            F.array_distinct(F.concat(F.array(F.col("c_url")), F.coalesce(F.col("dup_urls"), F.array().cast("array<string>"))))
-            .alias("duplicate_urls"),
-            F.array_distinct(F.concat(F.array(F.col("c_session")),
-                                      F.coalesce(F.col("dup_sessions"), F.array().cast("array<string>"))))
-            .alias("session_sources"),
+            "duplicate_count", "n_urls", "n_sessions", "n_original_ids",
+            F.lit(as_of).cast("timestamp").alias("merge_date"),
             F.col("strategy").alias("merge_strategy"),
             F.col("confidence").alias("merge_confidence"),
             F.col("group_id").alias("merge_group_id"),
@@ -289,7 +318,7 @@ def merge_duplicates(postings: DataFrame, edges: DataFrame, threshold: int = MER
     )
     unique = filled.join(removed, "seq", "left_anti").join(meta, "seq", "left")
     review = review_queue(groups, threshold, edges)
-    return {"unique": unique, "review": review, "groups": groups, "removed": removed,
+    return {"unique": unique, "values": values, "review": review, "groups": groups, "removed": removed,
             "before": filled if parity_before else postings}
 
 
@@ -305,8 +334,8 @@ def review_queue(groups: DataFrame, threshold: int = MERGE_THRESHOLD, edges: Dat
         rv, ids = rv.join(per, "group_seq", "left"), ["duplicate_ids"]
     return rv.select(
         F.format_string("review_%03d", F.col("review_seq")).alias("review_id"),
-        F.when(F.col("confidence") >= 70, "medium").otherwise("high").alias("priority"),
-        "group_id", F.lit("low_confidence_match").alias("reason"), "confidence",
+        F.when(F.col("confidence") >= MEDIUM_FROM, "medium").otherwise("high").alias("priority"),
+        "group_id", F.lit(REVIEW_REASON).alias("reason"), "confidence",
         F.col("canonical_id").alias("canonical_job_id"), "strategy", "group_seq", *ids)
 
 
@@ -371,5 +400,5 @@ def quality_improvement(merged: dict[str, DataFrame]) -> DataFrame:
 
 def review_reasons(review: DataFrame) -> DataFrame:
     """Review items per reason (confidence < 75 is "low confidence", else "other")."""
-    reason = F.when(F.col("confidence") < 75, "Low confidence match (60-75%)").otherwise("Other")
+    reason = F.when(F.col("confidence") < LOW_CONFIDENCE, LOW_REASON).otherwise(OTHER_REASON)
     return review.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("items"))

@@ -60,6 +60,9 @@ RULES = [
     ("optional", "postedDate", "date", 60, DATE_PATTERN, None,
      ["posted", "published", "veröffentlicht", "publié"]),
 ]
+# What an object field is made of: member and type.
+STRUCTURES = {"salary": {"min": "number", "max": "number", "currency": "string", "period": "string"},
+              "contactPerson": {"name": "string", "title": "string"}}
 INCLUDE_LOW_CONFIDENCE = False
 # ---------------------------------------------------------------------------
 
@@ -81,6 +84,27 @@ def load_rules(spark: SparkSession, path: str) -> list[tuple]:
             for tier, fields in schema.items() for name, f in fields.items()]
 
 
+def load_structures(spark: SparkSession, path: str) -> dict[str, dict]:
+    """The ``structure`` of each object field of a user's schema file, by field."""
+    schema = json.loads(spark.read.text(path, wholetext=True).collect()[0]["value"])["extraction_schema"]
+    return {name: f["structure"] for fields in schema.values() for name, f in fields.items() if isinstance(f.get("structure"), dict)}
+
+
+def structure_rules(structures: dict[str, dict] = STRUCTURES) -> list[tuple[str, str, str]]:
+    """A rule ``(field, path, type)`` per member, members of members included (``a.b``)."""
+    out = []
+
+    def walk(field: str, prefix: str, members: dict) -> None:
+        for name, kind in members.items():
+            at = f"{prefix}.{name}" if prefix else name
+            out.append((field, at, "object" if isinstance(kind, dict) else str(kind)))
+            if isinstance(kind, dict):
+                walk(field, at, kind)
+    for field, members in structures.items():
+        walk(field, "", members)
+    return out
+
+
 def rules_table(spark: SparkSession, rules: list[tuple] = RULES) -> DataFrame:
     """The extraction schema as a rules DataFrame."""
     rows = [(t, f, ty, mc, p, v, a, TIER_WEIGHT[t]) for t, f, ty, mc, p, v, a in rules]
@@ -142,6 +166,34 @@ def conformance(records: DataFrame, rules: DataFrame) -> DataFrame:
                     ((reason == "ok") | ((reason == "low_confidence") & F.lit(INCLUDE_LOW_CONFIDENCE))).alias("kept"))
 
 
+def _kind(v: Column) -> Column:
+    """JSON type of a VARIANT (NULL: absent)."""
+    t = F.schema_of_variant(v)
+    return F.when(v.isNotNull(), F.when(t == "STRING", "string").when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array")
+                  .when(t == "BOOLEAN", "boolean").when(t == "VOID", "null").otherwise("number"))
+
+
+def structure_conformance(records: DataFrame, structures: dict[str, dict] = STRUCTURES) -> DataFrame:
+    """Q1 for members of object fields: ``(seq, field, path, expected, value_type, reason)``, a row for each member that the schema names of each
+    object a record carries (from ``data``, ``job`` or the root, out of its cell); reason ``ok``, ``type`` or ``missing`` (absent or null).
+    Email, phone and date members are strings."""
+    raw, cells = F.col("raw"), []
+    for field, path, kind in structure_rules(structures):
+        want = "string" if kind in ("email", "phone", "date") else kind
+        found = F.lit(None).cast("struct<value_type:string>")
+        for root in (f"$.{field}", f"$.job.{field}", f"$.data.{field}"):   # the last that is there wins
+            for at in (root, f"{root}.value"):
+                owner = ".".join([at, *path.split(".")[:-1]])
+                found = F.when(_kind(F.try_variant_get(raw, owner, "variant")) == "object",
+                               F.when(_kind(F.try_variant_get(raw, f"{root}.value", "variant")).isNotNull() & F.lit(at == root), found)
+                               .otherwise(F.struct(F.coalesce(_kind(F.try_variant_get(raw, f"{at}.{path}", "variant")), F.lit("null")).alias("value_type")))).otherwise(found)
+        kind_found = found["value_type"]
+        reason = F.when(kind_found == "null", "missing").when(kind_found != want, "type").otherwise("ok")
+        cells.append(F.when(found.isNotNull(), F.struct(F.lit(field).alias("field"), F.lit(path).alias("path"), F.lit(kind).alias("expected"),
+                                                        kind_found.alias("value_type"), reason.alias("reason"))))
+    return records.select("seq", F.explode(F.array_compact(F.array(*cells))).alias("c")).select("seq", "c.*")
+
+
 def conformance_summary(checked: DataFrame) -> DataFrame:
     """Q1 report: per field and reason, the number of postings."""
     return checked.groupBy("field", "reason").agg(F.count(F.lit(1)).alias("postings"))
@@ -203,21 +255,53 @@ def classify_pages(pages: DataFrame) -> DataFrame:
     return out.withColumn("page_type", kind)
 
 
+_TAG = r"<[a-zA-Z][^>]*>"
+_BASE_TAG = r"(?i)<base[\s/][^>]*>"
+#: The href attribute of a tag, its value in either quote or none.
+HREF = r"""(?i)[\s"'/]href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def _href(tag: Column) -> Column:
+    """Value of the href attribute of a tag ('' if there is none): quotes and spaces around it removed, ``&amp;`` decoded."""
+    raw = F.regexp_extract(tag, HREF, 1)
+    return F.replace(F.trim(F.regexp_replace(raw, "^[\"']|[\"']$", "")), F.lit("&amp;"), F.lit("&"))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments (RFC 3986, 5.2.4); a path that does not begin with a slash stays."""
+    parts = F.split(F.substring(path, 2, 1_000_000_000), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+                       .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+    folder = F.element_at(parts, -1).isin(".", "..")   # names a folder: ends with a slash
+    return F.when(path.startswith("/"), F.concat(F.lit("/"), F.array_join(F.when(folder, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))).otherwise(path)
+
+
+def resolve_url(base: Column, ref: Column) -> Column:
+    """``ref`` resolved against the absolute url ``base`` (RFC 3986, 5.2.2), without its fragment."""
+    scheme = lambda u: F.regexp_extract(u, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
+    rest = lambda u: F.regexp_replace(F.regexp_replace(u, "#.*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*:", "")
+    authority = lambda r: F.regexp_extract(r, "^(//[^/?]*)", 1)
+    path = lambda r: F.regexp_extract(r, r"^(?://[^/?]*)?([^?]*)", 1)
+    query = lambda r: F.regexp_extract(r, r"^[^?]*(\?.*)$", 1)
+    b, r = rest(base), rest(ref)
+    start = F.concat(scheme(base), F.lit(":"))
+    folder = F.regexp_extract(path(b), "^(.*/)", 1)
+    merged = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path(r))
+    return (F.when(scheme(ref) != "", F.concat(scheme(ref), F.lit(":"), authority(r), without_dots(path(r)), query(r)))
+            .when(authority(r) != "", F.concat(start, authority(r), without_dots(path(r)), query(r)))
+            .when(path(r) == "", F.concat(start, authority(b), path(b), F.when(query(r) != "", query(r)).otherwise(query(b))))
+            .when(path(r).startswith("/"), F.concat(start, authority(b), without_dots(path(r)), query(r)))
+            .otherwise(F.concat(start, authority(b), without_dots(merged), query(r))))
+
+
 def extract_links(pages: DataFrame) -> DataFrame:
-    """Q5: every ``href`` of a page resolved against the page url (fragment dropped), distinct."""
-    hrefs = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'),
-                                                                           F.lit(1))).alias("href"))
-    origin = F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    base_dir = F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/)", 1)
-    scheme = F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
-    href = F.col("href")
-    resolved = (F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), href)
-                .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-                .when(href.startswith("/"), F.concat(origin, href))
-                .when(href.startswith("#") | (href == ""), F.col("url"))
-                .otherwise(F.concat(F.when(base_dir != "", base_dir).otherwise(F.concat(origin, F.lit("/"))), href)))
-    cleaned = F.regexp_replace(resolved, "#.*$", "")
-    return hrefs.select("page_id", cleaned.alias("link")).distinct()
+    """Q5: every href of a page's tags resolved against the page's ``<base>`` (itself resolved against the page url) or, without
+    one, its url; without fragments, distinct."""
+    tags = F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))
+    own_base = _href(F.regexp_extract("html", _BASE_TAG, 0))
+    base = F.when(own_base != "", resolve_url(F.col("url"), own_base)).otherwise(F.regexp_replace("url", "#.*$", ""))
+    found = pages.select("page_id", base.alias("base"), F.explode(F.filter(tags, lambda t: t.rlike(HREF) & ~t.rlike(_BASE_TAG))).alias("tag"))
+    return found.select("page_id", resolve_url(F.col("base"), _href(F.col("tag"))).alias("link")).distinct()
 
 
 _BLOCK_TAG = r"(?i)<(?:/?(?:p|div|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|dt|dd|title)\b[^>]*|br\s*/?)>"

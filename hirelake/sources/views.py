@@ -84,6 +84,7 @@ POSTINGS_V1_SQL = f"""
 select p.p_partkey::bigint as seq,
   cast(p.p_partkey as varchar) as id,
   printf('master_%05d', p.p_partkey + 1) as master_id,
+  cast(p.p_partkey as varchar) as original_id,
   'session_' || cast(p.p_partkey % 3 as varchar) as session,
   case when p.p_partkey % 5 = 0 then g.url end as url,
   p.p_name as title,
@@ -139,7 +140,7 @@ def text_postings_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TEXT_POSTINGS_V3_SQL = f"""
-select doc_id::bigint as seq, printf('master_%05d', doc_id + 1) as master_id, source as session,
+select doc_id::bigint as seq, printf('master_%05d', doc_id + 1) as master_id, doc_id::varchar as original_id, source as session,
   split_part(text, chr(10), 1) as title,
   split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) as company, lang as location, text as description,
   nullif(regexp_extract(text, '{EMAIL_PATTERN}', 0), '') as contact_email
@@ -261,6 +262,7 @@ def raw_records_v2b(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECORDS_V2B_SQL = f"""
 select row_number() over (order by session, printf('%06d.json', seq)) as seq,
   printf('master_%05d', row_number() over (order by session, printf('%06d.json', seq))) as master_id, session, url, title, company,
+  case when seq % 4 in (0, 3) then id else printf('%06d', seq) end as original_id,
   description, location_city, 'Country ' || seq % 2 as country,
   case when seq % 4 in (1, 2) then contact_email end as contact_email,
   case when seq % 4 <> 3 then salary_min end as salary_min, case when seq % 4 <> 3 then salary_max end as salary_max,
@@ -349,3 +351,87 @@ def tracker_sessions_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("opened"), "session_open").when(F.col("closed"), "session_close").otherwise(F.col("kind")).alias("kind"),
                     F.when(~F.col("opened") & ~F.col("closed"), F.col("job_id")).alias("job_id"),
                     "company", "title", "status", "directory", extra.alias("extra"))
+
+
+def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved search per customer, with criteria from the customer, their nation and the part of the same number; which are
+    on follows from the customer's number (none for every 97th)."""
+    c = table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
+    p = table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"])
+    n = table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
+    j = c.join(p, F.col("c_custkey") == F.col("p_partkey")).join(n, (F.col("p_size") % 7) == F.col("n_nationkey"), "left")
+    k, on = F.col("c_custkey"), F.col("c_custkey") % 97 != 0
+    strings = "array<string>"
+    return j.select(
+        F.concat(F.lit("search_"), k.cast("string")).alias("search_id"),
+        F.when(on & (k % 3 == 0), F.array("p_name", F.when(k % 2 == 0, F.split_part("p_name", F.lit(" "), F.lit(2))))).cast(strings).alias("keywords"),
+        F.when(on & (k % 5 == 3), F.array(F.lit("Remote"), F.lit("hybrid"))).cast(strings).alias("location_type"),
+        F.when(on & (k % 4 == 2), F.col("p_retailprice") * 45).alias("salary_min"),
+        F.when(on & (k % 7 == 1), F.col("p_retailprice") * 600).alias("salary_max"),
+        F.when(k % 4 == 0, "usd").when(k % 4 == 1, "GBP").alias("salary_currency"),
+        F.when(on & (k % 4 == 1), F.array(F.lit("senior"), F.lit("Lead"))).cast(strings).alias("experience_levels"),
+        F.when(on & (k % 3 == 1), F.array(F.lit("Full-time"), F.lit("Contract"))).cast(strings).alias("job_types"),
+        F.when(on & (k % 5 == 1), F.array(F.col("n_name"), F.lit(""))).when(on & (k % 5 == 2), F.array("n_name")).cast(strings).alias("cities"),
+        F.when(on & (k % 6 == 4), F.upper("p_brand")).when(k % 6 == 5, "").alias("company_contains"),
+        F.when(on & (k % 4 == 3), F.lit(900) + k).cast("int").alias("posted_days"))
+
+
+SAVED_SEARCHES_SQL = """
+select 'search_' || k as search_id,
+  case when live and k % 3 = 0 then list_filter([p_name, case when k % 2 = 0 then split_part(p_name, ' ', 2) end], lambda x: x is not null) end as keywords,
+  case when live and k % 5 = 3 then ['remote', 'hybrid'] end as location_type,
+  case when live and k % 4 = 2 then p_retailprice * 45 end as lo, case when live and k % 7 = 1 then p_retailprice * 600 end as hi,
+  case k % 4 when 0 then 'USD' when 1 then 'GBP' else 'EUR' end as asked,
+  case when live and k % 4 = 1 then ['senior', 'lead'] end as experience_levels,
+  case when live and k % 3 = 1 then ['Full-time', 'Contract'] end as job_types,
+  case when live and k % 5 = 1 then [n_name, ''] when live and k % 5 = 2 then [n_name] end as cities,
+  case when live and k % 6 = 4 then lower(p_brand) end as company_contains,
+  case when live and k % 4 = 3 then 900 + k end as posted_days
+from (select c_custkey as k, c_custkey % 97 <> 0 as live, p.*, n_name from customer join part p on c_custkey = p_partkey
+      left join nation on p_size % 7 = n_nationkey)
+"""
+
+
+def raw_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1 postings as records with object fields, by ``seq % 3`` at the root, under ``job`` or as ``data`` cells: a salary whose ``max`` is text for
+    every fourth and whose ``period`` is a list for every fifth, and a contact person whose ``title`` is a number for every sixth."""
+    k = F.col("seq")
+    text = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    member = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f'"{name}":'), c))
+    salary = F.concat(F.lit("{"), F.concat_ws(",", member("min", F.col("salary_min").cast("string")),
+                                              member("max", F.when(k % 4 == 0, text(F.col("salary_max"))).otherwise(F.col("salary_max").cast("string"))),
+                                              member("currency", F.when(F.col("salary_currency") != "", text(F.col("salary_currency")))),
+                                              member("period", F.when(k % 5 == 0, F.concat(F.lit("["), text(F.col("salary_period")), F.lit("]")))
+                                                     .otherwise(text(F.col("salary_period"))))), F.lit("}"))
+    person = F.concat(F.lit("{"), F.concat_ws(",", member("name", text(F.col("title"))), member("title", F.when(k % 6 == 0, k.cast("string"))
+                                                                                               .when(k % 6 < 3, text(F.col("company"))))), F.lit("}"))
+    both = lambda s, p: F.concat(F.lit('{"salary":'), s, F.lit(',"contactPerson":'), p, F.lit("}"))
+    cell = lambda c: F.concat(F.lit('{"value":'), c, F.lit(',"confidence":80}'))
+    value = (F.when(k % 3 == 0, both(salary, person)).when(k % 3 == 1, F.concat(F.lit('{"job":'), both(salary, person), F.lit("}")))
+             .otherwise(F.concat(F.lit('{"data":'), both(cell(salary), cell(person)), F.lit("}"))))
+    return postings_v1(spark, sf_dir).select("session", F.format_string("%06d.json", k).alias("source_file"), F.lit(0).alias("pos"), value.alias("value"))
+
+
+STRUCTURED_SQL = f"""
+select row_number() over (order by session, printf('%06d.json', seq)) as seq, seq as k, salary_min, salary_max, salary_currency, salary_period
+from ({POSTINGS_V1_SQL})"""
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with links of every form: both quotes and none, upper case, relative with dots, query only, other schemes,
+    fragments, an encoded ampersand, and for every third page a base."""
+    p = table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    n = F.col("page_id").cast("string")
+    links = F.concat(F.lit("<a href='?page="), n, F.lit("'>n</a><A HREF=\"../up/"), n, F.lit("\">u</A><a class=x href=./here/../there/"), n,
+                     F.lit(">t</a><a href='mailto:a"), n, F.lit("@b.org'>m</a><a data-href='no' href='#top'>f</a><a href='//cdn.example.org/./x/..'>c</a>"
+                     "<a title='href' href=\" /a/b/../../c?q=1&amp;r=2#z \">q</a><link rel=next HREF='HTTPS://o.example.org/a/./b'><a href='..'>d</a>"))
+    base = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<base href='/root/"), n, F.lit("/dir/index.html'>"))).otherwise(F.lit(""))
+    return p.select("page_id", "url", F.concat(F.lit("<head>"), base, F.lit("</head>"), links, F.col("html")).alias("html"))
+
+
+LINKED_PAGES_SQL = """
+select page_id, url, '<head>' || case when page_id % 3 = 0 then '<base href=''/root/' || page_id || '/dir/index.html''>' else '' end || '</head>'
+  || '<a href=''?page=' || page_id || '''>n</a><A HREF="../up/' || page_id || '">u</A><a class=x href=./here/../there/' || page_id
+  || '>t</a><a href=''mailto:a' || page_id || '@b.org''>m</a><a data-href=''no'' href=''#top''>f</a><a href=''//cdn.example.org/./x/..''>c</a>'
+  || '<a title=''href'' href=" /a/b/../../c?q=1&amp;r=2#z ">q</a><link rel=next HREF=''HTTPS://o.example.org/a/./b''><a href=''..''>d</a>' || html as html
+from pages"""

@@ -1,10 +1,8 @@
-"""Saved-search alerts (T3): each micro-batch of new postings is matched against a
-set of saved searches.
+"""Saved-search alerts (T3): each micro-batch of new postings is matched against saved searches.
 
-Saved searches are configuration (one ``Criteria`` each), so a batch is read once:
-one projection tests every search and explodes the ids of those that match --
-inactive criteria never enter the plan and no posting x search product is formed. Matches are appended per batch (overwrite of the batch's own
-folder, so a replayed batch does not duplicate alerts).
+A table of searches goes through its predicate index (``hirelake.operators.searches``). A few searches by name (one ``Criteria``
+each) are configuration: one projection tests each of them and explodes the ids of those that match, so a batch is read
+once and inactive criteria never enter the plan. Matches are written per batch (overwrite of the batch's own folder, so a replayed batch does not duplicate alerts).
 """
 
 from __future__ import annotations
@@ -16,11 +14,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hirelake.operators import searches as table_form
 from hirelake.operators.filters import Criteria, predicates
 
 
-def match_searches(postings: DataFrame, searches: dict[str, Criteria], as_of: datetime) -> DataFrame:
+def match_searches(postings: DataFrame, searches: dict[str, Criteria] | DataFrame, as_of: datetime) -> DataFrame:
     """``(search_id, seq, id, title, company, match_score)``: a row per posting and saved search that it matches."""
+    if isinstance(searches, DataFrame):
+        return table_form.match_searches(postings, searches, as_of)
     hits = []
     for search_id, criteria in searches.items():
         keep = reduce(lambda a, b: a & b, [p for _, _, p in predicates(postings, criteria, as_of)], F.lit(True))
@@ -32,7 +33,7 @@ def match_searches(postings: DataFrame, searches: dict[str, Criteria], as_of: da
             .select("hit.search_id", "seq", "id", "title", "company", "hit.match_score"))
 
 
-def fold_batch(out_path: str, searches: dict[str, Criteria], as_of: datetime):
+def fold_batch(out_path: str, searches: dict[str, Criteria] | DataFrame, as_of: datetime):
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
@@ -43,7 +44,7 @@ def fold_batch(out_path: str, searches: dict[str, Criteria], as_of: datetime):
     return run
 
 
-def run_alert_stream(postings_stream: DataFrame, searches: dict[str, Criteria], as_of: datetime,
+def run_alert_stream(postings_stream: DataFrame, searches: dict[str, Criteria] | DataFrame, as_of: datetime,
                      base: str) -> DataFrame:
     out, ckpt = os.path.join(base, "alerts"), os.path.join(base, "checkpoint")
     q = (postings_stream.writeStream.foreachBatch(fold_batch(out, searches, as_of))
