@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from hirelake.catalog.seqmatch_sql import ratio_ctes
 from hirelake.functions.text import EMAIL_PATTERN, PHONE_PATTERN
-from hirelake.sources.views import (BRAND_RESEARCH_SQL, LABELLED_PAGES_SQL, LINKED_PAGES_SQL, POSTINGS_V1_SQL, RECORDS_V2B_SQL, SAVED_SEARCHES_SQL, STRUCTURED_SQL, TEXT_POSTINGS_V3_SQL,
+from hirelake.sources.views import (BRAND_RESEARCH_SQL, LABELLED_PAGES_SQL, LINKED_PAGES_SQL, POSTINGS_V1_SQL, RECORDS_V2B_SQL, SAVED_SEARCHES_SQL, SKILLS_SQL, STRUCTURED_SQL, TEXT_POSTINGS_V3_SQL,
                                     TRACKER_EVENTS_V4_SQL)
 
 WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
@@ -752,3 +752,23 @@ m as (select seq, 'salary' as field, 'min' as path, 'number' as expected, case w
   union all select seq, 'contactPerson', 'name', 'string', 'string' from r
   union all select seq, 'contactPerson', 'title', 'string', case when k % 6 = 0 then 'number' when k % 6 < 3 then 'string' else 'null' end from r)
 select *, case when value_type = 'null' then 'missing' when value_type <> expected then 'type' else 'ok' end as reason from m"""
+
+# Ids of a key by pages of 25; phrases of the skills table, the earliest and longest first.
+ORACLES["index_pages"] = _IDX + """,
+g as (select seq, row_number() over (order by session, printf('%06d.json', seq)) as n from v1),
+r as (select index_name, key, master_id, n, row_number() over (partition by index_name, key order by n) - 1 as rank from e join g using (seq))
+select index_name, key, rank // 25 as page, min(n) as first_seq, string_agg(master_id, ',' order by rank) as master_ids from r group by all"""
+ORACLES["filter_skills_table"] = f"""with recursive {V1},
+sk as (select skill_id, {norm_text('skill')} as phrase from ({SKILLS_SQL})),
+ph as (select distinct phrase, len(string_split(phrase, ' ')) as n from sk where phrase <> ''),
+w as (select seq, string_split({norm_text('description')}, ' ') as w from v1),
+runs as (select seq, i, n, array_to_string(w[i:i + n - 1], ' ') as phrase from (select seq, w, unnest(range(1, len(w) + 1)) as i from w), (select distinct n from ph)
+         where i + n - 1 <= len(w)),
+spans as (select runs.seq, i, runs.n, phrase from runs join ph using (phrase)),
+best as (select seq, i, max(n) as n, arg_max(phrase, n) as phrase from spans group by seq, i),
+steps(seq, stop, phrase) as (
+  select distinct seq, 0::bigint, null::varchar from best
+  union all
+  select seq, m.i + m.n, m.phrase from (select s.seq, min(struct_pack(i := b.i, n := b.n, phrase := b.phrase)) as m from steps s
+    join best b on b.seq = s.seq and b.i >= s.stop group by s.seq, s.stop))
+select s.seq, sk.skill_id, count(*) as hits from steps s join sk using (phrase) group by all"""

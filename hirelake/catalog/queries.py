@@ -288,6 +288,15 @@ def index_entries_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_entries(_ingested(spark, sf_dir)).select("index_name", "key", "master_id")
 
 
+@register("index_pages")
+def index_pages_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 export: ids per key in load order, in pages of 25."""
+    from hirelake.operators.index import compact_index, index_entries
+    from hirelake.session import cut_lineage
+    pages = compact_index(cut_lineage(index_entries(_ingested(spark, sf_dir))), page_size=25)
+    return pages.select("index_name", "key", "page", "first_seq", F.concat_ws(",", "master_ids").alias("master_ids"))
+
+
 @register("index_summary")
 def index_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelake.operators.index import index_entries, index_summary
@@ -357,32 +366,47 @@ def tracker_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelake.session import checkpoint_root
     from hirelake.sources.views import events_to_tracker
     from hirelake.streaming.tracker import read_state, run_tracker_stream
-    path = f"{sf_dir.rstrip('/')}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    stream = events_to_tracker(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-                               .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
     base = f"{checkpoint_root(spark).rstrip('/')}/tracker-{uuid.uuid4().hex}"
-    run_tracker_stream(stream, f"{base}/state", f"{base}/checkpoint")
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    _arrivals(events, "event_id", f"{base}/in", parts=3)
+    stream = events_to_tracker(_arriving(spark, events.schema, f"{base}/in"))
+    run_tracker_stream(stream, f"{base}/state", f"{base}/checkpoint", buckets=16)
     return _tracker_out(read_state(spark, f"{base}/state"))
 
 
 # ------------------------------------------------------------------ streaming consolidation and alerts
 
+#: Rows of a file of the staged arrivals.
+ARRIVAL_ROWS = 500_000
+
+
+def _arrivals(df: DataFrame, order: str, path: str, parts: int) -> None:
+    """Writes ``df`` as ``parts`` arrivals one after the other, in ranges of ``order``. An arrival is as many files as its rows ask for; all arrivals
+    have the same number, so that a trigger takes one arrival."""
+    cuts = df.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] or []
+    files = max(1, -(-df.count() // (parts * ARRIVAL_ROWS)))
+    edges = [None, *cuts, None]
+    for i, (low, high) in enumerate(zip(edges, edges[1:])):
+        some = df if low is None else df.where(F.col(order) > low)
+        some = some if high is None else some.where(F.col(order) <= high)
+        some.repartition(files).write.parquet(f"{path}/files={files}/arrival={i:05d}")
+
+
+def _arriving(spark: SparkSession, schema, path: str) -> DataFrame:
+    """The arrivals as a stream, one to a batch."""
+    files = int(spark.read.parquet(path).select("files").first()[0])
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path))
+
+
 def _postings_stream(spark: SparkSession, sf_dir: str, parts: int = 4):
-    """V1 postings written by Spark as ``parts`` seq-ordered parquet files in the checkpoint
-    folder, then read back as a file stream one file per trigger (arrival order = seq)."""
+    """V1 postings as a file stream in ``parts`` arrivals, in seq order."""
     import uuid
 
     from hirelake.session import checkpoint_root
     base = f"{checkpoint_root(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
-    v1 = postings_v1(spark, sf_dir)
-    ranged = v1.repartitionByRange(parts, "seq").withColumn("_part", F.spark_partition_id())
-    ranged.write.partitionBy("_part").parquet(f"{base}/staged")
-    for i in range(parts):   # one file per arrival, written in seq order
-        spark.read.parquet(f"{base}/staged/_part={i}").coalesce(1).write.parquet(f"{base}/arrivals/{i:05d}")
-    stream = (spark.readStream.schema(v1.schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(f"{base}/arrivals"))
-    return stream, base
+    v1 = _stored(postings_v1(spark, sf_dir))
+    _arrivals(v1, "seq", f"{base}/arrivals", parts)
+    return _arriving(spark, v1.schema, f"{base}/arrivals"), base
 
 
 @register("keepfirst_stream")
@@ -506,6 +530,14 @@ SKILLS = ["the", "and", "of the"]
 RELEVANCE_QUERY = "widget red gear"
 
 
+@register("filter_skills_table")
+def filter_skills_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F12 with a skills table: phrases from the documents found in the postings, longest first."""
+    from hirelake.operators.relevance import skills_found
+    from hirelake.sources.views import skills_from_texts
+    return skills_found(postings_v1(spark, sf_dir), skills_from_texts(spark, sf_dir))
+
+
 @register("filter_skills")
 def filter_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """required-skill phrases found in the posting text (>= 70 % kept)."""

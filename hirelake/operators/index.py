@@ -4,7 +4,7 @@ The reference keeps ``key -> [master_id, ...]`` maps. A key may hold a third of
 all postings, so the index is kept *tall* -- one ``(index, key, seq, master_id)``
 row per entry, load order given by ``seq`` -- and summarised per key with
 aggregates that combine map-side. ``compact_index`` builds the nested export
-form and is meant for keys of bounded size only.
+form in pages of bounded size.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hirelake.plans.ranks import rank_within
 from hirelake.sources.ingest import _is_obj, _s, _v
 
 UNKNOWN = "unknown"
@@ -69,11 +70,14 @@ def index_summary(entries: DataFrame) -> DataFrame:
         F.max_by("master_id", "seq").alias("last_id"))
 
 
-def compact_index(entries: DataFrame) -> DataFrame:
-    """Nested export form ``key -> [ids in load order]`` (bounded keys only)."""
-    return entries.groupBy("index_name", "key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "master_id"))), lambda x: x["master_id"])
-        .alias("master_ids"))
+def compact_index(entries: DataFrame, page_size: int = 1_000) -> DataFrame:
+    """Export form, paged: ``(index_name, key, page, first_seq, master_ids)`` with the ids of a key in load order, at most ``page_size`` to a row. A
+    key's pages follow each other from 0; one with a third of all postings is many rows, not one."""
+    ranked = rank_within(entries, ["index_name", "key"], "seq")
+    page = ranked.withColumn("page", F.floor(F.col("rank") / page_size).cast("bigint"))
+    return page.groupBy("index_name", "key", "page").agg(
+        F.min("seq").alias("first_seq"),
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "master_id"))), lambda x: x["master_id"]).alias("master_ids"))
 
 
 def original_to_master(master: DataFrame) -> DataFrame:

@@ -435,3 +435,14 @@ select page_id, url, '<head>' || case when page_id % 3 = 0 then '<base href=''/r
   || '>t</a><a href=''mailto:a' || page_id || '@b.org''>m</a><a data-href=''no'' href=''#top''>f</a><a href=''//cdn.example.org/./x/..''>c</a>'
   || '<a title=''href'' href=" /a/b/../../c?q=1&amp;r=2#z ">q</a><link rel=next HREF=''HTTPS://o.example.org/a/./b''><a href=''..''>d</a>' || html as html
 from pages"""
+
+
+def skills_from_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A skills table ``(skill_id, skill)``: the first one, two and three words of every document."""
+    d = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    n = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n")
+    return d.select("doc_id", "text", n).select((F.col("doc_id") * 3 + F.col("n")).alias("skill_id"), F.call_function("substring_index", F.col("text"), F.lit(" "), F.col("n")).alias("skill"))
+
+
+SKILLS_SQL = """
+select doc_id * 3 + n as skill_id, array_to_string(string_split(text, ' ')[1:n], ' ') as skill from documents, (select unnest([1, 2, 3]) as n)"""

@@ -34,6 +34,35 @@ def test_tracker_stream_equals_batch(spark):
     assert got == want and len(got) > 0
 
 
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark):
+    from hirelake.streaming.tracker import fold_batch
+    base = tempfile.mkdtemp(prefix="hirelake-state-")
+    schema = ("session string, seq bigint, ts timestamp, kind string, job_id string, company string, title string, status string, directory string, "
+              "extra map<string,string>")
+    event = lambda seq, kind, job, status: ("s", seq, None, kind, job, "c", "t", status, "d", {"k": str(seq)})
+    batches = [[event(i, "add", f"j{i}", "in_progress") for i in range(200)], [event(300, "update", "j7", "completed")], [],
+               [event(301, "update", "j8", "failed"), event(302, "update", "unknown", "failed")], [event(303, "add", "j7", "in_progress")]]
+    run = fold_batch(base, buckets=32)
+    kinds = ("jobs", "extras", "opens")
+    written = lambda v: sum(len(os.listdir(os.path.join(base, k, v))) for k in kinds if os.path.isdir(os.path.join(base, k, v)))
+    for n, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, schema)
+        run(frame, n)
+        if n in (1, 3):
+            before = sorted(map(str, read_state(spark, base).collect()))
+            run(frame, n)   # replayed
+            assert sorted(map(str, read_state(spark, base).collect())) == before
+            folders = [f for k in kinds if os.path.isdir(os.path.join(base, k, f"v{n:09d}")) for f in os.listdir(os.path.join(base, k, f"v{n:09d}")) if f.startswith("bucket=")]
+            assert 0 < len(folders) <= 4
+    everything = spark.createDataFrame([r for b in batches for r in b], schema)
+    key = lambda df: sorted((r["job_id"], r["status"], r["add_seq"], str(r["extra"])) for r in df.collect())
+    assert key(read_state(spark, base)) == key(tracker_state(everything)) and written("v000000000") > 10
+    # a version whose buckets have all been rewritten is dropped
+    for n in range(5, 8):
+        run(spark.createDataFrame([event(400 + n, "update", "j7", "completed")], schema), n)
+    assert not os.path.isdir(os.path.join(base, "jobs", "v000000001")) and os.path.isdir(os.path.join(base, "jobs", "v000000000"))
+
+
 def test_keepfirst_stream_equals_batch(spark):
     base = tempfile.mkdtemp(prefix="hirelake-stream-")
     postings = postings_v1(spark, SF0001)
