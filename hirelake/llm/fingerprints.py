@@ -1,18 +1,18 @@
 """Document fingerprints by a homomorphic multiset hash (operator 5).
 
-A text is a multiset of paragraphs: its lines, and as lines can be long, the sentences of a line, and the
-runs of words of a long sentence (cut after words chosen by their hash, so that a cut
-moves with the text). Each piece is hashed to a wide vector, and the vectors are summed lane by lane:
+A text is a multiset of paragraphs, its lines. Each paragraph is hashed to a wide vector, and the vectors are summed lane by lane:
 
-* 256 lanes of Cauchy values (fixed point, modulo 2^32): a sum of k such values is k times as wide whether they are of one piece
-  or of k, so the median of the difference of two sums estimates in how many pieces two texts differ, each copy counted once;
-* one lane that counts the pieces, modulo 2^64;
-* 4 lanes of 64 random bits, modulo 2^64: equality of the multisets.
+* 4 lanes of 64 bits of its BLAKE2b digest, modulo 2^64: equality of the multisets of paragraphs;
+* 256 lanes of Cauchy values (fixed point, modulo 2^32) for each of its *pieces* -- as lines can be long, the sentences of a line, and the
+  runs of words of a long sentence (cut after words chosen by their hash, so that a cut moves with the text): a sum of k such values is k
+  times as wide whether they are of one piece or of k, so the median of the difference of two sums estimates in how many pieces two
+  texts differ, each copy counted once;
+* one lane that counts the pieces, modulo 2^64.
 
-Blank pieces are in the last lanes only: they take part in equality, not in the likeness. With 4 fractional bits, the lanes tell
-differences of up to about 10^7 pieces.
+Blank pieces are not counted and have no Cauchy values: blank paragraphs take part in equality, not in the likeness. With 4 fractional
+bits, the lanes tell differences of up to about 10^7 pieces.
 
-The sum does not depend on order, and adding or subtracting a piece's vector inserts or deletes the piece.
+The sum does not depend on order, and adding or subtracting a paragraph's vector inserts or deletes the paragraph.
 """
 
 from __future__ import annotations
@@ -26,36 +26,45 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.llm.common import documents, small_batches
 
 LANES, WIDE = 256, 4
-_DIGEST = 2 * LANES + 8 * WIDE
 #: One unit of a Cauchy lane, and pieces per numpy table.
-_UNIT, _CHUNK = 16, 1024
+_UNIT, _CHUNK = 16, 256
 _SENTENCE = re.compile(rb"[^.!?]*[.!?]+|[^.!?]+")
 LONG = 64
 _CUT = 256
 
 
-def pieces(text: str | None) -> list[bytes]:
-    """The paragraphs of a text, as UTF-8; none of a null or empty text. An empty line is a paragraph too."""
+def paragraphs(text: str | None) -> list[bytes]:
+    """The lines of a text, as UTF-8; none of a null or empty text. An empty line is a paragraph too."""
+    return text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
+
+
+def pieces_of(lines: Iterable[bytes]) -> list[bytes]:
+    """The pieces of paragraphs, one after the other."""
     out: list[bytes] = []
-    if text:
-        for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
-            if len(line) <= LONG and line.count(b".") < 2:
-                out.append(line)
-                continue
-            for sentence in _SENTENCE.findall(line):
-                if len(sentence) <= LONG:
-                    out.append(sentence)
-                else:
-                    out.extend(_runs(sentence))
+    for line in lines:
+        if len(line) <= LONG and line.count(b".") < 2:
+            out.append(line)
+            continue
+        for sentence in _SENTENCE.findall(line):
+            if len(sentence) <= LONG:
+                out.append(sentence)
+            else:
+                out.extend(_runs(sentence))
     return out
 
 
+def pieces(text: str | None) -> list[bytes]:
+    """The pieces of a text."""
+    return pieces_of(paragraphs(text))
+
+
 def _runs(sentence: bytes) -> Iterator[bytes]:
     start, at = 0, 0
     for word in sentence.split(b" "):
@@ -76,11 +85,13 @@ def _quantile(share: np.ndarray) -> np.ndarray:
     return np.rint(np.tan(np.pi * (share - 0.5)) * _UNIT).astype(np.int64).astype(np.uint32)
 
 
+#: Steps from a piece's hash to the words of its draws (multiples of the golden ratio's 64-bit fraction).
+_STEPS = np.arange(1, LANES // 4 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _CAUCHY = _quantile((np.arange(1 << 16) + 0.5) / (1 << 16))
 
 
 class MultisetHash:
-    """The sum; ``add`` and ``remove`` change it piece by piece."""
+    """The sum; ``add`` and ``remove`` change it paragraph by paragraph."""
 
     __slots__ = ("lanes", "count", "wide")
 
@@ -89,12 +100,23 @@ class MultisetHash:
         self.add(some)
 
     def add(self, some: Iterable[bytes]) -> None:
-        lanes, count, wide = _sums(some)
-        self.lanes, self.count, self.wide = self.lanes + lanes, self.count + count, self.wide + wide
+        some = list(some)
+        self.change(new=some, new_pieces=pieces_of(some))
 
     def remove(self, some: Iterable[bytes]) -> None:
-        lanes, count, wide = _sums(some)
-        self.lanes, self.count, self.wide = self.lanes - lanes, self.count - count, self.wide - wide
+        some = list(some)
+        self.change(old=some, old_pieces=pieces_of(some))
+
+    def change(self, old: Iterable[bytes] = (), new: Iterable[bytes] = (), old_pieces: Iterable[bytes] = (), new_pieces: Iterable[bytes] = ()) -> None:
+        """Replaces paragraphs ``old`` by ``new``; of their pieces only those that differ need be given."""
+        (less, fewer), (more, further) = _piece_sums(old_pieces), _piece_sums(new_pieces)
+        self.lanes, self.count = self.lanes - less + more, self.count - fewer + further
+        self.wide = self.wide - _paragraph_sum(old) + _paragraph_sum(new)
+
+    def copy(self) -> MultisetHash:
+        out = MultisetHash()
+        out.lanes, out.count, out.wide = self.lanes, self.count, self.wide
+        return out
 
     def hex(self) -> str:
         return self.lanes.astype(">u4").tobytes().hex() + np.concatenate([self.count, self.wide]).astype(">u8").tobytes().hex()
@@ -116,28 +138,42 @@ class MultisetHash:
         return min(1.0, max(0.0, 1.0 - apart / whole)) if whole else 0.0
 
 
-def _sums(some: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """LANES draws of 16 bits for each 64-bit hash: the hash stepped on and mixed (the finaliser of SplitMix64) once per four draws."""
+    z = hashes[:, None] + _STEPS
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))).view("<u2")
+
+
+def _paragraph_sum(some: Iterable[bytes]) -> np.ndarray:
+    raw = b"".join([hashlib.blake2b(p, digest_size=8 * WIDE).digest() for p in some])
+    return np.frombuffer(raw, "<u8").reshape(-1, WIDE).sum(axis=0, dtype=np.uint64)
+
+
+def _piece_sums(some: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     copies = Counter(some)
-    lanes, count, wide = np.zeros(LANES, np.uint32), np.zeros(1, np.uint64), np.zeros(WIDE, np.uint64)
-    different, numbers = list(copies), np.fromiter(copies.values(), np.uint64, len(copies))
-    for at in range(0, len(different), _CHUNK):
-        part, n = different[at:at + _CHUNK], numbers[at:at + _CHUNK]
-        table = np.frombuffer(b"".join([hashlib.shake_128(p).digest(_DIGEST) for p in part]), np.uint8).reshape(-1, _DIGEST)
-        wide += (np.ascontiguousarray(table[:, 2 * LANES:]).view("<u8") * n[:, None]).sum(axis=0, dtype=np.uint64)
-        n = np.where([bool(p.strip()) for p in part], n, np.uint64(0))
+    lanes, count = np.zeros(LANES, np.uint32), np.zeros(1, np.uint64)
+    counted = [(p, n) for p, n in copies.items() if p.strip()]
+    for at in range(0, len(counted), _CHUNK):
+        part = counted[at:at + _CHUNK]
+        n = np.fromiter((k for _, k in part), np.uint64, len(part))
         count += n.sum(dtype=np.uint64)
-        drawn = np.ascontiguousarray(table[:, :2 * LANES]).view("<u2")
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(p) for p, _ in part), np.uint64, len(part))
+        drawn = _mixed(hashes)
         values = _CAUCHY[drawn]
         # the outermost steps of the table are drawn finer, as sums of many pieces need the far tails
-        for i, k in zip(*np.nonzero((drawn == 0) | (drawn == 65535))):
-            fine = int.from_bytes(hashlib.blake2b(part[i], digest_size=4, salt=b"%d" % k).digest(), "little")
+        for i, k in zip(*np.nonzero((drawn + np.uint16(1)) <= 1)):
+            fine = int.from_bytes(hashlib.blake2b(part[i][0], digest_size=4, salt=b"%d" % k).digest(), "little")
             values[i, k] = _quantile(np.float64((float(drawn[i, k]) + (fine + 0.5) / (1 << 32)) / (1 << 16)))
-        lanes += (values * n.astype(np.uint32)[:, None]).sum(axis=0, dtype=np.uint32)
-    return lanes, count, wide
+        if (n > 1).any():
+            values = values * n.astype(np.uint32)[:, None]
+        lanes += values.sum(axis=0, dtype=np.uint32)
+    return lanes, count
 
 
 def fingerprint(text: str | None) -> MultisetHash:
-    return MultisetHash(pieces(text))
+    return MultisetHash(paragraphs(text))
 
 
 def edited(text: str, following: str) -> str:
@@ -150,17 +186,19 @@ _OUT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, ed
         "near_edited double, near_next double")
 
 
+def _rest(old: list[bytes], new: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Both without their common beginning."""
+    same = next((k for k, (x, y) in enumerate(zip(old, new)) if x != y), min(len(old), len(new)))
+    return old[same:], new[same:]
+
+
 def _result(doc, text: str, own: MultisetHash, following: str, after: MultisetHash) -> tuple:
     change = edited(text, following)
-    # the head's pieces stay; the sum of the edited text needs the changed ones only
-    old, new = pieces(text), pieces(change)
-    same = 0
-    while same < min(len(old), len(new)) and old[same] == new[same]:
-        same += 1
-    of_change = MultisetHash()
-    of_change.lanes, of_change.count, of_change.wide = own.lanes, own.count, own.wide
-    of_change.remove(old[same:])
-    of_change.add(new[same:])
+    # the head stays; the sum of the edited text needs what changed only
+    old, new = _rest(paragraphs(text), paragraphs(change))
+    old_pieces, new_pieces = _rest(pieces_of(old), pieces_of(new))
+    of_change = own.copy()
+    of_change.change(old, new, old_pieces, new_pieces)
     return (doc, len(text), hashlib.sha256(change.encode("utf-8", "surrogatepass")).hexdigest(), own.hex(),
             of_change.hex(), own.likeness(of_change), own.likeness(after))
 
@@ -220,7 +258,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     dealt = (tagged.withColumn("at", F.explode(F.when(F.col("to_part").isNull(), target).otherwise(F.concat(target, ghost))))
              .select("at.part", "at.ghost", "doc_id", "hash", "text"))
     n = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = (dealt.repartition(n, "part")
+    ordered = (dealt.repartitionById(n, "part")   # a task per range
                .sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), F.col("hash").desc()))
     return ordered.select("part", "ghost", "doc_id", "text").mapInPandas(_stream, _OUT)
 
