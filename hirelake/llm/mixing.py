@@ -61,8 +61,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
         weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, slots: int = 300_000,
         keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, pieces). Rows: the ``keep`` columns of each row of ``docs`` in a struct ``kept`` (default: the id) with
-    ``row``, ``size`` (its words), ``source_size``, ``target`` (of its source) and ``taken``. Pieces: what each slot
-    takes, as ``position`` in the schedule, ``row``, ``first`` (word of the row, from 0) and ``words``.
+    ``row``, ``size`` (its words), ``source_size``, ``target`` (of its source), ``taken`` and ``first_position`` (the first slot that takes
+    words of it; null if none does). Pieces: what each slot takes, as ``position`` in the schedule, ``row``, ``first`` (word of the row, from 0) and ``words``.
 
     ``weights`` repeat over the sources in code point order, null last (null is a source like any other). Null and
     wordless texts have size 0 and are never taken. Repeated rows count each. The result depends on the rows'
@@ -87,9 +87,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
 
     schedule = _schedule(spark, plan, goal, limit, sizes, block, ceil(sum(goal) / block))
     pieces = stored(_pieces(_offsets(numbered), schedule, block), "pieces")
-    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
+    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"), F.min("position").alias("first_position"))
     out = numbered.join(taken, "row", "left").select("row", "kept", "size", "source_size", "target",
-                                                     F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"))
+                                                     F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"), "first_position")
     return out, pieces
 
 
@@ -150,24 +150,28 @@ def _pieces(streams: DataFrame, schedule: DataFrame, block: int) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
                     n_chars_col: str = "n_chars", **how) -> DataFrame:
-    """The mix as documents, with the columns of ``docs``: a row as often as it is taken whole, and once more cut
-    to its first words where the target ends inside it. Rows that are not taken go. ``n_chars_col`` follows the cut."""
-    rows, _ = mix(docs, id_col, source_col, text_col=text_col, keep=docs.columns, **how)
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)).cast("int")
-    times = F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    cut = free_name(docs, "_cut_to")
-    out = rows.select("kept.*", F.explode(times).alias(cut))
+    """The mix as documents in the order of the schedule, with the columns of ``docs``: a row as often as it is taken whole, and once more
+    cut to its first words where the target ends inside it; each copy stands at the slot that takes its first word. Rows that are
+    not taken go. ``n_chars_col`` follows the cut."""
+    rows, pieces = mix(docs, id_col, source_col, text_col=text_col, keep=docs.columns, **how)
+    # a copy begins where its first word is taken; a row has as many copies as such slots, at most twice its words and a cut one
+    nth = F.row_number().over(Window.partitionBy("row").orderBy("position"))
+    starts = pieces.where("first = 0").select("row", F.col("position").alias("_at"), (nth - 1).alias("_nth"))
+    names = {c: free_name(docs, c) for c in ("_cut_to", "_at_slot")}
+    whole = F.col("_nth") < F.floor(F.col("taken") / F.col("size"))
+    out = rows.join(starts, "row").select("kept.*", F.when(whole, 0).otherwise(F.col("taken") % F.col("size")).cast("int").alias(names["_cut_to"]),
+                                          F.col("_at").alias(names["_at_slot"]))
+    cut = F.col(names["_cut_to"])
     text = F.array_join(F.slice(F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+", -1), lambda w: w != ""),
-                                F.lit(1), F.col(cut)), " ")
-    out = out.withColumn(text_col, F.when(F.col(cut) > 0, text).otherwise(F.col(text_col)))
+                                F.lit(1), cut), " ")
+    out = out.withColumn(text_col, F.when(cut > 0, text).otherwise(F.col(text_col)))
     if n_chars_col in docs.columns:
-        out = out.withColumn(n_chars_col, F.when(F.col(cut) > 0, F.char_length(text_col).cast(docs.schema[n_chars_col].dataType))
+        out = out.withColumn(n_chars_col, F.when(cut > 0, F.char_length(text_col).cast(docs.schema[n_chars_col].dataType))
                              .otherwise(F.col(n_chars_col)))
-    return out.select(*docs.columns)
+    return out.orderBy(names["_at_slot"], id_col).select(*docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    """Query: what the mix takes of every document."""
+    """Query: what the mix takes of every document, and where in the schedule it is first taken."""
     rows, _ = mix(documents(spark, sf_dir, "doc_id", "text", "source"))
-    return rows.select("kept.doc_id", "size", "source_size", "target", "taken")
+    return rows.select("kept.doc_id", "size", "source_size", "target", "taken", "first_position")

@@ -78,6 +78,24 @@ def test_pii(docs, none):
     assert pii.scan(none).count() == 0
 
 
+FOUND = [("server host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 is up", "ip:12:51"), ("pay 4111.1111.1111.1111 visa please", "card:4:23"),
+         ("555 123 4567 please call", "phone:0:12"), ("call me 5551234567 now", "phone:8:18"), ("my tel is 06 12 34 56 78 ok", "phone:10:24"),
+         ("gateway fe80::1 up", "ip:8:15"), ("write bob at example dot com today", "email:6:28"), ("bob (at) example (dot) com", "email:0:26"),
+         ("see 10[.]0[.]0[.]1 ok", "ip:4:18"), ("mobile 0664 1234567", "phone:7:19"), ("2001:db8::1", "ip:0:11")]
+REFUSED = ["the number 5551234567 came up", "we have 1234.5678.1234.5678 units", "at 12:30:45 we left", "std::vector and abc::def", "look at the dot matrix",
+           "version 10.2.3 of it", "06 12 34 56 78", "year 2019 2020 2021", "sum 555 123 4567"]
+
+
+def test_pii_finds_other_forms_by_format_and_context(spark):
+    plain = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    some = [(10_000 + i, t) for i, (t, _) in enumerate(FOUND)] + [(20_000 + i, t) for i, t in enumerate(REFUSED)]
+    out = pii.scan(plain.unionByName(spark.createDataFrame(some, "doc_id long, text string")))
+    rows = {r["doc_id"]: r for r in out.select("doc_id", span_list(F.col("base")).alias("b"), span_list(F.col("spans")).alias("s")).collect()}
+    assert [rows[10_000 + i]["s"] for i in range(len(FOUND))] == [s for _, s in FOUND]
+    assert [rows[20_000 + i]["s"] for i in range(len(REFUSED))] == [""] * len(REFUSED)
+    assert sum(r["s"] != r["b"] for i, r in rows.items() if i < 10_000) <= 2   # ordinary texts
+
+
 def test_luhn(spark):
     out = spark.createDataFrame([("4111111111111111",), ("4111111111111112",), ("",), ("18",), ("0" * 40,)], "d string")
     assert [r[0] for r in out.select(pii.luhn_ok(F.col("d"))).collect()] == [True, False, False, True, True]
@@ -225,6 +243,34 @@ def test_mixing(docs, none):
     assert sum(len((r["text"] or "").split()) for r in mixed.select("text").collect()) == pytest.approx(sum(r[4] for r in rows), abs=5)
 
 
+def test_the_schedule_orders_the_mix(spark, monkeypatch):
+    """Each prefix of the schedule holds the sources at their weights, the mix stands in its order, and another constant gives another order."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20 + i % 7)), ("a", "b", "c")[i % 3]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).cache()
+    size = {i: len(t.split()) for i, t, _ in rows}
+    source = {i: s for i, _, s in rows}
+    out, pieces = mixing.mix(docs)
+    got = {r["kept"]["doc_id"]: r for r in out.collect()}
+    by_row = {r["row"]: i for i, r in got.items()}
+    taken = sorted((p["position"], p["row"], p["first"], p["words"]) for p in pieces.collect())
+    assert {i: r["first_position"] for i, r in got.items() if r["taken"]} == {i: min(p for p, row, *_ in taken if by_row[row] == i) for i, r in got.items() if r["taken"]}
+    goal = {source[i]: r["target"] for i, r in got.items()}
+    total, seen, words = sum(goal.values()), defaultdict(int), 0
+    for _, row, _, n in taken:
+        seen[source[by_row[row]]] += n
+        words += n
+        if words > total / 10:   # at every later point of the schedule
+            assert all(abs(seen[s] / words - goal[s] / total) < 0.02 for s in goal)
+    mixed = [r["doc_id"] for r in mixing.mixed_documents(docs).collect()]   # in order
+    starts = sorted((p, by_row[row]) for p, row, first, _ in taken if first == 0)
+    assert Counter(mixed) == Counter(i for _, i in starts) and mixed == [i for _, i in starts]
+    assert max(Counter(mixed).values()) <= 3 and sum(size[i] for i in mixed) >= total
+    monkeypatch.setattr(mixing, "GOLDEN", 0.4142135623730951)
+    other = {r["kept"]["doc_id"]: r["first_position"] for r in mixing.mix(docs)[0].collect()}
+    assert other != {i: r["first_position"] for i, r in got.items()}
+    assert [r["doc_id"] for r in mixing.mixed_documents(docs).collect()] != mixed
+
+
 def test_targets_reshare_until_none_is_above():
     assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([200, 500 / 3, 250 / 3])
     assert mixing.targets([10, 1000], [5, 2], 1.5, 2.0) == pytest.approx([20, 1495])
@@ -271,6 +317,17 @@ def test_fingerprints_are_homomorphic_and_ignore_order():
     assert 0.3 < half < 0.7
 
 
+def test_paragraphs_are_compared_not_their_pieces():
+    one, two = "First sentence one.Second sentence two.", "First sentence one.\nSecond sentence two."
+    a, b = fingerprints.fingerprint(one), fingerprints.fingerprint(two)
+    assert a.hex() != b.hex() and fingerprints.pieces(one) == fingerprints.pieces(two)
+    long = " ".join(f"word{i}" for i in range(400))
+    assert fingerprints.fingerprint(long).hex() != fingerprints.fingerprint(long.replace("word200 ", "word200\n")).hex()
+    b.remove(fingerprints.paragraphs(two))
+    b.add(fingerprints.paragraphs(one))
+    assert a.hex() == b.hex()
+
+
 def test_likeness_counts_each_copy_once():
     like = lambda a, b: fingerprints.fingerprint(a).likeness(fingerprints.fingerprint(b))
     # 100 paragraphs parted by blank lines, none in common
