@@ -772,3 +772,18 @@ steps(seq, stop, phrase) as (
   select seq, m.i + m.n, m.phrase from (select s.seq, min(struct_pack(i := b.i, n := b.n, phrase := b.phrase)) as m from steps s
     join best b on b.seq = s.seq and b.i >= s.stop group by s.seq, s.stop))
 select s.seq, sk.skill_id, count(*) as hits from steps s join sk using (phrase) group by all"""
+
+# Records in load order; the keep-first decision in that order.
+ORACLES["ingest_stream"] = _KF.replace("row_number() over (order by seq) as rn", "row_number() over (order by session, printf('%06d.json', seq)) as rn") + """
+select printf('master_%05d', row_number() over (order by v1.session, printf('%06d.json', v1.seq))) as master_id, v1.id, v1.url, v1.title, v1.company, v1.location, v1.session,
+  case v1.seq % 3 when 0 then 'api_response' when 1 then 'nested_job' else 'data_fields' end as shape,
+  case when v1.seq % 3 = 0 then v1.id else printf('%06d', v1.seq) end as original_id, kf.status
+from v1 join kf on kf.seq = v1.seq"""
+
+# The keyword test with the similarity of the title as a last chance.
+ORACLES["filter_keyword_similarity"] = f"""with recursive {V1},
+kp as (select distinct k as a, lower(coalesce(title, '')) as b from v1, (select unnest(['red widget', 'gear']) as k)),
+{ratio_ctes('kp', 'kr')}
+select seq, title from v1 where len(list_filter(['red widget', 'gear'], lambda k: contains(lower(coalesce(title, '')), k) or contains(lower(coalesce(description, '')), k)
+    or len(list_filter(string_split(k, ' '), lambda w: not contains(lower(coalesce(title, '')), w))) = 0)) > 0
+  or exists (select 1 from kr where kr.b = lower(coalesce(title, '')) and kr.r > 0.8)"""

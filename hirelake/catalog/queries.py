@@ -418,6 +418,31 @@ def keepfirst_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("seq", "status", "duplicate_reason", "fuzzy_key")
 
 
+@register("ingest_stream")
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S11 + T4: JSON records arriving in sorted parts, numbered over all parts by the ledger; the kept ones decided part by part."""
+    import uuid
+
+    from hirelake.session import checkpoint_root
+    from hirelake.sources.ingest import raw_from_strings
+    from hirelake.sources.views import raw_postings_v2
+    from hirelake.streaming import consolidate, sessions
+    base = f"{checkpoint_root(spark).rstrip('/')}/sessions-{uuid.uuid4().hex}"
+    order = F.struct("session", "source_file", "pos")
+    records = _stored(raw_postings_v2(spark, sf_dir))
+    cuts = records.groupBy("session").count().orderBy("session").collect()   # one arrival per session, in order
+    for i, r in enumerate(cuts):
+        records.where(F.col("session") == r["session"]).sort(order).repartition(1).write.parquet(f"{base}/in/files=1/arrival={i:05d}")
+
+    def parse(batch: DataFrame):
+        rows = raw_from_strings(batch)
+        return rows, rows.select("session", "source_file", F.lit("").alias("error")).limit(0)
+    decide = consolidate.fold_batch(f"{base}/decided")
+    postings = sessions.run_session_stream(_arriving(spark, records.schema, f"{base}/in"), f"{base}/run", decide, parse)
+    decided = spark.read.parquet(f"{base}/decided").select("seq", "status")
+    return postings.join(decided, "seq").select("master_id", "id", "url", "title", "company", "location", "session", "shape", "original_id", "status")
+
+
 # A second saved search of the fixtures (city, company text and experience).
 CITY_SEARCH = flt.Criteria(cities=["NATION_3"], company_contains="Brand#1", experience_levels=["junior", "senior"])
 
@@ -564,7 +589,7 @@ def filter_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("filter_keyword_similarity")
 def filter_keyword_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword test with the title-similarity option (SequenceMatcher; no SQL form)."""
+    """Keyword test with the title-similarity option."""
     c = flt.Criteria(keywords=["red widget", "gear"], keyword_similarity=True)
     return flt.apply_filters(postings_v1(spark, sf_dir), c, AS_OF).select("seq", "title")
 

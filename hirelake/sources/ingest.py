@@ -48,60 +48,74 @@ def _read_whole(spark: SparkSession, pattern: str) -> DataFrame | None:
     return df.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+_SESSION = r"/([^/]*session[^/]*)/(?:jobs/[^/]*|api_response_all\.json)$"
+
+
+def _is_one_value(text: Column) -> Column:
+    """Whether a text is one JSON value with nothing behind it (the parsers read a value and ignore what follows): it must also
+    parse as the member of an object."""
+    return F.get_json_object(F.concat(F.lit('{"x":'), text, F.lit("}")), "$.x").isNotNull()
+
+
+def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S2 + S3: whole files ``(path, value)`` of session folders to raw rows ``(session, source_file, pos, from_api, raw VARIANT)`` and rejects
+    ``(session, source_file, error)``. Works on a batch of a stream as well; :func:`without_replaced` drops the job files that an api file replaces."""
+    named = files.select(F.regexp_extract("path", _SESSION, 1).alias("session"), F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file"), "value")
+    from_api = F.col("source_file") == "api_response_all.json"
+    # an array element by element: one VARIANT of the whole would be limited to 128 MiB
+    is_array = F.col("value").rlike(r"^\s*\[")
+    items = F.when(is_array & _is_one_value(F.col("value")), F.from_json("value", "array<variant>"))
+    one = F.when(_is_one_value(F.col("value")), F.try_parse_json("value"))
+    read = named.select("session", "source_file", from_api.alias("from_api"), is_array.alias("is_array"),
+                        F.when(from_api, items).otherwise(F.when(one.isNotNull(), F.array(one))).alias("items"))
+    error = F.when(F.col("from_api") & ~F.col("is_array"), F.lit("not a JSON array")).otherwise(F.lit("invalid JSON"))
+    rejects = read.where(F.col("items").isNull()).select("session", "source_file", error.alias("error"))
+    rows = read.where(F.col("items").isNotNull()).select("session", "source_file", F.posexplode("items").alias("pos", "raw"), "from_api")
+    return rows.select("session", "source_file", "pos", "from_api", "raw"), rejects
+
+
+def without_replaced(rows: DataFrame, api_sessions: DataFrame) -> DataFrame:
+    """S3: an api file replaces its session's jobs folder, even an empty one."""
+    replaced = rows.where(~F.col("from_api")).join(api_sessions.select("session").distinct(), "session", "left_anti")
+    return rows.where("from_api").unionByName(replaced)
+
+
 def read_sessions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Raw rows ``(session, source_file, pos, from_api, raw VARIANT)`` and rejects
     ``(session, source_file, error)``."""
     root = root.rstrip("/")
-    api = _read_whole(spark, f"{root}/*session*/api_response_all.json")
-    jobs = _read_whole(spark, f"{root}/*session*/jobs/*.json")
-    session_of = F.regexp_extract(F.col("path"), r"/([^/]*session[^/]*)/(?:jobs/[^/]*|api_response_all\.json)$", 1)
-    file_of = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
-    parts, rejects = [], []
-    if api is not None:
-        # element by element: one VARIANT of the whole array would be limited to 128 MiB
-        is_array = F.col("value").rlike(r"^\s*\[")
-        a = api.select(session_of.alias("session"), file_of.alias("source_file"), is_array.alias("is_array"),
-                       F.when(is_array, F.from_json("value", "array<variant>")).alias("items"))
-        rejects.append(a.where(F.col("items").isNull()).select(
-            "session", "source_file",
-            F.when(F.col("is_array"), F.lit("invalid JSON")).otherwise(F.lit("not a JSON array")).alias("error")))
-        a = a.where(F.col("items").isNotNull()).select("session", "source_file", F.posexplode("items").alias("pos", "raw"))
-        parts.append(a.select("session", "source_file", "pos", F.lit(True).alias("from_api"), "raw"))
-    if jobs is not None:
-        j = jobs.select(session_of.alias("session"), file_of.alias("source_file"),
-                        F.try_parse_json("value").alias("raw"))
-        rejects.append(j.where(F.col("raw").isNull()).select("session", "source_file",
-                                                            F.lit("invalid JSON").alias("error")))
-        j = j.where(F.col("raw").isNotNull()).select("session", "source_file", F.lit(0).alias("pos"),
-                                                     F.lit(False).alias("from_api"), "raw")
-        if api is not None:   # an api file replaces the session's jobs folder, even an empty one
-            j = j.join(api.select(session_of.alias("session")).distinct(), "session", "left_anti")
-        parts.append(j)
-    if not parts:
+    found = [f for f in (_read_whole(spark, f"{root}/*session*/api_response_all.json"), _read_whole(spark, f"{root}/*session*/jobs/*.json")) if f is not None]
+    if not found:
         raise FileNotFoundError(f"no session files under {root}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    rej = rejects[0]
-    for r in rejects[1:]:
-        rej = rej.unionByName(r)
-    return out, rej
+    files = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    rows, rejects = parse_files(files)
+    api = files.where(F.col("path").endswith("/api_response_all.json")).select(F.regexp_extract("path", _SESSION, 1).alias("session"))
+    return without_replaced(rows, api), rejects
+
+
+def session_folders(spark: SparkSession, root: str) -> DataFrame:
+    """``session`` of every folder of ``root`` whose name holds "session", with or without files (names listed by the driver)."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*session*")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return spark.createDataFrame([(s.getPath().getName(),) for s in found if s.isDirectory()], "session string")
 
 
 def session_files(spark: SparkSession, root: str) -> DataFrame:
-    """A1 + S4: (session, structure_type) of every session folder that holds an api file (``api_response``)
-    or, without one, job files (``jobs_directory``), readable or not. Folders without either are not listed."""
+    """A1 + S4: (session, structure_type) of every session folder: ``api_response`` if it holds an api file, else ``jobs_directory``
+    if it holds job files, readable or not, else ``unknown``."""
     root = root.rstrip("/")
+    folders = session_folders(spark, root)
     found = None
     for rank, (pattern, kind) in enumerate([("api_response_all.json", "api_response"), ("jobs/*.json", "jobs_directory")]):
         files = _read_whole(spark, f"{root}/*session*/{pattern}")
         if files is not None:
-            part = files.select(F.regexp_extract("path", r"/([^/]*session[^/]*)/(?:jobs/[^/]*|api_response_all\.json)$", 1).alias("session"),
-                                F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))
+            part = files.select(F.regexp_extract("path", _SESSION, 1).alias("session"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))
             found = part if found is None else found.unionByName(part)
     if found is None:
-        raise FileNotFoundError(f"no session files under {root}")
-    return found.groupBy("session").agg(F.min(F.struct("rank", "kind"))["kind"].alias("structure_type"))
+        return folders.withColumn("structure_type", F.lit("unknown"))
+    kinds = found.groupBy("session").agg(F.min(F.struct("rank", "kind"))["kind"].alias("structure_type"))
+    return folders.join(kinds, "session", "left").select("session", F.coalesce("structure_type", F.lit("unknown")).alias("structure_type"))
 
 
 def read_master(spark: SparkSession, path: str, key: str = "jobs") -> tuple[DataFrame, DataFrame]:
@@ -350,15 +364,15 @@ def session_metadata(sessions: DataFrame, date_prefix: str = "20") -> DataFrame:
         stype.alias("session_type"))
 
 
-def ingest(raw_rows: DataFrame, parity_company_name: bool = True) -> DataFrame:
+def ingest(raw_rows: DataFrame, parity_company_name: bool = True, start: int = 1) -> DataFrame:
     """Raw rows -> typed postings with ``seq`` (two-phase rank over session, file,
-    position) and ``master_id``; the raw VARIANT stays available as ``raw``.
+    position, from ``start``) and ``master_id``; the raw VARIANT stays available as ``raw``.
 
     The projection is materialised once (checkpoint). Only the keys are ranked; the numbers are joined
     back by a row number, and later steps shuffle in that join only the columns they read."""
     typed = cut_lineage(project(raw_rows, parity_company_name).withColumn("_row", F.monotonically_increasing_id()))
     order = ["session", "source_file", "pos"]
-    numbers = assign_sequence(typed.select("_row", *order), order, name="seq").select("_row", "seq")
+    numbers = assign_sequence(typed.select("_row", *order), order, name="seq", start=start).select("_row", "seq")
     typed = typed.join(numbers, "_row").drop("_row")
     typed = (typed.withColumn("master_id", F.format_string("master_%05d", F.col("seq")))
              .withColumn("description", F.coalesce(F.col("flat_description"), F.col("job_description"))))
@@ -374,8 +388,8 @@ def session_stats(raw_rows: DataFrame, sessions: DataFrame, files: DataFrame | N
     missing = F.col("jobs_contributed").isNull()
     if files is not None:
         out = out.join(files, "session", "left")
-        missing = missing & F.col("structure_type").isNull()
         out = out.withColumn("structure_type", F.coalesce("structure_type", F.lit("unknown")))
+        missing = missing & (F.col("structure_type") == "unknown")
     return out.select("*", F.when(missing, F.lit("no_jobs_directory"))
                       .otherwise(F.lit("success")).alias("status")).fillna(0, ["jobs_contributed"])
 
