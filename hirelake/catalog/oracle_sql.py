@@ -787,3 +787,8 @@ kp as (select distinct k as a, lower(coalesce(title, '')) as b from v1, (select
 select seq, title from v1 where len(list_filter(['red widget', 'gear'], lambda k: contains(lower(coalesce(title, '')), k) or contains(lower(coalesce(description, '')), k)
     or len(list_filter(string_split(k, ' '), lambda w: not contains(lower(coalesce(title, '')), w))) = 0)) > 0
   or exists (select 1 from kr where kr.b = lower(coalesce(title, '')) and kr.r > 0.8)"""
+
+ORACLES["failed_urls"] = r"""
+select page_id::integer as position, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title,
+  regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1) as company, 'tracking parameters' as error, '2001-08-01 00:00:00' as failed_at
+from pages where contains(url, 'utm_')"""

@@ -602,6 +602,16 @@ def url_queue_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_n(queue_from_pages(table(spark, sf_dir, "pages", ["page_id", "url", "html"])), 20)
 
 
+@register("failed_urls")
+def failed_urls_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queue entries that failed, here those whose url carries tracking parameters."""
+    from hirelake.sources.queue import failed_urls, queue_from_pages
+    from hirelake.sources.tables import table
+    queue = queue_from_pages(table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+    errors = queue.where(F.contains("url", F.lit("utm_"))).select("url", F.lit("tracking parameters").alias("error"))
+    return failed_urls(queue, errors, AS_OF).withColumn("failed_at", F.col("failed_at").cast("string"))
+
+
 @register("filtered_with_tracker")
 def filtered_with_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial matches (score >= 50) joined to the tracker state of V4."""

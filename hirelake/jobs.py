@@ -42,7 +42,7 @@ def deduplicate(postings: DataFrame, out: str, fuzzy: bool = True, threshold: in
         postings = flattened(postings).drop("raw", "extraction_metadata").persist()
     edges = dedup.detect_duplicates(postings, fuzzy=fuzzy).persist()
     merged = dedup.merge_duplicates(postings, edges, threshold)
-    writers.write_dedup_outputs(merged["unique"].drop("raw"), edges, merged["review"], out)
+    writers.write_dedup_outputs(merged["unique"].drop("raw"), edges, merged["review"], out, merged["values"])
     report = writers.render_dedup_report(dedup.dedup_summary(postings, merged), dedup.strategy_stats(postings, merged),
                                          dedup.quality_improvement(merged), dedup.review_reasons(merged["review"]))
     postings.sparkSession.createDataFrame([(report,)], "report string").coalesce(1).write.mode("overwrite") \
@@ -51,15 +51,15 @@ def deduplicate(postings: DataFrame, out: str, fuzzy: bool = True, threshold: in
 
 
 def filter_postings(postings: DataFrame, criteria: dict, out: str, as_of: datetime | None = None,
-                    filter_id: str | None = None) -> DataFrame:
-    """Entry 3: criteria filter, breakdown report and top matches."""
+                    filter_id: str | None = None, source: str | None = None) -> DataFrame:
+    """Entry 3: criteria filter, breakdown report (with ``criteria`` and ``source``) and top matches."""
     as_of = as_of or datetime.now()
     filter_id = filter_id or as_of.strftime("filter_%Y%m%d_%H%M%S")
     c = filters.Criteria.from_dict(criteria)
     flagged = postings.persist()
     matched = filters.apply_filters(flagged, c, as_of)
     writers.write_filter_outputs(matched, filters.cascade_breakdown(flagged, c, as_of),
-                                 filters.filter_summary(flagged, c, as_of), filters.top_matches(matched), out, filter_id)
+                                 filters.filter_summary(flagged, c, as_of), filters.top_matches(matched), out, filter_id, criteria, source, as_of)
     return matched
 
 

@@ -63,15 +63,12 @@ def keep_first_status(keys: DataFrame) -> tuple[DataFrame, int]:
     """Decides every row of ``(seq, url_key, fuzzy_key)``; returns the decided rows
     ``(seq, url_key, fuzzy_key, state)`` and the number of rounds used.
 
-    Rows with equal (url, key) collapse first: only the earliest can be kept, the others are
-    duplicates whatever becomes of it. The rounds end as each decides at least its lowest row."""
+    The rounds end as each decides at least its lowest row. A row that repeats an earlier (url, key) needs no step of its own: it is decided with
+    the earlier one, by the same kept row."""
     keys = reuse(keys.select("seq", "url_key", "fuzzy_key"))
     keyless = F.col("url_key").isNull() & F.col("fuzzy_key").isNull()
-    firsts = keys.where(~keyless).groupBy("url_key", "fuzzy_key").agg(F.min("seq").alias("seq"))
-    undecided = reuse(firsts.select("seq", "url_key", "fuzzy_key"))
-    repeated = (keys.where(~keyless).join(undecided.select("seq"), "seq", "left_anti")
-                .withColumn("state", F.lit(DUPLICATE)))
-    out = keys.where(keyless).withColumn("state", F.lit(UNIQUE)).unionByName(repeated)
+    undecided = keys.where(~keyless)
+    out = keys.where(keyless).withColumn("state", F.lit(UNIQUE))
     rounds, left = 0, undecided.limit(1).count()
     while left:
         rounds += 1

@@ -7,6 +7,9 @@ DataFrames. Paths may be any Hadoop-compatible URI.
 
 from __future__ import annotations
 
+import json
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,18 +55,26 @@ def write_index(entries: DataFrame, path: str) -> None:
     entries.write.mode("overwrite").partitionBy("index_name").parquet(path)
 
 
-def write_dedup_outputs(unique: DataFrame, edges: DataFrame, review: DataFrame, path: str) -> None:
-    """K7: unique postings, duplicate edges and the review queue."""
+def write_dedup_outputs(unique: DataFrame, edges: DataFrame, review: DataFrame, path: str, values: DataFrame | None = None) -> None:
+    """K7: unique postings, duplicate edges, the review queue, and the urls, sessions and original ids of merged postings (tall)."""
+    if values is not None:
+        values.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/merged_values")
     unique.write.mode("overwrite").parquet(f"{path}/unique")
     edges.write.mode("overwrite").parquet(f"{path}/duplicates")
     review.write.mode("overwrite").json(f"{path}/review_queue")
 
 
 def write_filter_outputs(filtered: DataFrame, breakdown: DataFrame, summary: DataFrame, top: DataFrame,
-                         path: str, filter_id: str) -> None:
-    """K8: filtered postings and the filter report, under ``filter_id=...``."""
+                         path: str, filter_id: str, criteria: dict | None = None, source: str | None = None, created_at: datetime | None = None) -> None:
+    """K8: filtered postings (an untyped ``raw`` as JSON text) and the filter report, under ``filter_id=...``. The report's head names the filter, its
+    criteria as given and the source."""
     base = f"{path}/filter_id={filter_id}"
-    filtered.drop("raw").write.mode("overwrite").json(f"{base}/postings")
+    if "raw" in filtered.columns:
+        filtered = filtered.withColumn("raw", F.to_json("raw"))
+    filtered.write.mode("overwrite").json(f"{base}/postings")
+    head = [(filter_id, created_at, source, json.dumps(criteria or {}, ensure_ascii=False, default=str))]
+    (summary.sparkSession.createDataFrame(head, "filter_id string, created_at timestamp, source_database string, criteria string").coalesce(1)
+     .write.mode("overwrite").json(f"{base}/report/head"))
     breakdown.write.mode("overwrite").json(f"{base}/report/filter_breakdown")
     summary.write.mode("overwrite").json(f"{base}/report/results")
     top.write.mode("overwrite").json(f"{base}/report/top_matches")
@@ -95,3 +106,8 @@ def render_dedup_report(summary: DataFrame, strategies: DataFrame, quality: Data
 def write_rejects(rejects: DataFrame, path: str) -> None:
     """Records that could not be read, partitioned by session."""
     rejects.withColumn("failed_at", F.current_timestamp()).write.mode("overwrite").partitionBy("session").json(path)
+
+
+def write_failed_urls(failed: DataFrame, path: str) -> None:
+    """Queue entries that failed (see ``sources.queue.failed_urls``)."""
+    failed.write.mode("overwrite").json(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +27,10 @@ def queue_from_pages(pages: DataFrame) -> DataFrame:
 def first_n(queue: DataFrame, n: int) -> DataFrame:
     """The first ``n`` entries by position (a TakeOrderedAndProject)."""
     return queue.orderBy("position").limit(n)
+
+
+def failed_urls(queue: DataFrame, errors: DataFrame, failed_at: datetime) -> DataFrame:
+    """The queue entries that ``errors`` (``url, error``) names, as ``position, url, title, company, error, failed_at``; of several errors of a
+    url the first in order."""
+    first = errors.where(F.col("url").isNotNull()).groupBy("url").agg(F.min("error").alias("error"))
+    return queue.join(first, "url").select("position", "url", "title", "company", "error", F.lit(failed_at).cast("timestamp").alias("failed_at"))
