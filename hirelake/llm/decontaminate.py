@@ -107,7 +107,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """One row per document: id, n_words, n_hit (words inside a window's occurrence), items (sorted strings), contaminated."""
+    """One row per document: id, n_words, n_hit (words inside a window's occurrence), items (sorted strings), contaminated. Other columns of
+    ``docs`` are not returned."""
     hit, every = contamination(docs, benchmark, **how)
     hit = hit.select(F.col("id").alias("hid"), F.col("text_hash").alias("hhash"),
                      _merged(F.col("spans")).cast("bigint").alias("n_hit"), "items")
@@ -142,10 +143,10 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     another one loses the words of the passages (``n_chars_col``, if it has one, follows). Documents without a hit are unchanged.
     All columns are kept."""
     hit, _ = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **how)
-    mark, spans = free_name(docs, "_hash"), free_name(docs, "_spans")
-    hit = hit.select(F.col("id").alias("_hid"), F.col("text_hash").alias("_hhash"), F.col("spans").alias(spans))
+    mark, spans, hid, hhash = (free_name(docs, c) for c in ("_hash", "_spans", "_hid", "_hhash"))
+    hit = hit.select(F.col("id").alias(hid), F.col("text_hash").alias(hhash), F.col("spans").alias(spans))
     out = docs.withColumn(mark, F.xxhash64(text_col))
-    out = out.join(hit, out[id_col].eqNullSafe(hit["_hid"]) & (out[mark] == hit["_hhash"]), "left")
+    out = out.join(hit, out[id_col].eqNullSafe(hit[hid]) & (out[mark] == hit[hhash]), "left")
     hit_words = F.coalesce(_merged(F.col(spans)), F.lit(0))
     out = out.where(F.col(spans).isNull() | (hit_words <= max_share * F.size(words(F.col(text_col)))))
     out = out.withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(_cut(F.col(text_col), F.col(spans))))

@@ -53,20 +53,20 @@ def remove_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str
     blank ones stay. A null text stays null and has no lines; an empty one has one (blank) line. Rows are known by id
     and text hash, so repeated rows and null ids get equal results. Columns with the names of the counts give way.
     """
-    h = free_name(docs, "_hash")
+    h, removed, gid, ghash = (free_name(docs, c) for c in ("_hash", "_gone", "_gid", "_ghash"))
     keyed = docs.withColumn(h, F.xxhash64(text_col))
     lines = stored(line_table(keyed.select(F.col(id_col).alias("id"), F.col(h).alias("hash"), site_col, text_col), site_col, text_col, "id", "hash"), "lines")
     bad = boilerplate(lines, min_sites, band)
     # equal rows on several sites give the same positions: one of each
-    gone = (lines.join(bad, "key", "left_semi").groupBy("id", "hash").agg(F.collect_set("pos").alias("_gone"))
-            .select(F.col("id").alias("_gid"), F.col("hash").alias("_ghash"), "_gone"))
-    out = keyed.join(gone, keyed[id_col].eqNullSafe(gone["_gid"]) & (keyed[h] == gone["_ghash"]), "left")
+    gone = (lines.join(bad, "key", "left_semi").groupBy("id", "hash").agg(F.collect_set("pos").alias(removed))
+            .select(F.col("id").alias(gid), F.col("hash").alias(ghash), removed))
+    out = keyed.join(gone, keyed[id_col].eqNullSafe(gone[gid]) & (keyed[h] == gone[ghash]), "left")
     text = F.col(text_col)
-    rest = let(F.struct(_lines(text).alias("l"), F.col("_gone").alias("gone")), lambda s: F.array_join(F.transform(
+    rest = let(F.struct(_lines(text).alias("l"), F.col(removed).alias("gone")), lambda s: F.array_join(F.transform(
         F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(s["l"]) - 1), s["gone"])), lambda i: F.get(s["l"], i)), "\n"))
     made = {"n_lines": F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).cast("bigint"),
-            "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint")}
-    cols = [F.when(F.col("_gone").isNull(), text).otherwise(rest).alias(c) if c == text_col else F.col(c)
+            "n_removed": F.coalesce(F.size(removed), F.lit(0)).cast("bigint")}
+    cols = [F.when(F.col(removed).isNull(), text).otherwise(rest).alias(c) if c == text_col else F.col(c)
             for c in docs.columns if c.lower() not in made]
     return out.select(*cols, *[F.greatest(v, F.lit(0)).alias(k) for k, v in made.items()])
 

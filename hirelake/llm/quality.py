@@ -108,7 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           folds: int = 5, max_rows: int = 2_000) -> Model:
     """Fits on labelled rows whose crc32(id) mod ``folds`` is not 0, about ``max_rows`` of each class.
 
-    Rows of labels with a null id or label, or without a document, teach nothing; of repeated labels of an id all count.
+    Rows of labels with a null id or label, or without a document, teach nothing; repeated equal labels of an id count once, of repeated
+    documents of an id one (the least text), so the sample is bounded whatever the table holds.
     """
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
              .where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (_remainder(F.col("id"), folds) != 0)))
@@ -117,6 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = F.when(F.col("y") == 1, max_rows / max(1, counts.get(1, 0))).otherwise(max_rows / max(1, counts.get(0, 0)))
     chosen = known.where(draw < share)  # about 2 * max_rows rows at most
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "y").agg(F.min("text").alias("text"))
     half = F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2))
     rows = texts.select("id", "text", "y", half.cast("int").alias("half")).collect()
     rows.sort(key=lambda r: (str(r["id"]), r["text"] or ""))
@@ -124,7 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", to: str = "score") -> DataFrame:
-    """Adds the score of every whole text (null: as the empty text). Nothing but the text goes in."""
+    """Adds the score of every whole text (null: as the empty text) as column ``to``; a column of that name gives way. Nothing but the text
+    goes in."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")

@@ -364,3 +364,18 @@ def test_chat(spark):
     assert [one["rejected"][s["start"]:s["end"]] for s in one["rejected_train"]] == ["two<|end|>"]
     assert set(got) == {1, 2, 4, 5, None} and got[4]["prompt"] == "<||>\n<|end|>\n"
     assert chat.format_preferences(chat.preference_pairs(chat.turns_by_conversation(turns.limit(0)))).count() == 0
+
+
+def test_columns_with_the_operators_own_names(spark):
+    """Extra columns named like what an operator adds inside: kept, or given way to as the docstring says, never a crash."""
+    names = ["_gone", "_gid", "_ghash", "_hash", "_hid", "_hhash", "_spans", "_cut_to", "_at_slot", "_row", "id", "w", "at", "key", "score", "pieces", "g", "h", "member"]
+    rows = [(i, f"one two three four five six seven eight nine ten {i}", "s", *["x"] * len(names)) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    assert set(names) <= set(linededup.remove_boilerplate(docs).columns) and linededup.remove_boilerplate(docs).count() == 4
+    left = decontaminate.remove_contamination(docs, bench, max_share=1.0, n_chars_col=None)
+    assert left.columns == docs.columns and {r["text"] for r in left.collect()} == {"0", "1", "2", "3"}
+    assert decontaminate.report(docs, bench).where("contaminated").count() == 4
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    assert quality.keep_good(docs, quality.train(docs, labels), threshold=0.0).columns == docs.columns
+    assert mixing.mixed_documents(docs, n_chars_col="none").columns == docs.columns
