@@ -1,6 +1,10 @@
 """The registered llm queries and the pipeline on the smallest tables."""
 
+import bisect
 import hashlib
+import itertools
+import math
+import re
 from collections import Counter, defaultdict
 
 import duckdb
@@ -9,7 +13,7 @@ from conftest import SF0001
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hirelake.llm import decontaminate, quality, simhash
+from hirelake.llm import mixing, quality, simhash
 from hirelake.llm.queries import ORACLES, QUERIES
 
 
@@ -42,23 +46,86 @@ def test_pipeline_equals_its_steps_by_hand(spark):
             if ((fps[i] ^ fps[j]) & (2 ** 64 - 1)).bit_count() <= 2:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    kept = {find(i) for i in good}
+    kept = sorted({find(i) for i in good})
+    clean = _decontaminated({i: docs[i]["text"] for i in kept}, [r["text"] for r in spark.read.parquet(f"{SF0001}/benchmark.parquet").collect()])
+    want = _mixed(spark, {i: (docs[i]["source"], t) for i, t in clean.items()})
     out = corpus_pipeline.run(spark, SF0001)
     rows = out.collect()
-    assert {r["doc_id"] for r in rows} <= kept
-    bench = spark.read.parquet(f"{SF0001}/benchmark.parquet")
-    hit = {r["id"]: r["n_hit"] / r["n_words"] for r in decontaminate.report(frame, bench).collect() if r["n_hit"]}
-    whole = {i for i in kept if i not in hit}
-    copies = Counter(r["doc_id"] for r in rows if r["text"] == docs[r["doc_id"]]["text"])
-    assert all(r["doc_id"] not in hit or hit[r["doc_id"]] <= 0.5 for r in rows) and max(copies.values()) <= 2
-    assert len(whole & {r["doc_id"] for r in rows}) >= 0.5 * len(whole)
-    assert not any(r["contaminated"] for r in decontaminate.report(
-        out.select(F.col("slot").alias("doc_id"), "text"), bench).where("n_words >= 10 and n_hit >= 10").collect())
-    slots = defaultdict(list)
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == want
+    assert any(clean[i] != docs[i]["text"] for i in clean) and len(clean) <= len(kept) < len(good) < len(docs)
+    assert all((r["source"], r["lang"]) == (docs[r["doc_id"]]["source"], docs[r["doc_id"]]["lang"]) and len(r["text"]) == r["n_chars"] for r in rows)
+    slots, sizes = defaultdict(list), Counter()
     for r in rows:
         slots[r["shard"]].append(r["slot"])
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert all(len(r["text"]) == r["n_chars"] for r in rows)
+        sizes[r["shard"]] += len(r["text"].encode()) + 16
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(40))
+    where = defaultdict(set)
+    for r in rows:
+        where[r["text"]].add(r["shard"])
+    assert all(len(s) == 1 for s in where.values())   # equal texts stay together
+    assert max(sizes.values()) <= max(sum(sizes.values()) / 40 * 1.05, max(n for n in Counter(
+        {t: sum(len(r["text"].encode()) + 16 for r in rows if r["text"] == t) for t in where}).values()))
+
+
+def _decontaminated(texts, benchmark, n=10):
+    """Texts without the words of the benchmark's windows; those that are mostly such words are left out."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    word = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    windows = set()
+    for t in benchmark:
+        w = word.findall((t or "").translate(lower))
+        windows |= {tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+    lengths, out = {len(x) for x in windows}, {}
+    for i, t in texts.items():
+        words, gaps = word.findall(t or ""), word.split(t or "")
+        low, hit = [w.translate(lower) for w in words], set()
+        for k in lengths:
+            for at in range(len(low) - k + 1):
+                if tuple(low[at:at + k]) in windows:
+                    hit |= set(range(at, at + k))
+        if not hit:
+            out[i] = t
+        elif len(hit) <= 0.5 * len(words):
+            keep = [k for k in range(len(words)) if k not in hit]
+            text = "".join((gaps[k] if m and keep[m - 1] == k - 1 else " ") + words[k] for m, k in enumerate(keep))
+            out[i] = (text + (gaps[-1] if keep[-1] == len(words) - 1 else "")).strip(" ")
+    return out
+
+
+def _mixed(spark, rows, slots=300_000):
+    """The mix slot by slot: a pointer into each source's shuffled stream of words."""
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in rows.items()], "doc_id long, text string")
+    order = {r[0]: r[1] for r in frame.select("doc_id", F.xxhash64(F.lit("mix"), "doc_id", "text")).collect()}   # only the shuffle is Spark's
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, (_, t) in rows.items()}
+    sources = sorted({s for s, _ in rows.values()}, key=lambda s: (s is None, s or ""))
+    streams = [[(i, k) for i in sorted((i for i in rows if rows[i][0] == s), key=lambda i: (order[i], len(words[i]))) for k in range(len(words[i]))] for s in sources]
+    goal = mixing.targets([len(s) for s in streams], [(5.0, 2.0, 1.0)[k % 3] for k in range(len(sources))])
+    edges, block = list(itertools.accumulate(goal)), max(1, math.ceil(sum(goal) / slots))
+    left, taken = [round(g) for g in goal], Counter()
+    places = [0] * len(sources)
+
+    def slot(k):
+        stream, size = streams[k], min(block, left[k])
+        if not size or not stream:
+            return
+        start = places[k] % len(stream)
+        size = min(size, len(stream) - start)
+        for i, _ in stream[start:start + size]:
+            taken[i] += 1
+        places[k] += size
+        left[k] -= size
+    for position in range(math.ceil(sum(goal) / block)):
+        slot(min(bisect.bisect_right(edges, math.modf((position + 0.5) * mixing.GOLDEN)[0] * edges[-1]), len(edges) - 1))
+    for k in range(len(sources)):
+        while left[k] and streams[k]:
+            slot(k)
+    out = Counter()
+    for i, n in taken.items():
+        whole, rest = divmod(n, len(words[i]))
+        out[(i, rows[i][1])] += whole
+        if rest:
+            out[(i, " ".join(words[i][:rest]))] += 1
+    return +out
 
 
 def test_stages_keep_the_columns(spark):
