@@ -327,15 +327,19 @@ def alias_fields(texts: DataFrame, id_col: str, text_col: str, rules: list[tuple
     def either(aliases) -> str:
         return "|".join(re.sub(r"([^\w\s'-])", r"\\\1", a) for a in aliases)
     next_label = rf"(?iu)(?:^|[^\p{{L}}])(?:{'|'.join(either(r[-1]) for r in rules if r[-1])})\s*:.*$"
-    cells = []
-    for _, field, *_rest, aliases in rules:
-        if not aliases:
-            continue
-        pat = rf"(?iu)(?:^|[^\p{{L}}])(?:{either(aliases)})[^\S\n]*:[^\S\n]*([^\n]+)"
-        v = F.trim(F.regexp_replace(F.regexp_extract(F.col(text_col), pat, 1), next_label, ""))
-        cells.append(F.when(v != "", F.struct(F.lit(field).alias("field"), F.trim(v).alias("value"),
-                                             F.lit(90).alias("confidence"))))
-    return (texts.select(id_col, F.explode(F.array_compact(F.array(*cells))).alias("c"))
+    def cells(text: Column) -> Column:
+        found = []
+        for _, field, *_rest, aliases in rules:
+            if not aliases:
+                continue
+            pat = rf"(?iu)(?:^|[^\p{{L}}])(?:{either(aliases)})[^\S\n]*:[^\S\n]*([^\n]+)"
+            v = F.trim(F.regexp_replace(F.regexp_extract(text, pat, 1), next_label, ""))
+            found.append(F.struct(F.lit(field).alias("field"), v.alias("value"), F.lit(90).alias("confidence")))
+        return F.filter(F.array(*found), lambda c: c["value"] != "")
+    # each text is made once and each pattern runs once over it: a bound variable is not inlined into its uses, and
+    # an outer generator is not evaluated a second time as a filter on its size
+    once = F.flatten(F.transform(F.array(F.col(text_col)), cells))
+    return (texts.select(id_col, F.explode_outer(once).alias("c")).where(F.col("c").isNotNull())
             .select(id_col, "c.field", "c.value", "c.confidence"))
 
 
