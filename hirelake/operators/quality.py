@@ -338,7 +338,9 @@ def alias_fields(texts: DataFrame, id_col: str, text_col: str, rules: list[tuple
         return F.filter(F.array(*found), lambda c: c["value"] != "")
     # each text is made once and each pattern runs once over it: a bound variable is not inlined into its uses, and
     # an outer generator is not evaluated a second time as a filter on its size
-    once = F.flatten(F.transform(F.array(F.col(text_col)), cells))
+    # a label and its value stand in one line, so only lines with a colon are searched
+    lines = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line: F.contains(line, F.lit(":"))), "\n")
+    once = F.flatten(F.transform(F.array(lines), cells))
     return (texts.select(id_col, F.explode_outer(once).alias("c")).where(F.col("c").isNotNull())
             .select(id_col, "c.field", "c.value", "c.confidence"))
 
