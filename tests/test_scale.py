@@ -12,6 +12,7 @@ from test_searches import _criteria, _postings
 from hirelake.catalog import queries
 from hirelake.functions.similarity import char_profile
 from hirelake.operators import dedup, quality, relevance, searches, simjoin
+from hirelake.sources import ingest
 from hirelake.sources.schema import conform
 
 AS_OF = datetime(2024, 6, 1)
@@ -98,3 +99,30 @@ def test_no_text_meets_a_search_and_blocks_lose_none(spark, monkeypatch):
     blocks = searches.match_searches(postings, table, AS_OF)
     rows = lambda df: sorted((r["search_id"], r["seq"]) for r in df.collect())
     assert rows(whole) == rows(blocks) and len(rows(whole)) > 10
+
+
+def test_word_sets_meet_as_rows_of_postings(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "OVERLAP_BLOCK", 4, raising=False)
+    written = []
+    cut = dedup.cut_lineage
+    monkeypatch.setattr(dedup, "cut_lineage", lambda df: (lambda out: (written.append(out.count()), out)[1])(cut(df)))
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    texts = {i: " ".join(rnd.choices(words, k=rnd.randint(1, 40))) for i in range(42)} | {7: None, 8: "", 9: " .,- ", 41: None}
+    pairs = [(i, 0) for i in range(1, 31)] + [(i, 31) for i in range(32, 36)] + [(40, 41)]   # 30 duplicates of one posting
+    got = dedup.word_overlap(spark.createDataFrame(list(texts.items()), "seq bigint, description string"), spark.createDataFrame(pairs, "seq bigint, canon_seq bigint")).collect()
+
+    def jaccard(a, b):
+        a, b = (set((texts[i] or "").replace(".,-", " ").split()) for i in (a, b))
+        return len(a & b) / len(a | b) if a & b else 0.0
+    assert sorted((r["seq"], r["canon_seq"], round(r["similarity"], 12)) for r in got) == sorted((a, b, round(jaccard(a, b), 12)) for a, b in pairs)
+    # a row per duplicate with a text, and per 4 duplicates of a canonical with one: none per word
+    assert written == [len(pairs) - 2 + 8 + 1]
+
+
+def test_merge_values_explodes_members_only(spark):
+    postings = conform(spark.createDataFrame([(i, f"u{i}", f"s{i % 2}", f"o{i}") for i in range(6)], "seq bigint, url string, session string, original_id string"))
+    values = dedup.merge_values(postings, spark.createDataFrame([(3, 1), (3, 2)], "canonical_seq bigint, dup_seq bigint")).collect()
+    assert sorted((r["seq"], r["kind"], r["position"], r["value"]) for r in values) == [
+        (3, "original_id", 0, "o3"), (3, "original_id", 1, "o1"), (3, "original_id", 2, "o2"),
+        (3, "session", 0, "s1"), (3, "session", 1, "s0"), (3, "url", 0, "u3"), (3, "url", 1, "u1"), (3, "url", 2, "u2")]
