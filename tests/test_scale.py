@@ -120,6 +120,14 @@ def test_word_sets_meet_as_rows_of_postings(spark, monkeypatch):
     assert written == [len(pairs) - 2 + 8 + 1]
 
 
+def test_a_view_text_is_stored_once(spark):
+    postings = conform(spark.createDataFrame([(1, "t", "d"), (2, None, None)], "seq bigint, title string, description string").withColumns({"job_title": F.col("title"), "job_description": F.col("description")}))
+    stored = queries._stored(postings, same={"job_title": "title", "job_description": "description"})
+    assert stored.columns == postings.columns and stored.orderBy("seq").collect() == postings.orderBy("seq").collect()
+    file = stored.inputFiles()[0].removeprefix("file:")
+    assert "job_description" not in spark.read.parquet(file).columns
+
+
 def test_merge_values_explodes_members_only(spark):
     postings = conform(spark.createDataFrame([(i, f"u{i}", f"s{i % 2}", f"o{i}") for i in range(6)], "seq bigint, url string, session string, original_id string"))
     values = dedup.merge_values(postings, spark.createDataFrame([(3, 1), (3, 2)], "canonical_seq bigint, dup_seq bigint")).collect()
