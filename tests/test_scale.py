@@ -134,3 +134,16 @@ def test_merge_values_explodes_members_only(spark):
     assert sorted((r["seq"], r["kind"], r["position"], r["value"]) for r in values) == [
         (3, "original_id", 0, "o3"), (3, "original_id", 1, "o1"), (3, "original_id", 2, "o2"),
         (3, "session", 0, "s1"), (3, "session", 1, "s0"), (3, "url", 0, "u3"), (3, "url", 1, "u1"), (3, "url", 2, "u2")]
+
+
+def test_a_field_of_a_record_is_taken_once(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    rows = spark.createDataFrame([("s", "1.json", 0, '{"data": {"description": {"value": "x"}, "link": "u", "location": {"city": "c"}}, "url": "r"}'),
+                                  ("s", "2.json", 0, '{"job": {"description": "y", "location": "l"}, "url": "r"}'), ("s", "3.json", 0, '{"description": "z", "location": null}')],
+                                 "session string, source_file string, pos int, value string")
+    raw = ingest.raw_from_strings(rows)
+    flat = ingest.flattened(ingest.ingest(raw))
+    assert [(r["description"], r["url"], r["location_city"], r["location_text"]) for r in flat.orderBy("seq").collect()] == [("x", "u", "c", None), ("y", "r", None, "l"), ("z", None, None, None)]
+    plan = flat._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("$.description") == 1 and plan.count("$.contactEmail") == 1
