@@ -3,6 +3,7 @@
 import glob
 import json
 import random
+import re
 from datetime import datetime
 from difflib import SequenceMatcher
 
@@ -147,3 +148,38 @@ def test_a_field_of_a_record_is_taken_once(spark):
     plan = flat._jdf.queryExecution().optimizedPlan().toString()
     spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert plan.count("$.description") == 1 and plan.count("$.contactEmail") == 1
+
+
+def test_quality_report_moves_no_texts(spark):
+    rows = spark.createDataFrame([(i, f"m{i}", f"s{i % 2}", f"http://x/{i // 2}", "t", None if i % 3 else "some text", None if i % 2 else f"a{i}@x.org") for i in range(12)],
+                                 "seq bigint, master_id string, session string, url string, title string, description string, contact_email string")
+    postings = dedup.cut_lineage(conform(rows))
+    merged = dedup.merge_duplicates(postings, dedup.detect_duplicates(postings))
+    report = dedup.quality_improvement(merged)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Project [" in line and re.search(r"[\[ ]description#\d+[,\]]", line)]
+    assert "description" in plan and not moved
+    got = {r["metric"]: (r["before"], r["after"]) for r in report.collect()}
+    # title, url groups of two: 4 of 12 described before; the first described of a pair, else the first, is kept; emails are filled
+    assert got["contactEmail"] == (50.0, 100.0) and got["completeness"][0] == 22.9
+    assert merged["unique"].columns == [c for c in merged["after"].columns if not c.endswith("_filled")]
+
+
+def test_words_are_cut_where_they_meet(spark, monkeypatch):
+    stored = []
+    cut = dedup.cut_lineage
+    monkeypatch.setattr(dedup, "cut_lineage", lambda df: (stored.extend(f.dataType.typeName() for f in df.schema.fields), cut(df))[1])
+    texts = spark.createDataFrame([(1, "A b, c"), (1, "b d"), (2, "a\tB"), (3, "z"), (4, None)], "seq bigint, description string")   # a repeated key
+    pairs = spark.createDataFrame([(2, 1), (2, 1), (3, 1), (3, 4), (None, 1), (3, None)], "seq bigint, canon_seq bigint")
+    got = dedup.word_overlap(texts, pairs).collect()
+    assert not {"array", "string"} & set(stored)   # counts only, neither texts nor their words
+    # the words of 2 meet both texts of 1: 2 + 1 common, twice, of 2 and 3 + 2 words
+    assert sorted((r["seq"] or 0, r["canon_seq"] or 0, r["similarity"]) for r in got) == [
+        (0, 1, 0.0), (2, 1, 6.0), (2, 1, 6.0), (3, 0, 0.0), (3, 1, 0.0), (3, 4, 0.0)]
+
+
+def test_words_of_a_text_in_one_pass(spark):
+    from hirelake.functions.text import normalize_text, text_words, word_set
+    odd = [None, "", " .,- ", "Word's under_score a-b a", "\u0130stanbul \u03a3\u0391\u03a3 1\u00bd \u2167", "x\x85y\x0bz\u200bq \u3001\u65e5\u672c ", "\U0001d7d8z \U0001F600 K."]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select(text_words(F.col("t")).alias("a"), word_set(normalize_text(F.col("t"))).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and rows[3]["a"] == ["word", "s", "under_score", "a", "b"]
