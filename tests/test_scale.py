@@ -183,3 +183,18 @@ def test_words_of_a_text_in_one_pass(spark):
     odd = [None, "", " .,- ", "Word's under_score a-b a", "\u0130stanbul \u03a3\u0391\u03a3 1\u00bd \u2167", "x\x85y\x0bz\u200bq \u3001\u65e5\u672c ", "\U0001d7d8z \U0001F600 K."]
     rows = spark.createDataFrame([(t,) for t in odd], "t string").select(text_words(F.col("t")).alias("a"), word_set(normalize_text(F.col("t"))).alias("b")).collect()
     assert [r["a"] for r in rows] == [r["b"] for r in rows] and rows[3]["a"] == ["word", "s", "under_score", "a", "b"]
+
+
+def test_flattened_ingest_stores_no_records(spark, monkeypatch):
+    stored = []
+    cut = ingest.cut_lineage
+    monkeypatch.setattr(ingest, "cut_lineage", lambda df: (stored.append(dict(df.dtypes)), cut(df))[1])
+    texts = ['{"job": {"id": 1, "title": "a", "description": "d", "location": {"city": "x"}}}', '{"data": {"title": {"value": "b"}, "salary": {"min": 1}}, "url": "u"}',
+             '{"uid": "z", "title": "c", "company": {"name": "n"}, "requirements": ["r"]}', "[1]", "no record"]
+    rows = [("s", f"f{i}", 0, t) for i, t in enumerate(texts)] + [("s", "f0", 0, texts[0]), (None, None, 0, texts[2])]   # repeated and null keys
+    raw = ingest.raw_from_strings(spark.createDataFrame(rows, "session string, source_file string, pos int, value string"))
+    got = ingest.ingest_flattened(raw)
+    assert len(stored) == 1 and "variant" not in stored[0].values()
+    want = ingest.flattened(ingest.ingest(raw)).drop("raw", "extraction_metadata")
+    assert sorted(got.dtypes) == sorted(want.dtypes)
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
